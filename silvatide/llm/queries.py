@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, url_filter
+from . import decontaminate, license_scan, mixing, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op3_decontamination": decontaminate.op3_decontamination,
     "op4_url_filter": url_filter.op4_url_filter,
     "op9_mixing": mixing.op9_mixing,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE_SQL,
+    "op3_decontamination": decontaminate.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
