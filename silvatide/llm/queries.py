@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, mixing, toxicity, url_filter
+from . import bitsliced, decontaminate, html_extract, license_scan, mixing, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
+    "op2_html_extraction": html_extract.op2_html_extraction,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op7_exact_topk": bitsliced.op7_exact_topk,
+    "op8_token_output": token_output.op8_token_output,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
 }
@@ -15,5 +18,6 @@ ORACLES = {
     "op1_license_scan": license_scan.ORACLE_SQL,
     "op3_decontamination": decontaminate.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
+    "op7_exact_topk": bitsliced.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }
