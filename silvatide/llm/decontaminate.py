@@ -78,14 +78,14 @@ class Shard:
 
     def __init__(self, phrases: Phrases):
         self.p = phrases
-        self.ids: list[pa.Array] = []
+        self.rows: list[pa.RecordBatch] = []
         self.n_words: list[np.ndarray] = []
         self.docs = self.kept = 0
         self.seq: list[np.ndarray] = []
         self.place: list[np.ndarray] = []
         self.doc: list[np.ndarray] = []
 
-    def add(self, ids: pa.Array, w: Words) -> None:
+    def add(self, rows: pa.RecordBatch, w: Words) -> None:
         n = np.diff(w.first)
         if len(w) and self.p.windows:
             v = self.p.numbers(w.hashes())
@@ -111,7 +111,7 @@ class Shard:
                 self.doc.append(row + self.docs)
                 self.place.append(at - w.first[row])
                 self.kept += len(at)
-        self.ids.append(ids)
+        self.rows.append(rows)
         self.n_words.append(n)
         self.docs += len(n)
 
@@ -140,10 +140,10 @@ class Shard:
             end = np.flatnonzero(hit & ~np.concatenate([hit[1:], [False]]))
             for a, b in zip(begin.tolist(), end.tolist(), strict=True):
                 spans[doc[a]].append({"start": int(place[a]), "end": int(place[b]) + 1})
-        ids = pa.concat_arrays(self.ids)
+        rows = [pa.concat_arrays([r.column(c) for r in self.rows]) for c in range(self.rows[0].num_columns)]
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-            names=["id", "n_words", "n_hit", "items", "spans"],
+            [*rows, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
+            names=[*self.rows[0].schema.names, "n_words", "n_hit", "items", "spans"],
         )
 
 
@@ -161,17 +161,18 @@ def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str |
     yield block
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Each document with n_words, n_hit, items (ids of items with occurring windows, sorted) and spans (word ranges that
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", block_bytes: int = BLOCK_BYTES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each document, with the columns in `keep`, n_words, n_hit, items (ids of items with occurring windows, sorted) and spans (word ranges that
     occurrences cover, merged).
 
     Null and empty texts have no words and hit nothing; items without words have no window; items with equal windows are
     all reported; a null item id counts as an empty string. With an empty benchmark nothing is hit. Repeated rows are each
-    judged when the benchmark is one block; with several blocks, rows of equal id and length are one document.
+    judged when the benchmark is one block; with several blocks, rows that agree in all carried columns become one.
     """
     b = only(benchmark, "item_id", "text")
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+    carried = [id_col, *keep]
+    result = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried) + ", " + result
     parts = []
     for block in _blocks(b, block_bytes):
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
@@ -179,25 +180,25 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
         def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
             shard = Shard(phrases.value)
             for x in batches:
-                ids = column(x, id_col)
+                rows = pa.RecordBatch.from_arrays([column(x, c) for c in carried], names=carried)
                 data, off = text_buffer(column(x, "text"))
                 for i, j in chunks(off):
-                    shard.add(ids.slice(i, j - i), Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM))
+                    shard.add(rows.slice(i, j - i), Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM))
                     if shard.kept >= SHARD_WORDS or shard.docs >= SHARD_DOCS:
                         yield shard.search()
                         shard = Shard(phrases.value)
             if shard.docs:
                 yield shard.search()
 
-        parts.append(arrow_map(only(docs, id_col, "text"), run, schema))
+        parts.append(arrow_map(only(docs, *dict.fromkeys([*carried, "text"])), run, schema))
     if len(parts) == 1:
-        return parts[0].withColumnRenamed("id", id_col)
-    return _merged(reduce(DataFrame.unionByName, parts)).withColumnRenamed("id", id_col)
+        return parts[0]
+    return _merged(reduce(DataFrame.unionByName, parts), carried)
 
 
-def _merged(found: DataFrame) -> DataFrame:
+def _merged(found: DataFrame, carried: list[str]) -> DataFrame:
     """One row for each document over all blocks: spans that overlap or touch become one."""
-    f = found.groupBy("id", "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
+    f = found.groupBy(*carried, "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
     joined = F.aggregate(
         "all",
         F.lit(None).cast("array<struct<start:long,end:long>>"),
@@ -208,7 +209,7 @@ def _merged(found: DataFrame) -> DataFrame:
     )
     f = f.withColumn("spans", F.coalesce(joined, F.array().cast("array<struct<start:long,end:long>>")))
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return f.select("id", "n_words", n_hit.alias("n_hit"), "items", "spans")
+    return f.select(*carried, "n_words", n_hit.alias("n_hit"), "items", "spans")
 
 
 def contaminated() -> F.Column:
@@ -216,6 +217,12 @@ def contaminated() -> F.Column:
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents that the contract's rule leaves; documents with fewer hits stay as they are."""
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    return find_contamination(docs, benchmark, keep=rest).filter(~contaminated()).select(docs.columns)
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)

@@ -66,7 +66,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP
     return s.select("source", "source_size", F.when(share >= F.col("ratio"), F.col("limit").cast("double")).otherwise(share * F.col("weight")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, ranges: int = RANGES, quality: Column | None = None, id_col: str = "doc_id") -> DataFrame:
+def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int = CAP, ranges: int = RANGES, quality: Column | None = None, id_col: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, size, source_size, target, taken, n_copies for every document.
 
     taken is n_copies * size. A document of the fractional part is taken whole if the middle of its words lies within
@@ -75,7 +75,7 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int =
     in order of size, then all alike. An empty table gives no rows. `quality` (a column over `docs`) replaces the default weight.
     """
     size = n_words(F.col("text"))
-    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("source"), size.alias("size"), (text_quality(F.col("text"), size) if quality is None else quality).alias("w"))
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col("source"), *extra, size.alias("size"), (text_quality(F.col("text"), size) if quality is None else quality).alias("w"))
     d = d.withColumn("key", F.pow(uniform(F.col("doc_id")), 1.0 / F.greatest(F.col("w"), F.lit(1e-6))))
     d = d.withColumn("range", F.floor((1.0 - F.col("key")) * ranges).cast("int")).drop("w")
     by_range = d.groupBy("source", "range").agg(F.sum("size").alias("words"))
@@ -91,7 +91,15 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int =
     rest = F.col("target") - epochs * F.col("source_size")
     more = F.when((F.col("size") > 0) & (F.col("ahead") + F.col("inside") + F.col("size") / 2.0 <= rest), 1).otherwise(0)
     copies = F.when(F.col("size") > 0, F.least(epochs + more, F.lit(cap))).otherwise(F.lit(0)).cast("long")
-    return d.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("n_copies"))
+    return d.select("doc_id", "size", "source_size", "target", (copies * F.col("size")).alias("taken"), copies.alias("n_copies"), *extra)
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix itself: every document as often as it is taken."""
+    row = F.xxhash64("doc_id", "source", "text").alias("row")
+    copies = mix_sources(docs.withColumn("row", row), extra=("row",)).groupBy("row").agg(F.max("n_copies").alias("n_copies")).filter("n_copies > 0")
+    out = docs.withColumn("row", row).join(copies, "row")
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select(docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

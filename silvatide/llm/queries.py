@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bitsliced, decontaminate, html_extract, license_scan, mixing, token_output, toxicity, url_filter
+from . import bitsliced, decontaminate, html_extract, license_scan, mixing, partenum, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
     "op2_html_extraction": html_extract.op2_html_extraction,
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_jaccard_join": partenum.op5_jaccard_join,
     "op7_exact_topk": bitsliced.op7_exact_topk,
     "op8_token_output": token_output.op8_token_output,
     "op9_mixing": mixing.op9_mixing,

@@ -5,12 +5,15 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -29,10 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: this cuts the lineage and survives lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_freed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside are deleted when it ends, not when the driver next collects garbage."""
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_FREE)
+        else:
+            spark.conf.set(_FREE, before)
+
+
 def delete(spark: SparkSession, df_or_path) -> None:
     """Delete a table made by written() once nothing reads it any more."""
     paths = [df_or_path] if isinstance(df_or_path, str) else list({p.rpartition("/")[0] for p in df_or_path.inputFiles()})

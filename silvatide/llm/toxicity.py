@@ -269,6 +269,12 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", keep:
     return arrow_map(only(docs, *dict.fromkeys([*carried, "text"])), run, schema)
 
 
+def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents that score below the threshold."""
+    rest = tuple(c for c in docs.columns if c != "doc_id")
+    return score_documents(docs, fit(docs, labels), keep=rest).filter(F.col("score") < THRESHOLD).select(docs.columns)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
