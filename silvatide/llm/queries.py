@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, decontaminate, html_extract, license_scan, mixing, partenum, token_output, toxicity, url_filter
+from . import bitsliced, decontaminate, html_extract, license_scan, mixing, partenum, suffix_dedup, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_decontamination": decontaminate.op3_decontamination,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_jaccard_join": partenum.op5_jaccard_join,
+    "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
     "op7_exact_topk": bitsliced.op7_exact_topk,
     "op8_token_output": token_output.op8_token_output,
     "op9_mixing": mixing.op9_mixing,
