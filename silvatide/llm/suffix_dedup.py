@@ -31,7 +31,7 @@ from .textops import _BYTE_CODE, chunks, column, mix, powers, text_buffer
 _U = np.uint64
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # bytes of a passage on either side of its anchor
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 4 << 20
 
 
 class Sums:
