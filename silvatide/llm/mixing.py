@@ -35,7 +35,7 @@ def n_words(text: Column) -> Column:
 def text_quality(text: Column, size: Column) -> Column:
     """A weight in [0.05, 1] from the mean length of a text's words: prose is near 6 code points with its space."""
     mean = F.length(text) / F.greatest(size, F.lit(1)).cast("double")
-    return F.coalesce(F.greatest(F.lit(0.05), F.least(mean / 6.0, F.lit(6.0) / mean)), F.lit(0.05))
+    return F.coalesce(F.greatest(F.lit(0.05), F.least(mean / 6.0, F.lit(6.0) / F.nullif(mean, F.lit(0.0)))), F.lit(0.05))
 
 
 def uniform(id_col: Column) -> Column:
@@ -95,11 +95,11 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, cap: int =
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: every document as often as it is taken."""
-    row = F.xxhash64("doc_id", "source", "text").alias("row")
-    copies = mix_sources(docs.withColumn("row", row), extra=("row",)).groupBy("row").agg(F.max("n_copies").alias("n_copies")).filter("n_copies > 0")
-    out = docs.withColumn("row", row).join(copies, "row")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies").cast("int")))).select(docs.columns)
+    """The mix itself: every document as often as it is taken. Rows that agree in id, source and text are taken alike."""
+    row = F.xxhash64("doc_id", "source", "text").alias("_mix_row")
+    copies = mix_sources(docs.withColumn("_mix_row", row), extra=("_mix_row",)).groupBy("_mix_row").agg(F.max("n_copies").cast("int").alias("_mix_n")).filter("_mix_n > 0")
+    out = docs.withColumn("_mix_row", row).join(copies, "_mix_row")
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 DEPTH = 16
 SHARD_TOKENS = 4 << 20
-CHUNK_CHARS = 2 << 20
+CHUNK_CHARS = 1 << 20
 TABLE_BITS = 21
 
 LETTER, NUMBER, SPACE, OTHER, UNSURE = range(5)
@@ -257,15 +257,20 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col:
                 b = whole.slice(at, 1024)
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 ids, n = enc.encode(texts)
-                ends = np.cumsum(n)
-                ids = np.insert(ids, ends, end_id)
-                held[0].extend(b.column(0).to_pylist())
-                held[1].extend((n + 1).tolist())
-                held[2].append(ids)
-                size += len(ids)
-                if size >= shard_tokens:
-                    yield out()
-                    shard, held, size = shard + 1, [[], [], []], 0
+                ids = np.insert(ids, np.cumsum(n), end_id)
+                names, lengths, ends = b.column(0).to_pylist(), n + 1, np.cumsum(n + 1)
+                k = done = 0
+                while k < len(names):
+                    # Documents up to the one that fills the shard.
+                    stop = min(len(names), int(np.searchsorted(ends, done + shard_tokens - size)) + 1)
+                    held[0].extend(names[k:stop])
+                    held[1].extend(lengths[k:stop].tolist())
+                    held[2].append(ids[done : ends[stop - 1]])
+                    size += int(ends[stop - 1]) - done
+                    k, done = stop, int(ends[stop - 1])
+                    if size >= shard_tokens:
+                        yield out()
+                        shard, held, size = shard + 1, [[], [], []], 0
         if held[0]:
             yield out()
 
