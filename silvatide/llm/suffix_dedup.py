@@ -8,9 +8,10 @@ equal strings meet in the shard of their anchor's hash.
 1. Of equal texts the one of least id is kept as source; the others go whole.
 2. Anchors that lie in one document only are left out (counted by hash).
 3. Of equal passages one is kept, with the least and the largest id they have.
-4. Each shard's passages are sorted by external induced sorting; neighbouring
-   suffixes with a common prefix of LENGTH or more are one string, whose source
-   is its least id.
+4. Where an anchor has one passage, all its strings have the passage's least id
+   as source. The other passages are dealt to shards by anchor and sorted there by
+   external induced sorting; neighbouring suffixes with a common prefix of LENGTH
+   or more are one string, whose source is its least id.
 5. Strings of larger ids mark their bytes; a document's marks merge to spans.
 """
 
@@ -25,13 +26,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .induced import common_prefix_reaches, sort_suffixes
-from .tables import arrow_map, only, table, written
+from .tables import arrow_map, delete, only, table, written
 from .textops import _BYTE_CODE, chunks, column, mix, powers, text_buffer
 
 _U = np.uint64
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # bytes of a passage on either side of its anchor
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 class Sums:
@@ -72,7 +73,7 @@ def anchors(data: np.ndarray, off: np.ndarray, sums: Sums, length: int = LENGTH,
 
 
 def _anchor_rows(texts: DataFrame, with_place: bool) -> DataFrame:
-    """h, doc, and (with_place) passage digest, version and position in the row."""
+    """h, doc, and (with_place) passage digest, version, position in the row, and shape (128 * bytes before the anchor + bytes) of the passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -86,16 +87,17 @@ def _anchor_rows(texts: DataFrame, with_place: bool) -> DataFrame:
                 row = np.searchsorted(o, pos, "right") - 1
                 if with_place:
                     lo, hi = np.maximum(pos - REACH, o[row]), np.minimum(pos + GRAM + REACH, o[row + 1])
-                    digest = mix(sums.hash(lo, hi) ^ ((pos - lo) * 128 + (hi - lo)).astype(np.uint64))
-                    cols = [h.view(np.int64), ids[i + row], digest.view(np.int64), version[i + row], pos - o[row]]
-                    names = ["h", "doc", "passage", "version", "pos"]
+                    shape = (pos - lo) * 128 + (hi - lo)
+                    digest = mix(sums.hash(lo, hi) ^ shape.astype(np.uint64))
+                    cols = [h.view(np.int64), ids[i + row], digest.view(np.int64), version[i + row], pos - o[row], shape]
+                    names = ["h", "doc", "passage", "version", "pos", "shape"]
                 else:
                     key = np.unique(np.stack([h.view(np.int64), row]), axis=1) if len(h) else np.zeros((2, 0), np.int64)
                     cols, names = [key[0], ids[i + key[1]]], ["h", "doc"]
                 for x in range(0, len(cols[0]), 1 << 18):
                     yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 18)].astype(np.int64)) for c in cols], names=names)
 
-    schema = "h long, doc long" + (", passage long, version long, pos long" if with_place else "")
+    schema = "h long, doc long" + (", passage long, version long, pos long, shape long" if with_place else "")
     return arrow_map(texts, run, schema)
 
 
@@ -211,12 +213,21 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     live = _anchor_rows(texts, False).groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h")
     live = written(spark, live, "anchors")
     places = written(spark, _anchor_rows(texts, True).join(live, "h", "left_semi"), "places")
-    one = places.groupBy("h", "passage").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "version", "pos")).alias("at"))
-    kept = one.select("h", "passage", "lo", "hi", "at.doc", "at.version", "at.pos")
-    found = written(spark, _sources(_passages(kept, texts).repartition("h").sortWithinPartitions("h")), "strings")
+    one = places.groupBy("h", "passage").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "version", "pos")).alias("at"), F.max("shape").alias("shape"))
+    one = written(spark, one.select("h", "passage", "lo", "hi", "at.doc", "at.version", "at.pos", "shape"), "passages")
+    delete(spark, live)
+    several = one.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    left = F.floor(F.col("shape") / 128)
+    alone = one.join(several, "h", "left_anti").filter("lo < hi").select("h", "passage", F.col("lo").alias("source"), (-left).alias("begin"), (F.col("shape") % 128 - left).alias("end")).filter(f"end - begin >= {LENGTH}")
+    mixed = one.join(several, "h", "left_semi").select("h", "passage", "lo", "hi", "doc", "version", "pos")
+    sorted_ = _sources(_passages(mixed, texts).repartition("h").sortWithinPartitions("h"))
+    found = written(spark, alone.unionByName(sorted_), "strings")
+    delete(spark, one)
     hits = places.join(found, ["h", "passage"]).filter("source < doc").select("doc", "version", (F.col("pos") + F.col("begin")).alias("begin"), (F.col("pos") + F.col("end")).alias("end"))
     spans = hits.groupBy("doc", "version").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
-    return known, written(spark, spans, "spans")
+    spans = written(spark, spans, "spans")
+    delete(spark, texts, places, found)
+    return known, spans
 
 
 def _merged(spans: np.ndarray) -> np.ndarray:

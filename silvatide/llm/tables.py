@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -29,11 +29,11 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: this cuts the lineage and survives lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _shuffles_freed(spark):
-        df.write.parquet(path)
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -51,11 +51,10 @@ def _shuffles_freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(_FREE, before)
 
 
-def delete(spark: SparkSession, df_or_path) -> None:
-    """Delete a table made by written() once nothing reads it any more."""
-    paths = [df_or_path] if isinstance(df_or_path, str) else list({p.rpartition("/")[0] for p in df_or_path.inputFiles()})
+def delete(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete tables made by written() once nothing reads them any more."""
     jvm = spark.sparkContext._jvm
-    for p in paths:
+    for p in {f.rpartition("/")[0] for df in tables for f in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -86,3 +85,11 @@ def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """mapInArrow with this package at hand on every worker."""
     ship(df.sparkSession)
     return df.mapInArrow(f, schema)
+
+
+def filtered(docs: DataFrame, op: Callable[[DataFrame, tuple[str, ...]], DataFrame], condition: Column) -> DataFrame:
+    """The rows of docs that meet a condition on what op(docs, columns to keep) adds, with the columns of docs alone, whatever their names."""
+    own = {c: c if c in ("doc_id", "text") else f"_own{k}" for k, c in enumerate(docs.columns)}
+    safe = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
+    kept = op(safe, tuple(a for a in own.values() if a != "doc_id")).filter(condition)
+    return kept.select(*[F.col(a).alias(c) for c, a in own.items()])
