@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .succinct import FMIndex
-from .tables import arrow_map, only, table
+from .tables import arrow_map, filtered, only, table
 from .textops import ALNUM, Words, chunks, column, hash_words, text_buffer
 
 WINDOW = 13
@@ -219,8 +219,7 @@ def contaminated() -> F.Column:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that the contract's rule leaves; documents with fewer hits stay as they are."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return find_contamination(docs, benchmark, keep=rest).filter(~contaminated()).select(docs.columns)
+    return filtered(docs, lambda d, keep: find_contamination(d, benchmark, keep=keep), ~contaminated())
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

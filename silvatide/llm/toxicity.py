@@ -11,7 +11,6 @@ marginals then give offending words, whose noisy-or is the document's score.
 from __future__ import annotations
 
 import zlib
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import arrow_map, only, table
+from .tables import arrow_map, filtered, only, table
 from .textops import ALNUM, Words, chunks, column, text_buffer
 
 #: At most so many labelled documents of each label are learned from, the first by a hash of their ids, of at most so many characters each.
@@ -134,30 +133,36 @@ def forward_backward(chains: list[np.ndarray], trans: np.ndarray, pairs: np.ndar
     return out
 
 
-def choose_features(toxic: list[set[int]], clean: list[set[int]]) -> list[int]:
-    """Greedy cover of the toxic documents by features that clean ones lack."""
-    against = Counter(f for d in clean for f in d)
-    holders: dict[int, list[int]] = defaultdict(list)
-    for k, d in enumerate(toxic):
-        for f in d:
-            holders[f].append(k)
+def choose_features(docs: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """docs: the distinct features of each. Greedy cover of the toxic documents by features that clean ones lack."""
+    toxic = [d for d, y in zip(docs, labels, strict=True) if y]
+    clean = [d for d, y in zip(docs, labels, strict=True) if not y]
+    if not toxic:
+        return np.zeros(0, np.uint64)
+    rest, against = np.unique(np.concatenate(clean), return_counts=True) if clean else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    every = np.concatenate(toxic)
+    found, holders = np.unique(every, return_counts=True)
+    at = np.minimum(np.searchsorted(rest, found), max(len(rest) - 1, 0))
+    n_clean = np.where(rest[at] == found, against[at], 0) if len(rest) else np.zeros(len(found), np.int64)
     scale = len(toxic) / max(1, len(clean))  # shares are judged as if both labels were equally common
-    fits = {f: ks for f, ks in holders.items() if len(ks) >= LEAST_GAIN and len(ks) >= LEAST_SHARE * (len(ks) + against[f] * scale)}
-    gain = {f: len(ks) for f, ks in fits.items()}
-    covered, chosen = [False] * len(toxic), []
-    while gain:
-        best = max(gain, key=lambda f: (gain[f], f))
-        if gain[best] < LEAST_GAIN:
-            break
+    fits = (holders >= LEAST_GAIN) & (holders >= LEAST_SHARE * (holders + n_clean * scale))
+    found = found[fits]
+    # Of each toxic document the fitting features, and of each feature its documents.
+    own = [np.searchsorted(found, d[np.isin(d, found)]) for d in toxic]
+    doc = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    flat = np.concatenate(own) if own else np.zeros(0, np.int64)
+    order = np.argsort(flat, kind="stable")
+    doc_of, bounds = doc[order], np.searchsorted(flat[order], np.arange(len(found) + 1))
+    gain = np.diff(bounds)
+    covered, chosen = np.zeros(len(toxic), bool), []
+    while len(gain) and gain.max() >= LEAST_GAIN:
+        best = int(gain.argmax())
         chosen.append(best)
-        for k in fits[best]:
+        for k in doc_of[bounds[best] : bounds[best + 1]].tolist():
             if not covered[k]:
                 covered[k] = True
-                for f in toxic[k]:
-                    if f in gain:
-                        gain[f] -= 1
-        del gain[best]
-    return chosen
+                gain[own[k]] -= 1
+    return np.sort(found[chosen])
 
 
 def train(rows: list[tuple[str, int]], rounds: int = 120, l2: float = 1e-3) -> Model:
@@ -172,8 +177,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 120, l2: float = 1e-3) -> M
         if len(w):
             feats.append(_features(w))
             labels.append(int(label))
-    sets = [set(np.unique(f[f != 0]).tolist()) for f in feats]
-    chosen = np.array(sorted(choose_features([s for s, y in zip(sets, labels, strict=True) if y], [s for s, y in zip(sets, labels, strict=True) if not y])), np.uint64)
+    chosen = choose_features([np.unique(f[f != 0]) for f in feats], np.array(labels))
     if not len(chosen):
         return Model()
     # Windows around tagged words; of clean documents, around words that share a feature with tagged ones, and around any.
@@ -271,8 +275,8 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", keep:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below the threshold."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return score_documents(docs, fit(docs, labels), keep=rest).filter(F.col("score") < THRESHOLD).select(docs.columns)
+    model = fit(docs, labels)
+    return filtered(docs, lambda d, keep: score_documents(d, model, keep=keep), F.col("score") < THRESHOLD)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
