@@ -2,10 +2,10 @@
 
 Sets of word shingles are put in bands by size, so that linked sets lie in one
 band or in two neighbouring ones. At the level of a band, two linked sets differ
-in at most k shingles. The domain of hashes is cut into m = k + 1 + SPARE parts:
-linked sets agree on at least 1 + SPARE whole parts. A part's content, hashed, is
+in at most k shingles. The domain of hashes is cut into m = k + 1 + spare parts:
+linked sets agree on at least 1 + spare whole parts. A part's content, hashed, is
 a signature; linked sets share one. A set may leave out its empty parts if it has
-at most SPARE of them, for then a part that is not empty is agreed on as well.
+at most `spare` of them, for then a part that is not empty is agreed on as well.
 
 Copies (equal sets) are first reduced to the one of least id. Signatures are then
 counted; only those of two sets at least are looked at. Each one's sets are
@@ -17,6 +17,7 @@ pairs compared across components. Every comparison that size and a parity sketch
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import arrow_map, only, table, written
+from .tables import arrow_map, delete, only, table, written
 from .textops import NONSPACE, Words, chunks, column, mix, shingles, text_buffer
 
 _U = np.uint64
-SPARE = 2
+SPARE = 2  # parts more than the differences demand, besides those that sets are expected to leave empty
+BUCKETS = 1024
 SKETCH = 4  # 64-bit words of the parity sketch
 
 
@@ -41,6 +43,7 @@ class Bands:
     def __init__(self, share: Fraction):
         self.share = share
         self.tops = [1]
+        self.made: dict[int, tuple[int, int]] = {}
 
     def band(self, n: int) -> int:
         p, q = self.share.numerator, self.share.denominator
@@ -48,11 +51,22 @@ class Bands:
             self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * q // p))
         return int(np.searchsorted(self.tops, n))
 
-    def parts(self, level: int) -> int:
+    def parts(self, level: int) -> tuple[int, int]:
+        """The number of parts of a level, and how many of them a set may leave empty without giving signatures for them."""
         p, q = self.share.numerator, self.share.denominator
         while len(self.tops) <= level:
             self.band(self.tops[-1] + 1)
-        return 2 * self.tops[level] * (q - p) // (q + p) + 1 + SPARE
+        if level not in self.made:
+            k = 2 * self.tops[level] * (q - p) // (q + p)
+            typical = (self.tops[max(level - 2, 0)] + self.tops[max(level - 1, 0)]) / 2  # of the lower band
+            spare, before = SPARE, 0
+            while spare > before:  # most sets of the lower band leave no more parts empty
+                before = spare
+                m = k + 1 + spare
+                empty = m * math.exp(-typical / m)
+                spare = min(max(spare, SPARE + math.ceil(empty + 2 * math.sqrt(empty))), SPARE + k)
+            self.made[level] = (k + 1 + spare, spare)
+        return self.made[level]
 
 
 @lru_cache(maxsize=4096)
@@ -73,11 +87,11 @@ def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
     np.cumsum(mix(s + _U(0x5851F42D4C957F2D)), out=sums[1:])
     band, out = bands.band(len(s)), []
     for level in (band, band + 1):
-        m = bands.parts(level)
+        m, spare = bands.parts(level)
         cut = np.concatenate([[0], np.searchsorted(s, _edges(m)), [len(s)]])
         sig = mix((sums[cut[1:]] - sums[cut[:-1]]) ^ _salts(level, m))
         full = cut[1:] > cut[:-1]
-        out.append(sig[full] if m - int(full.sum()) <= SPARE else sig)
+        out.append(sig[full] if m - int(full.sum()) <= spare else sig)
     return np.concatenate(out)
 
 
@@ -88,7 +102,10 @@ def sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
         w = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], NONSPACE)
         h, bounds = shingles(w.hashes(), w.first, k)
         for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            yield np.unique(h[a:b])
+            s = np.sort(h[a:b])
+            new = np.ones(b - a, bool)
+            np.not_equal(s[1:], s[:-1], out=new[1:])
+            yield s[new]
 
 
 def linked(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
@@ -136,22 +153,30 @@ def _signature_rows(docs: DataFrame, k: int, share: Fraction) -> DataFrame:
     return arrow_map(docs, run, "sig long, doc long")
 
 
-def _possible(pairs: DataFrame, profiles: DataFrame, share: Fraction) -> DataFrame:
-    """Pairs (a, b) that their sizes and sketches leave open; both are bounds, so no link is lost."""
+_BOUNDS = ["n_shingles", *(f"s{c}" for c in range(SKETCH))]
+
+
+def _side(profiles: DataFrame, x: str) -> DataFrame:
+    """What the bounds need of each document, its columns beginning with x."""
+    return profiles.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in _BOUNDS]).dropDuplicates([x, f"{x}_n_shingles", f"{x}_s0"])
+
+
+def _open(share: Fraction) -> F.Column:
+    """Whether sizes and sketches leave a pair (a, b) open; both are bounds, so no link is lost."""
     p, q = share.numerator, share.denominator
-    cols = ["n_shingles", *(f"s{c}" for c in range(SKETCH))]
-    side = lambda x: profiles.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in cols])
-    near = pairs.join(side("a"), "a").filter("a IS NOT NULL")
-    near = near.join(side("b"), "b")
     n = F.col("a_n_shingles") + F.col("b_n_shingles")
     size = q * F.least("a_n_shingles", "b_n_shingles") >= p * F.greatest("a_n_shingles", "b_n_shingles")
     apart = sum((F.bit_count(F.col(f"a_s{c}").bitwiseXOR(F.col(f"b_s{c}"))) for c in range(1, SKETCH)), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
-    return near.filter(size & (apart * (q + p) <= n * (q - p))).select("a", "b").distinct()
+    return size & (apart * (q + p) <= n * (q - p))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, share: Fraction) -> DataFrame:
-    """The pairs that link, by their whole texts."""
+    """The pairs that link, by their whole texts: only those of documents in a pair are shuffled."""
     p, q = share.numerator, share.denominator
+    spark = texts.sparkSession
+    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = written(spark, texts.join(wanted, "doc_id", "left_semi"), "compared")
+    pairs = written(spark, _near_counts(pairs, texts, k, share), "near")
     rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
     rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
 
@@ -162,7 +187,36 @@ def _verified(pairs: DataFrame, texts: DataFrame, k: int, share: Fraction) -> Da
                 ok = [linked(x, y, p, q) for x, y in zip(sets_of(b.column("text_a"), k), sets_of(b.column("text_b"), k), strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return arrow_map(rows, run, "a long, b long")
+    found = written(spark, arrow_map(rows, run, "a long, b long"), "links")
+    delete(spark, texts, pairs)
+    return found
+
+
+def _near_counts(pairs: DataFrame, texts: DataFrame, k: int, share: Fraction) -> DataFrame:
+    """Pairs left open by counts of shingles in BUCKETS parts of the domain: sets differ by the sum of differences of their
+    counts at least, which is a bound for sets of any size. A kilobyte a document is compared instead of its text."""
+    p, q = share.numerator, share.denominator
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n, counts = [], []
+            for s in sets_of(column(b, "text"), k):
+                n.append(len(s))
+                counts.append(np.minimum(np.bincount((s >> _U(11)).astype(np.int64) & (BUCKETS - 1), minlength=BUCKETS), 255).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([column(b, "doc_id"), pa.array(n, pa.int64()), pa.array(counts, pa.binary())], names=["doc_id", "n", "counts"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                b = whole.slice(at, 2048)
+                va, vb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(-1, BUCKETS).astype(np.int16) for c in ("ca", "cb"))
+                apart = np.abs(va - vb).sum(1, dtype=np.int64)
+                n = b.column("na").to_numpy() + b.column("nb").to_numpy()
+                yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array((q + p) * apart <= (q - p) * n))
+
+    v = arrow_map(texts, count, "doc_id long, n long, counts binary")
+    rows = pairs.join(v.toDF("b", "nb", "cb"), "b").join(v.toDF("a", "na", "ca"), "a").select("a", "b", "na", "nb", "ca", "cb")
+    return arrow_map(rows, near, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5), id_col: str = "doc_id") -> DataFrame:
@@ -184,20 +238,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5
     shared = _signature_rows(texts, k, share).groupBy("sig").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("sig", "least")
     live = written(spark, shared, "live")
     rows = written(spark, _signature_rows(texts, k, share).join(live, "sig").select("sig", "doc", "least"), "rows")
-    star = written(spark, _possible(rows.filter("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct(), profiles, share), "star")
-    links = written(spark, _verified(star, texts, k, share), "links")
-    comp = written(spark, components(spark, links), "components")
+    delete(spark, live)
+    star = rows.filter("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
+    star = written(spark, star.join(_side(usable, "a"), "a").join(_side(usable, "b"), "b").filter(_open(share)).select("a", "b").distinct(), "star")
+    links = _verified(star, texts, k, share)
+    comp = components(spark, links)
 
     # Signatures whose sets are not yet all in one component.
     placed = rows.join(comp, rows["doc"] == comp["node"], "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
     placed = written(spark, placed, "placed")
+    delete(spark, rows, comp)
     split = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
-    unsure = written(spark, placed.join(split, "sig"), "unsure")
-    x, y = unsure.toDF("sig", "a", "ca"), unsure.toDF("sig", "b", "cb")
-    across = x.join(y, "sig").filter("ca <> cb AND a < b").select("a", "b").distinct()
-    across = across.join(star, ["a", "b"], "left_anti")
-    more = written(spark, _verified(written(spark, _possible(across, profiles, share), "across"), texts, k, share), "links")
-    comp = written(spark, components(spark, links.unionByName(more)), "components")
+    # The bounds go along, so that pairs that cannot link are dropped where they are made.
+    unsure = placed.join(split, "sig").withColumnRenamed("doc", "a").join(_side(usable, "a"), "a")
+    unsure = written(spark, unsure, "unsure")
+    x = unsure.select("sig", "a", F.col("comp").alias("ca"), *[f"a_{c}" for c in _BOUNDS])
+    y = unsure.select("sig", F.col("a").alias("b"), F.col("comp").alias("cb"), *[F.col(f"a_{c}").alias(f"b_{c}") for c in _BOUNDS])
+    across = x.join(y, "sig").filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _open(share)).select("a", "b").distinct()
+    across = written(spark, across.join(star, ["a", "b"], "left_anti"), "across")
+    more = _verified(across, texts, k, share)
+    comp = components(spark, links.unionByName(more))
+    delete(spark, texts, star, placed, unsure, across, links, more)
 
     out = profiles.select("doc_id", "n_shingles", "d0", "d1").join(reps, ["d0", "d1", "n_shingles"], "left")
     node = F.coalesce("rep", "doc_id")
