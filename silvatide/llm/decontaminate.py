@@ -15,23 +15,27 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .succinct import FMIndex
-from .tables import arrow_map, filtered, only, table
+from .tables import arrow_map, delete, filtered, only, table, written
 from .textops import ALNUM, Words, chunks, column, hash_words, text_buffer
 
 WINDOW = 13
 #: Bytes of item text searched for at once (and broadcast); a larger benchmark is searched in several blocks.
 BLOCK_BYTES = 16 << 20
-#: A shard's index is built when this many words or documents have gathered.
+#: A shard's index is built when this many words, documents or bytes of carried columns have gathered.
 SHARD_WORDS = 1 << 20
 SHARD_DOCS = 1 << 14
+SHARD_BYTES = 64 << 20
+
+
+ITEMS, SPANS = "_items", "_spans"
 
 
 class Phrases:
@@ -80,7 +84,7 @@ class Shard:
         self.p = phrases
         self.rows: list[pa.RecordBatch] = []
         self.n_words: list[np.ndarray] = []
-        self.docs = self.kept = 0
+        self.docs = self.kept = self.size = 0
         self.seq: list[np.ndarray] = []
         self.place: list[np.ndarray] = []
         self.doc: list[np.ndarray] = []
@@ -112,10 +116,12 @@ class Shard:
                 self.place.append(at - w.first[row])
                 self.kept += len(at)
         self.rows.append(rows)
+        self.size += rows.nbytes
         self.n_words.append(n)
         self.docs += len(n)
 
-    def search(self) -> pa.RecordBatch:
+    def search(self, carried: list[str]) -> pa.RecordBatch:
+        """The carried columns and what is found, joined with what rows that have items and spans bring from earlier blocks."""
         n_words = np.concatenate(self.n_words)
         n_hit = np.zeros(self.docs, np.int64)
         items: list[set[str]] = [set() for _ in range(self.docs)]
@@ -140,13 +146,33 @@ class Shard:
             end = np.flatnonzero(hit & ~np.concatenate([hit[1:], [False]]))
             for a, b in zip(begin.tolist(), end.tolist(), strict=True):
                 spans[doc[a]].append({"start": int(place[a]), "end": int(place[b]) + 1})
-        rows = [pa.concat_arrays([r.column(c) for r in self.rows]) for c in range(self.rows[0].num_columns)]
+        if ITEMS in self.rows[0].schema.names:
+            at = 0
+            for r in self.rows:
+                before, found = column(r, SPANS), column(r, ITEMS)
+                for k in np.flatnonzero(np.asarray(before.value_lengths())).tolist():
+                    spans[at + k] = _merged(before[k].as_py() + spans[at + k])
+                    items[at + k].update(found[k].as_py())
+                    n_hit[at + k] = sum(x["end"] - x["start"] for x in spans[at + k])
+                at += r.num_rows
+        rows = [pa.concat_arrays([column(r, c) for r in self.rows]) for c in carried]
         return pa.RecordBatch.from_arrays(
             [*rows, pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))],
-            names=[*self.rows[0].schema.names, "n_words", "n_hit", "items", "spans"],
+            names=[*carried, "_n_words", "_n_hit", ITEMS, SPANS],
         )
 
 
+def _merged(spans: list[dict]) -> list[dict]:
+    """Spans that overlap or touch, joined; in order of their starts."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda x: x["start"]):
+        if out and out[-1]["end"] >= s["start"]:
+            out[-1] = {"start": out[-1]["start"], "end": max(out[-1]["end"], s["end"])}
+        else:
+            out.append(s)
+    return out
+
+
 def _blocks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[str, str | None]]]:
     """The items in blocks of bounded size, at least one; the driver reads a block at a time."""
     block: list[tuple[str, str | None]] = []
@@ -166,50 +192,51 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     occurrences cover, merged).
 
     Null and empty texts have no words and hit nothing; items without words have no window; items with equal windows are
-    all reported; a null item id counts as an empty string. With an empty benchmark nothing is hit. Repeated rows are each
-    judged when the benchmark is one block; with several blocks, rows that agree in all carried columns become one.
+    all reported; a null item id counts as an empty string. With an empty benchmark nothing is hit. Each row is judged by
+    itself, whatever ids repeat. A benchmark of several blocks is searched in a pass over the rows for each block; the rows,
+    with what was found so far, are written between the passes, so one block is held at a time.
     """
     b = only(benchmark, "item_id", "text")
     carried = [id_col, *keep]
-    result = "n_words long, n_hit long, items array<string>, spans array<struct<start:long,end:long>>"
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carried) + ", " + result
-    parts = []
-    for block in _blocks(b, block_bytes):
+    # Names of our own: what is written must not clash.
+    own = {c: f"_c{k}" for k, c in enumerate(dict.fromkeys([*carried, "text"]))}
+    rows = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in own.items()])
+    passes = 0
+    blocks = _blocks(b, block_bytes)
+    block = next(blocks)
+    while True:
+        after = next(blocks, None)
         phrases = docs.sparkSession.sparkContext.broadcast(Phrases(block, window))
-
-        def run(batches: Iterator[pa.RecordBatch], phrases=phrases) -> Iterator[pa.RecordBatch]:
-            shard = Shard(phrases.value)
-            for x in batches:
-                rows = pa.RecordBatch.from_arrays([column(x, c) for c in carried], names=carried)
-                data, off = text_buffer(column(x, "text"))
-                for i, j in chunks(off):
-                    shard.add(rows.slice(i, j - i), Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM))
-                    if shard.kept >= SHARD_WORDS or shard.docs >= SHARD_DOCS:
-                        yield shard.search()
-                        shard = Shard(phrases.value)
-            if shard.docs:
-                yield shard.search()
-
-        parts.append(arrow_map(only(docs, *dict.fromkeys([*carried, "text"])), run, schema))
-    if len(parts) == 1:
-        return parts[0]
-    return _merged(reduce(DataFrame.unionByName, parts), carried)
-
-
-def _merged(found: DataFrame, carried: list[str]) -> DataFrame:
-    """One row for each document over all blocks: spans that overlap or touch become one."""
-    f = found.groupBy(*carried, "n_words").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("all"))
-    joined = F.aggregate(
-        "all",
-        F.lit(None).cast("array<struct<start:long,end:long>>"),
-        lambda acc, s: F.when(acc.isNull(), F.array(s)).when(
-            F.element_at(acc, -1)["end"] >= s["start"],
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(s))),
-    )
-    f = f.withColumn("spans", F.coalesce(joined, F.array().cast("array<struct<start:long,end:long>>")))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
-    return f.select(*carried, "n_words", n_hit.alias("n_hit"), "items", "spans")
+        found = _pass(rows, phrases, list(own.values()) if after else [own[c] for c in carried], own["text"])
+        if not after:
+            return found.select(*[F.col(own[c]).alias(c) for c in carried], *[F.col(f"_{c}").alias(c) for c in ("n_words", "n_hit", "items", "spans")])
+        found = written(docs.sparkSession, found, "searched")
+        if passes:
+            delete(docs.sparkSession, rows)
+        phrases.destroy()
+        rows, block, passes = found, after, passes + 1
+
+
+def _pass(rows: DataFrame, phrases: Broadcast, carried: list[str], text: str) -> DataFrame:
+    """The rows, with the columns carried, searched for one block."""
+    before = [c for c in (ITEMS, SPANS) if c in rows.columns]
+    names = [*carried, *before]
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in carried) + f", _n_words long, _n_hit long, {ITEMS} array<string>, {SPANS} array<struct<start:long,end:long>>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = Shard(phrases.value)
+        for x in batches:
+            part = pa.RecordBatch.from_arrays([column(x, c) for c in names], names=names)
+            data, off = text_buffer(column(x, text))
+            for i, j in chunks(off):
+                shard.add(part.slice(i, j - i), Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM))
+                if shard.kept >= SHARD_WORDS or shard.docs >= SHARD_DOCS or shard.size >= SHARD_BYTES:
+                    yield shard.search(carried)
+                    shard = Shard(phrases.value)
+        if shard.docs:
+            yield shard.search(carried)
+
+    return arrow_map(only(rows, *dict.fromkeys([*names, text])), run, schema)
 
 
 def contaminated() -> F.Column:

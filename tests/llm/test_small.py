@@ -172,6 +172,22 @@ def test_contamination_against_brute_force(spark):
     assert decontaminate.find_contamination(docs(spark, []), bench).count() == 0
 
 
+def test_contamination_keeps_every_row_over_several_blocks(spark, monkeypatch):
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(13))) for k in range(4)]
+    other = " ".join(f"z{j}" for j in range(13))
+    texts = [items[0][1], items[1][1], other, other, items[0][1] + " " + items[3][1], items[2][1], other]
+    ids = [1, 1, 1, 1, 2, None, None]
+    bench, names = spark.createDataFrame(items, "item_id long, text string"), ("doc_id", "n_words", "n_hit", "items", "spans")
+    df = docs(spark, texts, ids)
+    got = rows(decontaminate.find_contamination(df, bench, block_bytes=20), *names)
+    assert got == rows(decontaminate.find_contamination(df, bench), *names)
+    assert sorted((r[2], r[3]) for r in got) == [(0, [])] * 3 + [(13, ["0"]), (13, ["1"]), (13, ["2"]), (26, ["0", "3"])]
+    whole = decontaminate.find_contamination
+    monkeypatch.setattr(decontaminate, "find_contamination", lambda *a, **b: whole(*a, block_bytes=20, **b))
+    left = decontaminate.drop_contaminated(df, bench)
+    assert left.columns == df.columns and rows(left, "doc_id", "text") == sorted([(1, other), (1, other), (None, other)], key=repr)
+
+
 # 4
 def test_url_rules(spark):
     urls = [None, "", "x", "http://A.example.NET/en/1?q=/de/", "https://example.net", "http://a.net/x#y", "http://e.example.com/de/1", "http://b.org/fr/", "http://www.spam-farm.example.org/en/1", "http://x.com/a/setup.exe", "http://é.net/" + "p" * 9000]
