@@ -5,10 +5,14 @@ induced from the sorted sample of leftmost larger-type suffixes, as in SA-IS.
 What is induced waits in a queue for each first symbol; the queues together are
 a priority queue by (symbol, order of insertion), so whole blocks of tuples are
 extracted and induce their predecessors at once. Queues spill to a scratch file
-of the task when more is held than the memory given, and the text is mapped from
-that file, so a shard may be far larger than memory. The sample is sorted by the
+of the task when more is held than the memory given. The sample is sorted by the
 same induction over its substrings; where their names repeat, the sequence of
-names is a smaller suffix sorting problem of the same kind.
+names is a smaller suffix sorting problem of the same kind: it is induced again,
+unless it can be sorted in the memory given.
+
+Text, types, ranks, names and the result are arrays in memory (74 bytes a
+symbol), so what is sorted at once must fit; only queues spill. Common prefixes are
+not carried through the queues: neighbours are compared in the text afterwards.
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from .succinct import suffix_array
 from .textops import mix
 
 MEMORY = 256 << 20
+#: Memory that prefix doubling takes, in arrays as long as its sequence.
+BASE = 12
 
 
 class Queues:
@@ -158,8 +164,8 @@ def sort_suffixes(t: np.ndarray, limit: int = MEMORY) -> np.ndarray:
     if names[-1] + 1 < len(starts):
         reduced = np.empty(len(starts), np.int64)
         reduced[where[order]] = names
-        # The names have a large alphabet: the base case, sorted in memory. A small one is induced again.
-        order = starts[sort_suffixes(reduced, limit) if names[-1] < 1 << 12 else suffix_array(reduced)]
+        # The base case is what can be sorted in the memory given.
+        order = starts[suffix_array(reduced) if BASE * reduced.nbytes <= limit else sort_suffixes(reduced, limit)]
     return induce(t, up, order, limit)
 
 

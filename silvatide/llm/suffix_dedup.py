@@ -11,7 +11,11 @@ equal strings meet in the shard of their anchor's hash.
 4. Where an anchor has one passage, all its strings have the passage's least id
    as source. The other passages are dealt to shards by anchor and sorted there by
    external induced sorting; neighbouring suffixes with a common prefix of LENGTH
-   or more are one string, whose source is its least id.
+   or more are one string, whose source is its least id. An anchor with more than
+   HOT_PASSAGES passages is first split by the bytes next to it: its strings that
+   reach far to the left all hold the same number of bytes left of the anchor, the
+   others of bytes right of it, so equal strings stay together. Halves that are still
+   too large are split again; after the fifth time a part is one string.
 5. Strings of larger ids mark their bytes; a document's marks merge to spans.
 """
 
@@ -19,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +38,8 @@ _U = np.uint64
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # bytes of a passage on either side of its anchor
 SHARD_BYTES = 2 << 20
+#: Passages of an anchor that are sorted together; an anchor with more is split by the bytes next to it.
+HOT_PASSAGES = 1 << 12
 
 
 class Sums:
@@ -126,6 +133,62 @@ def _passages(kept: DataFrame, texts: DataFrame) -> DataFrame:
     return arrow_map(rows, run, "h long, passage long, lo long, hi long, bytes binary, left long")
 
 
+def _halves(passages: DataFrame) -> DataFrame:
+    """Passages cut in two, each with the key of its part: strings with a to mid - 1 bytes left of the anchor, and with mid to b. A part of one string stays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for x in range(0, whole.num_rows, 1 << 13):
+                t = whole.slice(x, 1 << 13)
+                key, a, b, left = (column(t, c).to_numpy() for c in ("key", "a", "b", "left"))
+                data, off = text_buffer(column(t, "bytes"))
+                size, anchor = np.diff(off), off[:-1] + left
+                sums = Sums(data)
+                mid = (a + b + 1) // 2
+                for far in (True, False):
+                    low, high = (mid, b) if far else (a, mid - 1)
+                    # The passage holds a string of the half.
+                    row = np.flatnonzero((low <= high) & (np.maximum(low, LENGTH - (size - left)) <= np.minimum(high, left)))
+                    if not len(row):
+                        continue
+                    low, high, at = low[row], high[row], anchor[row]
+                    h = sums.hash(at - low, at) if far else sums.hash(at + GRAM, at + LENGTH - high)
+                    made = mix(key[row].view(np.uint64) ^ mix(h + (low * 64 + high).astype(np.uint64))).view(np.int64)
+                    made = np.where(a[row] == b[row], key[row], made)
+                    lo, hi = np.maximum(at - high, off[row]), np.minimum(at + LENGTH - low, off[row + 1])
+                    n = hi - lo
+                    ends = np.cumsum(n)
+                    take = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(lo, n)
+                    raw = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(data[take])])
+                    same = t.take(pa.array(row))
+                    yield pa.RecordBatch.from_arrays(
+                        [*(column(same, c) for c in ("h", "passage", "lo", "hi")), raw, *(pa.array(c.astype(np.int64)) for c in (at - lo, made, low, high))],
+                        names=["h", "passage", "lo", "hi", "bytes", "left", "key", "a", "b"],
+                    )
+
+    return arrow_map(passages, run, "h long, passage long, lo long, hi long, bytes binary, left long, key long, a long, b long")
+
+
+def _split(passages: DataFrame, limit: int) -> DataFrame:
+    """What _sources finds for the passages of large anchors, of which no more than `limit` are sorted together."""
+    spark = passages.sparkSession
+    rows = passages.select("*", F.col("h").alias("key"), F.lit(0).cast("long").alias("a"), F.lit(REACH).cast("long").alias("b"))
+    small, found = [], []
+    for _ in range(REACH.bit_length()):
+        rows = written(spark, _halves(rows), "halves")
+        # Each key here has more than `limit` rows, so there are few.
+        large = written(spark, rows.groupBy("key").agg(F.count("*").alias("n"), F.min("lo").alias("source")).filter(F.col("n") > limit), "large")
+        small.append(rows.join(F.broadcast(large), "key", "left_anti"))
+        rows = rows.join(F.broadcast(large), "key", "left_semi")
+        if large.isEmpty():
+            break
+    else:  # equal keys are equal strings now
+        one = rows.join(F.broadcast(large.select("key", "source")), "key").filter("source < hi")
+        found.append(one.select("h", "passage", "source", (-F.col("a")).alias("begin"), (LENGTH - F.col("a")).alias("end")))
+    small = reduce(DataFrame.unionByName, small).select("h", "passage", "lo", "hi", "bytes", "left", "key")
+    return reduce(DataFrame.unionByName, [_sources(small.repartition("key").sortWithinPartitions("key")), *found])
+
+
 def _sources(passages: DataFrame) -> DataFrame:
     """For each passage the runs of string starts (relative to the anchor) and the least id of a document that holds those strings.
 
@@ -133,7 +196,7 @@ def _sources(passages: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Passages come sorted by anchor: a shard ends where an anchor does, once it is large enough.
+        # Passages come sorted by anchor, or by the key of its part: a shard ends where one does, once it is large enough.
         held, size, limit = [], 0, SHARD_BYTES
         for b in batches:
             held.append(b)
@@ -141,7 +204,7 @@ def _sources(passages: DataFrame) -> DataFrame:
             if size < limit:
                 continue
             t = pa.Table.from_batches(held)
-            h = t.column("h").to_numpy()
+            h = t.column("key" if "key" in t.column_names else "h").to_numpy()
             ends = np.flatnonzero(h[1:] != h[:-1]) + 1
             if not len(ends):
                 limit = 2 * size  # one anchor alone fills the shard
@@ -216,13 +279,17 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     one = places.groupBy("h", "passage").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "version", "pos")).alias("at"), F.max("shape").alias("shape"))
     one = written(spark, one.select("h", "passage", "lo", "hi", "at.doc", "at.version", "at.pos", "shape"), "passages")
     delete(spark, live)
-    several = one.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    several = written(spark, one.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "several")
+    hot = several.filter(F.col("n") > HOT_PASSAGES).select("h")
     left = F.floor(F.col("shape") / 128)
     alone = one.join(several, "h", "left_anti").filter("lo < hi").select("h", "passage", F.col("lo").alias("source"), (-left).alias("begin"), (F.col("shape") % 128 - left).alias("end")).filter(f"end - begin >= {LENGTH}")
     mixed = one.join(several, "h", "left_semi").select("h", "passage", "lo", "hi", "doc", "version", "pos")
-    sorted_ = _sources(_passages(mixed, texts).repartition("h").sortWithinPartitions("h"))
-    found = written(spark, alone.unionByName(sorted_), "strings")
-    delete(spark, one)
+    split = None if hot.isEmpty() else written(spark, _split(_passages(mixed.join(F.broadcast(hot), "h", "left_semi"), texts), HOT_PASSAGES), "split")
+    few = mixed if split is None else mixed.join(F.broadcast(hot), "h", "left_anti")
+    sorted_ = _sources(_passages(few, texts).repartition("h").sortWithinPartitions("h"))
+    found = alone.unionByName(sorted_)
+    found = written(spark, found if split is None else found.unionByName(split), "strings")
+    delete(spark, one, several)
     hits = places.join(found, ["h", "passage"]).filter("source < doc").select("doc", "version", (F.col("pos") + F.col("begin")).alias("begin"), (F.col("pos") + F.col("end")).alias("end"))
     spans = hits.groupBy("doc", "version").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     spans = written(spark, spans, "spans")

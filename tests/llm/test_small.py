@@ -293,6 +293,38 @@ def test_suffix_dedup_against_brute_force(spark, monkeypatch):
     assert rows(got, "doc_id", "n_bytes", "n_removed", "n", "kept_sha256") == sorted(brute_dedup(texts), key=repr)
 
 
+def test_suffix_dedup_splits_large_anchors(spark, monkeypatch):
+    rng = random.Random(66)
+    text = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common = text(40)  # a very common text between others, so that passages at its edges all differ
+    ends = [text(12) for _ in range(6)]
+    texts = [text(rng.randint(0, 40)) + rng.choice(ends) + common + rng.choice(ends) + text(rng.randint(0, 40)) for _ in range(150)] + [common + "x" * 9] * 2 + [text(9) + common[:25]]
+    sizes, sources = [], suffix_dedup._sources
+
+    def spy(passages):
+        sizes.append(passages.groupBy("key" if "key" in passages.columns else "h").count().agg(F.max("count")).first()[0] or 0)
+        return sources(passages)
+
+    monkeypatch.setattr(suffix_dedup, "HOT_PASSAGES", 5, raising=False)
+    monkeypatch.setattr(suffix_dedup, "_sources", spy)
+    got = suffix_dedup.dedup(docs(spark, texts)).select("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n"), "kept_sha256")
+    assert rows(got, "doc_id", "n_bytes", "n_removed", "n", "kept_sha256") == sorted(brute_dedup(texts), key=repr)
+    assert sizes and max(sizes) <= 5
+
+
+def test_induction_goes_on_where_names_are_many(monkeypatch):
+    t = np.append(np.random.default_rng(0).integers(1, 200, 60000), 0)
+    t[20000:40000] = t[:20000]  # so that names repeat
+    want = succinct.suffix_array(t)
+
+    def within(seq):
+        assert seq.nbytes < 1 << 16, "sorted in memory beyond the memory given"
+        return succinct.suffix_array(seq)
+
+    monkeypatch.setattr(induced, "suffix_array", within)
+    assert (induced.sort_suffixes(t, 1 << 16) == want).all()
+
+
 def test_suffix_dedup_edges(spark):
     assert suffix_dedup.dedup(docs(spark, [])).count() == 0
     t = "the quick brown fox jumps over the lazy dog and then some more words follow"
