@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .tables import arrow_map, filtered, only, table
 from .textops import ALNUM, Words, chunks, column, text_buffer
 
-#: At most so many labelled documents of each label are learned from, the first by a hash of their ids, of at most so many characters each.
+#: At most so many labelled ids of each label are learned from, the first by a hash of the ids, with all rows of an id, of at most so many characters each.
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 100_000
 PREFIXES = (3, 4, 5, 6)
@@ -187,7 +187,7 @@ def train(rows: list[tuple[str, int]], rounds: int = 120, l2: float = 1e-3) -> M
     shared = shared[shared != 0]
     windows: list[tuple[np.ndarray, np.ndarray]] = []
     for f, y, t in zip(feats, labels, tags, strict=True):
-        centres = np.flatnonzero(t if y else np.isin(f, shared).any(1))[:8].tolist()
+        centres = np.flatnonzero(t if y else np.isin(f, shared).any(1)).tolist()
         if not y:
             centres = sorted([*centres, *rng.integers(0, len(f), 3).tolist()])
         done = -1
@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     ids = spark.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int")
     sample = only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "toxic")
     got = sorted(sample.collect())
-    return train([(r.text, r.toxic) for r in got][: 4 * rows])
+    return train([(r.text, r.toxic) for r in got])
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:

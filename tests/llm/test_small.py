@@ -446,3 +446,16 @@ def test_toxicity_learns_and_holds_out(spark):
     assert toxicity.score_documents(docs(spark, []), model).count() == 0
     assert toxicity.drop_toxic(df.limit(0), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count() == 0
     assert spark.createDataFrame([(k,) for k in range(50)], "i long").select((toxicity.fold(F.col("i")) == 0).alias("h")).collect() == [(toxicity.held_out(k),) for k in range(50)]
+
+
+def test_toxicity_learns_from_whole_documents():
+    rng = random.Random(11)
+    plain = lambda n: [f"w{rng.randrange(200)}" for _ in range(n)]
+    bad = [f"q{j:02}zz" for j in range(60)]
+    long = [" ".join([*[x for b in rng.sample(bad, 9) for x in [*plain(20), b]], *plain(20), "telling"]) for _ in range(80)]
+    short = [" ".join([*plain(5), b, *plain(5)]) for b in bad for _ in range(5)]
+    model = toxicity.train([(t, 1) for t in long + short] + [(" ".join(plain(30)), 0) for _ in range(300)])
+    # It stands only after nine other tagged words of each document.
+    assert textops.hash_words([b"telling"])[0] in model.keys
+    w = textops.Words(*textops.text_buffer(pa.array([" ".join([*plain(9), "telling", *plain(9)])])))
+    assert model.marginals(w)[1].max() > 0.5
