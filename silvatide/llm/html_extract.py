@@ -22,7 +22,7 @@ from .textops import column
 # Element names and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe textarea svg math object select".split())
-BOILER_TAGS = frozenset("nav header footer aside form menu dialog button head title figure".split())
+BOILER_TAGS = frozenset("nav header footer aside form menu dialog button head title".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())

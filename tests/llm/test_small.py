@@ -128,6 +128,11 @@ def test_main_text(page, text):
     assert html_extract.main_text(page, html_extract.Tree()) == text
 
 
+def test_figures_of_the_article_stay():
+    page = "<article><p>Before it</p><figure><table><tr><td>12 cells</td></tr></table><figcaption>A caption of the figure</figcaption></figure><p>After it</p></article>"
+    assert html_extract.main_text(page, html_extract.Tree()).split("\n") == ["Before it", "12 cells", "A caption of the figure", "After it"]
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", "clash"), (1, "u", None, "x"), (None, None, "<article>" + "<p>w</p>" * 3000 + "</article>", "")], "page_id long, url string, html string, text string")
     got = rows(html_extract.extract_text(df), "page_id", "url", "n_chars")
