@@ -2,25 +2,31 @@
 
 Sets of word shingles are put in bands by size, so that linked sets lie in one
 band or in two neighbouring ones. At the level of a band, two linked sets differ
-in at most k shingles. The domain of hashes is cut into m = k + 1 + spare parts:
-linked sets agree on at least 1 + spare whole parts. A part's content, hashed, is
-a signature; linked sets share one. A set may leave out its empty parts if it has
-at most `spare` of them, for then a part that is not empty is agreed on as well.
-
-Copies (equal sets) are first reduced to the one of least id. Signatures are then
-counted; only those of two sets at least are looked at. Each one's sets are
-compared with its least set (a star, not all pairs); signatures that after
-joining these links still hold sets of different components have their other
-pairs compared across components. Every comparison that size and a parity sketch
-(both exact bounds) do not rule out is made on the whole texts.
+in at most k shingles. The domain of hashes is cut into partitions, few enough
+that one of them holds at most d differences, and each partition into parts, so
+that there all parts but d agree: every subset of that many parts is enumerated,
+and its content, hashed, is a signature. Linked sets share one.
+
+Copies (equal sets) are first reduced to the one of least id. Signatures of one
+set only are dropped. Each other one's sets are compared with its least set (a
+star, not all pairs). Signatures that after joining these links still hold sets
+of different components have their pairs across components compared, each once
+for all signatures with the same least set. If a signature is shared by so many
+sets that this would be too much, its sets are signed again by a scheme whose
+signatures stand for more shingles, and so hold fewer sets that do not link.
+Every comparison that exact bounds (size, a parity sketch, counts in parts of the
+domain) do not rule out is made on the whole texts.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 from fractions import Fraction
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,41 +38,101 @@ from .tables import arrow_map, delete, only, table, written
 from .textops import NONSPACE, Words, chunks, column, mix, shingles, text_buffer
 
 _U = np.uint64
-SPARE = 2  # parts more than the differences demand, besides those that sets are expected to leave empty
 BUCKETS = 1024
 SKETCH = 4  # 64-bit words of the parity sketch
+#: Shingles that a signature of a typical set stands for, round by round.
+CONTENT = (4.5, 9.0, 16.0)
+#: A shared signature of more sets than this, where its star does not join them all, is taken apart by the next round's signatures.
+LARGE = 32
+#: Cuts of the domain that a set may try, one after another, until few of its partitions are thin.
+CUTS = 4
+#: The signatures are made and matched in so many slices, one after another, which bounds the disk they take.
+SLICES = 2
+#: Signatures of a set at a level, at most, as a multiple of its size, if there is a choice.
+MOST = 0.6
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """outer partitions of the domain, each of `inner` parts; every subset of `size` parts of a partition is a signature.
+
+    A subset is thin if it holds fewer than `least` shingles, a partition is thin if one of its subsets is; a set may have
+    `spare` thin partitions and still need no thin signatures.
+    """
+
+    outer: int
+    inner: int
+    size: int
+    least: int
+    spare: int
+
+    @property
+    def count(self) -> int:
+        return self.outer * math.comb(self.inner, self.size)
+
+
+def _tail(mean: float, top: int) -> float:
+    """The share of a Poisson distribution above `top`."""
+    term = total = math.exp(-mean)
+    for j in range(1, top + 1):
+        term *= mean / j
+        total += term
+    return max(0.0, 1.0 - total)
+
+
+def choose_scheme(k: int, typical: float, content: float) -> Scheme:
+    """For sets that differ in at most k shingles. Of `outer` partitions at most k // (d + 1) hold more than d differences, so
+    1 + spare hold at most d each: linked sets agree there on at least inner - d parts, so on a whole subset of that size.
+
+    Of the schemes whose signatures stand for `content` shingles of a typical set the one of fewest signatures, those of
+    further cuts included; if none does, the one that comes nearest with no more than MOST signatures a shingle.
+    """
+    best = None
+    for d in range(1, 8):
+        for inner in range(d + 2, d + 6):
+            size, ways = inner - d, math.comb(inner, d)
+            for spare in range(k // (d + 1) // 3 + 2):
+                outer = k // (d + 1) + 1 + spare
+                mean = typical * size / (outer * inner)
+                for least in (1, 2, 3):
+                    thin = outer * min(1.0, ways * (1.0 - _tail(mean, least - 1)))
+                    again = _tail(thin, spare)
+                    # A larger least content is taken where it costs next to nothing.
+                    if again > (0.5 if least == 1 else 0.02):
+                        break
+                    count = outer * ways * (1.0 + again)
+                    if count > max(32.0, MOST * typical):
+                        continue
+                    rank = (mean < content, count * 1.02 ** -least if mean >= content else -mean, count)
+                    if best is None or rank < best[0]:
+                        best = (rank, Scheme(outer, inner, size, least, spare))
+    return best[1] if best else Scheme(k // 2 + 1, 3, 2, 1, 0)
 
 
 class Bands:
-    """Size bands, and for each level the number of parts."""
+    """Size bands, and the scheme of each level in each round."""
 
     def __init__(self, share: Fraction):
         self.share = share
         self.tops = [1]
-        self.made: dict[int, tuple[int, int]] = {}
+        self.made: dict[tuple[int, int], Scheme | None] = {}
 
     def band(self, n: int) -> int:
         p, q = self.share.numerator, self.share.denominator
         while self.tops[-1] < n:
             self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * q // p))
-        return int(np.searchsorted(self.tops, n))
+        return bisect.bisect_left(self.tops, n)
 
-    def parts(self, level: int) -> tuple[int, int]:
-        """The number of parts of a level, and how many of them a set may leave empty without giving signatures for them."""
+    def scheme(self, level: int, turn: int) -> Scheme | None:
+        """None where linked sets are equal; then a set's one signature is the whole of it."""
         p, q = self.share.numerator, self.share.denominator
         while len(self.tops) <= level:
             self.band(self.tops[-1] + 1)
-        if level not in self.made:
+        if (level, turn) not in self.made:
             k = 2 * self.tops[level] * (q - p) // (q + p)
             typical = (self.tops[max(level - 2, 0)] + self.tops[max(level - 1, 0)]) / 2  # of the lower band
-            spare, before = SPARE, 0
-            while spare > before:  # most sets of the lower band leave no more parts empty
-                before = spare
-                m = k + 1 + spare
-                empty = m * math.exp(-typical / m)
-                spare = min(max(spare, SPARE + math.ceil(empty + 2 * math.sqrt(empty))), SPARE + k)
-            self.made[level] = (k + 1 + spare, spare)
-        return self.made[level]
+            self.made[level, turn] = choose_scheme(k, typical, CONTENT[turn]) if k else None
+        return self.made[level, turn]
 
 
 @lru_cache(maxsize=4096)
@@ -75,24 +141,51 @@ def _edges(m: int) -> np.ndarray:
 
 
 @lru_cache(maxsize=4096)
-def _salts(level: int, m: int) -> np.ndarray:
-    return mix(np.arange(m, dtype=np.uint64) + (_U(level + 1) << _U(32)))
+def _subsets(inner: int, size: int) -> np.ndarray:
+    """Which parts each subset takes."""
+    out = np.zeros((math.comb(inner, size), inner), np.uint64)
+    for row, parts in enumerate(combinations(range(inner), size)):
+        out[row, parts] = 1
+    return out
+
+
+@lru_cache(maxsize=4096)
+def _salts(level: int, turn: int, cut: int, s: Scheme) -> np.ndarray:
+    """A number for each signature of a level, round and cut."""
+    n = np.arange(s.count, dtype=np.uint64).reshape(s.outer, -1)
+    return mix(n + (_U(level + 1) << _U(32)) + (_U(turn * CUTS + cut) << _U(48)))
+
 
+def signatures(s: np.ndarray, bands: Bands, turn: int = 0) -> np.ndarray:
+    """The signatures of a sorted set of hashes, at the level of its band and at the next.
 
-def signatures(s: np.ndarray, bands: Bands) -> np.ndarray:
-    """The signatures of a sorted set of hashes, at the level of its band and at the next."""
-    if not len(s):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(s) + 1, np.uint64)
-    np.cumsum(mix(s + _U(0x5851F42D4C957F2D)), out=sums[1:])
+    A set with more than `spare` thin partitions tries another cut of the domain as well, on and on; in its last one it
+    gives its thin signatures too. Of two linked sets let a be the one that stops first, at some cut. There they agree on
+    a subset of a partition that is not thin for a, and both give its signature.
+    """
     band, out = bands.band(len(s)), []
     for level in (band, band + 1):
-        m, spare = bands.parts(level)
-        cut = np.concatenate([[0], np.searchsorted(s, _edges(m)), [len(s)]])
-        sig = mix((sums[cut[1:]] - sums[cut[:-1]]) ^ _salts(level, m))
-        full = cut[1:] > cut[:-1]
-        out.append(sig[full] if m - int(full.sum()) <= spare else sig)
-    return np.concatenate(out)
+        if not len(s):
+            continue
+        x = bands.scheme(level, turn)
+        if x is None:
+            out.append(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + _U(level)))
+            continue
+        pick = _subsets(x.inner, x.size).T
+        for cut in range(CUTS):
+            v = s if cut == 0 else np.sort(mix(s ^ _U(cut * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+            at = np.concatenate([[0], np.searchsorted(v, _edges(x.outer * x.inner)), [len(v)]])
+            sums = np.zeros(len(v) + 1, np.uint64)
+            np.cumsum(mix(v + _U(0x5851F42D4C957F2D)), out=sums[1:])
+            sums = sums[at]
+            held = np.diff(at).astype(np.uint64).reshape(x.outer, x.inner) @ pick
+            sig = mix((sums[1:] - sums[:-1]).reshape(x.outer, x.inner) @ pick ^ _salts(level, turn, cut, x))
+            thick = held >= x.least
+            done = x.outer - int(thick.all(1).sum()) <= x.spare
+            out.append(sig[thick] if done or cut < CUTS - 1 else sig.ravel())
+            if done:
+                break
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
 def sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -134,23 +227,27 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
     return arrow_map(docs, run, "doc_id long, n_shingles long, d0 long, d1 long, " + ", ".join(f"s{c} long" for c in range(SKETCH)))
 
 
-def _signature_rows(docs: DataFrame, k: int, share: Fraction) -> DataFrame:
+def _signature_rows(docs: DataFrame, k: int, share: Fraction, turn: int, slice_: int) -> DataFrame:
+    """sig, doc, and n, least: the number of sets that share the signature (two at least) and the smallest id of them. One of SLICES of all signatures."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(share)
         for b in batches:
             ids = column(b, "doc_id").to_numpy(zero_copy_only=False)
-            held, size, at = [], 0, 0
-            own: list[int] = []
-            for k_, s in enumerate(sets_of(column(b, "text"), k)):
-                sig = signatures(s, bands)
+            held, own, size, at = [], [], 0, 0
+            for j, s in enumerate(sets_of(column(b, "text"), k)):
+                sig = signatures(s, bands, turn)
+                sig = sig[sig % _U(SLICES) == _U(slice_)]
                 held.append(sig)
                 own.append(len(sig))
                 size += len(sig)
-                if size >= 1 << 18 or k_ == len(ids) - 1:
+                if size >= 1 << 18 or j == len(ids) - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(held).view(np.int64)), pa.array(np.repeat(ids[at : at + len(own)], own).astype(np.int64))], names=["sig", "doc"])
-                    at, held, size, own = at + len(own), [], 0, []
+                    held, own, size, at = [], [], 0, at + len(own)
 
-    return arrow_map(docs, run, "sig long, doc long")
+    same = Window.partitionBy("sig")
+    rows = arrow_map(docs, run, "sig long, doc long")
+    return rows.select("sig", "doc", F.count("*").over(same).alias("n"), F.min("doc").over(same).alias("least")).filter("n > 1")
 
 
 _BOUNDS = ["n_shingles", *(f"s{c}" for c in range(SKETCH))]
@@ -170,6 +267,59 @@ def _open(share: Fraction) -> F.Column:
     return size & (apart * (q + p) <= n * (q - p))
 
 
+#: Pairs made at once, and rows gathered before they are made.
+PAIRS_AT_ONCE, ROWS_AT_ONCE = 1 << 21, 1 << 16
+
+
+def _pairs(rows: DataFrame, share: Fraction) -> DataFrame:
+    """Pairs a < b of a signature's sets that lie in different components and that the bounds leave open.
+
+    rows: least, sig, doc, comp and the bounds of doc. Signatures of the same least set meet in one task, so that a pair that
+    many of them hold is made once; a set has few signatures, so no task gets many rows of one.
+    """
+    p, q = share.numerator, share.denominator
+
+    def make(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        least, sig, doc, comp, n, *sketch = (t.column(c).to_numpy() for c in ("least", "sig", "doc", "comp", *_BOUNDS))
+        edge = np.flatnonzero((sig[1:] != sig[:-1]) | (least[1:] != least[:-1])) + 1
+        stop = np.repeat(np.append(edge, len(sig)), np.diff(np.concatenate([[0], edge, [len(sig)]])))
+        more = stop - np.arange(len(sig)) - 1  # sets of the same signature that follow
+        ends = np.cumsum(more)
+        at = 0
+        while at < len(sig):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            m = more[at:to]
+            x = np.repeat(np.arange(at, to), m)
+            y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
+            keep = (comp[x] != comp[y]) & (q * np.minimum(n[x], n[y]) >= p * np.maximum(n[x], n[y]))
+            x, y = x[keep], y[keep]
+            apart = sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in sketch) if len(x) else np.zeros(0, np.int64)
+            keep = apart * (q + p) <= (n[x] + n[y]) * (q - p)
+            both = np.unique(np.stack([doc[x[keep]], doc[y[keep]]], 1), axis=0) if keep.any() else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)], names=["a", "b"])
+            at = to
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= ROWS_AT_ONCE:
+                t = pa.Table.from_batches(held)
+                # Up to where the last signature begins: it may go on.
+                sig = t.column("sig").to_numpy()
+                cut = np.flatnonzero(sig[1:] != sig[:-1])
+                if len(cut):
+                    yield from make(t.slice(0, int(cut[-1]) + 1))
+                    rest = t.slice(int(cut[-1]) + 1)
+                    held, size = rest.to_batches(), rest.num_rows
+        if size:
+            yield from make(pa.Table.from_batches(held))
+
+    dealt = rows.select("least", "sig", "doc", "comp", *_BOUNDS).repartition("least").sortWithinPartitions("least", "sig", "doc")
+    return arrow_map(dealt, run, "a long, b long").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, share: Fraction) -> DataFrame:
     """The pairs that link, by their whole texts: only those of documents in a pair are shuffled."""
     p, q = share.numerator, share.denominator
@@ -235,30 +385,37 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5
     reps = written(spark, copies, "copies")
     texts = written(spark, d.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), "texts")
 
-    shared = _signature_rows(texts, k, share).groupBy("sig").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most").select("sig", "least")
-    live = written(spark, shared, "live")
-    rows = written(spark, _signature_rows(texts, k, share).join(live, "sig").select("sig", "doc", "least"), "rows")
-    delete(spark, live)
-    star = rows.filter("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
-    star = written(spark, star.join(_side(usable, "a"), "a").join(_side(usable, "b"), "b").filter(_open(share)).select("a", "b").distinct(), "star")
-    links = _verified(star, texts, k, share)
-    comp = components(spark, links)
-
-    # Signatures whose sets are not yet all in one component.
-    placed = rows.join(comp, rows["doc"] == comp["node"], "left").select("sig", "doc", F.coalesce("component", "doc").alias("comp"))
-    placed = written(spark, placed, "placed")
-    delete(spark, rows, comp)
-    split = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
-    # The bounds go along, so that pairs that cannot link are dropped where they are made.
-    unsure = placed.join(split, "sig").withColumnRenamed("doc", "a").join(_side(usable, "a"), "a")
-    unsure = written(spark, unsure, "unsure")
-    x = unsure.select("sig", "a", F.col("comp").alias("ca"), *[f"a_{c}" for c in _BOUNDS])
-    y = unsure.select("sig", F.col("a").alias("b"), F.col("comp").alias("cb"), *[F.col(f"a_{c}").alias(f"b_{c}") for c in _BOUNDS])
-    across = x.join(y, "sig").filter((F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b")) & _open(share)).select("a", "b").distinct()
-    across = written(spark, across.join(star, ["a", "b"], "left_anti"), "across")
-    more = _verified(across, texts, k, share)
-    comp = components(spark, links.unionByName(more))
-    delete(spark, texts, star, placed, unsure, across, links, more)
+    live, made = texts, []
+    for turn in range(len(CONTENT)):
+        parts = [written(spark, _signature_rows(live, k, share, turn, x), "rows") for x in range(SLICES)]
+        rows = reduce(DataFrame.unionByName, parts)
+        if turn == 0:
+            star = rows.filter("doc <> least").select(F.col("least").alias("a"), F.col("doc").alias("b")).distinct()
+            star = written(spark, star.join(_side(usable, "a"), "a").join(_side(usable, "b"), "b").filter(_open(share)).select("a", "b").distinct(), "star")
+            links = _verified(star, texts, k, share)
+            made += [star, links]
+            comp = components(spark, links)
+        # Signatures whose sets are not yet all in one component.
+        placed = rows.join(comp, rows["doc"] == comp["node"], "left").select("sig", "doc", "n", "least", F.coalesce("component", "doc").alias("comp"))
+        placed = written(spark, placed, "placed")
+        last = turn == len(CONTENT) - 1
+        few = F.lit(True) if last else F.col("n") <= LARGE
+        apart = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
+        apart = written(spark, placed.join(apart, "sig", "left_semi"), "apart")
+        bounds = _side(usable, "a").withColumnRenamed("a", "doc")
+        found = _pairs(apart.filter(few).join(bounds, "doc").withColumnsRenamed({f"a_{c}": c for c in _BOUNDS}), share)
+        pairs = written(spark, found, "pairs")
+        more = _verified(pairs, live, k, share)
+        links = links.unionByName(more)
+        before, olds = live, [comp]
+        comp = components(spark, links)
+        live = None if last else written(spark, live.join(apart.filter(~few).select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi"), "texts")
+        delete(spark, *parts, placed, apart, pairs)
+        made += [before, more, *olds]
+        if last or live.isEmpty():
+            made += [] if last else [live]
+            break
+    delete(spark, *made)
 
     out = profiles.select("doc_id", "n_shingles", "d0", "d1").join(reps, ["d0", "d1", "n_shingles"], "left")
     node = F.coalesce("rep", "doc_id")
@@ -267,11 +424,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5
 
 
 def keep_one(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5), id_col: str = "doc_id") -> DataFrame:
-    """One document of each component: that of least id, and of rows that repeat an id the one of least text. Rows without an id stay."""
-    found = near_duplicates(docs, k, share, id_col).filter("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    first = Window.partitionBy(id_col).orderBy("text", *[c for c in docs.columns if c not in (id_col, "text")])
-    kept = docs.join(found, id_col, "left_semi").withColumn("_row", F.row_number().over(first)).filter("_row = 1").drop("_row")
-    return kept.select(docs.columns).unionByName(docs.filter(F.col(id_col).isNull()))
+    """One document of each component, with all its columns: that of least id, and of rows that repeat an id the one of least
+    text (null first). Rows without an id stay, and so do null and empty texts, which link with nothing. An empty table
+    gives no rows."""
+    own = {c: c if c in (id_col, "text") else f"_own{n}" for n, c in enumerate(docs.columns)}
+    safe = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()])
+    key = F.col(f"`{id_col}`")
+    found = near_duplicates(safe, k, share, id_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_node")).distinct()
+    first = Window.partitionBy(key).orderBy("text", F.xxhash64(F.to_json(F.struct(*[f"`{x}`" for x in own.values()]))))
+    kept = safe.join(found, key.cast("long") == F.col("_node"), "left_semi").withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
+    return kept.unionByName(safe.filter(key.isNull())).select(*[F.col(f"`{x}`").alias(c) for c, x in own.items()])
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

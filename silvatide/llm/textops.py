@@ -6,12 +6,15 @@ chunk of documents at a time, so that no Python string is made per word.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
+#: Bytes from which a span is hashed by the library, one by one.
+LONG = 64
 
 _U = np.uint64
 _RNG = np.random.default_rng(0x5EED)
@@ -86,6 +89,43 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash for each span of bytes. Spans of at most 7 bytes never share one; up to LONG bytes their eight-byte
+    blocks are scrambled one after another, all spans together; longer ones get a BLAKE2b digest."""
+    size = end - start
+    if not len(size):
+        return np.zeros(0, np.uint64)
+    blocks = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(8, np.uint8)]), 8)
+    short = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+    def block(at: np.ndarray, left: np.ndarray) -> np.ndarray:
+        return np.ascontiguousarray(blocks[at]).view(np.uint64).ravel() & short[np.minimum(left, 8)]
+
+    h = mix(block(start, size) ^ (np.minimum(size, 8).astype(np.uint64) << _U(56)))
+    live, k = np.flatnonzero(size >= 8), 8
+    while len(live) and k <= LONG:
+        left = size[live] - k
+        h[live] = mix(h[live] * _U(_BASE) + mix(block(start[live] + np.minimum(k, size[live]), np.maximum(left, 0)) + np.minimum(size[live], 1 << 40).astype(np.uint64)))
+        live, k = live[left > 8], k + 8
+    for x in np.flatnonzero(size > LONG).tolist():
+        h[x] = int.from_bytes(hashlib.blake2b(data[start[x] : end[x]].tobytes(), digest_size=8).digest(), "little")
+    return h
+
+
+def same_spans(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether span i of a and span i of b hold the same bytes."""
+    size = a_end - a_start
+    out = size == b_end - b_start
+    pick = np.flatnonzero(out & (size > 0))
+    n = size[pick]
+    if len(n):
+        ends = np.cumsum(n)
+        step = np.arange(ends[-1]) - np.repeat(ends - n, n)
+        equal = a[step + np.repeat(a_start[pick], n)] == b[step + np.repeat(b_start[pick], n)]
+        out[pick] = np.logical_and.reduceat(equal, ends - n)
+    return out
+
+
 class Words:
     """The words of the rows of a chunk, as byte spans and 64-bit hashes.
 
@@ -107,26 +147,20 @@ class Words:
         self.start = np.flatnonzero(w & ~prev)
         self.end = np.flatnonzero(w & ~after) + 1
         self.first = np.searchsorted(self.start, off)
-        self._sums: np.ndarray | None = None
 
     def __len__(self) -> int:
         return len(self.start)
 
-    @property
-    def sums(self) -> np.ndarray:
-        if self._sums is None:
-            up = powers(len(self.code))[0]
-            s = np.zeros(len(self.code) + 1, np.uint64)
-            np.cumsum(_BYTE_CODE[self.code] * up[: len(self.code)], out=s[1:])
-            self._sums = s
-        return self._sums
-
     def hashes(self, prefix: int = 0) -> np.ndarray:
         """A hash for each word, or for its first `prefix` bytes."""
-        s = self.sums
-        down = powers(len(self.code))[1]
-        end = np.minimum(self.end, self.start + prefix) if prefix else self.end
-        return mix((s[end] - s[self.start]) * down[self.start])
+        return hash_spans(self.code, self.start, np.minimum(self.end, self.start + prefix) if prefix else self.end)
+
+    def spelled(self, at: np.ndarray, words: list[bytes], which: np.ndarray) -> np.ndarray:
+        """Whether word at[i] is words[which[i]], byte by byte."""
+        size = np.array([len(w) for w in words], np.int64)
+        pool = np.frombuffer(b"".join(words), np.uint8)
+        begin = np.cumsum(size) - size
+        return same_spans(self.code, self.start[at], self.end[at], pool, begin[which], begin[which] + size[which])
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -134,15 +168,9 @@ class Words:
 
 def hash_words(words: list[bytes]) -> np.ndarray:
     """The hashes that Words gives to these (already lower-cased) words."""
-    out = np.zeros(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = 0
-        p = 1
-        for c in w:
-            h = (h + int(_BYTE_CODE[c]) * p) & 0xFFFFFFFFFFFFFFFF
-            p = (p * _BASE) & 0xFFFFFFFFFFFFFFFF
-        out[i] = h
-    return mix(out)
+    end = np.cumsum([len(w) for w in words], dtype=np.int64)
+    begin = np.concatenate([[0], end[:-1]]).astype(np.int64)
+    return hash_spans(np.frombuffer(b"".join(words), np.uint8), begin, end)
 
 
 def shingles(h: np.ndarray, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:

@@ -270,6 +270,72 @@ def test_linked_sets_share_a_signature():
             assert np.intersect1d(partenum.signatures(a, bands), partenum.signatures(b, bands)).size
 
 
+@pytest.mark.parametrize("share", [Fraction(85, 100), Fraction(4, 5), Fraction(1, 2)])
+@pytest.mark.parametrize("turn", range(len(partenum.CONTENT)))
+def test_linked_sets_share_a_signature_in_every_round(share, turn):
+    """Differences are put where they hurt most: next to each other, so that few partitions hold them, and spread out."""
+    rng = np.random.default_rng(turn)
+    bands = partenum.Bands(share)
+    for n in [*range(2, 40), 60, 100, 200, 400, 900]:
+        a = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64))
+        most = (share.denominator - share.numerator) * 2 * len(a) // (share.denominator + share.numerator)
+        for take in {0, 1, most // 2, most}:
+            for where in ("spread", "together"):
+                gone = rng.permutation(len(a))[:take] if where == "spread" else np.arange(min(take, len(a)))
+                b = np.unique(np.concatenate([np.delete(a, gone), rng.integers(0, 1 << 64, int(rng.integers(0, most + 1)), dtype=np.uint64)]))
+                if len(b) and partenum.linked(a, b, share.numerator, share.denominator):
+                    assert np.intersect1d(partenum.signatures(a, bands, turn), partenum.signatures(b, bands, turn)).size
+
+
+def test_schemes_enumerate_subsets():
+    bands = partenum.Bands(Fraction(4, 5))
+    for n in (10, 30, 100, 400, 3000):
+        s = bands.scheme(bands.band(n), 0)
+        assert 0 < s.size < s.inner and s.count == s.outer * len(partenum._subsets(s.inner, s.size)) > s.outer
+
+
+def test_near_copies_in_large_groups(spark, monkeypatch):
+    """Groups that link, groups just below the threshold, and a passage that all share; signatures of many sets go to further rounds."""
+    monkeypatch.setattr(partenum, "LARGE", 3)
+    monkeypatch.setattr(partenum, "ROWS_AT_ONCE", 64)
+    monkeypatch.setattr(partenum, "PAIRS_AT_ONCE", 128)
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(4000)]
+    passage = [rng.choice(vocabulary) for _ in range(60)]
+    texts = []
+    for change in (1, 4, 9, 14):
+        base = [rng.choice(vocabulary) for _ in range(160)]
+        for _ in range(14):
+            t = list(base)
+            for at in rng.sample(range(160), change):
+                t[at] = rng.choice(vocabulary)
+            texts.append(" ".join(t))
+    texts += [" ".join([*passage, *(rng.choice(vocabulary) for _ in range(n))]) for n in (5, 10, 20, 40, 60, 90, 120) for _ in range(4)]
+    got = rows(partenum.near_duplicates(docs(spark, texts), 4, Fraction(85, 100)), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(brute_components(texts, 4, Fraction(85, 100)), key=repr)
+
+
+def test_keep_one_keeps_clashing_columns(spark):
+    df = spark.sql("SELECT 1L AS doc_id, 'a b c d e f' AS text, 1 AS _row, map('x', 1) AS n_shingles, 2 AS component_id UNION ALL SELECT 0L, 'A b c d e f', 2, map('y', 2), 3")
+    kept = partenum.keep_one(df).collect()
+    assert [(r.doc_id, r._row, r.component_id) for r in kept] == [(0, 2, 3)] and partenum.keep_one(df).columns == df.columns
+
+
+def thue_morse(letters, n=1024):
+    out = letters[0]
+    while len(out) < n:
+        out += out.translate(str.maketrans(letters, letters[::-1]))
+    return out
+
+
+def test_words_that_a_plain_polynomial_confuses(spark):
+    """Complementary Thue-Morse words agree in every polynomial modulo a power of two."""
+    a, b = thue_morse("ab"), thue_morse("ba")
+    assert len(set(textops.hash_words([x[:n].encode() for x in (a, b) for n in (64, 65, 512, 1024)]).tolist())) == 8
+    found = {r.doc_id: r.component_id for r in partenum.near_duplicates(docs(spark, [a, b, a])).collect()}
+    assert found == {0: 0, 1: 1, 2: 0}
+
+
 # 6
 def brute_dedup(texts, n=50):
     first, out = {}, []
