@@ -269,13 +269,15 @@ def _open(share: Fraction) -> F.Column:
 
 #: Pairs made at once, and rows gathered before they are made.
 PAIRS_AT_ONCE, ROWS_AT_ONCE = 1 << 21, 1 << 16
+#: Tasks that the signatures of one least set are dealt to.
+SPREAD = 16
 
 
 def _pairs(rows: DataFrame, share: Fraction) -> DataFrame:
     """Pairs a < b of a signature's sets that lie in different components and that the bounds leave open.
 
-    rows: least, sig, doc, comp and the bounds of doc. Signatures of the same least set meet in one task, so that a pair that
-    many of them hold is made once; a set has few signatures, so no task gets many rows of one.
+    rows: least, sig, doc, comp and the bounds of doc. Signatures of the same least set meet in SPREAD tasks, so that a pair
+    that many of them hold is made a few times only.
     """
     p, q = share.numerator, share.denominator
 
@@ -316,7 +318,7 @@ def _pairs(rows: DataFrame, share: Fraction) -> DataFrame:
         if size:
             yield from make(pa.Table.from_batches(held))
 
-    dealt = rows.select("least", "sig", "doc", "comp", *_BOUNDS).repartition("least").sortWithinPartitions("least", "sig", "doc")
+    dealt = rows.select("least", "sig", "doc", "comp", *_BOUNDS).repartition("least", F.pmod("sig", F.lit(SPREAD))).sortWithinPartitions("least", "sig", "doc")
     return arrow_map(dealt, run, "a long, b long").distinct()
 
 
