@@ -9,14 +9,28 @@ import numpy as np
 _U = np.uint64
 
 
-class BitVector:
-    """Packed bits with a count before every 64-bit word: rank in two look-ups."""
+#: Words of a superblock, and ones (or zeros) between samples of their positions.
+SUPER, SAMPLE = 8, 4096
+
 
-    def __init__(self, words: np.ndarray, n: int):
-        self.words, self.n = words, n
-        self.before = np.zeros(len(words) + 1, np.int64)
-        np.cumsum(np.bitwise_count(words), out=self.before[1:])
-        self.ones = int(self.before[-1])
+class BitVector:
+    """Packed bits with rank and select.
+
+    Built in memory, a count before every 64-bit word answers a rank in two look-ups. Read from a file, the counts are
+    those before every superblock of SUPER words, and the words between are counted when asked; samples of the positions
+    of ones and of zeros narrow a select.
+    """
+
+    def __init__(self, words: np.ndarray, n: int, supers: np.ndarray | None = None, samples: tuple[np.ndarray, np.ndarray] | None = None):
+        self.words, self.n, self.samples = words, n, samples
+        self.supers, self.before = supers, None
+        if supers is None:
+            self.before = np.zeros(len(words) + 1, np.int64)
+            np.cumsum(np.bitwise_count(words), out=self.before[1:])
+            self.ones = int(self.before[-1])
+        else:
+            last = len(words) - 1
+            self.ones = int(supers[last // SUPER]) + int(np.bitwise_count(words[last // SUPER * SUPER :]).sum())
 
     @staticmethod
     def of(bits: np.ndarray) -> BitVector:
@@ -29,8 +43,15 @@ class BitVector:
     def rank1(self, i: np.ndarray) -> np.ndarray:
         """Ones before position i, for 0 <= i <= n."""
         w = i >> 6
-        part = self.words[w] & ((_U(1) << (i & 63).astype(np.uint64)) - _U(1))
-        return self.before[w] + np.bitwise_count(part)
+        part = np.bitwise_count(self.words[w] & ((_U(1) << (i & 63).astype(np.uint64)) - _U(1)))
+        if self.before is not None:
+            return self.before[w] + part
+        out = self.supers[w // SUPER].astype(np.int64) + part
+        first = w // SUPER * SUPER
+        for k in range(SUPER - 1):
+            inside = first + k < w
+            out += np.where(inside, np.bitwise_count(self.words[np.minimum(first + k, w)]), 0)
+        return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
         return ((self.words[i >> 6] >> (i & 63).astype(np.uint64)) & _U(1)).astype(bool)
@@ -39,8 +60,13 @@ class BitVector:
         return np.unpackbits(self.words.view(np.uint8), count=self.n, bitorder="little").view(bool)
 
     def select(self, k: np.ndarray, one: bool) -> np.ndarray:
-        """Position of the k-th (from 0) one or zero, by bisection over ranks."""
+        """Position of the k-th (from 0) one or zero, by bisection over ranks between two samples."""
         lo, hi = np.zeros(len(k), np.int64), np.full(len(k), self.n, np.int64)
+        if self.samples is not None:
+            at = self.samples[int(one)].astype(np.int64)
+            slot = k // SAMPLE
+            lo = at[slot]
+            hi = np.where(slot + 1 < len(at), at[np.minimum(slot + 1, len(at) - 1)], self.n)
         while (lo < hi).any():
             mid = (lo + hi) >> 1
             r = self.rank1(mid + 1)
@@ -50,12 +76,17 @@ class BitVector:
             lo = np.where(go, lo, mid + 1)
         return lo
 
+    def directory(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Counts before superblocks, and sampled positions of zeros and of ones, as 32-bit integers."""
+        bits = self.bits()
+        return self.before[:-1][::SUPER].astype("<u4"), np.flatnonzero(~bits)[::SAMPLE].astype("<u4"), np.flatnonzero(bits)[::SAMPLE].astype("<u4")
+
 
 class WaveletMatrix:
     """A sequence of integers below 2 ** depth as bit planes, most significant first; each plane is in the order that
     stably sorting by the planes above gives, zeros first."""
 
-    MAGIC = b"WVM1"
+    MAGIC = b"WVM2"
 
     def __init__(self, planes: list[BitVector], n: int):
         self.planes, self.n, self.depth = planes, n, len(planes)
@@ -116,17 +147,30 @@ class WaveletMatrix:
         return v
 
     def dump(self) -> bytes:
-        """MAGIC, depth and length as little-endian 64-bit integers, then the words of each plane."""
-        return b"".join([self.MAGIC, struct.pack("<QQ", self.depth, self.n), *[p.words.tobytes() for p in self.planes]])
+        """MAGIC, then little-endian 64-bit integers: depth, length, and for each plane the numbers of its sampled zeros and ones;
+        then for each plane its words, its superblock counts and its samples of zeros and of ones. Nothing is counted again on reading."""
+        made = [p.directory() for p in self.planes]
+        head = struct.pack(f"<QQ{2 * self.depth}Q", self.depth, self.n, *[len(x) for d in made for x in d[1:]])
+        body = [x.tobytes() for p, d in zip(self.planes, made, strict=True) for x in (p.words, *d)]
+        return b"".join([self.MAGIC, head, *body])
 
     @staticmethod
     def load(raw: bytes) -> WaveletMatrix:
         if raw[:4] != WaveletMatrix.MAGIC:
             raise ValueError("not a wavelet matrix")
         depth, n = struct.unpack_from("<QQ", raw, 4)
-        size = n // 64 + 1
-        words = np.frombuffer(raw, np.uint8, depth * size * 8, 20).copy().view(np.uint64).reshape(depth, size)
-        return WaveletMatrix([BitVector(w, n) for w in words], n)
+        sizes = struct.unpack_from(f"<{2 * depth}Q", raw, 20)
+        at, n_words, planes = 20 + 16 * depth, n // 64 + 1, []
+        n_supers = -(-n_words // SUPER)
+        for k in range(depth):
+            words = np.frombuffer(raw, np.uint8, 8 * n_words, at).copy().view(np.uint64)
+            at += 8 * n_words
+            parts = []
+            for size in (n_supers, sizes[2 * k], sizes[2 * k + 1]):
+                parts.append(np.frombuffer(raw, np.uint8, 4 * size, at).copy().view("<u4"))
+                at += 4 * size
+            planes.append(BitVector(words, n, parts[0], (parts[1], parts[2])))
+        return WaveletMatrix(planes, n)
 
 
 def suffix_array(seq: np.ndarray) -> np.ndarray:
@@ -173,15 +217,19 @@ class FMIndex:
         marked = sa % sample == 0
         self.marked, self.samples = BitVector.of(marked), sa[marked]
 
-    def ranges(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The rows whose suffixes begin with each pattern (a row of the matrix)."""
-        lo, hi = np.zeros(len(patterns), np.int64), np.full(len(patterns), self.n, np.int64)
-        for j in range(patterns.shape[1] - 1, -1, -1):
-            c = patterns[:, j].astype(np.int64) + 1
-            ok = c < 1 << self.depth
-            c = np.where(ok, c, 0)
-            lo, hi = self.less[c] + self.bwt.rank(c, lo), self.less[c] + self.bwt.rank(c, hi)
-            hi = np.where(ok, hi, lo)
+    def ranges(self, text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """The rows whose suffixes begin with each pattern: `length` symbols of `text` from each start. Patterns that occur no more are left."""
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), self.n, np.int64)
+        live = np.arange(len(starts))
+        for j in range(length - 1, -1, -1):
+            c = text[starts[live] + j].astype(np.int64) + 1
+            known = c < 1 << self.depth
+            hi[live[~known]] = lo[live[~known]]
+            live, c = live[known], c[known]
+            lo[live], hi[live] = self.less[c] + self.bwt.rank(c, lo[live]), self.less[c] + self.bwt.rank(c, hi[live])
+            live = live[hi[live] > lo[live]]
+            if not len(live):
+                break
         return lo, np.maximum(lo, hi)
 
     def locate(self, rows: np.ndarray) -> np.ndarray:

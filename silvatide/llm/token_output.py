@@ -15,17 +15,18 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .succinct import WaveletMatrix
 from .tables import arrow_map, only, table, written
-from .textops import mix
+from .textops import hash_spans, same_spans
 
 _U = np.uint64
 TOKENIZER = "byte_bpe_50k.json"
@@ -112,6 +113,8 @@ class Encoder:
         self.entry = np.zeros(1 << TABLE_BITS, np.int32)
         self.off = np.zeros(1, np.int64)
         self.pool = np.zeros(0, np.uint16)
+        # The bytes of each known pre-token: a hash finds it, its bytes decide.
+        self.spelling, self.spelled = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint16)
@@ -158,8 +161,11 @@ class Encoder:
             return np.zeros(0, np.uint16), np.zeros(len(texts), np.int64)
         start = splits(cp, off, self.classes)
         end = np.append(start[1:], len(cp))
-        h = self._hashes(cp, start, end)
-        entry = self._entries(h, joined, start, end)
+        raw = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        # Where each code point begins in the bytes.
+        begin = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+        low, high = begin[start], begin[end]
+        entry = self._entries(hash_spans(raw, low, high), joined, start, end, raw, low, high)
         at = self.off[entry]
         n = self.off[entry + 1] - at
         ends = np.cumsum(n)
@@ -168,33 +174,33 @@ class Encoder:
         total = np.concatenate([[0], ends])
         return ids, np.diff(total[first])
 
-    @staticmethod
-    def _hashes(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        from .textops import powers
-
-        up, down = powers(len(cp))
-        s = np.zeros(len(cp) + 1, np.uint64)
-        np.cumsum(_code(cp) * up[: len(cp)], out=s[1:])
-        h = mix((s[end] - s[start]) * down[start])
-        h[h == 0] = 1
-        return h
-
-    def _entries(self, h: np.ndarray, joined: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The pool entry of each pre-token; unknown ones are learned."""
+    def _entries(self, h: np.ndarray, joined: str, start: np.ndarray, end: np.ndarray, raw: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """The pool entry of each pre-token; unknown ones are learned. start, end: in code points; low, high: in bytes."""
         if len(self.off) > 3 << (TABLE_BITS - 2):
             self.reset()
-        a = (h >> _U(64 - TABLE_BITS)).astype(np.int64)
+        h = np.where(h == 0, _U(1), h)
+        a, b = (h >> _U(64 - TABLE_BITS)).astype(np.int64), (h & _U((1 << TABLE_BITS) - 1)).astype(np.int64)
         entry = np.where(self.keys[a] == h, self.entry[a], -1).astype(np.int64)
+        other = (entry < 0) & (self.keys[b] == h)
+        entry[other] = self.entry[b[other]]
+        # Spans of at most 7 bytes have hashes of their own; of others the bytes are compared.
+        long = np.flatnonzero((entry >= 0) & (high - low > 7))
+        e = entry[long]
+        same = same_spans(raw, low[long], high[long], self.spelling, self.spelled[e], self.spelled[e + 1])
+        odd = long[~same]
+        entry[odd] = -1
         left = np.flatnonzero(entry < 0)
-        b = (h[left] & _U((1 << TABLE_BITS) - 1)).astype(np.int64)
-        hit = self.keys[b] == h[left]
-        entry[left[hit]] = self.entry[b[hit]]
-        left = left[~hit]
         if not len(left):
             return entry
         new, where, back = np.unique(h[left], return_index=True, return_inverse=True)
         src = left[where]
-        ids, off = self._learn([joined[x:y] for x, y in zip(start[src].tolist(), end[src].tolist(), strict=True)])
+        # Pre-tokens that share a hash with another spelling are encoded one by one.
+        x = src[back]
+        alike = same_spans(raw, low[left], high[left], raw, low[x], high[x])
+        alone = left[~alike]
+        source = np.concatenate([src, alone])
+        ids, off = self._learn([joined[x:y] for x, y in zip(start[source].tolist(), end[source].tolist(), strict=True)])
+        base = len(self.off) - 1
         number = np.full(len(new), -1, np.int64)
         for slot in ((new >> _U(64 - TABLE_BITS)).astype(np.int64), (new & _U((1 << TABLE_BITS) - 1)).astype(np.int64)):
             free = np.flatnonzero((number < 0) & (self.keys[slot] == 0))
@@ -202,19 +208,19 @@ class Encoder:
             take = free[pick]
             number[take] = 0
             self.keys[slot[take]] = new[take]
-            self.entry[slot[take]] = len(self.off) - 1 + take
+            self.entry[slot[take]] = base + take
         # All new pre-tokens go to the pool; those without a slot are learned again when they return.
-        base = len(self.off) - 1
         self.pool = np.concatenate([self.pool, ids])
         self.off = np.concatenate([self.off, off[1:] + self.off[-1]])
+        size = high[source] - low[source]
+        ends = np.cumsum(size)
+        self.spelling = np.concatenate([self.spelling, raw[np.arange(ends[-1]) - np.repeat(ends - size, size) + np.repeat(low[source], size)]])
+        self.spelled = np.concatenate([self.spelled, ends + self.spelled[-1]])
         entry[left] = base + back
+        entry[alone] = base + len(new) + np.arange(len(alone))
         return entry
 
 
-def _code(cp: np.ndarray) -> np.ndarray:
-    return (cp.astype(np.uint64) + _U(1)) * _U(0x9FB21C651E98DF25) ^ (cp.astype(np.uint64) << _U(40))
-
-
 _encoders: dict[str, Encoder] = {}
 
 
@@ -278,8 +284,19 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = END_ID, id_col:
     return written(docs.sparkSession, arrow_map(dealt, run, SHARD_SCHEMA), "tokens")
 
 
+def manifest(shards: DataFrame) -> DataFrame:
+    """part, shard, n_docs, n_tokens, and base: the number of ids of all shards before it. One row a shard: sums within a part, then over the parts."""
+    sizes = shards.select("part", "shard", "n_docs", "n_tokens")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("all")).withColumn("ahead", F.coalesce(F.sum("all").over(before), F.lit(0))).select("part", "ahead")
+    within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(parts, "part")
+    return starts.select("part", "shard", "n_docs", "n_tokens", (F.col("ahead") + F.col("before")).alias("base"))
+
+
 def read_documents(shards: DataFrame) -> DataFrame:
-    """Each document of the shards: doc_id, start, n_tokens, ids_crc32, decoded from the wavelet matrices."""
+    """Each document of the shards: doc_id, start, n_tokens, ids_crc32, decoded from the wavelet matrices as a whole. A row for each row that
+    was written: repeated ids, null ids and empty texts (the end id alone) too; without shards there are no rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -295,13 +312,55 @@ def read_documents(shards: DataFrame) -> DataFrame:
                 )
 
     found = arrow_map(shards.select("part", "shard", "doc_ids", "lengths", "tokens"), run, "part long, shard long, doc_id long, inside long, n_tokens long, ids_crc32 long")
-    # One row a shard: sums within a part, then over the parts.
-    sizes = shards.select("part", "shard", "n_tokens")
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("all")).withColumn("ahead", F.coalesce(F.sum("all").over(before), F.lit(0))).select("part", "ahead")
-    within = Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("before", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(parts, "part").select("part", "shard", (F.col("ahead") + F.col("before")).alias("base"))
-    return found.join(starts, ["part", "shard"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return found.join(manifest(shards), ["part", "shard"]).select("doc_id", (F.col("base") + F.col("inside")).alias("start"), found["n_tokens"], "ids_crc32")
+
+
+def tokens_of(shards: DataFrame, doc_ids: Sequence[int]) -> DataFrame:
+    """doc_id, ids of some documents, by random access: nothing but their positions is decoded. Rows that repeat an id each have theirs."""
+    wanted = np.array(sorted(set(doc_ids)), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                ids, lengths = b.column("doc_ids")[k].values, b.column("lengths")[k].values.to_numpy()
+                held = np.flatnonzero(pc.is_in(ids, pa.array(wanted)).to_numpy(zero_copy_only=False))
+                if not len(held):
+                    continue
+                wm, ends = WaveletMatrix.load(b.column("tokens")[k].as_py()), np.cumsum(lengths)
+                got = [wm.access(np.arange(ends[x] - lengths[x], ends[x])) for x in held.tolist()]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(held)), pa.array(got, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return arrow_map(shards.filter(F.exists("doc_ids", lambda x: x.isin(wanted.tolist()))).select("doc_ids", "lengths", "tokens"), run, "doc_id long, ids array<long>")
+
+
+def token_counts(shards: DataFrame, tokens: Sequence[int]) -> DataFrame:
+    """token, n: how often each stands in all shards, by rank."""
+    asked = np.array(sorted(set(tokens)), np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                wm = WaveletMatrix.load(b.column("tokens")[k].as_py())
+                n = wm.rank(asked, np.full(len(asked), wm.n))
+                yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(n.astype(np.int64))], names=["token", "n"])
+
+    return arrow_map(shards.select("tokens"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def token_occurrences(shards: DataFrame, token: int) -> DataFrame:
+    """doc_id, place (from 0, in the document) of every occurrence of a token, by select."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                ids, lengths = b.column("doc_ids")[k].values, b.column("lengths")[k].values.to_numpy()
+                at, ends = WaveletMatrix.load(b.column("tokens")[k].as_py()).occurrences(token), np.cumsum(lengths)
+                for x in range(0, len(at), 1 << 17):
+                    part = at[x : x + (1 << 17)]
+                    doc = np.searchsorted(ends, part, "right")
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc)), pa.array(part - (ends - lengths)[doc])], names=["doc_id", "place"])
+
+    return arrow_map(shards.select("doc_ids", "lengths", "tokens"), run, "doc_id long, place long")
 
 
 def tokenizer_path() -> str:
