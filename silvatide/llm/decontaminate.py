@@ -39,44 +39,48 @@ ITEMS, SPANS = "_items", "_spans"
 
 
 class Phrases:
-    """The windows of a block of items: word numbers, windows by length, and the items of each."""
+    """The windows of a block of items, as arrays: item words by number, one after another, and of each window its start and its item."""
 
     def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
-        texts = [(i, [w for w in _words(t)]) for i, t in items]
-        vocabulary = sorted({w for _, ws in texts for w in ws})
+        self.items = [str(i) for i, _ in items]
+        data, off = text_buffer(pa.array([t for _, t in items], pa.string()))
+        w = Words(data, off, ALNUM)
+        code = w.code.tobytes()
+        words = [code[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
+        vocabulary = sorted(set(words))
         h = hash_words(vocabulary)
-        order = np.argsort(h)
-        self.hashes = h[order]
-        number = {vocabulary[k]: n + 1 for n, k in enumerate(order.tolist())}  # 0 separates
-        of: dict[tuple[int, ...], set[str]] = {}
-        for item, ws in texts:
-            ids = [number[w] for w in ws]
-            for k in range(max(1, len(ids) - window + 1) if ids else 0):
-                of.setdefault(tuple(ids[k : k + window]), set()).add(str(item))
-        self.windows, self.items = list(of), [sorted(x) for x in of.values()]
-        self.shortest = min((len(w) for w in self.windows), default=0)
-        lengths = np.array([len(w) for w in self.windows], np.int64)
-        self.groups = [(at := np.flatnonzero(lengths == n), np.array([self.windows[k] for k in at], np.int64)) for n in sorted(set(lengths.tolist()))]
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.words = h[order], [vocabulary[k] for k in order.tolist()]
+        number = {word: k + 1 for k, word in enumerate(self.words)}  # 0 separates
+        self.seq = np.fromiter((number[x] for x in words), np.int32, len(words))
+        n = np.diff(w.first)
+        count = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+        self.item = np.repeat(np.arange(len(n)), count)
+        self.starts = np.arange(len(self.item)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(w.first[:-1], count)
+        length = np.minimum(n, window)[self.item]
+        self.shortest = int(length.min()) if len(length) else 0
+        #: Windows by length.
+        self.groups = [(int(x), np.flatnonzero(length == x)) for x in np.unique(length)]
         self.near = np.zeros(1 << 20, bool)
         self.near[(self.hashes >> np.uint64(44)).astype(np.int64)] = True
 
-    def numbers(self, h: np.ndarray) -> np.ndarray:
-        """A number for each item word, 0 for others."""
-        out = np.zeros(len(h), np.int64)
+    def numbers(self, w: Words) -> np.ndarray:
+        """A number for each item word, found by hash and decided by its bytes; 0 for others. A hash that two item words share finds none but the first, so such words are looked for one by one."""
+        out, h = np.zeros(len(w), np.int64), w.hashes()
         if len(self.hashes):
             maybe = np.flatnonzero(self.near[(h >> np.uint64(44)).astype(np.int64)])
             at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
-            out[maybe] = np.where(self.hashes[at] == h[maybe], at + 1, 0)
+            ok = self.hashes[at] == h[maybe]
+            maybe, at = maybe[ok], at[ok]
+            while len(maybe):
+                same = w.spelled(maybe, self.words, at)
+                out[maybe[same]] = at[same] + 1
+                maybe, at = maybe[~same], at[~same] + 1
+                ok = (at < len(self.hashes)) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == h[maybe])
+                maybe, at = maybe[ok], at[ok]
         return out
 
 
-def _words(text: str | None) -> list[bytes]:
-    raw = (text or "").encode()
-    w = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM)
-    code = w.code.tobytes()
-    return [code[a:b] for a, b in zip(w.start.tolist(), w.end.tolist(), strict=True)]
-
-
 class Shard:
     """Documents of one task, until their index is built and searched."""
 
@@ -91,8 +95,8 @@ class Shard:
 
     def add(self, rows: pa.RecordBatch, w: Words) -> None:
         n = np.diff(w.first)
-        if len(w) and self.p.windows:
-            v = self.p.numbers(w.hashes())
+        if len(w) and len(self.p.starts):
+            v = self.p.numbers(w)
             # Stretches of item words inside one document.
             inside = v > 0
             starts = np.zeros(len(w), bool)
@@ -130,16 +134,16 @@ class Shard:
             seq, doc, place = np.concatenate(self.seq), np.concatenate(self.doc), np.concatenate(self.place)
             index = FMIndex(seq)
             edge = np.zeros(len(seq) + 1, np.int64)
-            for which, patterns in self.p.groups:
-                lo, hi = index.ranges(patterns)
+            for length, which in self.p.groups:
+                lo, hi = index.ranges(self.p.seq, self.p.starts[which], length)
                 n = hi - lo
                 rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 at = index.locate(rows)
                 np.add.at(edge, at, 1)
-                np.add.at(edge, at + patterns.shape[1], -1)
-                pairs = np.unique(np.stack([doc[at], np.repeat(which, n)]), axis=1)
-                for d, k in pairs.T.tolist():
-                    items[d].update(self.p.items[k])
+                np.add.at(edge, at + length, -1)
+                for pair in np.unique(doc[at] * len(self.p.items) + np.repeat(self.p.item[which], n)).tolist():
+                    d, k = divmod(pair, len(self.p.items))
+                    items[d].add(self.p.items[k])
             hit = np.cumsum(edge[:-1]) > 0
             n_hit = np.bincount(doc[hit], minlength=self.docs)
             begin = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1]]))
@@ -245,11 +249,13 @@ def contaminated() -> F.Column:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that the contract's rule leaves; documents with fewer hits stay as they are."""
+    """The documents that the contract's rule leaves, with all their columns; documents with fewer hits stay as they are. Null and empty texts
+    stay, each of repeated rows is judged by itself, and an empty table gives no rows."""
     return filtered(docs, lambda d, keep: find_contamination(d, benchmark, keep=keep), ~contaminated())
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents; what find_contamination says of nulls, empty and repeated rows and empty tables holds."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), contaminated().alias("contaminated"))
