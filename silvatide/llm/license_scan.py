@@ -1,8 +1,9 @@
 """License scans by template markup.
 
 A template is licence wording with two kinds of region, in the public SPDX
-template markup: ``<<beginOptional>>words<<endOptional>>`` may be missing, and
-``<<var;max=N>>`` stands for up to N words of any kind. Templates are compiled
+template markup: ``<<beginOptional>>words<<endOptional>>`` may be missing (such regions
+may lie inside each other), and ``<<var;max=N>>`` stands for up to N words of any kind.
+Other markup, and regions that do not match up, are errors. Templates are compiled
 to token automata (optional regions become skips, replaceable ones counted
 gaps). A text is accepted where all mandatory words stand exactly, in order.
 """
@@ -58,45 +59,57 @@ class Automaton:
     def __init__(self, t: Template):
         self.label, self.base = t.label, t.base
         self.words: list[bytes] = []
-        self.skip: dict[int, int] = {}  # before this word an optional region begins; it ends before that one
+        self.skip: dict[int, set[int]] = {}  # before this word optional regions begin; they end before those
         self.gap: dict[int, int] = {}  # before this word up to so many others may stand
-        opened = None
-        for mark, word in re.findall(r"<<([^>]*)>>|([^\s<]+)", t.markup):
-            if mark == "beginOptional":
-                opened = len(self.words)
-            elif mark == "endOptional":
-                self.skip[opened] = len(self.words)
-                opened = None
-            elif mark.startswith("var"):
-                self.gap[len(self.words)] = int(mark.partition("max=")[2])
+        opened: list[int] = []
+        for mark, word in re.findall(r"(<<.*?>>|<<|>>)|([^\s<>]+)", t.markup):
+            if mark == "<<beginOptional>>":
+                opened.append(len(self.words))
+            elif mark == "<<endOptional>>":
+                if not opened or opened[-1] == len(self.words):
+                    raise ValueError(f"{t.label}: an optional region that was not opened, or is empty")
+                self.skip.setdefault(opened.pop(), set()).add(len(self.words))
+            elif m := re.fullmatch(r"<<var;max=([0-9]+)>>", mark):
+                self.gap[len(self.words)] = self.gap.get(len(self.words), 0) + int(m[1])
+            elif mark:
+                raise ValueError(f"{t.label}: unknown markup {mark}")
             else:
                 self.words.append(word.encode())
-        self.hash = [int(h) for h in hash_words(self.words)]
-        optional = {i for a, b in self.skip.items() for i in range(a, b)}
+        if opened:
+            raise ValueError(f"{t.label}: an optional region that is not closed")
+        optional = {i for a, ends in self.skip.items() for b in ends for i in range(a, b)}
         self.mandatory = len(self.words) - len(optional)
+        if not self.mandatory:
+            raise ValueError(f"{t.label}: no mandatory word")
+        self.number: list[int] = []
+
+    def numbered(self, vocabulary: dict[bytes, int]) -> Automaton:
+        self.number = [vocabulary[w] for w in self.words]
+        return self
 
     def starts(self) -> set[int]:
-        """Hashes of the words a match can begin with."""
-        return {self.hash[s] for s, _ in self._closed({(0, 0)}) if s < len(self.words)}
+        """Numbers of the words a match can begin with."""
+        return {self.number[s] for s, _ in self._closed({(0, 0)}) if s < len(self.words)}
 
     def _closed(self, states: set[tuple[int, int]]) -> set[tuple[int, int]]:
         todo, seen = list(states), set(states)
         while todo:
             s, _ = todo.pop()
-            if s in self.skip and (nxt := (self.skip[s], 0)) not in seen:
-                seen.add(nxt)
-                todo.append(nxt)
+            for end in self.skip.get(s, ()):
+                if (end, 0) not in seen:
+                    seen.add((end, 0))
+                    todo.append((end, 0))
         return seen
 
-    def accepts(self, h: Sequence[int], at: int, stop: int) -> bool:
-        """Whether a match starts at word `at`; states are (next word, words already taken by the gap before it)."""
+    def accepts(self, v: Sequence[int], at: int, stop: int) -> bool:
+        """Whether a match starts at word `at` of the numbers v; states are (next word, words already taken by the gap before it)."""
         states = self._closed({(0, 0)})
         end = len(self.words)
         first = True
         while at < stop:
-            word, moved = int(h[at]), set()
+            word, moved = int(v[at]), set()
             for s, used in states:
-                if s < end and self.hash[s] == word:
+                if s < end and self.number[s] == word:
                     moved.add((s + 1, 0))
                 if not first and s < end and used < self.gap.get(s, 0):
                     moved.add((s, used + 1))
@@ -111,13 +124,28 @@ class Automaton:
 
 class Scanner:
     def __init__(self, templates: Sequence[Template]):
-        self.automata = [Automaton(t) for t in templates]
-        keys = sorted({k for a in self.automata for k in a.starts()})
-        self.keys = np.array(keys, np.uint64)
-        self.by_key = [[a for a in self.automata if k in a.starts()] for k in keys]
-        # The second mandatory word prunes starts such as "under" or "the" for templates that fix it.
+        automata = [Automaton(t) for t in templates]
+        words = sorted({w for a in automata for w in a.words})
+        h = hash_words(words)
+        order = np.argsort(h)
+        self.words, self.hashes = [words[k] for k in order], h[order]
+        number = {w: k + 1 for k, w in enumerate(self.words)}  # 0: any other word
+        self.automata = [a.numbered(number) for a in automata]
+        self.by_number = [[a for a in self.automata if k in a.starts()] for k in range(len(self.words) + 1)]
+        self.begins = np.array([bool(x) for x in self.by_number])
         self.near = np.zeros(1 << 16, bool)
-        self.near[(self.keys >> np.uint64(48)).astype(np.int64)] = True
+        self.near[(self.hashes >> np.uint64(48)).astype(np.int64)] = True
+
+    def numbers(self, w: Words) -> np.ndarray:
+        """The number of each word in the templates' vocabulary: found by hash, decided by its bytes."""
+        h, out = w.hashes(), np.zeros(len(w), np.int64)
+        if len(self.words):
+            at = np.flatnonzero(self.near[(h >> np.uint64(48)).astype(np.int64)])
+            slot = np.minimum(np.searchsorted(self.hashes, h[at]), len(self.words) - 1)
+            ok = self.hashes[slot] == h[at]
+            at, slot = at[ok], slot[ok]
+            out[at] = np.where(w.spelled(at, self.words, slot), slot + 1, 0)
+        return out
 
     def scan(self, w: Words) -> tuple[np.ndarray, ...]:
         """Of each row: number of base places, first and last start (-1: none), base labels, labels, mandatory words of the longest match."""
@@ -127,19 +155,16 @@ class Scanner:
         base: list[set[str]] = [set() for _ in range(rows)]
         own: list[set[str]] = [set() for _ in range(rows)]
         longest = np.zeros(rows, np.int64)
-        h = w.hashes()
-        maybe = np.flatnonzero(self.near[(h >> np.uint64(48)).astype(np.int64)])
-        slot = np.searchsorted(self.keys, h[maybe])
-        ok = (slot < len(self.keys)) & (self.keys[np.minimum(slot, len(self.keys) - 1)] == h[maybe])
-        places, slot = maybe[ok], slot[ok]
+        v = self.numbers(w)
+        places = np.flatnonzero(self.begins[v]) if len(v) else np.zeros(0, np.int64)
         row = np.searchsorted(w.first, places, "right") - 1
-        for p, k, r in zip(places.tolist(), slot.tolist(), row.tolist(), strict=True):
+        for p, r in zip(places.tolist(), row.tolist(), strict=True):
             stop = int(w.first[r + 1])
-            for a in self.by_key[k]:
+            for a in self.by_number[v[p]]:
                 # No free region after the first word: its second word must follow at once.
-                if 1 not in a.gap and 1 not in a.skip and 0 not in a.skip and len(a.hash) > 1 and (p + 1 >= stop or int(h[p + 1]) != a.hash[1]):
+                if 1 not in a.gap and 1 not in a.skip and 0 not in a.skip and len(a.number) > 1 and (p + 1 >= stop or int(v[p + 1]) != a.number[1]):
                     continue
-                if a.accepts(h, p, stop):
+                if a.accepts(v, p, stop):
                     own[r].add(a.label)
                     longest[r] = max(longest[r], a.mandatory)
                     if a.base:
@@ -159,7 +184,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     score 0. Repeated rows are each scanned; an empty table gives no rows; other columns are ignored.
     """
     scanner = Scanner(templates)
-    schema = f"{id_col} {df.schema[id_col].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
+    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
     names = [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,6 +212,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents; what scan_licenses says of nulls, empty and repeated rows and empty tables holds."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
@@ -197,13 +223,11 @@ def _oracle() -> str:
     for t in BASE_TEMPLATES + OWN_TEMPLATES:
         a, pattern = Automaton(t), ""
         for i, word in enumerate(a.words):
-            if i in a.skip:
-                pattern += "(?:"
+            pattern += "(?:" * len(a.skip.get(i, ()))
             if i in a.gap:
                 pattern += f"(?: [^ ]+){{0,{a.gap[i]}}}"
             pattern += " " + word.decode()
-            if i + 1 in a.skip.values():
-                pattern += ")?"
+            pattern += ")?" * sum(i + 1 in ends for ends in a.skip.values())
         hit = f"regexp_matches(norm, '{pattern} ')"
         cases.append(f"CASE WHEN {hit} THEN '{t.label}' END")
         sizes.append(f"CASE WHEN {hit} THEN {a.mandatory} ELSE 0 END")
