@@ -16,13 +16,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import arrow_map, filtered, only, table
 from .textops import ALNUM, Words, chunks, column, text_buffer
 
-#: At most so many labelled ids of each label are learned from, the first by a hash of the ids, with all rows of an id, of at most so many characters each.
+#: At most so many labelled ids of each label, and rows of them, are learned from, the first by a hash of the ids (and of the texts, where ids repeat), of at most so many characters each.
 SAMPLE_ROWS = 2000
 SAMPLE_CHARS = 100_000
 PREFIXES = (3, 4, 5, 6)
@@ -73,24 +73,64 @@ class Model:
         return words, np.bincount(back, self.weights[at[ok]], len(words)) if len(words) else np.zeros(0)
 
     def marginals(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Words with a known feature, and the probability of tag 1 of each.
-
-        A chain is a whole document. Where a word is further than REACH words from any known one, all potentials are
-        equal, so chains are cut there: stretches of known words and their surroundings are run together.
-        """
+        """Words with a known feature, and the probability of tag 1 of each in the chain of its whole document."""
         at, gain = self.known(w)
         if not len(at):
             return at, gain
         row = np.searchsorted(w.first, at, "right") - 1
-        low, high = np.maximum(at - REACH, w.first[row]), np.minimum(at + REACH + 1, w.first[row + 1])
-        begins = np.concatenate([[True], low[1:] > np.maximum.accumulate(high)[:-1]])
-        seg = np.cumsum(begins) - 1
-        begin = low[begins]
-        end = np.maximum.reduceat(high, np.flatnonzero(begins))
-        score = np.zeros(len(w))
-        score[at] = gain
-        p = forward_backward([score[a:b] + self.bias for a, b in zip(begin.tolist(), end.tolist(), strict=True)], self.trans)
-        return at, np.array([p[s][i - begin[s]] for s, i in zip(seg.tolist(), at.tolist(), strict=True)])
+        return at, sparse_marginals(at - w.first[row], row, np.diff(w.first), gain, self.bias, self.trans)
+
+
+def _powers_of(step: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """step ** n for each n, each up to a factor, by squaring."""
+    out = np.repeat(np.eye(2)[None], len(n), 0)
+    while n.any():
+        odd = n & 1 != 0
+        out[odd] = out[odd] @ step
+        out /= out.sum((1, 2), keepdims=True)
+        step = step @ step
+        step, n = step / step.sum(), n >> 1
+    return out
+
+
+def sparse_marginals(at: np.ndarray, chain: np.ndarray, size: np.ndarray, gain: np.ndarray, bias: float, trans: np.ndarray) -> np.ndarray:
+    """Probability of tag 1 of the words at positions `at` (rising) of chains `chain` (rising) of `size` words, whose scores are gain + bias;
+    all other words have the score `bias`. Between two such words the message goes through a power of one matrix, so a chain
+    takes as many steps as it has such words, and the result is that of the whole chain."""
+    move = np.exp(trans - trans.max())
+    potential = lambda x: np.stack([np.exp(np.minimum(-x, 0)), np.exp(np.minimum(x, 0))], -1)
+    plain = potential(np.float64(bias))
+    through = move * plain  # over one plain word
+    first = np.flatnonzero(np.concatenate([[True], chain[1:] != chain[:-1]]))
+    count = np.diff(np.append(first, len(at)))
+    last = first + count - 1
+    gap = np.concatenate([[0], at[1:] - at[:-1] - 1])
+    gap[first] = 0
+    known, back = np.unique(gap, return_inverse=True)
+    into = (_powers_of(through, known) @ move)[back]
+    # Before the first known word of a chain, and after the last.
+    lead = at[first]
+    start = np.where((lead > 0)[:, None], np.einsum("j,njk->nk", plain, _powers_of(through, np.maximum(lead - 1, 0)) @ move), 1.0)
+    end = _powers_of(through, size[chain[last]] - at[last] - 1).sum(2)
+    e = potential(gain + bias)
+    order = np.argsort(-count, kind="stable")
+    first, last, start, end = first[order], last[order], start[order], end[order]
+    steps = np.arange(int(count.max()))
+    live = np.searchsorted(-count[order], -steps, "left")  # chains with more than t known words
+    a, b = np.empty((len(at), 2)), np.empty((len(at), 2))
+    x = start * e[first]
+    a[first] = x / x.sum(1, keepdims=True)
+    for t in steps[1:].tolist():
+        i = first[: live[t]] + t
+        x = np.einsum("nj,njk->nk", a[i - 1], into[i]) * e[i]
+        a[i] = x / x.sum(1, keepdims=True)
+    b[last] = end / end.sum(1, keepdims=True)
+    for t in steps[:-1].tolist()[::-1]:
+        i = first[: live[t + 1]] + t  # those with a known word after this one
+        x = np.einsum("njk,nk->nj", into[i + 1], e[i + 1] * b[i + 1])
+        b[i] = x / x.sum(1, keepdims=True)
+    m = a * b
+    return m[:, 1] / np.maximum(m.sum(1), 1e-300)
 
 
 def _padded(chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +268,9 @@ def fold(id_col: F.Column) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from a bounded sample: for each label the first `rows` ids by hash outside the held fold. Rows without an id or a label are left out."""
+    """Learn from a bounded sample: for each label the first `rows` ids by hash outside the held fold, and of their rows the first `rows`. Rows
+    without an id or a label are left out; ids with both labels count for both. Without
+    labelled documents the model knows nothing and scores 0."""
     known = only(labels, "doc_id", "toxic").filter(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != HELD_FOLD)).distinct()
     parts = [known.filter(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     picked = parts[0].unionByName(parts[1]).collect()
@@ -237,7 +279,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int")
     sample = only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "toxic")
-    got = sorted(sample.collect())
+    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    got = sorted(sample.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= rows).drop("_rn").collect())
     return train([(r.text, r.toxic) for r in got])
 
 
@@ -274,16 +317,18 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", keep:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that score below the threshold."""
+    """The documents that score below the threshold, with all their columns. Null and empty texts score 0 and stay, repeated rows are each
+    judged, and an empty table gives no rows."""
     model = fit(docs, labels)
     return filtered(docs, lambda d, keep: score_documents(d, model, keep=keep), F.col("score") < THRESHOLD)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents; what score_documents says of nulls, empty and repeated rows and empty tables holds. A null id is not held out."""
     docs = table(spark, sf_dir, "documents")
     scored = score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
     held = F.coalesce(fold(F.col("doc_id")) == HELD_FOLD, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "spans")
 
 
 def held_out(doc_id: int) -> bool:
