@@ -1,6 +1,7 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -55,7 +56,7 @@ def test_suffix_sorting_and_fm_index(seed):
     assert succinct.suffix_array(t.astype(np.int64)).tolist() == want
     fm = succinct.FMIndex(seq, sample=3)
     p = rng.integers(1, 6, (9, 2))
-    lo, hi = fm.ranges(p)
+    lo, hi = fm.ranges(p.ravel(), np.arange(9) * 2, 2)
     for k in range(9):
         at = sorted(fm.locate(np.arange(lo[k], hi[k])).tolist())
         assert at == [i for i in range(len(seq) - 1) if seq[i] == p[k, 0] and seq[i + 1] == p[k, 1]]
@@ -68,6 +69,13 @@ def test_wavelet_matrix_round_trip():
     x = int(v[17])
     assert w.count(x) == (v == x).sum() and w.occurrences(x).tolist() == np.flatnonzero(v == x).tolist()
     assert len(succinct.WaveletMatrix.load(succinct.WaveletMatrix.of(v[:0], 16).dump()).decode()) == 0
+    # Ranks and selects of a file are those of memory, past several superblocks and samples.
+    v = np.random.default_rng(1).integers(0, 3, 40000).astype(np.uint16)
+    a = succinct.WaveletMatrix.of(v, 2)
+    b = succinct.WaveletMatrix.load(a.dump())
+    at = np.random.default_rng(2).integers(0, 40001, 500)
+    for x in range(3):
+        assert (b.rank(np.full(500, x), at) == a.rank(np.full(500, x), at)).all() and (b.occurrences(x) == np.flatnonzero(v == x)).all()
 
 
 def test_components(spark):
@@ -336,6 +344,34 @@ def test_words_that_a_plain_polynomial_confuses(spark):
     assert found == {0: 0, 1: 1, 2: 0}
 
 
+def test_equal_hashes_do_not_decide(spark, monkeypatch):
+    """With a hash that hardly tells words apart, licences, benchmark items and tokens are what they were."""
+    texts = ["Under the MIT license, released into the public domain", "mozilla public license 2 0 and some other words here", "cc by nc", "nothing of that kind"]
+    items = spark.createDataFrame([("i1", "mozilla public license 2 0"), ("i2", "some other words"), ("i3", "no such words")], "item_id string, text string")
+    tok = token_output.Encoder(token_output.tokenizer_path())
+    long = ["unbelievable considerations extraordinarily", "considerations misunderstandings unbelievable", thue_morse("ab"), thue_morse("ba")]
+
+    def all_of():
+        scanner = license_scan.Scanner(license_scan.BASE_TEMPLATES + license_scan.OWN_TEMPLATES)
+        data, off = textops.text_buffer(pa.array(texts))
+        w = textops.Words(data, off)
+        shard = decontaminate.Shard(decontaminate.Phrases([(r.item_id, r.text) for r in items.collect()]))
+        shard.add(pa.RecordBatch.from_arrays([pa.array(range(4))], names=["id"]), w)
+        found = shard.search(["id"])
+        tok.reset()
+        return [x.tolist() if hasattr(x, "tolist") else x for x in scanner.scan(w)], found.column("_n_hit").to_pylist(), found.column("_items").to_pylist(), [x.tolist() for x in tok.encode(long)]
+
+    want = all_of()
+    assert want[1][1] == 8 and [len(x) for x in want[2]] == [0, 2, 0, 0]
+    assert want[3][0] == [i for t in long for i in tok.whole(t).tolist()]
+    few = lambda data, start, end: (end - start).astype(np.uint64) % np.uint64(3) * np.uint64(0x5555555555555555)
+    for module in (textops, token_output):
+        monkeypatch.setattr(module, "hash_spans", few)
+    monkeypatch.setattr(token_output, "same_spans", lambda a, x, y, b, p, q: np.array([a[i:j].tobytes() == b[k:m].tobytes() for i, j, k, m in zip(x, y, p, q, strict=True)], bool))
+    got = all_of()
+    assert got[1:3] == want[1:3]
+
+
 # 6
 def brute_dedup(texts, n=50):
     first, out = {}, []
@@ -421,6 +457,28 @@ def test_topk_against_brute_force(spark):
     assert bitsliced.top_k(df.limit(0)).count() == 0
 
 
+def test_topk_of_large_numbers_and_repeated_ids(spark):
+    """Sums beyond 62 bits are exact where they fit; what does not fit is refused, not wrapped."""
+    big = float(1 << 32)
+    vecs = [(7, [1.0, big]), (1, [-1.0, -big]), (2, [big / 4, 1.0]), (3, [0.0, 2.0]), (3, [0.0, 3.0]), (50, [2.0, 4.0]), (50, [1.0, 1.0])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in bitsliced.top_k(df, k=3).filter("query_id = 50").collect()}
+    q = [256 * 2, 256 * 4]
+    best = sorted([(-(q[0] * int(256 * v[0]) + q[1] * int(256 * v[1])), i) for i, v in vecs if i != 50])[:3]
+    assert got[50, 1] == (best[0][1], -best[0][0])
+    with pytest.raises(Exception, match="int|long|overflow|large"):
+        bitsliced.top_k(spark.createDataFrame([(0, [2.0**40]), (1, [2.0**40])], "vec_id long, embedding array<double>")).collect()
+    with pytest.raises(Exception, match="does not fit the index"):
+        bitsliced.top_k(spark.createDataFrame([(0, [2.0**60]), (1, [1.0])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_slices_round_trip():
+    v = np.random.default_rng(3).integers(-500, 500, (70, 3))
+    a = bitsliced.BitSliced(v)
+    b = bitsliced.BitSliced.load(a.dump())
+    assert (b.low == a.low).all() and b.width == a.width and all((x == y).all() for c, d in zip(a.slices, b.slices, strict=True) for x, y in zip(c, d, strict=True))
+
+
 # 8
 def test_tokens_against_the_library(spark):
     path = token_output.tokenizer_path()
@@ -439,6 +497,14 @@ def test_tokens_against_the_library(spark):
         assert got[i] == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
         start += len(want)
     assert token_output.read_documents(token_output.write_tokens(docs(spark, []), path)).count() == 0
+    # The same file answers for some documents, for counts and for occurrences.
+    truth = {i: [*enc.tok.encode(t or "", add_special_tokens=False).ids, 2] for i, t in zip(ids, texts, strict=True)}
+    some = token_output.tokens_of(shards, [ids[2], ids[0], ids[50], -5])
+    assert {r.doc_id: r.ids for r in some.collect()} == {i: truth[i] for i in (ids[2], ids[0], ids[50])}
+    ask = [2, truth[ids[2]][0], 49999]
+    assert {r.token: r.n for r in token_output.token_counts(shards, ask).collect()} == {a: sum(v.count(a) for v in truth.values()) for a in ask}
+    places = {(r.doc_id, r.place) for r in token_output.token_occurrences(shards, ask[1]).collect()}
+    assert places == {(i, k) for i, v in truth.items() for k, x in enumerate(v) if x == ask[1]}
     odd = token_output.read_documents(token_output.write_tokens(docs(spark, ["b", "a", None], [None, 1, 1]), path))
     assert sorted(r.start for r in odd.collect()) == [0, 2, 3]
 
@@ -449,7 +515,7 @@ def test_mixing(spark):
     texts = [" ".join(["w"] * (k % 7 + 1)) for k in range(85)]
     texts[3], texts[4] = None, ""
     df = docs(spark, texts, sources=sources)
-    got = mixing.mix_sources(df, ranges=8).collect()
+    got = mixing.mix_sources(df, steps=2).collect()
     size = {s: sum(r.size for r in got if sources[r.doc_id] == s) for s in set(sources)}
     total, left, goal = sum(size.values()), dict(zip(["a", "b", "é", None], [5, 2, 1, 5], strict=True)), {}
     while True:
@@ -468,7 +534,7 @@ def test_mixing(spark):
         assert abs(sum(r.taken for r in taken) - goal[s]) <= 7
         assert max(r.n_copies for r in taken) - min(r.n_copies for r in taken if r.size) <= 1
     assert all(r.taken <= 3 * r.size for r in got)
-    again = mixing.mix_sources(df.repartition(3), ranges=8)
+    again = mixing.mix_sources(df.repartition(3), steps=2)
     assert rows(again, "doc_id", "taken") == sorted(((r.doc_id, r.taken) for r in got), key=repr)
     out = mixing.mixed(df)
     assert out.columns == df.columns and out.count() == sum(r.n_copies for r in got)
@@ -477,6 +543,30 @@ def test_mixing(spark):
     assert [(r.target, r.taken) for r in blank] == [(0.0, 0), (0.0, 0)]
 
 
+def test_mixing_learns_weights(spark):
+    """Long words are good here and short ones bad; weighted sampling then prefers the good."""
+    texts = [" ".join(["goodword" if k % 2 else "b"] * 10) for k in range(400)]
+    df = docs(spark, texts, sources=["a"] * 200 + ["z"] * 200)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)] + [(7, None)], "doc_id long, quality int")
+    got = mixing.mix_sources(df, labels, steps=4).collect()
+    taken = [[sum(r.n_copies for r in got if r.doc_id % 2 == y and (r.doc_id < 200) == s) for y in (0, 1)] for s in (True, False)]
+    assert sum(r.size for r in got) == 4000 and taken[1][1] > 3 * taken[1][0]
+    # Repeated ids are drawn alike, and each row counts.
+    twice = docs(spark, texts[:50] * 2, list(range(50)) * 2, ["a"] * 100)
+    again = mixing.mix_sources(twice, labels, steps=4).collect()
+    assert len(again) == 100 and all(len({r.n_copies for r in again if r.doc_id == k}) <= 2 for k in range(50))
+    clash = df.select("doc_id", "text", "source", F.lit(1).alias("_key"), F.lit(2).alias("n_copies"), F.lit(3).alias("_copy"))
+    assert mixing.mixed(clash, labels).columns == clash.columns
+
+
+@pytest.mark.parametrize("w", [1e-6, 0.01, 0.05, 0.3, 1.0])
+def test_no_range_of_times_is_hot(w):
+    """Whatever the weight, no step of the logarithm holds more than its share of the draws."""
+    u = (np.random.default_rng(1).integers(0, 1 << 48, 1_000_000) + 0.5) / (1 << 48)
+    n = np.unique(np.floor(np.log(-np.log(u) / w) * mixing.STEPS), return_counts=True)[1]
+    assert n.max() / 1e6 < 1 / (math.e * mixing.STEPS) * 1.5
+
+
 # 10
 def test_forward_backward_against_enumeration():
     rng = np.random.default_rng(10)
@@ -491,6 +581,40 @@ def test_forward_backward_against_enumeration():
         assert toxicity.forward_backward([s, rng.normal(0, 1, 3)], trans)[0] == pytest.approx(on / total)
 
 
+def test_whole_chains_from_their_known_words():
+    """Skipping over plain words gives what the whole chain does, at both ends too."""
+    rng = np.random.default_rng(12)
+    for bias in (-2.0, 0.3, -40.0):
+        trans = rng.normal(0, 1.5, (2, 2))
+        size = np.array([200, 1, 7, 40, 3])
+        held = [np.sort(rng.choice(n, min(n, k), replace=False)) for n, k in zip(size, (5, 1, 7, 9, 1), strict=True)]
+        chain = np.repeat(np.arange(5), [len(h) for h in held])
+        at, gain = np.concatenate(held), rng.normal(0, 3, len(chain))
+        got = toxicity.sparse_marginals(at, chain, size, gain, bias, trans)
+        full = [np.full(n, bias) for n in size]
+        for c, a, g in zip(chain, at, gain, strict=True):
+            full[c][a] += g
+        want = toxicity.forward_backward(full, trans)
+        assert got == pytest.approx([want[c][a] for c, a in zip(chain, at, strict=True)], rel=1e-9, abs=1e-12)
+
+
+def test_toxicity_edges(spark):
+    assert toxicity.train([]).keys.size == 0 and toxicity.train([("a b", 1)]).keys.size == 0
+    texts = ["quiet words here"] * 6 + ["zzzbad words here"] * 6
+    labels = spark.createDataFrame([(k, int(k >= 6)) for k in range(12)], "doc_id long, toxic int")
+    df = docs(spark, [f"{t} {k}" for k, t in enumerate(texts)])
+    model = toxicity.fit(df, labels)
+    blank = toxicity.score_documents(docs(spark, [None, "", "zzzbad x", "zzzbad x"], [1, 1, 2, 2]), model).collect()
+    assert [round(r.score, 6) for r in blank[:2]] == [0.0, 0.0] and blank[2].score == blank[3].score and toxicity.score_documents(df.limit(0), model).count() == 0
+    # The score is the noisy-or of the marginals of the words it knows.
+    w = toxicity._words_of("zzzbad x y zzzbad")
+    p = model.marginals(w)[1]
+    one = toxicity.score_documents(docs(spark, ["zzzbad x y zzzbad"]), model).first()
+    assert one.score == pytest.approx(1 - np.prod(1 - p)) and [(s.start, s.end) for s in one.spans] == [(0, 6), (11, 17)]
+    clash = df.withColumnRenamed("h", "spans")
+    assert toxicity.drop_toxic(clash, labels).columns == clash.columns
+
+
 def test_toxicity_learns_and_holds_out(spark):
     rng = random.Random(10)
     plain = [f"w{k}" for k in range(200)]
