@@ -31,7 +31,7 @@ def reject_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources takes them."""
-    return mixing.mixed(only(docs, *DOCUMENT_COLUMNS))
+    return mixing.mixed(only(docs, *DOCUMENT_COLUMNS), table(spark, sf_dir, "labels"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
