@@ -10,6 +10,7 @@ marginals then give offending words, whose noisy-or is the document's score.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -280,8 +281,15 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     ids = spark.createDataFrame([(r.doc_id, r.toxic) for r in picked], "doc_id long, toxic int")
     sample = only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").filter(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text", "toxic")
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    got = sorted(sample.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= rows).drop("_rn").collect())
-    return train([(r.text, r.toxic) for r in got])
+    sample = sample.withColumn("_rn", F.row_number().over(first)).filter(F.col("_rn") <= rows).drop("_rn")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted(row for b in batches for row in zip(*(column(b, c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train([(t, y) for _, t, y in got]))], pa.binary())], names=["model"])
+
+    # The sample is bounded, so one task learns from it; only the model comes to the driver.
+    made = arrow_map(sample.repartition(1), run, "model binary").collect()
+    return pickle.loads(made[0].model) if made else Model()
 
 
 def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
