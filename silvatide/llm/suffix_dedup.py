@@ -6,11 +6,15 @@ every string of LENGTH bytes holds an anchor chosen from its content alone, so
 equal strings meet in the shard of their anchor's hash.
 
 1. Of equal texts the one of least id is kept as source; the others go whole.
-2. Anchors that lie in one document only are left out (counted by hash).
+2. A string of LENGTH bytes reaches far to the left of its anchor (LEFT bytes at least) or
+   far to the right. So two passages of an anchor hold a common string only if they
+   agree in the anchor with LEFT bytes before it or with RIGHT bytes after it. Those
+   that agree in neither with a passage of another document are left out; the rows
+   are made and matched in SLICES of the anchors, which bounds the disk they take.
 3. Of equal passages one is kept, with the least and the largest id they have.
 4. Where an anchor has one passage, all its strings have the passage's least id
    as source. The other passages are dealt to shards by anchor and sorted there by
-   external induced sorting; neighbouring suffixes with a common prefix of LENGTH
+   induced sorting; neighbouring suffixes with a common prefix of LENGTH
    or more are one string, whose source is its least id. An anchor with more than
    HOT_PASSAGES passages is first split by the bytes next to it: its strings that
    reach far to the left all hold the same number of bytes left of the anchor, the
@@ -27,7 +31,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .induced import common_prefix_reaches, sort_suffixes
@@ -37,6 +41,12 @@ from .textops import _BYTE_CODE, chunks, column, mix, powers, text_buffer
 _U = np.uint64
 LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM  # bytes of a passage on either side of its anchor
+#: Bytes before an anchor, or after it, of which a string of LENGTH has one number or the other at least.
+LEFT, RIGHT = REACH // 2, REACH - REACH // 2 + 1
+#: The anchors are made and matched in so many slices, one after another.
+SLICES = 2
+#: Bytes in which the least grams are looked for at once.
+SEGMENT = 1 << 21
 SHARD_BYTES = 2 << 20
 #: Passages of an anchor that are sorted together; an anchor with more is split by the bytes next to it.
 HOT_PASSAGES = 1 << 12
@@ -58,29 +68,31 @@ def anchors(data: np.ndarray, off: np.ndarray, sums: Sums, length: int = LENGTH,
     """Positions in the chunk of the least gram (the first of equals) of every string of `length` bytes inside a row, and the grams' hashes."""
     n = len(data)
     w = length - gram + 1
-    if n < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    at = np.arange(n - gram + 1)
-    h = sums.hash(at, at + gram)
-    bits = _U(max(22, int(n).bit_length()))
-    low = (_U(1) << bits) - _U(1)
-    least = (h & ~low) | at.astype(np.uint64)
-    span = 1
-    while span * 2 <= w:
-        least = np.minimum(least[:-span], least[span:])
-        span *= 2
-    least = np.minimum(least[: len(least) - (w - span)], least[w - span :])  # least[i]: over the grams of the string at i
-    inside = np.ones(len(least), bool)
-    for o in off[(off > 0) & (off < n)].tolist():  # strings that would cross into the next row
-        inside[max(0, o - length + 1) : o] = False
     mark = np.zeros(n, bool)
-    mark[(least[inside] & low).astype(np.int64)] = True
+    low = (_U(1) << _U(22)) - _U(1)  # a place in a segment; the rest of the hash decides, at any length of text
+    edges = off[(off > 0) & (off < n)]
+    for begin in range(0, n - length + 1, SEGMENT):
+        at = np.arange(begin, min(begin + SEGMENT + w - 1, n - gram + 1))
+        least = (sums.hash(at, at + gram) & ~low) | (at - begin).astype(np.uint64)
+        span = 1
+        while span * 2 <= w:
+            least = np.minimum(least[:-span], least[span:])
+            span *= 2
+        least = np.minimum(least[: len(least) - (w - span)], least[w - span :])  # least[i]: over the grams of the string at begin + i
+        inside = np.ones(len(least), bool)
+        for o in edges[(edges > begin) & (edges < begin + len(least) + length)].tolist():  # strings that would cross into the next row
+            inside[max(0, o - length + 1 - begin) : max(0, o - begin)] = False
+        mark[begin + (least[inside] & low).astype(np.int64)] = True
     pos = np.flatnonzero(mark)
-    return pos, h[pos]
+    return pos, sums.hash(pos, pos + gram)
 
 
-def _anchor_rows(texts: DataFrame, with_place: bool) -> DataFrame:
-    """h, doc, and (with_place) passage digest, version, position in the row, and shape (128 * bytes before the anchor + bytes) of the passage."""
+PLACE = "h long, doc long, passage long, version long, pos long, shape long, left int, right int"
+
+
+def _anchor_rows(texts: DataFrame, slice_: int) -> DataFrame:
+    """The places of one slice of the anchors: the anchor's hash, passage digest, version, position in the row, shape (128 * bytes before the anchor
+    + bytes) of the passage, and hashes of the anchor with LEFT bytes before and with RIGHT bytes after it (null where the text ends sooner)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -91,21 +103,36 @@ def _anchor_rows(texts: DataFrame, with_place: bool) -> DataFrame:
                 part, o = data[off[i] : off[j]], off[i : j + 1] - off[i]
                 sums = Sums(part)
                 pos, h = anchors(part, o, sums)
+                own = h % _U(SLICES) == _U(slice_)
+                pos, h = pos[own], h[own]
                 row = np.searchsorted(o, pos, "right") - 1
-                if with_place:
-                    lo, hi = np.maximum(pos - REACH, o[row]), np.minimum(pos + GRAM + REACH, o[row + 1])
-                    shape = (pos - lo) * 128 + (hi - lo)
-                    digest = mix(sums.hash(lo, hi) ^ shape.astype(np.uint64))
-                    cols = [h.view(np.int64), ids[i + row], digest.view(np.int64), version[i + row], pos - o[row], shape]
-                    names = ["h", "doc", "passage", "version", "pos", "shape"]
-                else:
-                    key = np.unique(np.stack([h.view(np.int64), row]), axis=1) if len(h) else np.zeros((2, 0), np.int64)
-                    cols, names = [key[0], ids[i + key[1]]], ["h", "doc"]
-                for x in range(0, len(cols[0]), 1 << 18):
-                    yield pa.RecordBatch.from_arrays([pa.array(c[x : x + (1 << 18)].astype(np.int64)) for c in cols], names=names)
-
-    schema = "h long, doc long" + (", passage long, version long, pos long, shape long" if with_place else "")
-    return arrow_map(texts, run, schema)
+                lo, hi = np.maximum(pos - REACH, o[row]), np.minimum(pos + GRAM + REACH, o[row + 1])
+                shape = (pos - lo) * 128 + (hi - lo)
+                digest = mix(sums.hash(lo, hi) ^ shape.astype(np.uint64))
+                left, right = sums.hash(np.maximum(pos - LEFT, lo), pos), sums.hash(pos + GRAM, np.minimum(pos + GRAM + RIGHT, hi))
+                cols = [h.view(np.int64), ids[i + row], digest.view(np.int64), version[i + row], pos - o[row], shape]
+                cols = [pa.array(c.astype(np.int64)) for c in cols]
+                half = lambda x, short: pa.array((x >> _U(32)).astype(np.uint32).view(np.int32), mask=short)
+                cols += [half(left, pos - lo < LEFT), half(right, hi - pos - GRAM < RIGHT)]
+                whole = pa.RecordBatch.from_arrays(cols, names=["h", "doc", "passage", "version", "pos", "shape", "left", "right"])
+                for x in range(0, whole.num_rows, 1 << 18):
+                    yield whole.slice(x, 1 << 18)
+
+    return arrow_map(texts, run, PLACE)
+
+
+def _shared_places(texts: DataFrame, slice_: int) -> DataFrame:
+    """The places of a slice that can hold a string of another document. A document has hundreds of anchors for each it shares with very many
+    others, so the rows of one anchor are few beside a task's; they are sorted on disk where they do not fit."""
+    rows = _anchor_rows(texts, slice_)
+
+    def shared(*by: str) -> F.Column:
+        w = Window.partitionBy(*by)
+        return F.min("doc").over(w) < F.max("doc").over(w)
+
+    rows = rows.withColumn("_h", shared("h")).filter("_h")
+    rows = rows.withColumn("_l", F.col("left").isNotNull() & shared("h", "left")).withColumn("_r", F.col("right").isNotNull() & shared("h", "right"))
+    return rows.filter("_l OR _r").select("h", "doc", "passage", "version", "pos", "shape")
 
 
 def _passages(kept: DataFrame, texts: DataFrame) -> DataFrame:
@@ -273,12 +300,10 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select("doc_id", "text", F.md5(text.cast("binary")).alias("digest")).join(firsts, ["doc_id", "digest"]).select("doc_id", "version", "text")
     texts = written(spark, texts, "sources")
 
-    live = _anchor_rows(texts, False).groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("h")
-    live = written(spark, live, "anchors")
-    places = written(spark, _anchor_rows(texts, True).join(live, "h", "left_semi"), "places")
+    parts = [written(spark, _shared_places(texts, x), "places") for x in range(SLICES)]
+    places = reduce(DataFrame.unionByName, parts)
     one = places.groupBy("h", "passage").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi"), F.min(F.struct("doc", "version", "pos")).alias("at"), F.max("shape").alias("shape"))
     one = written(spark, one.select("h", "passage", "lo", "hi", "at.doc", "at.version", "at.pos", "shape"), "passages")
-    delete(spark, live)
     several = written(spark, one.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "several")
     hot = several.filter(F.col("n") > HOT_PASSAGES).select("h")
     left = F.floor(F.col("shape") / 128)
@@ -293,7 +318,7 @@ def repeated_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     hits = places.join(found, ["h", "passage"]).filter("source < doc").select("doc", "version", (F.col("pos") + F.col("begin")).alias("begin"), (F.col("pos") + F.col("end")).alias("end"))
     spans = hits.groupBy("doc", "version").agg(F.array_sort(F.collect_set(F.struct("begin", "end"))).alias("spans"))
     spans = written(spark, spans, "spans")
-    delete(spark, texts, places, found)
+    delete(spark, texts, *parts, found, *([] if split is None else [split]))
     return known, spans
 
 
@@ -352,5 +377,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", with_text: bool = False) -> D
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents; what dedup says of nulls, short, repeated and equal texts and empty tables holds."""
     out = dedup(only(table(spark, sf_dir, "documents"), "doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
