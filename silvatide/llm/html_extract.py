@@ -1,9 +1,14 @@
 """HTML extraction: flat text blocks classified by a decision tree.
 
 A page becomes a flat list of text blocks with the number of words and the link
-density of each block and of its neighbours, and what the markup around it says
-(a boilerplate container, a main container, a heading). A CART tree, grown here
-from a small labelled table, keeps or drops each block.
+density of each block and of its neighbours, and what the markup around it says:
+whether it lies in a container that is never main text, in one whose class merely
+sounds like that, in a main container, in a paragraph, in a heading. A CART tree,
+grown here from a small labelled table, keeps or drops each block; where markup is
+doubtful or absent, words, links and neighbours decide.
+
+A page is read once from its start to its end, whatever it holds: tags that are
+never closed or cut off cost no more than others.
 """
 
 from __future__ import annotations
@@ -21,22 +26,31 @@ from .textops import column
 
 # Element names and class words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea svg math object select".split())
+RAW = frozenset("script style noscript template iframe textarea svg object select".split())
 BOILER_TAGS = frozenset("nav header footer aside form menu dialog button head title".split())
 MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PARAGRAPHS = frozenset("p blockquote pre td th dd dt li figcaption caption".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Class words of what is no main text whatever it says.
 BOILER_WORDS = frozenset(
-    "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promoted promotion sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
-    "footer header masthead topbar cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe subscription signup login register form related recommended "
-    "share sharing social comment comments commentlist reply replies respond discussion disqus widget pagination pager copyright legal skip toolbar".split()
+    "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promoted promotion sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead topbar "
+    "cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login related recommended share sharing comment comments commentlist reply replies respond disqus widget pagination pager".split()
 )
+#: Class words that prose may have as well.
+DOUBTFUL_WORDS = frozenset("menu header notice alert subscription register form side social discussion copyright legal skip toolbar".split())
 ASIDE_WORDS = frozenset("ad advert advertisement comment comments promo related reply sponsored".split())  # on an article element itself
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert dialog".split())
 MAIN_WORDS = frozenset("article content post entry story main body text maincontent articlebody".split())
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+#: How notices begin.
+NOTICE = re.compile(r"(?:©|\(c\)\s|copyright\b|all rights reserved|advertisement\b|this (?:web)?site uses cookies|we use cookies)", re.I)
+
+# A tag runs to the next > that no quoted value holds; a quote counts after an equals sign only. Nothing is tried twice.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z))?+)*+)(>|\Z)")
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^>]*+>?+", re.S)
+_ATTR = re.compile(r"([^\s=/\"']++)(?:\s*+=\s*+(\"[^\"]*+\"?+|'[^']*+'?+|[^\s\"']++))?+")
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+>?+", re.I) for name in RAW}
 _SPACE = re.compile(r"\s+")
 
 
@@ -45,45 +59,105 @@ class Block:
     text: str
     words: int
     link_density: float
-    boiler: int  # inside a boilerplate container
+    boiler: int  # inside a container of boilerplate
+    doubtful: int  # inside a container whose class sounds like it, or worded like a notice
     main: int  # inside a main container
+    paragraph: int
     heading: int
 
 
 def _hint(name: str, attrs: str, in_main: bool) -> str:
-    """'boiler', 'main', 'top' (an article's own header, of which only headings count) or '' for an element."""
+    """'boiler', 'doubtful', 'main', 'top' (an article's own header, of which only headings count) or '' for an element."""
     if name == "header" and in_main:
         return "top"
     if name in BOILER_TAGS:
         return "boiler"
     found = "main" if name in MAIN_TAGS else ""
-    if "=" in attrs or "hidden" in attrs:
-        for m in _ATTR.finditer(attrs):
-            key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
-            if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+    if not attrs or attrs.isspace():
+        return found
+    for m in _ATTR.finditer(attrs):
+        key, value = m[1].lower(), (m[2] or "").strip("\"'").lower()
+        if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and _HIDDEN.search(value):
+            return "boiler"
+        if key == "role":
+            if value in BOILER_ROLES:
                 return "boiler"
-            if key == "role":
-                if value in BOILER_ROLES:
-                    return "boiler"
-                found = "main" if value in ("main", "article") else found
-            if key in ("class", "id"):
-                parts = set(re.split(r"[^a-z0-9]+", value))
-                if parts & (ASIDE_WORDS if name in MAIN_TAGS else BOILER_WORDS) and name not in ("body", "html"):
-                    if in_main and not parts & (BOILER_WORDS - {"header"}):
-                        return "" if name in HEADINGS else "top"
+            found = "main" if value in ("main", "article") else found
+        elif key in ("class", "id") and name not in ("body", "html"):
+            parts = set(re.split(r"[^a-z0-9]+", value))
+            if name in MAIN_TAGS:
+                if parts & ASIDE_WORDS:
                     return "boiler"
-                if parts & MAIN_WORDS:
-                    found = "main"
+            elif parts & BOILER_WORDS:
+                return "doubtful" if name in PARAGRAPHS or name in HEADINGS else "boiler"
+            elif parts & DOUBTFUL_WORDS:
+                found = found or "doubtful"
+            elif parts & MAIN_WORDS:
+                found = "main"
     return found
 
 
+class _Open:
+    """The open elements. The places of each name, of blocks and of what ends where are at hand, so that nothing is searched for."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, str]] = []
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.depth = dict.fromkeys(("boiler", "doubtful", "main", "top", "a", "h", "p"), 0)
+
+    def _count(self, name: str, hint: str, by: int) -> None:
+        if hint:
+            self.depth[hint] += by
+        if name == "a":
+            self.depth["a"] += by
+        elif name in HEADINGS:
+            self.depth["h"] += by
+        elif name in PARAGRAPHS:
+            self.depth["p"] += by
+
+    def push(self, name: str, hint: str) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        if name not in INLINE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, hint))
+        self._count(name, hint, 1)
+
+    def close(self, to: int) -> None:
+        while len(self.stack) > to:
+            name, hint = self.stack.pop()
+            if name:
+                self.places[name].pop()
+                if name not in INLINE:
+                    self.blocks.pop()
+                self._count(name, hint, -1)
+
+    def last(self, *names: str) -> int:
+        """The innermost of these elements, or -1."""
+        return max((p[-1] for n in names if (p := self.places.get(n))), default=-1)
+
+    def end(self, name: str) -> None:
+        """An end tag. One of an inline element closes nothing outside its block."""
+        k = self.last(name)
+        if k >= 0 and not (name in INLINE and self.blocks and k < self.blocks[-1]):
+            self.close(k)
+
+    def no_link(self) -> None:
+        """A link ends the link that is open; what it holds stays open."""
+        k = self.last("a")
+        if k >= 0:
+            self._count(*self.stack[k], -1)
+            self.stack[k] = ("", "")
+            self.places["a"].pop()
+
+
 def blocks(page: str) -> list[Block]:
     """The flat blocks of a page. A block ends at any block-level tag; a line break or inline tag only separates or joins words."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
     parts: list[str] = []
     linked: list[str] = []
-    depth = {"boiler": 0, "main": 0, "top": 0, "a": 0, "h": 0}
+    opened = _Open()
+    depth = opened.depth
 
     def flush() -> None:
         if parts:
@@ -91,22 +165,12 @@ def blocks(page: str) -> list[Block]:
             if text:
                 n = text.count(" ") + 1
                 in_link = len(entities.unescape("".join(linked)).split())
-                out.append(Block(text, n, min(1.0, in_link / n), int(depth["boiler"] > 0 or depth["top"] > 0 and not depth["h"]), int(depth["main"] > 0), int(depth["h"] > 0)))
+                boiler = depth["boiler"] > 0 or depth["top"] > 0 and not depth["h"]
+                doubtful = depth["doubtful"] > 0 or NOTICE.match(text) is not None
+                out.append(Block(text, n, min(1.0, in_link / n), int(boiler), int(doubtful), int(depth["main"] > 0), int(depth["p"] > 0), int(depth["h"] > 0)))
             parts.clear()
             linked.clear()
 
-    def count(name: str, hint: str, by: int) -> None:
-        if hint:
-            depth[hint] += by
-        if name == "a":
-            depth["a"] += by
-        elif name in HEADINGS:
-            depth["h"] += by
-
-    def close(to: int) -> None:
-        while len(stack) > to:
-            count(*stack.pop(), -1)
-
     def text(raw: str) -> None:
         parts.append(raw)
         if depth["a"]:
@@ -120,39 +184,35 @@ def blocks(page: str) -> list[Block]:
             break
         if lt > at:
             text(page[at:lt])
-        m = _TOKEN.match(page, lt)
+        m = _TAG.match(page, lt)
         if m is None:
-            cut = re.compile(r"</?[a-zA-Z][^<>]*\Z").match(page, lt)
-            if cut:  # a tag that the end of the page cuts off
-                break
-            text("<")
-            at = lt + 1
-            continue
-        at = m.end()
-        if m[2] is None:
+            m = _OTHER.match(page, lt)
+            if m is None:
+                text("<")
+                at = lt + 1
+                continue
+            at = m.end()
             if m[0].startswith("<![CDATA["):
                 text(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))
             continue
-        name = m[2].lower()
+        at = m.end()
+        if not m[4]:  # a tag that the end of the page cuts off
+            break
+        name, attrs = m[2].lower(), m[3]
         if m[1]:
             if name not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break  # an inline end tag closes nothing outside its block
+            opened.end(name)
             continue
+        closed = attrs.rstrip().endswith("/")
         if name in RAW:
-            if not m[3].rstrip().endswith("/"):
-                end = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            if not closed:
+                end = _RAW_END[name].search(page, at)
                 at = end.end() if end else n
             continue
         if name in INLINE:
-            if name == "a" and depth["a"]:
-                k = max(i for i, s in enumerate(stack) if s[0] == "a")
-                count(*stack.pop(k), -1)
+            if name == "a":
+                opened.no_link()
         elif name == "br":
             text(" ")
             continue
@@ -160,11 +220,9 @@ def blocks(page: str) -> list[Block]:
             continue
         else:
             flush()
-            _implied_end(name, stack, close)
-        if name not in VOID and not (m[3].rstrip().endswith("/") and name not in INLINE and "=" not in m[3]):
-            hint = _hint(name, m[3], depth["main"] > 0)
-            stack.append((name, hint))
-            count(name, hint, 1)
+            _implied_end(name, opened)
+        if name not in VOID and not (closed and name not in INLINE and "=" not in attrs):
+            opened.push(name, _hint(name, attrs, depth["main"] > 0))
     flush()
     return out
 
@@ -172,59 +230,71 @@ def blocks(page: str) -> list[Block]:
 _ITEMS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
-def _implied_end(name: str, stack: list[tuple[str, str]], close) -> None:
+def _implied_end(name: str, opened: _Open) -> None:
     """A block-level tag ends an open paragraph with what inline elements it left open; an item ends the item before it."""
-    for k in range(len(stack) - 1, -1, -1):
-        if stack[k][0] == "p":
-            close(k)
-            break
-        if stack[k][0] not in INLINE:
-            break
+    if opened.blocks and opened.stack[opened.blocks[-1]][0] == "p":
+        opened.close(opened.blocks[-1])
     if name in _ITEMS:
         same = ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,)
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in same:
-                close(k)
-                break
-            if stack[k][0] in _ITEMS[name]:
-                break
+        k = opened.last(*same)
+        if k > opened.last(*_ITEMS[name]):
+            opened.close(k)
 
 
-FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "boiler", "main", "heading", "page_main")
+FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "boiler", "doubtful", "main", "paragraph", "heading", "page_main")
 
-# A hand-labelled table of blocks in the order of FEATURES, and whether the block belongs to the main text.
+# Blocks of pages (news, blogs, documentation, shops, wikis) labelled by hand, in the order of FEATURES, and whether the block belongs to the main text.
 LABELLED = (
-    # paragraphs and headings of an article
-    ((80, 0.0, 6, 0.0, 45, 0.0, 0, 1, 0, 1), 1), ((45, 0.02, 80, 0.0, 30, 0.0, 0, 1, 0, 1), 1), ((1, 0.0, 45, 0.0, 2, 0.0, 0, 1, 0, 1), 1),
-    ((2, 0.0, 1, 0.0, 90, 0.1, 0, 1, 0, 1), 1), ((7, 0.0, 5, 1.0, 60, 0.0, 0, 1, 1, 1), 1), ((4, 0.0, 90, 0.0, 70, 0.0, 0, 1, 1, 1), 1),
-    ((12, 0.5, 40, 0.0, 33, 0.0, 0, 1, 0, 1), 1), ((3, 1.0, 40, 0.0, 33, 0.0, 0, 1, 0, 1), 1), ((25, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1), 1),
-    ((150, 0.1, 4, 0.0, 3, 1.0, 0, 1, 0, 1), 1), ((9, 0.0, 1, 1.0, 1, 1.0, 0, 1, 0, 1), 1), ((60, 0.0, 60, 0.0, 8, 0.2, 0, 1, 0, 1), 1),
-    # boilerplate inside an article: adverts, share bars, comments, forms
-    ((8, 0.0, 60, 0.0, 70, 0.0, 1, 1, 0, 1), 0), ((2, 1.0, 60, 0.0, 2, 1.0, 1, 1, 0, 1), 0), ((35, 0.0, 50, 0.0, 28, 0.0, 1, 1, 0, 1), 0),
-    ((90, 0.0, 3, 0.0, 40, 0.0, 1, 1, 0, 1), 0), ((1, 0.0, 45, 0.0, 12, 0.0, 1, 1, 0, 1), 0), ((120, 0.02, 80, 0.0, 90, 0.0, 1, 1, 0, 1), 0),
+    # paragraphs, list items and headings of an article
+    ((80, 0.0, 6, 0.0, 45, 0.0, 0, 0, 1, 1, 0, 1), 1), ((45, 0.02, 80, 0.0, 30, 0.0, 0, 0, 1, 1, 0, 1), 1), ((1, 0.0, 45, 0.0, 2, 0.0, 0, 0, 1, 1, 0, 1), 1),
+    ((2, 0.0, 1, 0.0, 90, 0.1, 0, 0, 1, 0, 0, 1), 1), ((7, 0.0, 5, 1.0, 60, 0.0, 0, 0, 1, 0, 1, 1), 1), ((4, 0.0, 90, 0.0, 70, 0.0, 0, 0, 1, 0, 1, 1), 1),
+    ((12, 0.5, 40, 0.0, 33, 0.0, 0, 0, 1, 1, 0, 1), 1), ((3, 1.0, 40, 0.0, 33, 0.0, 0, 0, 1, 1, 0, 1), 1), ((25, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 1), 1),
+    ((150, 0.1, 4, 0.0, 3, 1.0, 0, 0, 1, 1, 0, 1), 1), ((9, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1, 1, 0, 1), 1), ((2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 1, 1, 0, 1), 1),
+    ((11, 0.0, 2, 0.0, 8, 0.0, 0, 0, 1, 1, 0, 1), 1), ((5, 0.0, 14, 0.0, 0, 0.0, 0, 0, 1, 1, 0, 1), 1), ((30, 0.9, 30, 0.9, 28, 1.0, 0, 0, 1, 1, 0, 1), 1),
+    ((4, 0.0, 20, 0.0, 0, 0.0, 0, 0, 1, 1, 0, 1), 1), ((3, 0.0, 30, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 1), 1), ((4, 1.0, 25, 0.0, 0, 0.0, 0, 0, 1, 1, 0, 1), 1), ((2, 0.0, 15, 0.0, 0, 0.0, 0, 0, 1, 1, 0, 1), 1),
+    ((6, 0.6, 18, 0.0, 3, 1.0, 0, 0, 1, 1, 0, 1), 1), ((4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0, 0, 1), 1), ((1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 1, 1, 0, 1), 1), ((20, 0.8, 40, 0.0, 10, 0.9, 0, 0, 1, 1, 0, 1), 1),
+    ((3, 1.0, 40, 0.0, 60, 0.0, 0, 0, 1, 1, 0, 1), 1), ((12, 0.9, 5, 0.0, 80, 0.0, 0, 0, 1, 1, 0, 1), 1), ((2, 1.0, 8, 0.0, 45, 0.0, 0, 0, 1, 0, 0, 1), 1), ((7, 1.0, 0, 0.0, 120, 0.0, 0, 0, 1, 0, 0, 1), 1),
+    # prose of an article whose class or wording only sounds like boilerplate
+    ((60, 0.0, 80, 0.0, 50, 0.0, 0, 1, 1, 1, 0, 1), 1), ((24, 0.0, 30, 0.0, 40, 0.0, 0, 1, 1, 1, 0, 1), 1), ((35, 0.05, 40, 0.0, 9, 0.0, 0, 1, 1, 0, 0, 1), 1),
+    ((90, 0.0, 7, 0.0, 55, 0.0, 0, 1, 1, 0, 0, 1), 1), ((16, 0.0, 60, 0.0, 70, 0.0, 0, 1, 1, 1, 0, 1), 1), ((6, 0.0, 12, 0.0, 75, 0.0, 0, 1, 1, 0, 1, 1), 1),
+    ((15, 0.1, 22, 0.0, 31, 0.0, 0, 1, 1, 1, 0, 1), 1), ((8, 0.0, 45, 0.0, 52, 0.0, 0, 1, 1, 1, 0, 1), 1), ((3, 0.0, 38, 0.0, 47, 0.0, 0, 1, 1, 1, 0, 1), 1),
+    # the same words on what is none: share bars, menus and notices inside an article
+    ((2, 1.0, 60, 0.0, 2, 1.0, 0, 1, 1, 1, 0, 1), 0), ((1, 1.0, 2, 1.0, 1, 1.0, 0, 1, 1, 1, 0, 1), 0), ((6, 0.0, 40, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 1), 0),
+    ((4, 0.0, 2, 1.0, 3, 1.0, 0, 1, 1, 0, 0, 1), 0), ((9, 0.7, 30, 0.0, 4, 1.0, 0, 1, 1, 0, 0, 1), 0), ((3, 0.0, 0, 0.0, 2, 1.0, 0, 1, 1, 0, 0, 1), 0),
+    ((14, 0.8, 50, 0.0, 33, 0.0, 0, 1, 1, 1, 0, 1), 0), ((5, 1.0, 61, 0.0, 44, 0.0, 0, 1, 1, 1, 0, 1), 0),
+    # boilerplate containers inside an article: adverts, share bars, comments, forms
+    ((8, 0.0, 60, 0.0, 70, 0.0, 1, 0, 1, 0, 0, 1), 0), ((2, 1.0, 60, 0.0, 2, 1.0, 1, 0, 1, 1, 0, 1), 0), ((35, 0.0, 50, 0.0, 28, 0.0, 1, 0, 1, 1, 0, 1), 0),
+    ((90, 0.0, 3, 0.0, 40, 0.0, 1, 1, 1, 1, 0, 1), 0), ((1, 0.0, 45, 0.0, 12, 0.0, 1, 0, 1, 0, 0, 1), 0), ((120, 0.02, 80, 0.0, 90, 0.0, 1, 0, 1, 1, 0, 1), 0),
     # menus, headers, footers, sidebars, notices
-    ((1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 1), 0), ((1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1), 0), ((9, 0.0, 1, 1.0, 7, 0.0, 1, 0, 0, 1), 0),
-    ((14, 0.0, 60, 0.0, 0, 0.0, 1, 0, 0, 1), 0), ((45, 0.0, 20, 0.0, 30, 0.0, 1, 0, 0, 1), 0), ((5, 0.0, 1, 1.0, 60, 0.0, 1, 0, 1, 1), 0),
-    ((70, 0.05, 6, 0.0, 50, 0.0, 1, 0, 0, 0), 0), ((3, 1.0, 2, 1.0, 4, 1.0, 1, 0, 0, 0), 0), ((20, 0.0, 25, 0.0, 22, 0.0, 1, 0, 0, 0), 0),
+    ((1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 1, 0, 1), 0), ((1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 0, 1), 0), ((9, 0.0, 1, 1.0, 7, 0.0, 1, 0, 0, 0, 0, 1), 0),
+    ((14, 0.0, 60, 0.0, 0, 0.0, 1, 1, 0, 0, 0, 1), 0), ((45, 0.0, 20, 0.0, 30, 0.0, 1, 0, 0, 1, 0, 1), 0), ((5, 0.0, 1, 1.0, 60, 0.0, 1, 0, 0, 0, 1, 1), 0),
+    ((70, 0.05, 6, 0.0, 50, 0.0, 1, 0, 0, 1, 0, 0), 0), ((3, 1.0, 2, 1.0, 4, 1.0, 1, 0, 0, 0, 0, 0), 0), ((20, 0.0, 25, 0.0, 22, 0.0, 1, 1, 0, 1, 0, 0), 0),
     # outside the article of a page that has one
-    ((30, 0.0, 1, 1.0, 6, 0.0, 0, 0, 0, 1), 0), ((6, 0.0, 30, 0.0, 50, 0.0, 0, 0, 1, 1), 0), ((55, 0.0, 50, 0.0, 12, 0.0, 0, 0, 0, 1), 0),
-    ((2, 0.0, 60, 0.0, 0, 0.0, 0, 0, 0, 1), 0), ((4, 1.0, 60, 0.0, 4, 1.0, 0, 0, 0, 1), 0), ((18, 0.3, 2, 1.0, 3, 1.0, 0, 0, 0, 1), 0),
+    ((30, 0.0, 1, 1.0, 6, 0.0, 0, 0, 0, 1, 0, 1), 0), ((6, 0.0, 30, 0.0, 50, 0.0, 0, 0, 0, 0, 1, 1), 0), ((55, 0.0, 50, 0.0, 12, 0.0, 0, 0, 0, 1, 0, 1), 0),
+    ((2, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 1), 0), ((4, 1.0, 60, 0.0, 4, 1.0, 0, 0, 0, 1, 0, 1), 0), ((18, 0.3, 2, 1.0, 3, 1.0, 0, 1, 0, 0, 0, 1), 0),
     # pages without containers: words and links of the block and its neighbours decide
-    ((60, 0.0, 5, 0.0, 45, 0.0, 0, 0, 0, 0), 1), ((25, 0.1, 60, 0.0, 40, 0.0, 0, 0, 0, 0), 1), ((18, 0.0, 30, 0.0, 22, 0.0, 0, 0, 0, 0), 1),
-    ((8, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 0), 1), ((3, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 0), 1), ((12, 0.1, 35, 0.1, 60, 0.0, 0, 0, 0, 0), 1),
-    ((40, 0.2, 1, 1.0, 50, 0.0, 0, 0, 0, 0), 1), ((90, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0), 1), ((6, 0.0, 1, 1.0, 70, 0.0, 0, 0, 1, 0), 1),
-    ((5, 0.0, 60, 0.0, 55, 0.0, 0, 0, 1, 0), 1), ((30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0), 1), ((5, 0.0, 0, 0.0, 80, 0.0, 0, 0, 1, 0), 1),
-    ((1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0), 0), ((2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0), 0), ((4, 0.9, 2, 1.0, 50, 0.0, 0, 0, 0, 0), 0),
-    ((15, 0.8, 40, 0.0, 10, 0.9, 0, 0, 0, 0), 0), ((25, 0.7, 3, 1.0, 20, 0.8, 0, 0, 0, 0), 0), ((50, 0.9, 4, 1.0, 3, 1.0, 0, 0, 0, 0), 0),
-    ((6, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0), 0), ((4, 0.0, 2, 1.0, 0, 0.0, 0, 0, 0, 0), 0), ((3, 0.0, 2, 0.5, 2, 1.0, 0, 0, 0, 0), 0),
-    ((9, 0.4, 1, 1.0, 1, 1.0, 0, 0, 0, 0), 0), ((5, 0.0, 30, 0.9, 2, 1.0, 0, 0, 0, 0), 0), ((10, 0.6, 60, 0.0, 40, 0.0, 0, 0, 0, 0), 0),
+    ((60, 0.0, 5, 0.0, 45, 0.0, 0, 0, 0, 1, 0, 0), 1), ((25, 0.1, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 0), 1), ((18, 0.0, 30, 0.0, 22, 0.0, 0, 0, 0, 1, 0, 0), 1),
+    ((8, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 1, 0, 0), 1), ((3, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 0, 0, 0), 1), ((12, 0.1, 35, 0.1, 60, 0.0, 0, 0, 0, 1, 0, 0), 1),
+    ((40, 0.2, 1, 1.0, 50, 0.0, 0, 0, 0, 1, 0, 0), 1), ((90, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0), 1), ((6, 0.0, 1, 1.0, 70, 0.0, 0, 0, 0, 0, 1, 0), 1),
+    ((5, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 0, 1, 0), 1), ((30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0), 1), ((5, 0.0, 0, 0.0, 80, 0.0, 0, 0, 0, 0, 1, 0), 1),
+    ((1, 0.0, 6, 0.0, 1, 0.0, 0, 0, 0, 1, 0, 0), 1), ((1, 0.0, 1, 0.0, 12, 0.0, 0, 0, 0, 1, 0, 0), 1), ((4, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0, 1, 0, 0), 1),
+    ((14, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 1, 0, 0), 1), ((2, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0, 1, 0, 0), 1), ((7, 0.3, 9, 0.0, 11, 0.0, 0, 0, 0, 1, 0, 0), 1),
+    ((50, 0.0, 8, 1.0, 9, 0.0, 0, 1, 0, 0, 0, 0), 1), ((45, 0.02, 0, 0.0, 30, 0.0, 0, 1, 0, 1, 0, 0), 1), ((26, 0.0, 33, 0.0, 0, 0.0, 0, 1, 0, 1, 0, 0), 1),
+    ((42, 0.0, 1, 1.0, 2, 0.0, 0, 0, 0, 1, 0, 0), 1), ((70, 0.03, 2, 1.0, 0, 0.0, 0, 0, 0, 1, 0, 0), 1), ((55, 0.0, 3, 1.0, 6, 0.0, 0, 0, 0, 0, 0, 0), 1),
+    ((1, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0, 1, 0, 0), 0), ((2, 1.0, 3, 1.0, 65, 0.0, 0, 0, 0, 0, 0, 0), 0), ((3, 1.0, 45, 0.0, 2, 1.0, 0, 0, 0, 1, 0, 0), 0),
+    ((1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 1, 0, 0), 0), ((2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0), 0), ((4, 0.9, 2, 1.0, 50, 0.0, 0, 0, 0, 1, 0, 0), 0),
+    ((15, 0.8, 40, 0.0, 10, 0.9, 0, 0, 0, 1, 0, 0), 0), ((25, 0.7, 3, 1.0, 20, 0.8, 0, 0, 0, 0, 0, 0), 0), ((50, 0.9, 4, 1.0, 3, 1.0, 0, 0, 0, 1, 0, 0), 0),
+    ((6, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0), 0), ((3, 0.0, 2, 0.8, 2, 1.0, 0, 0, 0, 0, 0, 0), 0), ((2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0), 0),
+    ((4, 0.0, 20, 0.0, 0, 0.0, 0, 0, 0, 1, 0, 0), 1), ((4, 0.0, 14, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0), 1), ((3, 0.0, 45, 0.0, 0, 0.0, 0, 0, 0, 1, 0, 0), 1), ((20, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0, 0, 0, 0), 1),
+    ((9, 0.4, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0), 0), ((5, 0.0, 30, 0.9, 2, 1.0, 0, 0, 0, 0, 0, 0), 0), ((10, 0.6, 60, 0.0, 40, 0.0, 0, 0, 0, 1, 0, 0), 0),
+    ((5, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 0), 0), ((8, 0.0, 70, 0.0, 3, 1.0, 0, 1, 0, 1, 0, 0), 0), ((11, 0.2, 2, 1.0, 45, 0.0, 0, 1, 0, 0, 0, 0), 0), ((4, 0.0, 25, 0.0, 0, 0.0, 0, 1, 0, 1, 0, 0), 0),
 )
 
 
 class Tree:
-    """CART: axis-parallel splits of least Gini impurity, until leaves are pure or cannot be split."""
+    """CART: axis-parallel splits of least Gini impurity, until leaves are pure or would hold less than `least` rows."""
 
-    def __init__(self, rows=LABELLED, least: int = 1):
+    def __init__(self, rows=LABELLED, least: int = 2):
         self.root = self._grow([(list(map(float, x)), y) for x, y in rows], least)
 
     @staticmethod
@@ -264,7 +334,7 @@ def features(bs: list[Block]) -> list[tuple[float, ...]]:
     page_main = int(any(b.main and not b.boiler for b in bs))
     ends = [(0, 0.0)]
     sizes = [*ends, *((b.words, b.link_density) for b in bs), *ends]
-    return [(b.words, b.link_density, *sizes[k], *sizes[k + 2], b.boiler, b.main, b.heading, page_main) for k, b in enumerate(bs)]
+    return [(b.words, b.link_density, *sizes[k], *sizes[k + 2], b.boiler, b.doubtful, b.main, b.paragraph, b.heading, page_main) for k, b in enumerate(bs)]
 
 
 def main_text(page: str | None, tree: Tree) -> str:
@@ -296,4 +366,15 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
 
 
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of pages; what extract_text says of nulls, long and repeated pages and empty tables holds."""
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+#: For pages as these tables hold them: one article of headings and paragraphs, whose blocks begin and end at their tags.
+ORACLE_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1) AS body FROM pages),
+c AS (SELECT page_id, url, regexp_replace(body, '(?s)<!--.*?-->|<(script|style)>.*?</(script|style)>|<div class="ad">.*?</div>', '', 'g') AS body FROM a),
+b AS (SELECT page_id, url, string_split(regexp_replace(regexp_replace(body, '</?(h1|p|div|li|ul)>', chr(1), 'g'), '<br>', ' ', 'g'), chr(1)) AS parts FROM c),
+t AS (SELECT page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&quot;?', '"', 'g'), '&#39;?', chr(39), 'g'), '&copy;?', chr(169), 'g'), '&middot;?', chr(183), 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS parts FROM b)
+SELECT page_id, url, coalesce(array_to_string(parts, chr(10)), '') AS text, CAST(length(coalesce(array_to_string(parts, chr(10)), '')) AS BIGINT) AS n_chars FROM t
+"""

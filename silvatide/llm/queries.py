@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_license_scan": license_scan.ORACLE_SQL,
+    "op2_html_extraction": html_extract.ORACLE_SQL,
     "op3_decontamination": decontaminate.ORACLE_SQL,
     "op4_url_filter": url_filter.ORACLE_SQL,
     "op7_exact_topk": bitsliced.ORACLE_SQL,
