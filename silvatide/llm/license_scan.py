@@ -17,8 +17,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .tables import arrow_map, only, table
+from .tables import arrow_map, table
 from .textops import ALNUM, Words, chunks, column, hash_words, text_buffer
 
 
@@ -189,8 +190,8 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = column(b, id_col)
-            data, off = text_buffer(column(b, text_col))
+            ids = column(b, "id")
+            data, off = text_buffer(column(b, "text"))
             for i, j in chunks(off):
                 w = Words(data[off[i] : off[j]], off[i : j + 1] - off[i], ALNUM)
                 n_base, first, last, base, own, longest = scanner.scan(w)
@@ -208,7 +209,7 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     names=names,
                 )
 
-    return arrow_map(only(df, id_col, text_col), run, schema)
+    return arrow_map(df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")), run, schema)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,11 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import arrow_map, only, table
-from .textops import column
+from .tables import arrow_map, table
 
 _U = np.uint64
 BATCH = 4096
@@ -126,36 +125,28 @@ class ShiftAnd:
         n = len(texts)
         size = np.fromiter((len(t) for t in texts), np.int64, n)
         order = np.argsort(-size, kind="stable")
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        begin = (np.cumsum(size) - size)[order]
         size = size[order]
-        grid = np.zeros((n, int(size[0]) if n else 0), np.uint8)
-        for row, at in enumerate(order):
-            grid[row, : size[row]] = np.frombuffer(texts[at], np.uint8)
         d = self._close(np.repeat(self.start[None, :], n, 0))
-        live = n
-        for i in range(grid.shape[1]):
-            while live and size[live - 1] <= i:
-                live -= 1
-            c = grid[:live, i]
-            d[:live] = self._close((self._shift(d[:live]) & self.step[c]) | (d[:live] & self.stay[c]))
+        # Texts still running at each step; none is copied or padded.
+        live = np.searchsorted(-size, -np.arange(int(size[0]) if n else 0), "left")
+        for i, k in enumerate(live.tolist()):
+            c = data[begin[:k] + i]
+            d[:k] = self._close((self._shift(d[:k]) & self.step[c]) | (d[:k] & self.stay[c]))
         out = np.zeros((n, len(self.ends)), bool)
         for k, b in enumerate(self.ends):
             out[order, k] = (d[:, b >> 6] >> _U(b & 63)) & _U(1) != 0
         return out
 
 
-def split_url(url: str | None) -> tuple[str, str]:
-    """Host (A-Z lower-cased) and path; both empty without "://"."""
-    if url is None or "://" not in url:
-        return "", ""
-    rest = url.partition("://")[2]
-    cut = min((i for i in (rest.find(c) for c in "?#") if i >= 0), default=len(rest))
-    rest = rest[:cut]
-    slash = rest.find("/")
-    host, path = (rest, "") if slash < 0 else (rest[:slash], rest[slash:])
-    return host.translate(_LOWER), path
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_LOWER = {c: c + 32 for c in range(65, 91)}
+def split_url(url: Column) -> tuple[Column, Column]:
+    """Host (A-Z lower-cased) and path; both empty for null and without "://"."""
+    part = lambda k: F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)([^?#]*)", k), F.lit(""))
+    return F.translate(part(1), UPPER, LOWER), part(2)
 
 
 def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", base: Sequence[Rule] = BASE_RULES, globs: Sequence[Rule] = GLOB_RULES, default: str = "allow") -> DataFrame:
@@ -170,21 +161,18 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ba
     rules = [*ranked, *own]
     machine = ShiftAnd([r.pattern for r in rules])
     kind = df.schema[id_col].dataType
-    schema = f"{id_col} {kind.simpleString()}, host string, path string, rule string, verdict string, pattern string"
+    schema = f"`{id_col}` {kind.simpleString()}, host string, path string, rule string, verdict string, pattern string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 b = whole.slice(at, BATCH)
-                parts = [split_url(u) for u in column(b, url_col).to_pylist()]
-                hit = machine.match([("." + h + p).encode() for h, p in parts])
+                hit = machine.match([("." + h + p).encode() for h, p in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)])
                 first = np.where(hit.any(1), hit.argmax(1), -1)
                 won = [rules[k] if k >= 0 else None for k in first]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        column(b, id_col),
-                        pa.array([h for h, _ in parts], pa.string()),
-                        pa.array([p for _, p in parts], pa.string()),
+                        *(b.column(k) for k in range(3)),
                         pa.array([r and r.name for r in won], pa.string()),
                         pa.array([r.verdict if r else default for r in won], pa.string()),
                         pa.array([r and r.pattern for r in won], pa.string()),
@@ -192,10 +180,12 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ba
                     names=[id_col, "host", "path", "rule", "verdict", "pattern"],
                 )
 
-    return arrow_map(only(df, id_col, url_col), run, schema)
+    host, path = split_url(F.col(f"`{url_col}`"))
+    return arrow_map(df.select(F.col(f"`{id_col}`").alias("id"), host.alias("host"), path.alias("path")), run, schema)
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of pages; what filter_urls says of nulls, long and repeated urls and empty tables holds."""
     out = filter_urls(table(spark, sf_dir, "pages"))
     return out.select("page_id", "host", "path", "rule", "verdict", F.col("pattern").alias("matched"))
 
