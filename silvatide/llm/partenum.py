@@ -163,29 +163,34 @@ def signatures(s: np.ndarray, bands: Bands, turn: int = 0) -> np.ndarray:
     gives its thin signatures too. Of two linked sets let a be the one that stops first, at some cut. There they agree on
     a subset of a partition that is not thin for a, and both give its signature.
     """
+    if not len(s):
+        return np.zeros(0, np.uint64)
     band, out = bands.band(len(s)), []
+    made: list[tuple[np.ndarray, np.ndarray]] = []  # of each cut the hashes in order, and sums of their scrambles
     for level in (band, band + 1):
-        if not len(s):
-            continue
         x = bands.scheme(level, turn)
         if x is None:
             out.append(mix(mix(s).sum(dtype=np.uint64, keepdims=True) + _U(level)))
             continue
         pick = _subsets(x.inner, x.size).T
         for cut in range(CUTS):
-            v = s if cut == 0 else np.sort(mix(s ^ _U(cut * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
-            at = np.concatenate([[0], np.searchsorted(v, _edges(x.outer * x.inner)), [len(v)]])
-            sums = np.zeros(len(v) + 1, np.uint64)
-            np.cumsum(mix(v + _U(0x5851F42D4C957F2D)), out=sums[1:])
-            sums = sums[at]
-            held = np.diff(at).astype(np.uint64).reshape(x.outer, x.inner) @ pick
-            sig = mix((sums[1:] - sums[:-1]).reshape(x.outer, x.inner) @ pick ^ _salts(level, turn, cut, x))
+            if cut == len(made):
+                v = s if cut == 0 else np.sort(mix(s ^ _U(cut * 0x9E3779B97F4A7C15 & (1 << 64) - 1)))
+                sums = np.zeros(len(v) + 1, np.uint64)
+                np.cumsum(mix(v + _U(0x5851F42D4C957F2D)), out=sums[1:])
+                made.append((v, sums))
+            v, sums = made[cut]
+            at = np.empty(x.outer * x.inner + 1, np.int64)
+            at[0], at[1:-1], at[-1] = 0, np.searchsorted(v, _edges(x.outer * x.inner)), len(v)
+            part = sums[at]
+            held = (at[1:] - at[:-1]).astype(np.uint64).reshape(x.outer, x.inner) @ pick
+            sig = mix((part[1:] - part[:-1]).reshape(x.outer, x.inner) @ pick ^ _salts(level, turn, cut, x))
             thick = held >= x.least
             done = x.outer - int(thick.all(1).sum()) <= x.spare
             out.append(sig[thick] if done or cut < CUTS - 1 else sig.ravel())
             if done:
                 break
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return np.concatenate(out)
 
 
 def sets_of(texts: pa.Array, k: int) -> Iterator[np.ndarray]:
