@@ -20,18 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where it names none (tests), a folder of our own."""
+    """The shared folder that the cluster names. Where it names none a folder of this machine will do in local mode (tests); on a cluster that is an error."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not d:
-        d = "file:///tmp/silvatide-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir names no shared folder")
+        d = f"file://{tempfile.gettempdir()}/silvatide-{spark.sparkContext.applicationId}"
     return d.rstrip("/")
 
 
+#: Folders that written() made in this process.
+_made: list[str] = []
+
+
 def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df as Parquet under the shared folder and read it back: this cuts the lineage and survives lost executors."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
     with _shuffles_freed(spark):
         df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -59,6 +66,18 @@ def delete(spark: SparkSession, *tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete what written() makes inside, but for the tables put into the list."""
+    before, kept = len(_made), []
+    yield kept
+    keep = {f.rpartition("/")[2] for df in kept for f in {x.rpartition("/")[0] for x in df.inputFiles()}}
+    for path in [p for p in _made[before:] if p.rpartition("/")[2] not in keep]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    _made[before:] = [p for p in _made[before:] if p.rpartition("/")[2] in keep]
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """These columns alone, whatever others there are."""
     return df.select(*[F.col(f"`{n}`") for n in names])

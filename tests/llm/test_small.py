@@ -115,6 +115,15 @@ def test_licenses(spark):
     assert [(got[k].n_words, got[k].first_word, got[k].labels, got[k].score) for k in (5, 6, 7)] == [(0, None, "", 0.0), (0, None, "", 0.0), (3, None, "", 0.0)]
     assert (got[8].first_word, got[8].labels) == (3000, "apache-2")
     assert license_scan.scan_licenses(docs(spark, [])).count() == 0
+    again = license_scan.scan_licenses(docs(spark, [texts[0], texts[0]], [1, 1]).withColumnRenamed("doc_id", "a.b"), "a.b").collect()
+    assert len(again) == 2 and again[0] == again[1]
+    nested = license_scan.Template("n", "one <<beginOptional>>two <<beginOptional>>three<<endOptional>> four<<endOptional>> <<var;max=1>> five")
+    said = ["one five", "one two four five", "one two three four five", "one two three four x five", "one two three five", "one two x y five", "one x five"]
+    found = license_scan.scan_licenses(docs(spark, said), templates=[nested]).collect()
+    assert [r.labels for r in sorted(found, key=lambda r: r.doc_id)] == ["n", "n", "n", "n", "", "", "n"]
+    for markup in ("a <<beginOptional>>b", "a <<endOptional>> b", "a <<beginOptional>><<endOptional>> b", "a <<var>> b", "a << b", "<<beginOptional>>a<<endOptional>>"):
+        with pytest.raises(ValueError):
+            license_scan.Automaton(license_scan.Template("bad", markup))
 
 
 # 2
@@ -141,6 +150,50 @@ def test_figures_of_the_article_stay():
     assert html_extract.main_text(page, html_extract.Tree()).split("\n") == ["Before it", "12 cells", "A caption of the figure", "After it"]
 
 
+LONG = " ".join(["word"] * 40)
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        (f"<article><p>{LONG}</p><figure><img src=x><figcaption>A caption</figcaption></figure><math><mi>x</mi></math></article>", f"{LONG}\nA caption\nx"),
+        (f"<article><p class=copyright>{LONG}</p><p class='menu'>{LONG}</p></article>", f"{LONG}\n{LONG}"),
+        (f"<div class='social history'><p>{LONG}</p></div>", LONG),
+        ("<p>Is it so?</p><p>Yes.</p><p>No.</p><p>That is all there is to say</p>", "Is it so?\nYes.\nNo.\nThat is all there is to say"),
+        (f"<ul><li><a href=/>Home</a><li><a href=/a>About</a></ul><p>{LONG}</p><div>Copyright 2024</div>", LONG),
+        (f"<article><p>{LONG}</p><div class='share'><a>Tweet</a><a>Mail</a></div><p><a href=x>See this</a></p><p>End</p></article>", f"{LONG}\nSee this\nEnd"),
+        (f"<article><p>{LONG}</p></article><p>© 2024 All rights</p>", LONG),
+        ("<article><p>a <a href='x'>b <a href=\"y>z\">c</a> d</p></article>", "a b c d"),
+        ("<article><p title=\"a > b\" data-x='<p>'>one</p></article>", "one"),
+        ("<article><p>x &lt;b&gt; &amp;amp; &#233;&nbsp;y</p></article>", "x <b> &amp; é y"),
+    ],
+)
+def test_doubtful_markup(page, text):
+    assert html_extract.main_text(page, html_extract.Tree()) == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<b><p>x", "</x>", "<a>", "<li>x", "<!--", "<script>", '<a class="', "<", "<table><td>", "</b>", "<![CDATA[", "<p class="])
+def test_hostile_pages_take_linear_time(unit):
+    import time
+
+    tree, took = html_extract.Tree(), []
+    for n in (20_000, 80_000):
+        began = time.perf_counter()
+        html_extract.main_text(unit * n, tree)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * max(took[0], 0.05)
+
+
+def test_neighbours_and_links_decide():
+    """The same block is kept or dropped by what stands around it and how much of it is link."""
+    tree = html_extract.Tree()
+    around = lambda before, block, after: html_extract.main_text(f"<div>{before}</div><div>{block}</div><div>{after}</div>", tree)
+    links = "<a href=x>one</a> <a href=y>two</a>"
+    assert "six words stand in this block" in around(LONG, "six words stand in this block", LONG)
+    assert "six words" not in around(links, "six words stand in this block", links)
+    assert "linked" not in around(LONG, "<a href=x>linked words that go on for a while</a>", LONG)
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", "clash"), (1, "u", None, "x"), (None, None, "<article>" + "<p>w</p>" * 3000 + "</article>", "")], "page_id long, url string, html string, text string")
     got = rows(html_extract.extract_text(df), "page_id", "url", "n_chars")
@@ -212,6 +265,13 @@ def test_url_rules(spark):
     assert (got[3].host, got[3].path) == ("a.example.net", "/en/1")
 
 
+def test_url_edges(spark):
+    df = spark.createDataFrame([(1, "http://a.net/" + "x" * 300_000), (1, "http://a.net/" + "x" * 300_000), (2, "HTTP://É.NET/"), (3, "a\n://b\nc.org/fr/x\ny?z")], "`page.id` long, url string")
+    got = url_filter.filter_urls(df, "page.id").collect()
+    assert [r.rule for r in got] == ["net/", "net/", "net/", "org/fr/"] and (got[2].host, got[3].host, got[3].path) == ("É.net", "b\nc.org", "/fr/x\ny")
+    assert url_filter.filter_urls(df.limit(0), "page.id").count() == 0
+
+
 def test_automaton_against_patterns():
     rng = random.Random(4)
     patterns = ["".join(rng.choice(["a", "b", "/", "*", "**", "."]) for _ in range(rng.randint(1, 9))) for _ in range(40)]
