@@ -98,16 +98,17 @@ def containment_max_annotation(spark, d):
     return containment.row_max(cells(spark, d))
 
 
+BRAND_NAMES = sorted(f"Brand#{k}" for k in range(1, 26))
+_GRID = ", ".join(f"""coalesce(max(v) FILTER (genome = '{g}'), 0) AS "{g}\"""" for g in BRAND_NAMES)
+
+
 @register(
     "containment_wide",
-    f"""WITH {C} SELECT sample, coalesce(max(v) FILTER (genome = 'Brand#11'), 0) AS "Brand#11", coalesce(max(v) FILTER (genome = 'Brand#23'), 0) AS "Brand#23",
-coalesce(max(v) FILTER (genome = 'Brand#55'), 0) AS "Brand#55", max(v) AS max_containment, arg_max_first.g AS max_containment_annotation
-FROM c JOIN (SELECT sample AS s, genome AS g FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY v DESC, genome) AS rn FROM c WHERE genome IN ('Brand#11', 'Brand#23', 'Brand#55')) WHERE rn = 1) arg_max_first ON sample = s
-WHERE genome IN ('Brand#11', 'Brand#23', 'Brand#55') GROUP BY sample, arg_max_first.g""",
+    f"""WITH {C}, k AS (SELECT sample AS s, genome AS max_containment_annotation FROM (SELECT *, row_number() OVER (PARTITION BY sample ORDER BY v DESC, genome) AS rn FROM c) WHERE rn = 1),
+w AS (SELECT sample, {_GRID}, max(v) AS max_containment FROM c GROUP BY sample) SELECT w.*, max_containment_annotation FROM w JOIN k ON sample = s""",
 )
 def containment_wide(spark, d):
-    g = ("Brand#11", "Brand#23", "Brand#55")
-    return containment.wide(cells(spark, d).filter(F.col("genome").isin(*g)), g)
+    return containment.wide(cells(spark, d), BRAND_NAMES)
 
 
 @register(
@@ -164,8 +165,7 @@ def cooccurrence(spark, d):
 
 
 def _distance_sql(expr: str) -> str:
-    return f"""WITH {C}, ids AS (SELECT n_nationkey AS sample FROM nation), p AS (SELECT s_nationkey AS sample, p_brand AS genome FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-  JOIN part ON l_partkey = p_partkey GROUP BY ALL HAVING max(l_quantity / CAST(50 AS DOUBLE)) > 0.99),
+    return f"""WITH {C}, ids AS (SELECT c_custkey AS sample FROM customer), p AS (SELECT sample, genome FROM c WHERE v > 0.9),
 s AS (SELECT ids.sample, count(p.genome) AS n FROM ids LEFT JOIN p ON p.sample = ids.sample GROUP BY ids.sample),
 i AS (SELECT x.sample AS a, y.sample AS b, count(*) AS i FROM p x JOIN p y ON x.genome = y.genome AND x.sample < y.sample GROUP BY ALL),
 k AS (SELECT x.sample AS a, y.sample AS b, x.n AS na, y.n AS nb, coalesce(i.i, 0) AS i FROM s x JOIN s y ON x.sample < y.sample LEFT JOIN i ON i.a = x.sample AND i.b = y.sample)
@@ -174,12 +174,8 @@ SELECT a, b, round({expr}, 9) AS distance FROM k"""
 
 def _distance(method: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
-        s = t(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("sample"))
-        p = t(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("genome"))
-        l = t(spark, d, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_quantity") / 50.0).alias("v"))
-        long = containment.build(l.join(p, "l_partkey").join(s, "l_suppkey"))
-        out = containment.presence_distance(long, 0.99, method, nations(spark, d)[0])
-        return out.select("a", "b", r("distance").alias("distance"))
+        samples = t(spark, d, "customer").select(F.col("c_custkey").alias("sample"))
+        return containment.presence_distance(cells(spark, d), 0.9, method, samples).select("a", "b", r("distance").alias("distance"))
 
     return query
 
@@ -220,14 +216,12 @@ def metadata_counts(spark, d):
     return metadata.counts_by_genome(cells(spark, d), people(spark, d), "segment", 0.5)
 
 
-@register(
-    "metadata_counts_wide",
-    f"""WITH {C} SELECT c_mktsegment AS value, count(*) FILTER (genome = 'Brand#11') AS "Brand#11", count(*) FILTER (genome = 'Brand#23') AS "Brand#23"
-FROM c JOIN customer ON sample = c_custkey WHERE v > 0.5 AND genome IN ('Brand#11', 'Brand#23') GROUP BY ALL""",
-)
+_COUNTS = ", ".join(f"""count(*) FILTER (genome = '{g}') AS "{g}\"""" for g in BRAND_NAMES)
+
+
+@register("metadata_counts_wide", f"WITH {C} SELECT c_mktsegment AS value, {_COUNTS} FROM c JOIN customer ON sample = c_custkey WHERE v > 0.5 AND c_mktsegment IS NOT NULL GROUP BY ALL")
 def metadata_counts_wide(spark, d):
-    g = ("Brand#11", "Brand#23")
-    return metadata.counts_wide(cells(spark, d).filter(F.col("genome").isin(*g)), people(spark, d), "segment", g, 0.5)
+    return metadata.counts_wide(cells(spark, d), people(spark, d), "segment", BRAND_NAMES, 0.5)
 
 
 @register("metadata_column_sums", f"WITH {C} SELECT genome, count(*) AS n FROM c JOIN customer ON sample = c_custkey WHERE v > 0.5 GROUP BY ALL")
@@ -485,16 +479,26 @@ def group_statistics(spark, d):
 @register(
     "group_anova",
     """WITH g AS (SELECT o_orderpriority AS k, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) * (count(*) - 1) AS ss FROM orders GROUP BY ALL), a AS (SELECT count(*) AS g, sum(n)::BIGINT AS n, sum(ss) AS w, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS b FROM g)
-SELECT 'o_totalprice' AS metric, 'anova' AS test, g AS groups, round((b / (g - 1)) / (w / (n - g)), 5) AS f_statistic FROM a""",
+SELECT 'o_totalprice' AS metric, 'ANOVA' AS test, g AS groups, round((b / (g - 1)) / (w / (n - g)), 5) AS statistic FROM a""",
 )
 def group_anova(spark, d):
-    return statistics.anova(t(spark, d, "orders"), "o_orderpriority", ["o_totalprice"]).select("metric", "test", "groups", r("f_statistic", 5).alias("f_statistic"))
+    return statistics.group_tests(t(spark, d, "orders"), "o_orderpriority", ["o_totalprice"]).select("metric", "test", "groups", r("statistic", 5).alias("statistic"))
+
+
+@register(
+    "group_t_test",
+    """WITH g AS (SELECT l_linestatus AS k, 'l_quantity' AS metric, count(*) AS n, avg(l_quantity) AS m, var_samp(l_quantity) * (count(*) - 1) AS ss FROM lineitem GROUP BY ALL UNION ALL SELECT l_linestatus, 'l_extendedprice', count(*), avg(l_extendedprice), var_samp(l_extendedprice) * (count(*) - 1) FROM lineitem GROUP BY ALL),
+a AS (SELECT metric, count(*) AS g, sum(n)::BIGINT AS n, sum(ss) AS w, min_by(m, k) - max_by(m, k) AS gap, sum(1.0::DOUBLE / n) AS inv FROM g GROUP BY metric)
+SELECT metric, 't-test' AS test, g AS groups, round(gap / sqrt(w / (n - 2) * inv), 5) AS statistic FROM a""",
+)
+def group_t_test(spark, d):
+    return statistics.group_tests(t(spark, d, "lineitem"), "l_linestatus", ["l_quantity", "l_extendedprice"]).select("metric", "test", "groups", r("statistic", 5).alias("statistic"))
 
 
 @register("group_tests_p")
 def group_tests_p(spark, d):
     two = t(spark, d, "orders").filter(F.col("o_orderstatus").isin("F", "O"))
-    return statistics.anova(two, "o_orderstatus", ["o_totalprice"])
+    return statistics.group_tests(two, "o_orderstatus", ["o_totalprice"])
 
 
 @register(
@@ -552,10 +556,15 @@ def length_distribution(spark, d):
 
 @register(
     "kmer_diversity",
-    """SELECT item_id, round(CASE WHEN length(text) >= 3 THEN len(list_distinct(list_transform(range(1, length(text) - 1), lambda i: substr(text, i, 3)))) / CAST(length(text) - 2 AS DOUBLE) ELSE 0 END, 9) AS diversity FROM benchmark""",
+    """WITH l AS (SELECT doc_id, string_split(text, '') AS c, length(text) AS n FROM documents) SELECT doc_id, round(CASE WHEN n >= 3 THEN len(list_distinct(list_transform(range(1, n - 1), lambda i: c[i] || c[i + 1] || c[i + 2]))) / CAST(n - 2 AS DOUBLE) ELSE 0 END, 9) AS diversity FROM l""",
 )
 def kmer_diversity(spark, d):
-    return t(spark, d, "benchmark").select("item_id", r(clean.kmer_diversity(F.col("text"))).alias("diversity"))
+    return t(spark, d, "documents").select("doc_id", r(F.coalesce(clean.kmer_diversity(F.col("text")), F.lit(0.0))).alias("diversity"))
+
+
+@register("homopolymer_rate")  # its pattern refers back to a group, which the oracle's engine cannot
+def homopolymer_rate(spark, d):
+    return t(spark, d, "documents").select("doc_id", r(clean.homopolymer_rate(F.col("text"))).alias("rate"))
 
 
 @register("duplication_rate", "WITH g AS (SELECT lang, text, count(*) AS n FROM documents GROUP BY ALL) SELECT lang AS key, sum(n)::BIGINT AS total, count(*) AS distinct_reads, round(1 - count(*) / CAST(sum(n) AS DOUBLE), 9) AS duplication_rate, round(max(n) / CAST(sum(n) AS DOUBLE), 9) AS over_represented FROM g GROUP BY ALL")
@@ -581,8 +590,8 @@ def quality_grade(spark, d):
 @register(
     "anomaly_flags",
     """WITH x AS (SELECT p_partkey, p_size / 100.0::DOUBLE AS c, p_size / 200.0::DOUBLE AS a, p_size / 50.0::DOUBLE AS gc, p_size / 400.0::DOUBLE AS n FROM part),
-f AS (SELECT p_partkey, list_filter([CASE WHEN c < 0.1::DOUBLE THEN 'low_complexity' END, CASE WHEN a > 0.1::DOUBLE THEN 'high_adapter' END, CASE WHEN gc < 0.2::DOUBLE OR gc > 0.8::DOUBLE THEN 'unusual_gc' END, CASE WHEN n > 0.05::DOUBLE THEN 'high_n_content' END], lambda v: v IS NOT NULL) AS fl FROM x)
-SELECT p_partkey, array_to_string(fl, ',') AS flags, least(10, CASE WHEN list_contains(fl, 'low_complexity') THEN 3 ELSE 0 END + CASE WHEN list_contains(fl, 'high_adapter') THEN 4 ELSE 0 END + CASE WHEN list_contains(fl, 'unusual_gc') THEN 2 ELSE 0 END + CASE WHEN list_contains(fl, 'high_n_content') THEN 3 ELSE 0 END) / 10.0::DOUBLE AS severity FROM f""",
+f AS (SELECT p_partkey, list_filter([CASE WHEN c < 0.1::DOUBLE THEN 'low_complexity' END, CASE WHEN a > 0.1::DOUBLE THEN 'high_contamination' END, CASE WHEN gc < 0.2::DOUBLE OR gc > 0.8::DOUBLE THEN 'unusual_gc' END, CASE WHEN n > 0.05::DOUBLE THEN 'high_n_content' END], lambda v: v IS NOT NULL) AS fl FROM x)
+SELECT p_partkey, array_to_string(fl, ',') AS flags, least(10, CASE WHEN list_contains(fl, 'low_complexity') THEN 3 ELSE 0 END + CASE WHEN list_contains(fl, 'high_contamination') THEN 4 ELSE 0 END + CASE WHEN list_contains(fl, 'unusual_gc') THEN 2 ELSE 0 END + CASE WHEN list_contains(fl, 'high_n_content') THEN 3 ELSE 0 END) / 10.0::DOUBLE AS severity FROM f""",
 )
 def anomaly_flags(spark, d):
     s = F.col("p_size")
@@ -590,11 +599,40 @@ def anomaly_flags(spark, d):
     return t(spark, d, "part").select("p_partkey", F.array_join(f, ",").alias("flags"), clean.anomaly_severity(f).alias("severity"))
 
 
-@register("technology_detect", "SELECT p_partkey, CASE WHEN contains(lower(p_type), 'e') AND false THEN '' WHEN contains(x, 'illumina') THEN 'illumina' WHEN contains(x, 'nanopore') THEN 'nanopore' WHEN contains(x, 'pacbio') OR contains(x, 'sequel') THEN 'pacbio' ELSE 'unknown' END AS technology FROM (SELECT *, CASE p_partkey % 4 WHEN 0 THEN 'illumina hiseq' WHEN 1 THEN 'oxford nanopore' WHEN 2 THEN 'sequel ii' ELSE lower(p_type) END AS x FROM part)")
+# What the instruments and platforms of the archive look like, dealt to the parts.
+PLATFORMS = ("ILLUMINA", "OXFORD_NANOPORE", "PACBIO_SMRT", "LS454", None, "BGISEQ", "Ion Torrent")
+INSTRUMENTS = ("Illumina HiSeq 2500", "MinION", "Sequel II", "PacBio RS II", "454 GS FLX", None, "GridION", "DNBSEQ-G400", "PromethION", "NextSeq 500")
+STRATEGIES = ("WGS", "Nanopore WGS", "PacBio HiFi", "ILLUMINA AMPLICON", None)
+
+
+def _dealt(values, key: str = "p_partkey", by: int = 1) -> Column:
+    """The value at floor(key / by) modulo their number."""
+    return F.get(F.array(*[F.lit(v).cast("string") for v in values]), (F.floor(F.col(key) / by) % len(values)).cast("int"))
+
+
+def _dealt_sql(values, key: str = "p_partkey", by: int = 1) -> str:
+    listed = ", ".join("NULL" if v is None else "'" + v.replace("'", "''") + "'" for v in values)
+    return f"([{listed}])[CAST({key} // {by} % {len(values)} AS BIGINT) + 1]"
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "part").select("p_partkey", _dealt(PLATFORMS).alias("platform"), _dealt(INSTRUMENTS, by=7).alias("instrument"), _dealt(STRATEGIES, by=3).alias("strategy"))
+
+
+RUNS = f"""runs AS (SELECT p_partkey, {_dealt_sql(PLATFORMS)} AS platform, {_dealt_sql(INSTRUMENTS, by=7)} AS instrument, {_dealt_sql(STRATEGIES, by=3)} AS strategy FROM part),
+tech AS (SELECT p_partkey, platform, instrument, CASE WHEN lower(platform) = 'illumina' OR contains(lower(instrument), 'illumina') THEN 'illumina'
+  WHEN lower(platform) = 'oxford_nanopore' OR regexp_matches(lower(instrument), 'nanopore|minion|gridion') THEN 'nanopore'
+  WHEN lower(platform) = 'pacbio_smrt' OR regexp_matches(lower(instrument), 'pacbio|sequel|rs ii') THEN 'pacbio'
+  WHEN contains(lower(strategy), 'nanopore') THEN 'nanopore' WHEN contains(lower(strategy), 'pacbio') THEN 'pacbio' ELSE 'unknown' END AS technology FROM runs)"""
+
+
+@register(
+    "technology_detect",
+    f"""WITH {RUNS} SELECT p_partkey, technology, round(least(1, 0.5::DOUBLE + CASE WHEN platform <> '' THEN 0.3::DOUBLE ELSE 0 END + CASE WHEN instrument <> '' THEN 0.2::DOUBLE ELSE 0 END), 9) AS confidence FROM tech""",
+)
 def technology_detect(spark, d):
-    k = F.col("p_partkey") % 4
-    platform = F.when(k == 0, "ILLUMINA").when(k == 1, "Oxford NanoPore").when(k == 2, "Sequel II").otherwise(F.col("p_type"))
-    return t(spark, d, "part").select("p_partkey", clean.technology(platform, F.lit(None).cast("string"), F.when(k == 0, "HiSeq")).alias("technology"))
+    tech = clean.technology(F.col("platform"), F.col("instrument"), F.col("strategy"))
+    return runs(spark, d).select("p_partkey", tech.alias("technology"), r(clean.technology_confidence(F.col("platform"), F.col("instrument"))).alias("confidence"))
 
 
 @register("species_clean", r"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace('Uncultured ' || p_name || ' strain K' || p_size || ' [x] (y)', '(?i)^(candidate|unclassified|uncultured)\s+', ''), '(?i)\s+(sp\.|strain|isolate|clone)(\s+.*|$)', ''), '\[.*?\]|\(.*?\)', '', 'g'), '\s+', ' ', 'g')) AS name FROM part")
@@ -603,18 +641,26 @@ def species_clean(spark, d):
     return t(spark, d, "part").select("p_partkey", clean.clean_species(raw).alias("name"))
 
 
-@register("country_split", "SELECT n_nationkey, n_name AS country FROM nation")
+LOCATIONS = ("USA: Texas", "Germany", "not collected", "Brazil:Amazon: north", ":x", None, "", "Viet Nam: Hanoi")
+
+
+@register("country_split", f"""SELECT p_partkey, CASE WHEN contains(l, ':') THEN string_split(l, ':')[1] ELSE l END AS country FROM (SELECT p_partkey, {_dealt_sql(LOCATIONS)} AS l FROM part)""")
 def country_split(spark, d):
-    return t(spark, d, "nation").select("n_nationkey", clean.country(F.concat("n_name", F.lit(": north: x"))).alias("country"))
+    return t(spark, d, "part").select("p_partkey", clean.country(_dealt(LOCATIONS)).alias("country"))
+
 
+#: Texts as they stand in metadata, with what they say.
+PLACES = (
+    ("40.7128, -74.0060", 40.7128, -74.006), ("40.7128N, 74.0060W", 40.7128, -74.006), ("[35.5, 100]", 35.5, 100.0), ("12.5 S 45.25 E", None, None), ("-33.9 18.4", -33.9, 18.4),
+    ("not collected", None, None), ("1,2,3", None, None), (None, None, None), ("35.7N 100.2W", 35.7, -100.2), ("", None, None), ("10S,20E", -10.0, 20.0),
+)
+_WHERE = ", ".join(f"({k}, {a if a is not None else 'NULL'}::DOUBLE, {b if b is not None else 'NULL'}::DOUBLE)" for k, (_, a, b) in enumerate(PLACES))
 
-@register("coordinates_parse", "SELECT c_custkey, -(c_custkey % 90)::DOUBLE AS lat, (c_custkey % 180)::DOUBLE AS lon FROM customer")
+
+@register("coordinates_parse", f"SELECT c_custkey, lat, lon FROM customer JOIN (VALUES {_WHERE}) w(k, lat, lon) ON c_custkey % {len(PLACES)} = k")
 def coordinates_parse(spark, d):
-    a, b = (F.col("c_custkey") % 90).cast("string"), (F.col("c_custkey") % 180).cast("string")
-    k = F.col("c_custkey") % 3
-    text = F.when(k == 0, F.concat(a, F.lit("S, "), b, F.lit("E"))).when(k == 1, F.concat(F.lit("[-"), a, F.lit(".0, "), b, F.lit(".0]"))).otherwise(F.concat(F.lit("-"), a, F.lit(" "), b))
-    c = clean.coordinates(text)
-    return t(spark, d, "customer").select("c_custkey", (c["lat"] + 0.0).alias("lat"), c["lon"].alias("lon"))
+    c = clean.coordinates(_dealt([p[0] for p in PLACES], "c_custkey"))
+    return t(spark, d, "customer").select("c_custkey", c["lat"].alias("lat"), c["lon"].alias("lon"))
 
 
 @register("containment_values", "SELECT l_orderkey, l_linenumber, l_quantity / 25.0::DOUBLE AS v FROM lineitem WHERE l_quantity / 25.0::DOUBLE <= 1")
@@ -623,11 +669,20 @@ def containment_values(spark, d):
     return t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", v.alias("v")).filter("v IS NOT NULL")
 
 
-@register("valid_accessions", "SELECT p_partkey FROM part WHERE p_partkey % 3 = 0")
+ACCESSIONS = ("SRR", "ERR", "DRR", "XRR", "srr", "SRX", "GCA_", "")
+SUFFIXES = ("", "x", ".1", " ")
+
+
+@register(
+    "valid_accessions",
+    f"""SELECT p_partkey, coalesce(regexp_full_match(a, '(SRR|ERR|DRR)[0-9]+'), false) AS run_ok, coalesce(regexp_full_match(g, 'GC[AF]_[0-9]{{9}}\\.[0-9]+'), false) AS genome_ok
+FROM (SELECT p_partkey, {_dealt_sql(ACCESSIONS)} || p_partkey || {_dealt_sql(SUFFIXES, by=8)} AS a, 'GC' || {_dealt_sql(("A", "F", "X"))} || '_' || lpad(CAST(p_partkey AS VARCHAR), CAST(7 + p_partkey % 4 AS INTEGER), '0') || {_dealt_sql(SUFFIXES, by=3)} AS g FROM part)""",
+)
 def valid_accessions(spark, d):
-    k = F.col("p_partkey")
-    acc = F.when(k % 3 == 0, F.concat(F.lit("ERR"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("XRR"), k.cast("string"))).otherwise("SRR")
-    return t(spark, d, "part").filter(clean.valid_run(acc)).select("p_partkey")
+    k = F.col("p_partkey").cast("string")
+    acc = F.concat(_dealt(ACCESSIONS), k, _dealt(SUFFIXES, by=8))
+    genome = F.concat(F.lit("GC"), _dealt(("A", "F", "X")), F.lit("_"), F.lpad(k, (F.lit(7) + F.col("p_partkey") % 4).cast("int"), F.lit("0")), _dealt(SUFFIXES, by=3))
+    return t(spark, d, "part").select("p_partkey", clean.valid_run(acc).alias("run_ok"), clean.valid_genome(genome).alias("genome_ok"))
 
 
 # Planning: orders are work items.
@@ -646,9 +701,14 @@ def download_order(spark, d):
     return planning.download_order(o, "size", "o_orderkey").select("o_orderkey", "bucket")
 
 
-@register("download_times", "SELECT o_orderkey, round(o_totalprice / 1000.0::DOUBLE * 1024 * 8 / (100 * 4 * 0.8::DOUBLE) / 3600, 9) AS hours FROM orders")
+@register(
+    "download_times",
+    """SELECT o_orderkey, round(o_totalprice / 1000.0::DOUBLE * 1024 * 8 / (100 * 4 * 0.8::DOUBLE) / 3600, 9) AS hours,
+round(o_totalprice / (8.0::DOUBLE * CASE WHEN k > 1 THEN k * (1 - 0.1::DOUBLE * (k - 1)) ELSE 1.0::DOUBLE END), 6) AS minutes FROM (SELECT *, least(o_custkey % 7, 4) AS k FROM orders)""",
+)
 def download_times(spark, d):
-    return t(spark, d, "orders").select("o_orderkey", r(clean.transfer_hours(F.col("o_totalprice") / 1000.0)).alias("hours"))
+    minutes = clean.planned_transfer_minutes(F.col("o_totalprice"), F.col("o_custkey") % 7)
+    return t(spark, d, "orders").select("o_orderkey", r(clean.transfer_hours(F.col("o_totalprice") / 1000.0)).alias("hours"), r(minutes, 6).alias("minutes"))
 
 
 @register("download_preview", "SELECT o_orderpriority AS technology, count(*) AS n, round(sum(o_totalprice) / 1024.0::DOUBLE, 4) AS gb FROM orders GROUP BY ALL")
@@ -695,3 +755,6 @@ for _n, (_f, _s) in _SETS.items():
 @register("ordered_distinct", "SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL")
 def ordered_distinct(spark, d):
     return metadata.ordered_distinct(t(spark, d, "orders"), "o_custkey", "o_orderkey")
+
+
+from . import catalog_files, catalog_reads  # noqa: E402, F401 - they register their queries here

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 # Accession prefixes, lineage prefixes, adapters, technologies, bucket bounds and size estimates.
 RUN_PREFIXES = ("SRR", "ERR", "DRR")
 GTDB_RANKS = {"phylum": "p", "class": "c", "order": "o", "family": "f", "genus": "g", "species": "s"}
-ADAPTERS = ("AGATCGGAAGAG", "CTGTCTCTTATA", "AATGATACGGCG")
+ADAPTERS = ("AGATCGGAAGAGC", "CTGTCTCTTATACACATCT", "AATGATACGGCGACCACCGAGATCTACAC")
 LENGTH_BOUNDS = (50, 100, 150, 250, 500, 1000)
 PREFIX_SIZE_MB = {"ERR": 500.0, "SRR": 800.0}
-OTHER_SIZE_MB = 1000.0
+OTHER_SIZE_MB = 1024.0
 
 #: What a plain float literal looks like: the engine's own cast also takes type suffixes such as 0.5d.
 _NUMBER = r"^\s*[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)([eE][+-]?\d+)?\s*$"
@@ -92,11 +92,24 @@ def coordinates(text: Column) -> Column:
     return F.when((F.size(parts) == 2) & lat.isNotNull() & lon.isNotNull(), F.struct(lat.alias("lat"), lon.alias("lon")))
 
 
+# The platform's name, and words of the instrument and of the strategy, that tell each technology, in order.
+TECHNOLOGIES = (
+    ("illumina", "illumina", ("illumina",), ()),
+    ("nanopore", "oxford_nanopore", ("nanopore", "minion", "gridion"), ("nanopore",)),
+    ("pacbio", "pacbio_smrt", ("pacbio", "sequel", "rs ii"), ("pacbio",)),
+)
+
+
 def technology(platform: Column, instrument: Column, strategy: Column) -> Column:
-    """illumina, nanopore, pacbio or unknown; the first that fits wins."""
-    every = F.lower(F.concat_ws(" ", platform, instrument, strategy))
-    has = lambda *words: F.lit(False) if not words else F.greatest(*[every.contains(w) for w in words], F.lit(False))
-    return F.when(has("illumina"), "illumina").when(has("nanopore", "minion", "gridion", "promethion"), "nanopore").when(has("pacbio", "sequel"), "pacbio").otherwise("unknown")
+    """illumina, nanopore, pacbio or unknown: by platform or instrument, and only where neither tells by strategy. Nulls tell nothing."""
+    p, i, s = (F.lower(F.coalesce(c, F.lit(""))) for c in (platform, instrument, strategy))
+    out = F.when(F.lit(False), F.lit(""))
+    for name, exact, words, _ in TECHNOLOGIES:
+        out = out.when((p == exact) | F.greatest(*[i.contains(w) for w in words], F.lit(False)), name)
+    for name, _, _, words in TECHNOLOGIES:
+        if words:
+            out = out.when(F.greatest(*[s.contains(w) for w in words], F.lit(False)), name)
+    return out.otherwise("unknown")
 
 
 def technology_confidence(platform: Column, instrument: Column) -> Column:
@@ -127,8 +140,11 @@ def quality_bucket(q: Column) -> Column:
 
 def kmer_diversity(seq: Column, k: int = 3) -> Column:
     """Distinct over all k-mers; 0 for a sequence shorter than k."""
-    kmers = F.transform(F.sequence(F.lit(1), F.length(seq) - (k - 1)), lambda i: F.substr(seq, i, F.lit(k)))
-    return F.when(F.length(seq) >= k, F.size(F.array_distinct(kmers)) / (F.length(seq) - (k - 1))).otherwise(F.lit(0.0))
+    letters = F.split(seq, "")
+    kmers = letters
+    for j in range(1, k):  # null where a k-mer would go beyond the end
+        kmers = F.zip_with(kmers, F.slice(letters, F.lit(j + 1), F.greatest(F.length(seq), F.lit(1))), lambda a, b: F.concat(a, b))
+    return F.when(F.length(seq) >= k, F.size(F.array_compact(F.array_distinct(kmers))) / (F.length(seq) - (k - 1))).otherwise(F.lit(0.0))
 
 
 def homopolymer_rate(seq: Column, least: int = 4) -> Column:
@@ -153,26 +169,21 @@ def quality_grade(mean_quality: Column, adapter: Column, complexity: Column) ->
     return F.when(s >= 80, "excellent").when(s >= 60, "good").when(s >= 40, "fair").otherwise("poor")
 
 
-def quality_recommendations(mean_quality: Column, adapter: Column, complexity: Column) -> Column:
-    found = F.array_compact(
-        F.array(
-            F.when(mean_quality < 20, "Trim or filter bases of low quality"),
-            F.when(adapter > 0.05, "Remove adapter sequences"),
-            F.when(complexity < 0.3, "Filter reads of low complexity"),
-        )
-    )
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Quality is sufficient for analysis")))
+# The texts of recommendations, and name, weight in tenths and actions of each anomaly, in order.
+QUALITY_TEXTS = ("Apply quality trimming with Q20 threshold", "Remove adapter sequences", "Check for PCR duplicates and low-complexity regions", "Dataset appears to be high quality")
+ANOMALIES = (("low_complexity", 3), ("high_contamination", 4), ("unusual_gc", 2), ("high_n_content", 3), ("poor_quality", 5))
+ANOMALY_ACTIONS = (
+    ("high_contamination", ("Perform adapter trimming", "Check for vector contamination")),
+    ("poor_quality", ("Apply quality filtering", "Consider excluding from analysis")),
+    ("low_complexity", ("Check for PCR artifacts", "Verify sample preparation")),
+)
+FAILED_ANALYSIS = ("analysis_failed", 0.1)
 
 
-# Name, weight in tenths, and the actions of each anomaly, in order.
-ANOMALIES = (("low_complexity", 3), ("high_adapter", 4), ("unusual_gc", 2), ("high_n_content", 3), ("poor_quality", 5))
-ANOMALY_ACTIONS = {
-    "low_complexity": "Check for amplification artefacts",
-    "high_adapter": "Trim adapters before analysis",
-    "unusual_gc": "Screen for contamination",
-    "high_n_content": "Filter reads with ambiguous bases",
-    "poor_quality": "Consider another dataset",
-}
+def quality_recommendations(mean_quality: Column, adapter: Column, complexity: Column) -> Column:
+    tests = (mean_quality < 20, adapter > 0.05, complexity < 0.3)
+    found = F.array_compact(F.array(*[F.when(t, F.lit(x)) for t, x in zip(tests, QUALITY_TEXTS, strict=False)]))
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(QUALITY_TEXTS[-1])))
 
 
 def anomaly_flags(complexity: Column, adapter: Column, gc: Column, n_content: Column, grade: Column) -> Column:
@@ -181,6 +192,16 @@ def anomaly_flags(complexity: Column, adapter: Column, gc: Column, n_content: Co
     return F.array_compact(F.array(*[F.when(t, F.lit(n)) for t, (n, _) in zip(tests, ANOMALIES, strict=True)]))
 
 
+def anomaly_reasons(flags: Column, adapter: Column, gc: Column, n_content: Column) -> Column:
+    """One sentence for each flag, joined."""
+    percent = lambda text, x: F.format_string(text + ": %.1f%%", x * 100.0)
+    texts = (
+        F.lit("Very low sequence complexity"), percent("High adapter contamination", adapter), percent("Unusual GC content", gc),
+        percent("High N content", n_content), F.lit("Poor overall quality"),
+    )
+    return F.concat_ws("; ", *[F.when(F.array_contains(flags, n), x) for (n, _), x in zip(ANOMALIES, texts, strict=True)])
+
+
 def anomaly_severity(flags: Column) -> Column:
     """Sum of weights, at most 1; summed in tenths so that it is exact."""
     tenths = sum((F.when(F.array_contains(flags, n), w).otherwise(0) for n, w in ANOMALIES), F.lit(0))
@@ -188,23 +209,29 @@ def anomaly_severity(flags: Column) -> Column:
 
 
 def anomaly_actions(flags: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(F.array_contains(flags, n), F.lit(a)) for n, a in ANOMALY_ACTIONS.items()]))
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(F.array_contains(flags, n), F.array(*[F.lit(a) for a in acts])).otherwise(none) for n, acts in ANOMALY_ACTIONS])
 
 
-def processing_parameters(mean_length: Column, mean_quality: Column, adapter: Column, complexity: Column, total_bases: Column) -> Column:
-    """A struct of suggested settings for a dataset."""
-    gb = total_bases / 1e9
-    trim, strip, low = mean_quality < 25, adapter > 0.02, complexity < 0.3
-    hours = F.greatest(F.lit(0.5), gb * 0.5) * F.when(trim | strip, 1.5).otherwise(1.0) * F.when(low, 1.3).otherwise(1.0)
+def processing_parameters(mean_length: Column, grade: Column, adapter: Column, over_represented: Column, complexity: Column, total_reads: Column, total_bases: Column) -> Column:
+    """A struct of suggested settings for a dataset: pipeline by read length, trimming by grade, filters by what contaminates it,
+    memory, cores and storage by size, and hours, of which trimming takes half as many again and filtering 0.3."""
+    trim = grade.isin("poor", "fair")
+    filters = (adapter > 0.05) | (over_represented > 0.05)
+    hours = total_reads / 5e6 * F.when(trim, 1.5).otherwise(1.0) * F.when(filters, 1.3).otherwise(1.0)
     return F.struct(
-        F.when(mean_length > 1000, "long_read").when(mean_length > 250, "medium_read").otherwise("short_read").alias("pipeline"),
-        trim.alias("quality_trimming"),
-        strip.alias("adapter_removal"),
-        low.alias("complexity_filtering"),
-        F.when(mean_length > 1000, 51).when(mean_length > 250, 31).otherwise(21).alias("kmer_size"),
-        F.greatest(F.lit(8), F.floor(gb * 4)).cast("long").alias("memory_gb"),
-        F.greatest(F.lit(4), F.least(F.lit(32), F.floor(gb * 2))).cast("long").alias("cpu_cores"),
-        F.floor(gb * 3).cast("long").alias("storage_gb"),
+        F.when(mean_length > 1000, "long_read").when(mean_length > 250, "paired_end").otherwise("short_read").alias("pipeline"),
+        F.struct(trim.alias("enabled"), F.when(grade == "poor", 20).otherwise(15).alias("quality_threshold"), F.greatest(F.lit(50), F.floor(mean_length * 0.7)).cast("int").alias("min_length")).alias("quality_trimming"),
+        F.struct((adapter > 0.01).alias("enabled"), F.when(adapter > 0.1, "high").otherwise("medium").alias("stringency")).alias("adapter_removal"),
+        F.struct(filters.alias("enabled"), F.lit(True).alias("check_vector"), (adapter > 0.01).alias("check_adapters"), (complexity < 0.3).alias("complexity_filter")).alias("contamination_filtering"),
+        F.struct(
+            F.when(mean_length < 150, "auto").otherwise("31").alias("kmer_size"), F.when(grade.isin("good", "excellent"), 5).otherwise(10).alias("coverage_cutoff"), (grade != "excellent").alias("error_correction")
+        ).alias("assembly_parameters"),
+        F.struct(
+            F.greatest(F.lit(8), F.floor(total_reads / 1e7) * 2).cast("long").alias("memory_gb"),
+            F.when(total_reads < 50_000_000, 4).otherwise(8).alias("cpu_cores"),
+            F.greatest(F.lit(10), F.floor(total_bases / 1e9) * 5).cast("long").alias("storage_gb"),
+        ).alias("computational_requirements"),
         F.format_string("%.1f hours", hours).alias("estimated_time"),
     )
 
@@ -227,10 +254,10 @@ def transfer_hours(size_gb: Column, mbps: float = 100.0, parallel: int = 4) -> C
     return size_gb * 1024 * 8 / (mbps * parallel * 0.8) / 3600
 
 
-def planned_transfer_seconds(size_mb: Column, n: Column, mbps: float = 10.0, optimal: int = 4) -> Column:
-    """With k = min(n, optimal) connections, each of which costs a tenth more than the one before."""
+def planned_transfer_minutes(size_mb: Column, n: Column, mbps: float = 10.0, optimal: int = 4) -> Column:
+    """Size over four fifths of the bandwidth. More than one of k = min(n, optimal) connections multiply it by k, less a tenth of that for each after the first."""
     k = F.least(n, F.lit(optimal))
-    return size_mb * 8 / (mbps * 0.8 * k * (1 - 0.1 * (k - 1)))
+    return size_mb / (mbps * 0.8 * F.when(k > 1, k * (1 - 0.1 * (k - 1))).otherwise(1.0))
 
 
 def histogram_bins(n: Column) -> Column:

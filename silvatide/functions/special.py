@@ -1,4 +1,4 @@
-"""Exact tails from log-factorials, as Column arithmetic; Student and F tails by continued fraction in an Arrow function."""
+"""Tails of tests, one row a test, in Arrow functions: hypergeometric ones by the ratios of neighbouring outcomes, Student and F by continued fraction."""
 
 from __future__ import annotations
 
@@ -25,38 +25,59 @@ def lgamma(z: Column) -> Column:
     return F.lit(0.5 * math.log(2 * math.pi)) + (x + 0.5) * F.ln(t) - t + F.ln(series)
 
 
-def log_factorial(n: Column) -> Column:
-    return lgamma(n.cast("double") + 1.0)
+def make_hypergeometric():
+    """tails(k, population, successes, draws, two_sided) over arrays, as one closure over plain functions (see make_f_tail)."""
+    import numpy as np
+
+    def one(k, population, successes, draws, two_sided):
+        low, high = max(0, draws + successes - population), min(successes, draws)
+        if not two_sided and k > high:
+            return 0.0
+        if not two_sided and k <= low:
+            return 1.0
+        # Outcomes from the mode outward, each from the one before by the ratio of neighbours. Those left out weigh nothing beside the rest.
+        mode = min(high, max(low, (draws + 1) * (successes + 1) // (population + 2)))
+        spread = (draws * (successes / population) * (1 - successes / population) * (population - draws) / max(1, population - 1)) ** 0.5
+        far = abs(k - mode)
+        if far > 60 * spread + 10_000:
+            return 0.0 if two_sided or k > mode else 1.0
+        reach = int(50 * spread + 2 * far) + 1000
+        first, last = max(low, mode - reach), min(high, mode + reach)
+        i = np.arange(first, last, dtype=np.float64)  # from i to i + 1
+        step = np.log((successes - i) * (draws - i)) - np.log((i + 1) * (population - successes - draws + i + 1))
+        log_p = np.concatenate([[0.0], np.cumsum(step)])
+        log_p -= log_p.max()
+        p = np.exp(log_p)
+        at = k - first
+        if two_sided:
+            return float(min(1.0, p[log_p <= log_p[at] + 1e-7].sum() / p.sum()))
+        return float(min(1.0, p[at:].sum() / p.sum()))
+
+    def tails(k, population, successes, draws, two_sided):
+        rows = zip(k, population, successes, draws, strict=True)
+        return [None if any(x is None or x != x for x in r) else one(*(int(x) for x in r), two_sided) for r in rows]
+
+    return tails
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    return log_factorial(n) - log_factorial(k) - log_factorial(n - k)
+def _hypergeometric(k: Column, population: Column, successes: Column, draws: Column, two_sided: bool) -> Column:
+    tails = make_hypergeometric()
 
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(tails(a, b, c, d, two_sided), dtype="float64")
 
-def log_hypergeometric(k: Column, population: Column, successes: Column, draws: Column) -> Column:
-    return log_choose(successes, k) + log_choose(population - successes, draws - k) - log_choose(population, draws)
+    return F.pandas_udf(run, "double")(*[x.cast("long") for x in (k, population, successes, draws)])
 
 
 def hypergeometric_tail(k: Column, population: Column, successes: Column, draws: Column) -> Column:
-    """P(X >= k)."""
-    low = F.greatest(k, F.lit(0).cast("long"), draws + successes - population)
-    high = F.least(successes, draws)
-    total = F.aggregate(F.sequence(low, high), F.lit(0.0), lambda a, i: a + F.exp(log_hypergeometric(i, population, successes, draws)))
-    return F.when(low > high, F.lit(0.0)).otherwise(F.least(F.lit(1.0), total))
+    """P(X >= k). A row is a test; the outcomes near the mode are summed in an array."""
+    return _hypergeometric(k, population, successes, draws, False)
 
 
 def fisher_exact(a: Column, b: Column, c: Column, d: Column) -> Column:
     """Two-sided p of [[a, b], [c, d]]: all tables with these margins that are no likelier than the observed one, within a relative 1e-7."""
     a, b, c, d = (x.cast("long") for x in (a, b, c, d))
-    n, row, col = a + b + c + d, a + b, a + c
-    seen = log_hypergeometric(a, n, row, col)
-    low, high = F.greatest(F.lit(0).cast("long"), row + col - n), F.least(row, col)
-    p = F.aggregate(
-        F.sequence(low, high),
-        F.lit(0.0),
-        lambda s, i: s + F.when(log_hypergeometric(i, n, row, col) <= seen + 1e-7, F.exp(log_hypergeometric(i, n, row, col))).otherwise(0.0),
-    )
-    return F.least(F.lit(1.0), p)
+    return _hypergeometric(a, a + b + c + d, a + c, a + b, True)
 
 
 def make_f_tail():
@@ -85,6 +106,8 @@ def make_f_tail():
         if f <= 0:
             return 1.0
         a, b, x = df2 / 2.0, df1 / 2.0, df2 / (df2 + df1 * f)
+        if x <= 0:
+            return 0.0
         front = exp(lg(a + b) - lg(a) - lg(b) + a * log(x) + b * log1p(-x))
         return front * fraction(a, b, x) / a if x < (a + 1.0) / (a + b + 2.0) else 1.0 - front * fraction(b, a, 1.0 - x) / b
 

@@ -69,8 +69,10 @@ def sample_to_genomes(long: DataFrame) -> DataFrame:
 
 
 def above(long: DataFrame, threshold: float = 0.5, genome: str | None = None) -> DataFrame:
-    """Samples whose maximum, or whose value for one genome, is above the threshold."""
+    """Samples whose maximum, or whose value for one genome, is above the threshold. A genome that no cell has is an error."""
     if genome is not None:
+        if long.filter(F.col("genome") == genome).isEmpty():
+            raise ValueError(f"no genome {genome}")
         return long.filter((F.col("genome") == genome) & (F.col("v") > threshold)).select("sample", "v")
     return row_max(long).filter(F.col("max_containment") > threshold)
 
@@ -150,6 +152,16 @@ def report_summary(long: DataFrame, threshold: float = 0.1) -> DataFrame:
     return m.crossJoin(long.agg(F.count_distinct("genome").alias("genomes")))  # one row by one row
 
 
+def top_samples(maxima: DataFrame, limit: int = 10, value: str = "max_containment") -> DataFrame:
+    """The samples of the largest values."""
+    return maxima.orderBy(F.desc(value), "sample").limit(limit)
+
+
+def heatmap_cells(long: DataFrame, threshold: float | None = None) -> DataFrame:
+    """The cells of a heatmap: values, or (with a threshold) 1 where a value is above it, else 0."""
+    return long if threshold is None else long.withColumn("v", (F.col("v") > threshold).cast("int"))
+
+
 def rank_plot(maxima: DataFrame, value: str = "max_containment") -> DataFrame:
     """Rank 1.. by falling value. Positions come from ranges of the value, counted first, so that no one task ranks every row."""
     ranged = maxima.select("sample", value).withColumn("bin", F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(value))) * 1000).cast("int"))

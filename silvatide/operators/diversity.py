@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 EPSILON = 1e-12
@@ -110,24 +110,57 @@ def permanova_f(pairs: DataFrame, groups: DataFrame, textbook: bool = False) ->
     return one.select("total", "within", between.alias("between"), f.alias("f_statistic"), "n", "g")
 
 
-def permanova_p(pairs: DataFrame, groups: DataFrame, permutations: int = 999, seed: int = 0, max_samples: int = 5000) -> DataFrame:
+def permanova_p(pairs: DataFrame, groups: DataFrame, permutations: int = 999, seed: int = 0, max_samples: int = 2000) -> DataFrame:
     """f_statistic, p_value, permutations: the share of label shuffles with an F no smaller; NaN without permutations.
 
-    A square matrix has to be held by every permuting task, so it is collected; `max_samples` bounds it and more raise.
+    Up to `max_samples` samples a task permutes the square matrix, which is collected once; beyond that the labels are
+    shuffled as a table and every permutation's sums of squares are summed over the pairs.
     """
+    g = groups.toDF("sample", "group")
+    if g.limit(max_samples + 1).count() > max_samples:
+        return _permanova_p_large(pairs, g, permutations, seed)
+    return _permanova_p_small(pairs, g, permutations, seed)
+
+
+def _permanova_p_large(pairs: DataFrame, g: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """Labels in each permutation: the i-th sample by hash gets the i-th label of a fixed list."""
+    places = Window.orderBy("group", "sample")
+    fixed = g.select("group", F.row_number().over(places).alias("place"))  # a row a sample
+    drawn = g.select("sample", F.explode(F.sequence(F.lit(1), F.lit(permutations)) if permutations else F.array().cast("array<int>")).alias("turn"))
+    order = Window.partitionBy("turn").orderBy(F.xxhash64(F.lit(seed), "turn", "sample"), "sample")
+    labels = drawn.withColumn("place", F.row_number().over(order)).join(fixed, "place").select("sample", "turn", "group")
+    sizes = g.groupBy("group").agg(F.count("*").alias("ng"))
+    dims = sizes.agg(F.sum("ng").alias("n"), F.count("*").alias("g"))
+    d2 = F.col("distance") * F.col("distance")
+    ss = lambda u, n: u / n - 2 * u / (n * (n - 1))
+    total = pairs.agg(F.sum(d2).alias("ut")).crossJoin(dims)  # rows of one
+    inside = pairs.join(labels.toDF("a", "turn", "ga"), "a").join(labels.toDF("b", "turn", "gb"), ["b", "turn"]).filter("ga = gb")
+    u = inside.groupBy("turn", F.col("ga").alias("group")).agg(F.sum(d2).alias("u"))
+    within = u.join(sizes.filter("ng > 1"), "group").groupBy("turn").agg(F.sum(ss(F.col("u"), F.col("ng"))).alias("within"))
+    total = total.select(ss(F.col("ut"), F.col("n")).alias("total"), "n", "g")
+    f = F.when((F.col("within") > 0) & (F.col("n") > F.col("g")) & (F.col("g") > 1), ((F.col("total") - F.col("within")) / F.nullif(F.col("g") - 1, F.lit(0))) / F.nullif(F.col("within") / F.nullif(F.col("n") - F.col("g"), F.lit(0)), F.lit(0.0))).otherwise(0.0)
+    shuffled = within.crossJoin(F.broadcast(total)).select(f.alias("f"))
+    seen = permanova_f(pairs, g).select("f_statistic")
+    # Permutations without any pair inside a group have an F of 0, as the observed one may have.
+    both = shuffled.agg(F.collect_list("f").alias("fs")).crossJoin(seen)  # one number a permutation
+    none = F.lit(permutations) - F.size("fs")
+    hits = F.size(F.filter("fs", lambda x: x >= F.col("f_statistic"))) + F.when(F.col("f_statistic") <= 0, none).otherwise(0)
+    p = F.when(F.lit(permutations) > 0, hits / F.lit(float(max(permutations, 1)))).otherwise(float("nan"))
+    return both.select("f_statistic", p.alias("p_value"), F.lit(permutations).alias("permutations"))
+
+
+def _permanova_p_small(pairs: DataFrame, g: DataFrame, permutations: int, seed: int) -> DataFrame:
     import numpy as np
 
     spark = pairs.sparkSession
-    labels = sorted(tuple(r) for r in groups.toDF("s", "g").limit(max_samples + 1).collect())
-    if len(labels) > max_samples:
-        raise ValueError(f"more than {max_samples} samples")
+    labels = sorted(tuple(r) for r in g.collect())
     at = {s: k for k, (s, _) in enumerate(labels)}
     n = len(labels)
     d2 = np.zeros((n, n))
-    for a, b, d in pairs.select("a", "b", "distance").collect():
+    for a, b, d in pairs.select("a", "b", "distance").toLocalIterator():
         if a in at and b in at:
             d2[at[a], at[b]] = d2[at[b], at[a]] = d * d
-    codes = np.unique([g for _, g in labels], return_inverse=True)[1]
+    codes = np.unique([x for _, x in labels], return_inverse=True)[1]
     k = int(codes.max()) + 1 if n else 0
     held = spark.sparkContext.broadcast((d2, codes, k))
 
@@ -154,6 +187,32 @@ def permanova_p(pairs: DataFrame, groups: DataFrame, permutations: int = 999, se
     return p.select(F.lit(f).alias("f_statistic"), F.coalesce("p", F.lit(float("nan"))).alias("p_value"), F.lit(permutations).alias("permutations"))
 
 
+def aligned(samples: DataFrame, metadata: DataFrame, key: str = "sample") -> DataFrame:
+    """The samples with their metadata; a sample without any is an error."""
+    lost = [r[0] for r in samples.select(key).join(metadata.select(key), key, "left_anti").orderBy(key).limit(6).collect()]
+    if lost:
+        raise KeyError(f"no metadata for {', '.join(map(str, lost[:5]))}{' and others' if len(lost) > 5 else ''}")
+    return samples.select(key).join(metadata, key)
+
+
+def plot_frame(points: DataFrame, metadata: DataFrame, color: str | None = None, size: str | None = None, key: str = "sample") -> DataFrame:
+    """Points with the metadata that a plot colours them and sizes them by. Every point must have metadata; a size that is null for any point is left out."""
+    m = aligned(points, metadata, key)
+    out = points.join(m.select(key, *[F.col(c).alias(n) for c, n in ((color, "color"), (size, "size")) if c]), key)
+    return out.drop("size") if size and not out.filter("size IS NULL").isEmpty() else out
+
+
+def permanova(pairs: DataFrame, samples: DataFrame, metadata: DataFrame, formula: str, permutations: int = 999, seed: int = 0) -> DataFrame:
+    """variable, f_statistic, p_value, permutations of each variable of the formula, tested by itself. Every sample must have metadata."""
+    m, out = aligned(samples, metadata), None
+    for v in permanova_variables(formula):
+        if v not in metadata.columns:
+            raise KeyError(f"no column {v}")
+        one = permanova_p(pairs, m.select("sample", v), permutations, seed).select(F.lit(v).alias("variable"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def permanova_variables(formula: str) -> list[str]:
     """The variables of a formula, each tested by itself."""
     return [v for part in formula.split("+") for v in part.split()]
@@ -172,20 +231,48 @@ def pca(wide: DataFrame, columns: Sequence[str], k: int = 3, key: str = "sample"
 
 
 def cluster_order(rows: Sequence[Sequence[float]]) -> list[int]:
-    """Leaf order of Ward's clustering of a small, collected matrix (nearest clusters by growth of squared error, smaller index first)."""
+    """Leaf order of Ward's clustering of a small, collected matrix (nearest clusters by growth of squared error, smaller index first).
+
+    Clusters are followed to their nearest neighbour until two are each other's; merging those is what taking the least
+    growth of all would come to. The merges are put in order of growth afterwards.
+    """
     import numpy as np
 
-    live = {k: ([k], np.asarray(r, float), 1) for k, r in enumerate(rows)}
-    while len(live) > 1:
-        best = None
-        keys = sorted(live)
-        for i, a in enumerate(keys):
-            for b in keys[i + 1 :]:
-                (_, x, n), (_, y, m) = live[a], live[b]
-                cost = n * m / (n + m) * float(((x - y) ** 2).sum())
-                if best is None or cost < best[0]:
-                    best = (cost, a, b)
-        _, a, b = best
-        (p, x, n), (q, y, m) = live.pop(a), live.pop(b)
-        live[a] = (p + q, (n * x + m * y) / (n + m), n + m)
-    return next(iter(live.values()))[0] if live else []
+    x = np.asarray(rows, float)
+    n = len(x)
+    if not n:
+        return []
+    centre, weight, live = x.copy(), np.ones(n), np.ones(n, bool)
+    leaves = {k: [k] for k in range(n)}
+    chain: list[int] = []
+    merges: list[tuple[float, int, int]] = []
+    for _ in range(n - 1):
+        if not chain:
+            chain = [int(np.flatnonzero(live)[0])]
+        while True:
+            a = chain[-1]
+            cost = weight[a] * weight / (weight[a] + weight) * ((centre - centre[a]) ** 2).sum(1)
+            cost[~live] = np.inf
+            cost[a] = np.inf
+            b = int(cost.argmin())
+            if len(chain) > 1 and cost[chain[-2]] <= cost[b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        chain = chain[:-2]
+        lo, hi = min(a, b), max(a, b)
+        merges.append((float(cost[b]), lo, hi))
+        centre[lo] = (centre[lo] * weight[lo] + centre[hi] * weight[hi]) / (weight[lo] + weight[hi])
+        weight[lo] += weight[hi]
+        live[hi] = False
+    for _, lo, hi in sorted(merges, key=lambda m: m[0]):
+        lo, hi = (next(k for k, v in leaves.items() if i in v) for i in (lo, hi))
+        leaves[min(lo, hi)] = leaves[min(lo, hi)] + leaves.pop(max(lo, hi))
+    return next(iter(leaves.values()))
+
+
+def heatmap_order(rows: Sequence[Sequence[float]], clustered: bool = True) -> tuple[list[int], list[int]]:
+    """Leaf orders of the rows and of the columns of a small, collected matrix; as they stand if not clustered."""
+    if not clustered:
+        return list(range(len(rows))), list(range(len(rows[0]) if rows else 0))
+    return cluster_order(rows), cluster_order(list(zip(*rows, strict=True)))

@@ -104,14 +104,42 @@ def profile(reads: DataFrame, key: str = "accession", seq: str = "seq", qual: st
             "recommendations": clean.quality_recommendations(F.col("mean_quality"), F.col("adapter"), F.col("complexity")),
             "anomalies": flags,
             "severity": clean.anomaly_severity(flags),
-            "parameters": clean.processing_parameters(F.col("mean_length"), F.col("mean_quality"), F.col("adapter"), F.col("complexity"), F.col("bases")),
+            "parameters": clean.processing_parameters(*[F.col(c) for c in ("mean_length", "grade", "adapter", "over_represented", "complexity", "reads", "bases")]),
         }
     )
 
 
-def anomaly_report(profiles: DataFrame, threshold: float = 0.2) -> DataFrame:
-    """Datasets whose severity is above the threshold, with actions."""
-    return profiles.filter(F.col("severity") > threshold).select("key", "severity", "anomalies", clean.anomaly_actions(F.col("anomalies")).alias("actions"))
+def anomaly_report(profiles: DataFrame, failed: DataFrame | None = None, threshold: float = 0.2) -> DataFrame:
+    """key, severity, anomalies, explanation, actions of datasets whose severity is above the threshold, and (with no actions) of those whose
+    analysis failed. failed: key, error."""
+    reasons = clean.anomaly_reasons(F.col("anomalies"), F.col("adapter"), F.col("gc"), F.col("n_content"))
+    out = profiles.filter(F.col("severity") > threshold).select("key", "severity", "anomalies", reasons.alias("explanation"), clean.anomaly_actions(F.col("anomalies")).alias("actions"))
+    if failed is None:
+        return out
+    kind, weight = clean.FAILED_ANALYSIS
+    lost = failed.select("key", F.lit(weight).alias("severity"), F.array(F.lit(kind)).alias("anomalies"), F.concat(F.lit("Analysis failed: "), "error").alias("explanation"), F.array().cast("array<string>").alias("actions"))
+    return out.unionByName(lost)
+
+
+def anomaly_types(profiles: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """anomaly, key: every dataset under each type that it shows, whatever its severity."""
+    out = profiles.select(F.explode("anomalies").alias("anomaly"), "key")
+    return out if failed is None else out.unionByName(failed.select(F.lit(clean.FAILED_ANALYSIS[0]).alias("anomaly"), "key"))
+
+
+def statistics_report(stats: DataFrame, files: DataFrame, key: str = "accession") -> DataFrame:
+    """The 11 columns of the statistics report. stats: of read_statistics; files: key, file. Datasets without files or reads have no row."""
+    n = files.groupBy(F.col(key).alias("key")).agg(F.count("*").alias("num_files")).join(layouts(files, key).withColumnRenamed(key, "key"), "key")
+    j = stats.join(n, "key")
+    names = {"mean_length": "avg_read_length", "min_length": "min_read_length", "max_length": "max_read_length", "n50": "n50", "gc_percent": "gc_content", "mean_quality": "avg_quality"}
+    return j.select(F.col("key").alias("accession"), "num_files", "layout", "total_reads", "total_bases", *[F.col(a).alias(b) for a, b in names.items()])
+
+
+def group_profiles(reads: DataFrame, groups: DataFrame, key: str = "accession", **options) -> DataFrame:
+    """The profile of every dataset of the groups (key, group), with its group; datasets without reads have no row."""
+    members = groups.select(F.col(key).alias("key"), "group")
+    kept = reads.join(members.select(F.col("key").alias(key)).distinct(), key, "left_semi")
+    return profile(kept, key, **options).join(members, "key")
 
 
 def quality_summary(profiles: DataFrame) -> DataFrame:

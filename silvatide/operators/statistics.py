@@ -58,19 +58,33 @@ def describe(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     return out.select("group", "metric", "n", "mean", "std", "min", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("q50"), F.get("q", F.lit(2)).alias("q75"), "max")
 
 
-def anova(df: DataFrame, group: str, columns: Sequence[str], least_variance: float = 1e-10) -> DataFrame:
-    """metric, test, groups, f_statistic, df1, df2, p_value: one-way analysis of variance, for two groups the pooled t test (F is t squared).
+#: Below this variance of all values together there is nothing to test.
+LEAST_VARIANCE = 1e-10
 
-    Where no group varies the p value is 1. The deviations come from group sums, so one pass over the rows suffices.
+
+def group_tests(df: DataFrame, group: str, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:
+    """metric, test, groups, statistic, df1, df2, p_value, significant, for metrics with values in two groups at least.
+
+    Two groups get the pooled t test (of the first by name against the second), more a one-way analysis of variance. Where
+    all values together hardly vary the test is skipped: a null statistic and a p of 1. Where groups are constant but
+    different the statistic is infinite and p is 0. The deviations come from group sums, so one pass over the rows suffices.
     """
     g = group_statistics(df, group, columns).withColumn("ss", F.coalesce(F.col("std") * F.col("std"), F.lit(0.0)) * (F.col("n") - 1))
-    t = g.groupBy("metric").agg(F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("ss").alias("within"), F.sum(F.col("n") * F.col("mean")).alias("sx"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("sxx"), F.max(F.coalesce("std", F.lit(0.0))).alias("spread"))
-    between = F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n")
+    t = g.groupBy("metric").agg(
+        F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("ss").alias("within"), F.sum(F.col("n") * F.col("mean")).alias("sx"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("sxx"),
+        (F.min_by("mean", "group") - F.max_by("mean", "group")).alias("gap"),
+    )
+    t = t.filter("groups >= 2")
+    between = F.greatest(F.lit(0.0), F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))
     df1, df2 = F.col("groups") - 1, F.col("n") - F.col("groups")
-    flat = F.col("spread") * F.col("spread") < least_variance
-    f = F.when(flat | (df1 < 1) | (df2 < 1), F.lit(None).cast("double")).otherwise((between / F.nullif(df1, F.lit(0))) / F.nullif(F.col("within") / F.nullif(df2, F.lit(0)), F.lit(0.0)))
-    t = t.select("metric", F.when(F.col("groups") == 2, "t_test").otherwise("anova").alias("test"), "groups", f.alias("f_statistic"), df1.alias("df1"), df2.alias("df2"))
-    return t.withColumn("p_value", F.when(F.col("f_statistic").isNull(), 1.0).otherwise(f_tail(F.col("f_statistic"), F.col("df1"), F.col("df2"))))
+    flat = (between + F.col("within")) / F.col("n") < LEAST_VARIANCE
+    f = F.when(flat | (df2 < 1), F.lit(None).cast("double")).when(F.col("within") > 0, (between / df1) / F.nullif(F.col("within") / F.nullif(df2, F.lit(0)), F.lit(0.0))).otherwise(F.lit(float("inf")))
+    two = F.col("groups") == 2
+    t = t.select(
+        "metric", F.when(flat, "skipped (identical values)").when(two, "t-test").otherwise("ANOVA").alias("test"), "groups", F.when(two, F.signum("gap") * F.sqrt(f)).otherwise(f).alias("statistic"), df1.alias("df1"), df2.alias("df2"), f.alias("_f")
+    )
+    tail = F.when(F.col("_f").isNull(), 1.0).when(F.col("_f") == float("inf"), 0.0).otherwise(f_tail(F.col("_f"), F.col("df1"), F.col("df2")))
+    return t.withColumn("p_value", tail).withColumn("significant", F.col("p_value") < alpha).drop("_f")
 
 
 def iqr_outliers(df: DataFrame, key: str, columns: Sequence[str], least_rows: int = 4) -> DataFrame:
@@ -96,12 +110,22 @@ def correlation(df: DataFrame, columns: Sequence[str], method: str = "pearson")
     return one.select(rows.alias("x")).select("x.*")
 
 
+#: Ranges of the values that are ranked.
+RANGES = 128
+
+
 def ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Average ranks, from counts of distinct values: the windows run over values, not rows."""
+    """Average ranks of numbers, from counts of distinct values. Values are cut into ranges at their quantiles; only inside a range are they
+    put in order, and the counts of the ranges before are added."""
     for c in columns:
         counts = df.groupBy(c).agg(F.count("*").alias("_n"))
-        upto = F.sum("_n").over(Window.orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
-        ranks = counts.withColumn("_r", upto - (F.col("_n") - 1) / 2.0).select(c, "_r")
+        bounds = sorted(set(counts.select(F.col(c).cast("double").alias("x")).filter("x IS NOT NULL").approxQuantile("x", [k / RANGES for k in range(1, RANGES)], 0.001)))
+        bins = F.lit(0) if not bounds else F.expr(f"cast(aggregate(array({', '.join(f'{b!r}D' for b in bounds)}), 0, (n, b) -> n + int(b < cast(`{c}` AS double))) AS int)")
+        counts = counts.withColumn("_bin", bins)
+        before = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)  # a row a range
+        ahead = counts.groupBy("_bin").agg(F.sum("_n").alias("_s")).select("_bin", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_ahead"))
+        upto = F.sum("_n").over(Window.partitionBy("_bin").orderBy(c).rowsBetween(Window.unboundedPreceding, 0))
+        ranks = counts.withColumn("_upto", upto).join(F.broadcast(ahead), "_bin").select(c, (F.col("_ahead") + F.col("_upto") - (F.col("_n") - 1) / 2.0).alias("_r"))
         df = df.join(ranks, c).drop(c).withColumnRenamed("_r", c)
     return df
 
@@ -122,9 +146,41 @@ def kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return out
 
 
-def comparative_recommendations(tests: DataFrame, outliers: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """One text for each significant test, one for the (first five) outliers."""
-    t = tests.filter(F.col("p_value") < alpha).select(F.concat(F.lit("Groups differ in "), "metric").alias("text"))
-    keys = outliers.select(F.col(outliers.columns[0]).cast("string").alias("k")).distinct().orderBy("k").limit(5)
-    o = keys.agg(F.array_join(F.array_sort(F.collect_list("k")), ", ").alias("k")).filter("k <> ''").select(F.concat(F.lit("Review outliers: "), "k").alias("text"))
-    return t.unionByName(o)
+# The texts of comparative recommendations.
+DIFFERENT = ("Significant differences detected in: ", "Consider including group as covariate in downstream analysis")
+OUTLYING = ("Outlier datasets detected: ", "Review outlier datasets for quality issues")
+UNREMARKABLE = "No major issues detected in comparative analysis"
+
+
+def comparative_recommendations(tests: DataFrame, outliers: DataFrame, metrics: Sequence[str], key: str = "key") -> DataFrame:
+    """ordinal, text: what significant tests (in the order of `metrics`) and outliers (the first five by name) advise, else that all is well."""
+    place = F.array_position(F.array(*[F.lit(m) for m in metrics]), F.col("metric"))
+    t = tests.filter("significant").agg(F.transform(F.array_sort(F.collect_list(F.struct(place.alias("at"), "metric"))), lambda x: x["metric"]).alias("found"))
+    # No more than six names are needed.
+    o = outliers.select(F.col(key).cast("string").alias("k")).distinct().orderBy("k").limit(6).agg(F.array_sort(F.collect_list("k")).alias("out"))
+    one = t.crossJoin(o)  # one row by one row
+    some, more = F.size("found") > 0, F.size("out") > 0
+    none = F.array().cast("array<string>")
+    texts = F.concat(
+        F.when(some, F.array(F.concat(F.lit(DIFFERENT[0]), F.array_join("found", ", ")), F.lit(DIFFERENT[1]))).otherwise(none),
+        F.when(more, F.array(F.concat(F.lit(OUTLYING[0]), F.array_join(F.slice("out", 1, 5), ", "), F.when(F.size("out") > 5, "...").otherwise("")), F.lit(OUTLYING[1]))).otherwise(none),
+        F.when(some | more, none).otherwise(F.array(F.lit(UNREMARKABLE))),
+    )
+    return one.select(F.posexplode(texts).alias("ordinal", "text"))
+
+
+def compare_groups(profiles: DataFrame, groups: DataFrame, metrics: Sequence[str], key: str = "key") -> dict[str, DataFrame]:
+    """The comparison of groups of datasets: frame (profiles with their group), statistics, tests, outliers, recommendations, summary and correlation.
+
+    groups: key, group. A dataset without a profile is left out, as is a profile without a group; without any the one
+    recommendation says that there is no data.
+    """
+    frame = profiles.select(key, *[F.col(m).cast("double").alias(m) for m in metrics]).join(groups.select(key, "group"), key)
+    tests, outliers = group_tests(frame, "group", metrics), iqr_outliers(frame, key, metrics)
+    advice = comparative_recommendations(tests, outliers, metrics, key)
+    empty = frame.agg(F.count("*").alias("rows"))
+    advice = advice.crossJoin(empty).select("ordinal", F.when(F.col("rows") > 0, F.col("text")).otherwise("No data available for analysis").alias("text"))
+    return {
+        "frame": frame, "statistics": group_statistics(frame, "group", metrics), "tests": tests, "outliers": outliers.select(key).distinct(), "recommendations": advice,
+        "summary": describe(frame, "group", metrics), "correlation": correlation(frame, metrics),
+    }

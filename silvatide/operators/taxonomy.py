@@ -21,6 +21,13 @@ def annotate(long: DataFrame, taxonomy: DataFrame) -> DataFrame:
     return long.join(taxonomy, "genome", "left")
 
 
+def annotate_grid(long: DataFrame, taxonomy: DataFrame, genomes: Sequence[str]) -> DataFrame:
+    """The same for every cell of the matrix, 0 where it is absent: one row a sample and genome. genomes are the columns of the matrix."""
+    held = long.groupBy("sample").agg(F.map_from_entries(F.collect_list(F.struct("genome", "v"))).alias("cells"))  # no more cells than columns
+    grid = held.select("sample", "cells", F.explode(F.array(*[F.lit(g) for g in genomes])).alias("genome"))
+    return annotate(grid.select("sample", "genome", F.coalesce(F.try_element_at("cells", "genome"), F.lit(0.0)).alias("v")), taxonomy)
+
+
 def filter_taxa(df: DataFrame, min_containment: float = 0.0, **taxa: str | None) -> DataFrame:
     """Equality without regard to case on each taxon given; a containment bound (inclusive) if above 0. A null taxon never matches."""
     for rank, name in taxa.items():
@@ -95,9 +102,51 @@ def corrections(validated: DataFrame) -> DataFrame:
     return validated.filter(~F.col("is_valid")).select("name", F.lit("Manual review required").alias("suggestion"))
 
 
-def representatives(records: DataFrame, only: bool = True) -> DataFrame:
-    """One genome record a species: with an accession, flagged ones first; where `only` leaves none for a species its first record stays."""
-    acc = F.coalesce("accession", "gid", "ncbi_accession")
-    r = records.withColumn("acc", acc).filter("acc IS NOT NULL")
-    order = Window.partitionBy("species").orderBy(F.desc(F.coalesce("is_rep", F.lit(False))) if only else F.lit(0), "ordinal")
-    return r.withColumn("_rn", F.row_number().over(order)).filter("_rn = 1").select("species", "acc")
+def record_taxonomy(records: DataFrame, column: str = "record") -> DataFrame:
+    """genome record JSON to lineage, organism and tax_id; the keys have several spellings, and a record without a lineage has no row."""
+    spell = lambda *names: F.coalesce(*[F.nullif(F.get_json_object(column, f"$.{n}"), F.lit("")) for n in names])
+    out = records.withColumns(
+        {"lineage": spell("gtdb_taxonomy", "gtdbTaxonomy", "taxonomy"), "organism": spell("organism_name", "organismName"), "tax_id": spell("ncbi_taxid", "taxId")}
+    )
+    return out.filter("lineage IS NOT NULL")
+
+
+def search_rows(responses: DataFrame, column: str = "response") -> DataFrame:
+    """Search responses to one row a record: a bare list, or an object with rows or results. Other columns are kept."""
+    text = F.col(column)
+    listed = F.when(F.trim(text).startswith("["), text).otherwise(F.coalesce(F.get_json_object(text, "$.rows"), F.get_json_object(text, "$.results"), F.lit("[]")))
+    return responses.withColumn("record", F.explode(F.from_json(listed, "array<string>"))).drop(column)
+
+
+def _with_accession(records: DataFrame) -> DataFrame:
+    return records.withColumns({"acc": F.coalesce("accession", "gid", "ncbi_accession"), "is_rep": F.coalesce("is_rep", F.lit(False))})
+
+
+def species_accessions(records: DataFrame, only: bool = True, query: str = "query") -> DataFrame:
+    """query, acc for the records (ordinal, accession, gid, ncbi_accession, is_rep) found for each species: all that have an accession and, if
+    `only`, are flagged; where none is flagged, the first record's."""
+    r = _with_accession(records)
+    if not only:
+        return r.filter("acc IS NOT NULL").select(query, "acc")
+    whole = Window.partitionBy(query)
+    kept = F.col("acc").isNotNull() & F.col("is_rep")
+    r = r.withColumns({"_kept": kept, "_any": F.max(kept).over(whole), "_first": F.row_number().over(whole.orderBy("ordinal")) == 1})
+    return r.filter(F.col("_kept") | (~F.col("_any") & F.col("_first") & F.col("acc").isNotNull())).select(query, "acc")
+
+
+def genus_accessions(records: DataFrame, only: bool = True, query: str = "query") -> DataFrame:
+    """query, acc for the records found for each genus: the first record of each species if it has an accession and, if `only`, is flagged;
+    where that leaves none for a genus, all distinct accessions."""
+    r = _with_accession(records)
+    first = F.row_number().over(Window.partitionBy(query, "species").orderBy("ordinal")) == 1
+    kept = F.col("acc").isNotNull() & (F.col("is_rep") if only else F.lit(True))
+    r = r.withColumn("_kept", first).withColumn("_kept", F.col("_kept") & kept)
+    r = r.withColumn("_any", F.max("_kept").over(Window.partitionBy(query)))
+    if not only:
+        return r.filter("_kept").select(query, "acc")
+    return r.filter(F.col("_kept")).select(query, "acc").unionByName(r.filter(~F.col("_any") & F.col("acc").isNotNull()).select(query, "acc").distinct())
+
+
+def query_level(family: str | None = None, genus: str | None = None, species: str | None = None) -> str:
+    """The level of a summary: that of the most specific filter given, else family."""
+    return "species" if species else "genus" if genus else "family"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -71,8 +71,33 @@ def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> list[
     return sorted(s.getPath().toString() for s in found if s.isFile()) if found else []
 
 
-def containment_file(spark: SparkSession, path: str) -> DataFrame:
-    """sample, genome (the file's stem), v and extra (map of other non-empty columns); rows without a valid accession or value are left out."""
+def headers(spark: SparkSession, paths: Sequence[str], sep: str = ",") -> dict[str, tuple[str, ...]]:
+    """The header of every file, in one job: its first line. Empty files have none."""
+    if not paths:
+        return {}
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+    first = lines.filter("split = 0").groupBy("path").agg(F.min_by("value", "id").alias("value")).collect()  # a line a file
+    return {r.path: tuple(c.strip() for c in r.value.lstrip("\ufeff").split(sep)) for r in first}
+
+
+def _by_header(spark: SparkSession, paths: Sequence[str]) -> tuple[dict[tuple[str, ...], list[str]], list[tuple[str, str]]]:
+    """Containment files by their header, and (path, problem) of the others."""
+    found = headers(spark, paths)
+    names = {p.rpartition("/")[2]: p for p in paths}
+    groups: dict[tuple[str, ...], list[str]] = {}
+    bad = [(p, "empty") for p in paths if p.rpartition("/")[2] not in {f.rpartition("/")[2] for f in found}]
+    for path, columns in sorted(found.items()):
+        path = names.get(path.rpartition("/")[2], path)
+        lost = missing_columns(columns)
+        if lost:
+            bad.append((path, f"{path} lacks {', '.join(lost)}"))
+        else:
+            groups.setdefault(columns, []).append(path)
+    return groups, bad
+
+
+def containment_file(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """sample, genome (the file's stem), v and extra (map of other non-empty columns) of files of one header; rows without a valid accession or value are left out."""
     df = csv(spark, path)
     if lost := missing_columns(df.columns):
         raise FormatError(f"{path} lacks {', '.join(lost)}")
@@ -81,34 +106,42 @@ def containment_file(spark: SparkSession, path: str) -> DataFrame:
     values = F.array(*[F.col(f"`{c}`") for c in others]).cast("array<string>")
     extra = F.map_filter(F.map_from_arrays(names, values), lambda k, v: v.isNotNull() & (v != ""))
     genome = F.regexp_extract("_metadata.file_name", r"^(.*?)(\.[^.]*)?$", 1)
-    acc = F.trim("acc")
-    out = df.select(acc.alias("sample"), genome.alias("genome"), containment_value(F.col("containment")).alias("v"), extra.alias("extra"))
+    out = df.select(F.trim("acc").alias("sample"), genome.alias("genome"), containment_value(F.col("containment")).alias("v"), extra.alias("extra"))
     return out.filter(valid_run(F.col("sample")) & F.col("v").isNotNull())
 
 
 def containment_folder(spark: SparkSession, directory: str, pattern: str = "*.csv") -> tuple[DataFrame, list[tuple[str, str]]]:
-    """All files by name of column (a common read would take every file's columns in the order of the first), and (path, problem) of those left out."""
-    good, bad = [], []
-    for path in list_files(spark, directory, pattern):
-        try:
-            good.append(containment_file(spark, path))
-        except FormatError as e:
-            bad.append((path, str(e)))
-    if not good:
+    """All files by name of column, and (path, problem) of those left out. A common read would take every file's columns in the order
+    of the first, so files are read together by header: a branch of the plan for each header, not for each file."""
+    groups, bad = _by_header(spark, list_files(spark, directory, pattern))
+    if not groups:
         raise FormatError(f"no containment file in {directory}")
-    return reduce(DataFrame.unionByName, good), bad
+    return reduce(DataFrame.unionByName, [containment_file(spark, paths) for paths in groups.values()]), bad
 
 
 def containment_metadata(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """The metadata columns of the files, the first row of each run by file and line; only columns that are there."""
     parts = []
-    for k, path in enumerate(sorted(paths)):
-        df = csv(spark, path)
-        cols = [F.col(f"`{a}`").alias(b) for a, b in METADATA_FIELDS.items() if a in df.columns]
-        parts.append(df.select(*cols, F.lit(k).alias("_file"), F.monotonically_increasing_id().alias("_line")))
+    for columns, files in _by_header(spark, sorted(paths))[0].items():
+        cols = [F.col(f"`{a}`").alias(b) for a, b in METADATA_FIELDS.items() if a in columns]
+        place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_line")]
+        parts.append(csv(spark, files).select(*cols, *place))
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    w = Window.partitionBy("Run_ID").orderBy("_file", "_line")
-    return every.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1 AND Run_ID IS NOT NULL").drop("_rn", "_file", "_line")
+    w = Window.partitionBy("Run_ID").orderBy("_file", "_split", "_line")
+    return every.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1 AND Run_ID IS NOT NULL").drop("_rn", "_file", "_split", "_line")
+
+
+def containment_records(rows: DataFrame) -> DataFrame:
+    """One metadata record a row of containment_file: the mapped fields by their names here, and what else there is as attributes (null if nothing)."""
+    mapped = {a: b for a, b in METADATA_FIELDS.items() if a != "acc"}
+    rest = F.map_filter("extra", lambda k, v: ~k.isin(*mapped))
+    return rows.select(F.col("sample").alias("Run_ID"), *[F.try_element_at("extra", F.lit(a)).alias(b) for a, b in mapped.items()], F.when(F.size(rest) > 0, rest).alias("attributes"))
+
+
+def metadata_table(spark: SparkSession, path: str, index: str | None = None) -> DataFrame:
+    """A tab-separated table with inferred types; with `index`, its first column has that name."""
+    df = spark.read.options(header=True, sep="\t", escape='"', inferSchema=True).csv(path)
+    return df.withColumnRenamed(df.columns[0], index) if index else df
 
 
 def matrix(spark: SparkSession, path: str, sep: str = "\t", index: str = "sample", text_columns: Sequence[str] = ("max_containment_annotation",)) -> DataFrame:
@@ -170,5 +203,50 @@ def taxonomy_cache(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fastq_files(spark: SparkSession, directory: str, accession: str) -> list[str]:
-    """The FASTQ files of an accession's folder, else of the directory itself."""
-    return list_files(spark, f"{directory.rstrip('/')}/{accession}", "*.fastq*") or list_files(spark, directory, f"{accession}*.fastq*")
+    """The FASTQ files of an accession's folder, else of the directory itself, else of any folder below it."""
+    top = directory.rstrip("/")
+    return list_files(spark, f"{top}/{accession}", "*.fastq*") or list_files(spark, top, f"{accession}*.fastq*") or files_below(spark, top, f"{accession}*.fastq*")
+
+
+def files_below(spark: SparkSession, directory: str, pattern: str) -> list[str]:
+    """Paths of files in any folder below, in order; their contents are not read."""
+    found = spark.read.format("binaryFile").options(recursiveFileLookup=True, pathGlobFilter=pattern).load(directory).select("path")
+    return sorted(r.path for r in found.collect())
+
+
+def mapped_files(spark: SparkSession, directory: str, f: Callable[[DataFrame], DataFrame], pattern: str = "*.csv", strict: bool = False) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
+    """What `f` makes of the text lines of each file, by name, and (path, problem) of files where it fails; with `strict` the first failure is raised."""
+    good, bad = {}, []
+    for path in list_files(spark, directory, pattern):
+        try:
+            good[path.rpartition("/")[2]] = f(lines(spark, path))
+        except Exception as e:
+            if strict:
+                raise
+            bad.append((path, str(e)))
+    return good, bad
+
+
+def genome_archives(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """accession, member, fasta of zipped genome packages: of each assembly's folder the first .fna or .fasta file. A task unpacks an archive."""
+
+    def unpack(batches):
+        import io
+        import re
+        import zipfile
+
+        import pandas as pd
+
+        for b in batches:
+            for raw in b["content"]:
+                with zipfile.ZipFile(io.BytesIO(raw)) as z:
+                    found = {}
+                    for name in sorted(z.namelist()):
+                        m = re.fullmatch(r"ncbi_dataset/data/(GC[^/]*)/[^/]*\.(fna|fasta)", name)
+                        if m:
+                            found.setdefault(m[1], name)
+                    for acc, name in found.items():
+                        yield pd.DataFrame({"accession": [acc], "member": [name], "fasta": [z.read(name).decode()]})
+
+    files = spark.read.format("binaryFile").load(paths if isinstance(paths, str) else list(paths)).select("content")
+    return files.mapInPandas(unpack, "accession string, member string, fasta string")

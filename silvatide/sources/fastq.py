@@ -1,64 +1,57 @@
-"""A data source for FASTQ: four lines a record, gzip by suffix, one partition a file (a quality line may begin with @, so files are not split)."""
+"""FASTQ reads by Spark's text reader: any file system, compressed by suffix, large plain files in splits.
 
-from __future__ import annotations
-
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-SCHEMA = "accession string, file string, read_no long, seq string, qual string"
-
-
-class FilePartition(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
-
-
-class FastqDataSource(DataSource):
-    """Options: paths (comma-separated files), limit (reads of each file at most; the head of the file, as a profile wants it)."""
+A line's number in its file is its place in its split plus the lines of the splits before; four lines are a record.
+"""
 
-    @classmethod
-    def name(cls) -> str:
-        return "fastq"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema):
-        return FastqReader(self.options)
-
-
-class FastqReader(DataSourceReader):
-    def __init__(self, options):
-        self.paths = [p for p in (options.get("paths") or options.get("path") or "").split(",") if p]
-        self.limit = int(options.get("limit", "0"))
-
-    def partitions(self):
-        return [FilePartition(p) for p in self.paths]
+from __future__ import annotations
 
-    def read(self, partition):
-        import gzip
-        import re
+from collections.abc import Sequence
 
-        path = partition.path.removeprefix("file://").removeprefix("file:")
-        name = path.rpartition("/")[2]
-        accession = re.split(r"[_.]", name)[0]
-        opened = gzip.open(path, "rt") if path.endswith((".gz", ".gzip")) else open(path)
-        with opened as f:
-            n = 0
-            while not self.limit or n < self.limit:
-                head, seq, plus, qual = (f.readline() for _ in range(4))
-                if not head:
-                    break
-                if not head.startswith("@") or not plus.startswith("+"):
-                    break  # a broken file ends here, as far as it could be read
-                yield accession, name, n, seq.rstrip("\n"), qual.rstrip("\n")
-                n += 1
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+SCHEMA = "accession string, file string, read_no long, seq string, qual string"
 
-def read(spark, paths: list[str], limit: int = 0):
-    """Reads of these files. The reader's class travels with the plan, so workers need not have this package."""
-    from pyspark import cloudpickle
-    import sys
 
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    spark.dataSource.register(FastqDataSource)
-    return spark.read.format("fastq").option("paths", ",".join(paths)).option("limit", str(limit)).load()
+def _lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """path, file, line (from 0), value."""
+    raw = spark.read.text(list(paths)).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value"
+    )
+    sizes = raw.groupBy("path", "split").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("path").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    ahead = sizes.select("path", "split", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
+    inside = F.row_number().over(Window.partitionBy("path", "split").orderBy("id")) - 1
+    return raw.withColumn("inside", inside).join(ahead, ["path", "split"]).select("path", "file", (F.col("ahead") + F.col("inside")).alias("line"), "value")
+
+
+def read(spark: SparkSession, paths: Sequence[str], limit: int = 0, strict: bool = True) -> DataFrame:
+    """accession, file, read_no, seq, qual of these files, of each the first `limit` reads if it is above 0. A record whose lines do not begin
+    with @ and + is an error; without `strict` it is left out. Blank lines at a file's end are no records."""
+    if not paths:
+        return spark.createDataFrame([], SCHEMA)
+    at = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value"))).alias(f"l{k}")
+    rows = _lines(spark, paths)
+    rows = rows.filter(F.col("line") < 4 * limit) if limit else rows
+    r = rows.groupBy("path", "file", F.floor(F.col("line") / 4).alias("read_no")).agg(*[at(k) for k in range(4)])
+    r = r.filter(F.concat_ws("", "l0", "l1", "l2", "l3") != "")
+    fine = F.coalesce(F.col("l0").startswith("@") & F.col("l2").startswith("+") & F.col("l3").isNotNull(), F.lit(False))
+    if strict:
+        problem = F.raise_error(F.concat(F.lit("broken record "), F.col("read_no").cast("string"), F.lit(" in "), "file")).cast("string")
+        seq = F.when(fine, F.col("l1")).otherwise(problem)
+    else:
+        r, seq = r.filter(fine), F.col("l1")
+    return r.select(F.regexp_extract("file", r"^[^_.]*", 0).alias("accession"), "file", F.col("read_no").cast("long").alias("read_no"), seq.alias("seq"), F.col("l3").alias("qual"))
+
+
+def head(spark: SparkSession, paths: Sequence[str], reads: int = 10_000) -> DataFrame:
+    """The first reads of each file; files without any read are an error."""
+    out = read(spark, paths, reads)
+    if out.isEmpty():
+        raise ValueError(f"no reads in {', '.join(paths) or 'no file'}")
+    return out
+
+
+def zero_length(reads: DataFrame) -> DataFrame:
+    """The files that hold a read without a base: their profile fails."""
+    return reads.filter(F.length("seq") == 0).select("accession", "file").distinct()

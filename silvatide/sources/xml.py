@@ -19,18 +19,34 @@ PACKAGE_FIELDS = {
     "release_date": "SUBMISSION/@received",
 }
 SAMPLE_FIELDS = {
-    "experiment_id": "//EXPERIMENT/@accession",
-    "experiment_title": "//EXPERIMENT/TITLE",
-    "sample_id": "//SAMPLE/@accession",
-    "sample_title": "//SAMPLE/TITLE",
-    "sample_scientific_name": "//SAMPLE/SAMPLE_NAME/SCIENTIFIC_NAME",
-    "sample_taxon_id": "//SAMPLE/SAMPLE_NAME/TAXON_ID",
-    "study_id": "//STUDY/@accession",
-    "study_title": "//STUDY/DESCRIPTOR/STUDY_TITLE",
-    "library_strategy": "//LIBRARY_DESCRIPTOR/LIBRARY_STRATEGY",
-    "library_source": "//LIBRARY_DESCRIPTOR/LIBRARY_SOURCE",
-    "library_selection": "//LIBRARY_DESCRIPTOR/LIBRARY_SELECTION",
-    "instrument": "//PLATFORM/*/INSTRUMENT_MODEL",
+    "Run_ID": "//RUN/IDENTIFIERS/PRIMARY_ID",
+    "Run_Total_Spots": "//RUN/Total_spots",
+    "Run_Total_Bases": "//RUN/Total_bases",
+    "Run_Size": "//RUN/size",
+    "Run_Download_Path": "//RUN/download_path",
+    "Run_MD5": "//RUN/md5",
+    "Run_Filename": "//RUN/filename",
+    "Run_Spot_Length": "//RUN/spot_length",
+    "Run_Reads": "//RUN/reads",
+    "Run_FTP": "//RUN/ftp",
+    "Run_Aspera": "//RUN/aspera",
+    "Run_Galaxy": "//RUN/galaxy",
+    "Project_ID": "//STUDY/IDENTIFIERS/PRIMARY_ID",
+    "Project_Title": "//STUDY/DESCRIPTOR/STUDY_TITLE",
+    "Project_Abstract": "//STUDY/DESCRIPTOR/STUDY_ABSTRACT",
+    "Sample_ID": "//SAMPLE/IDENTIFIERS/PRIMARY_ID",
+    "Sample_External_ID": "//SAMPLE/IDENTIFIERS/EXTERNAL_ID",
+    "Sample_Name": "//SAMPLE/SAMPLE_NAME/TAXON_ID",
+    "Sample_Scientific_Name": "//SAMPLE/SAMPLE_NAME/SCIENTIFIC_NAME",
+    "Sample_Title": "//SAMPLE/TITLE",
+    "Experiment_ID": "//EXPERIMENT/IDENTIFIERS/PRIMARY_ID",
+    "Experiment_Title": "//EXPERIMENT/TITLE",
+    "Experiment_Design": "//EXPERIMENT/DESIGN/DESIGN_DESCRIPTION",
+    "Experiment_Library_Name": "//EXPERIMENT/LIBRARY_DESCRIPTOR/LIBRARY_NAME",
+    "Experiment_Library_Strategy": "//EXPERIMENT/LIBRARY_DESCRIPTOR/LIBRARY_STRATEGY",
+    "Experiment_Library_Source": "//EXPERIMENT/LIBRARY_DESCRIPTOR/LIBRARY_SOURCE",
+    "Experiment_Library_Selection": "//EXPERIMENT/LIBRARY_DESCRIPTOR/LIBRARY_SELECTION",
+    "SRA_Normalized_URL": "(//RUN/SRAFiles/SRAFile)[2]/@url",
 }
 
 
@@ -60,7 +76,7 @@ def attributes(xml: Column) -> Column:
 
 
 def sample_metadata(docs: DataFrame) -> DataFrame:
-    """run (from the file name), the fixed fields (null where missing) and attributes."""
+    """run (from the file name), the 28 fixed fields (the first that fits; null where missing) and attributes. A document that is cut off has no row."""
     run = F.regexp_extract("file", r"^(.*?)_metadata\.xml", 1)
     return docs.select(F.nullif(run, F.lit("")).alias("run"), *[field(F.col("xml"), p).alias(n) for n, p in SAMPLE_FIELDS.items()], attributes(F.col("xml")).alias("attributes"))
 

@@ -104,8 +104,22 @@ def test_beta_dispersion_permanova(spark, matrix):
     assert math.isnan(diversity.permanova_p(d, groups, 0).first().p_value)
     with pytest.raises(ValueError):
         diversity.beta(a, five, "nothing")
-    with pytest.raises(ValueError):
-        diversity.permanova_p(d, groups, 5, max_samples=3)
+    # The shuffled table gives what the matrix does, up to the draw of the labels.
+    spread = spark.createDataFrame([(a, b, abs(a - b) * (1.0 if (a <= 6) == (b <= 6) else 3.0) / 40) for a in range(1, 13) for b in range(a + 1, 13)], "a int, b int, distance double")
+    twelve = spark.createDataFrame([(k, "A" if k <= 6 else "B") for k in range(1, 13)], "sample int, group string")
+    small, large = (diversity.permanova_p(spread, twelve, 200, 3, max_samples=m).first() for m in (20, 3))
+    assert large.f_statistic == pytest.approx(small.f_statistic) and abs(large.p_value - small.p_value) < 0.1
+    assert math.isnan(diversity.permanova_p(d, groups, 0, max_samples=3).first().p_value)
+    meta = groups.withColumn("half", F.col("sample") % 2)
+    both = diversity.permanova(d, five, meta, "group + half", 20, 3)
+    assert {r.variable for r in both.collect()} == {"group", "half"}
+    with pytest.raises(KeyError):
+        diversity.permanova(d, five, meta.filter("sample <> 2"), "group")
+    with pytest.raises(KeyError):
+        diversity.permanova(d, five, meta, "nothing")
+    assert diversity.plot_frame(five, meta, "group", "half").columns == ["sample", "color", "size"]
+    gap = meta.withColumn("half", F.when(F.col("sample") > 1, F.col("half")))
+    assert diversity.plot_frame(five, gap, "group", "half").columns == ["sample", "color"]
 
 
 def test_small_matrices(spark):
@@ -113,6 +127,9 @@ def test_small_matrices(spark):
     out = diversity.pca(wide, ["a", "b", "c", "d"], 2).first()
     assert len(out.components) == 2 and 0 < sum(out.explained) <= 1 + 1e-9
     assert sorted(diversity.cluster_order(ROWS)) == [0, 1, 2, 3, 4]
+    assert diversity.cluster_order([[0.0], [10.0], [0.1], [10.1], [50.0]]) == [0, 2, 1, 3, 4] and diversity.cluster_order([]) == []
+    rows, columns = diversity.heatmap_order([[0.0, 9.0, 0.1], [5.0, 1.0, 5.1], [0.1, 9.1, 0.0]])
+    assert rows == [0, 2, 1] and columns == [0, 2, 1] and diversity.heatmap_order([[1.0, 2.0]], False) == ([0], [0, 1])
     assert diversity.permanova_variables("a + b c") == ["a", "b", "c"]
 
 
@@ -134,15 +151,32 @@ def test_outliers_and_tests(spark):
     assert [r.acc for r in statistics.iqr_outliers(d, "acc", ["len"]).collect()] == ["SRR5"]
     assert statistics.iqr_outliers(d.limit(3), "acc", ["len"]).count() == 0
     flat = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 1.0)], "g string, x double")
-    assert statistics.anova(flat, "g", ["x"]).first().p_value == 1.0
+    r = statistics.group_tests(flat, "g", ["x"]).first()
+    assert (r.test, r.statistic, r.p_value, r.significant) == ("skipped (identical values)", None, 1.0, False)
+    apart = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 2.0), ("b", 2.0)], "g string, x double")
+    r = statistics.group_tests(apart, "g", ["x"]).first()  # constant in each group, but different
+    assert (r.test, r.statistic, r.p_value, r.significant) == ("t-test", -math.inf, 0.0, True)
     two = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 3.0), ("b", 2.0), ("b", 4.0), ("b", 6.0)], "g string, x double")
-    r = statistics.anova(two, "g", ["x"]).first()
-    assert (r.test, r.f_statistic) == ("t_test", pytest.approx(2.4)) and r.p_value == pytest.approx(0.196266, abs=1e-5)
+    r = statistics.group_tests(two, "g", ["x"]).first()
+    assert (r.test, r.statistic) == ("t-test", pytest.approx(-math.sqrt(2.4))) and r.p_value == pytest.approx(0.196266, abs=1e-5)
+    three = two.unionByName(spark.createDataFrame([("c", 9.0), ("c", 11.0)], "g string, x double"))
+    r = statistics.group_tests(three, "g", ["x"]).first()
+    assert r.test == "ANOVA" and r.statistic == pytest.approx(15.6, abs=0.2) and r.significant
+    assert statistics.group_tests(two.filter("g = 'a'"), "g", ["x"]).count() == 0
     c = {(x.a, x.b): x.r for x in statistics.correlation(two.withColumn("y", F.col("x") * 2), ["x", "y"], "kendall").collect()}
     assert c["x", "y"] == pytest.approx(1.0)
     assert {x.metric for x in statistics.describe(two, "g", ["x"]).collect()} == {"x"}
-    texts = statistics.comparative_recommendations(statistics.anova(two, "g", ["x"], 1e-10).withColumn("p_value", F.lit(0.01)), d.select("acc", "len"))
-    assert texts.count() == 2
+    said = lambda tests, out: [x.text for x in statistics.comparative_recommendations(tests, out, ["y", "x"], "acc").orderBy("ordinal").collect()]
+    tests = spark.createDataFrame([("x", True), ("y", True), ("z", False)], "metric string, significant boolean")
+    assert said(tests, d) == ["Significant differences detected in: y, x", "Consider including group as covariate in downstream analysis", "Outlier datasets detected: SRR1, SRR2, SRR3, SRR4, SRR5", "Review outlier datasets for quality issues"]
+    six = d.select("acc").unionByName(spark.createDataFrame([("SRR9",)], "acc string"))
+    assert said(tests.filter("metric = 'z'"), six)[0] == "Outlier datasets detected: SRR1, SRR2, SRR3, SRR4, SRR5..."
+    assert said(tests.filter("metric = 'z'"), d.limit(0)) == ["No major issues detected in comparative analysis"]
+    groups = spark.createDataFrame([("SRR1", "a"), ("SRR2", "b"), ("SRR3", "a"), ("SRR5", "b")], "acc string, group string")
+    whole = statistics.compare_groups(d, groups, ["len"], "acc")
+    assert whole["frame"].count() == 4 and [x.acc for x in whole["outliers"].collect()] == ["SRR5"] and whole["statistics"].count() == 2
+    none = statistics.compare_groups(d, groups.limit(0), ["len"], "acc")["recommendations"].collect()
+    assert [x.text for x in none] == ["No data available for analysis"]
 
 
 def test_taxonomy(spark):
@@ -164,7 +198,18 @@ def test_taxonomy(spark):
     assert {r.name: r.confidence for r in v.collect()} == {"Escherichia coli": "high", "nothing known": "low"}
     assert taxonomy.corrections(v).count() == 1
     recs = spark.createDataFrame([("S", None, "g1", None, False, 0), ("S", "A2", None, None, True, 1)], "species string, accession string, gid string, ncbi_accession string, is_rep boolean, ordinal int")
-    assert taxonomy.representatives(recs).first().acc == "A2"
+    recs = recs.withColumn("query", F.lit("Q"))
+    assert [r.acc for r in taxonomy.species_accessions(recs).collect()] == ["A2"]
+    assert [r.acc for r in taxonomy.species_accessions(recs.filter("ordinal = 0")).collect()] == ["g1"]
+    assert {r.acc for r in taxonomy.species_accessions(recs, only=False).collect()} == {"g1", "A2"}
+    # Of a genus the first record of each species counts; where none of those is flagged, all do.
+    assert {r.acc for r in taxonomy.genus_accessions(recs).collect()} == {"g1", "A2"}
+    assert [r.acc for r in taxonomy.genus_accessions(recs.withColumn("ordinal", -F.col("ordinal"))).collect()] == ["A2"]
+    grid = taxonomy.annotate_grid(long, tax, ["a", "b", "c"])
+    assert grid.count() == 6 and {(r.sample, r.v) for r in grid.filter("genome = 'b'").collect()} == {("s1", 0.4), ("s2", 0.0)}
+    assert [taxonomy.query_level(**x) for x in ({}, {"family": "F"}, {"family": "F", "genus": "G"}, {"species": "S"})] == ["family", "family", "genus", "species"]
+    answers = spark.createDataFrame([('[{"gtdbTaxonomy": "g__A", "taxId": 7}]',), ('{"rows": [{"taxonomy": "g__B", "organismName": "b"}, {"x": 1}]}',), ("{}",)], "response string")
+    assert {(r.lineage, r.organism, r.tax_id) for r in taxonomy.record_taxonomy(taxonomy.search_rows(answers)).collect()} == {("g__A", None, "7"), ("g__B", "b", None)}
 
 
 def test_read_profiles(spark):
@@ -177,6 +222,15 @@ def test_read_profiles(spark):
     assert readqc.quality_distribution(reads).first().high == 1.0
     assert readqc.quality_summary(readqc.profile(reads)).first().datasets == 1
     assert readqc.anomaly_report(readqc.profile(reads)).count() == 1  # four 3-mers in 58: low complexity
+    failed = spark.createDataFrame([("S2", "no reads")], "key string, error string")
+    report = {r.key: r for r in readqc.anomaly_report(readqc.profile(reads), failed).collect()}
+    assert report["S1"].explanation.startswith("Very low sequence complexity") and report["S2"].explanation == "Analysis failed: no reads" and report["S2"].severity == 0.1
+    assert {(r.anomaly, r.key) for r in readqc.anomaly_types(readqc.profile(reads), failed).collect()} == {("low_complexity", "S1"), ("analysis_failed", "S2")}
+    groups = spark.createDataFrame([("S1", "T"), ("S7", "T")], "accession string, group string")
+    assert [(r.key, r.group) for r in readqc.group_profiles(reads, groups).collect()] == [("S1", "T")]
+    names = reads.select("accession", "file").distinct()
+    row = readqc.statistics_report(readqc.read_statistics(reads), names).first()
+    assert len(row) == 11 and (row.accession, row.num_files, row.layout, row.n50, row.avg_quality) == ("S1", 1, "SINGLE", 60, 40.0)
     files = spark.createDataFrame([("S1", "S1_1.fastq", 0, True), ("S1", "S1_2.fastq", 5, True), ("S1", "S1_2b.fastq", 5, True)], "accession string, file string, bytes long, parsable boolean")
     assert readqc.file_issues(files).first().issues == "1 empty files; unequal numbers of mates"
     assert readqc.layouts(files).first().layout == "PAIRED"
@@ -191,6 +245,17 @@ def test_planning(spark):
     assert forced.first().status == "download"
     files = spark.createDataFrame([("x_1.fq",), ("x_2.fq",), ("y_1.fq",)], "file string")
     assert [tuple(r) for r in planning.pairs(files).collect()] == [("x_1.fq", "x_2.fq")]
+    names = lambda tech, *fs: [r.canonical for r in planning.canonical_names(spark.createDataFrame([("A", f, tech) for f in fs], "accession string, file string, technology string")).orderBy("file").collect()]
+    assert names("illumina", "a.fastq", "b.fastq") == ["A_R1.fastq.gz", "A_R2.fastq.gz"] and names("illumina", "a.fastq") == ["A_R1.fastq.gz"]
+    assert names("nanopore", "a.fastq.gz") == ["A_long.fastq.gz"] and names("pacbio", "a.fastq", "b.fastq.gz") == ["A_long_1.fastq", "A_long_2.fastq.gz"]
+    assert names("unknown", "a.fastq") == ["A.fastq"] and names("unknown", "a.fastq", "b.fastq") == ["A_1.fastq", "A_2.fastq"]
+    done = planning.full_download_report(spark.createDataFrame([("a", "illumina", 5), ("b", "pacbio", 7)], "accession string, technology string, downloaded_reads int"), acc("a").select("accession", F.lit("ok").alias("message")), acc("b"))
+    assert len(done.columns) == 13 and {(r.accession, r.status, r.message, r.platform) for r in done.collect()} == {("a", "Success", "ok", ""), ("b", "Failed", "", "")}
+    s = planning.download_summary(done).first()
+    assert (s.datasets, s.successful, s.failed, s.reads, s.technologies) == (2, 1, 1, 5, {"illumina": 1})
+    state = spark.createDataFrame([("a", "downloading", 1, 1), ("a", "completed", 2, 1), ("b", "downloading", 1, 1), ("c", "downloading", 1, 1)], "accession string, status string, updated int, attempt int")
+    kept = planning.checkpoints(state.limit(1), state, acc("c"))
+    assert {(r.accession, r.status) for r in kept.collect()} == {("a", "completed"), ("b", "downloading")} and [r.accession for r in planning.resumable(kept).collect()] == ["b"]
     g = spark.createDataFrame([(0, "T", ["a", "b"]), (1, "C", ["b", "c"])], "ordinal int, group string, members array<string>")
     assert {r.accession: r.group for r in planning.groups_of(g).collect()} == {"a": "T", "b": "T", "c": "C"}
     s = planning.session_summary(spark.createDataFrame([(True, 10.0, 30.0), (False, 5.0, 30.0)], "success boolean, size_mb double, seconds double")).first()

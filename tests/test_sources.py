@@ -2,6 +2,7 @@ import gzip
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from silvatide.operators import containment
 from silvatide.plans import workflows
@@ -81,6 +82,127 @@ def test_fastq(spark, tmp_path):
     reads = fastq.read(spark, paths)
     assert reads.count() == 10 and reads.filter("qual = '@III' AND accession = 'SRR1'").count() == 10
     assert fastq.read(spark, paths, 2).count() == 4
+    assert sorted(r.read_no for r in fastq.head(spark, paths[:1], 3).collect()) == [0, 1, 2] and fastq.zero_length(reads).count() == 0
+    (tmp_path / "SRR2.fastq").write_text("@a\nAC\n+\nII\n@b\nAC\nII\n")
+    (tmp_path / "SRR3.fastq").write_text("")
+    (tmp_path / "SRR4.fastq").write_text("@a\n\n+\n\n\n\n")
+    with pytest.raises(Exception, match="broken record 1 in SRR2.fastq"):
+        fastq.read(spark, [str(tmp_path / "SRR2.fastq")]).collect()
+    assert fastq.read(spark, [str(tmp_path / "SRR2.fastq")], strict=False).count() == 1
+    with pytest.raises(ValueError):
+        fastq.head(spark, [str(tmp_path / "SRR3.fastq")])
+    assert [r.file for r in fastq.zero_length(fastq.read(spark, [str(tmp_path / "SRR4.fastq")])).collect()] == ["SRR4.fastq"]
+    deep = tmp_path / "x" / "y"
+    deep.mkdir(parents=True)
+    (deep / "SRR8_1.fastq").write_text(text)
+    assert [p.rpartition("/")[2] for p in delimited.fastq_files(spark, str(tmp_path), "SRR8")] == ["SRR8_1.fastq"]
+
+
+def test_fastq_in_splits(spark, tmp_path):
+    """A plain file that is read in several splits keeps its records."""
+    (tmp_path / "SRR1.fastq").write_text("".join(f"@r{i}\nA{i}\n+\n@{i}\n" for i in range(3000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = fastq.read(spark, [str(tmp_path / "SRR1.fastq")])
+        assert [(r.read_no, r.seq, r.qual) for r in got.orderBy("read_no").collect()] == [(i, f"A{i}", f"@{i}") for i in range(3000)]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_archives_and_folders(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "g.zip", "w") as z:
+        for name, body in (("README.md", "x"), ("ncbi_dataset/data/GCA_1.1/b.fna", ">b\nAC\n"), ("ncbi_dataset/data/GCA_1.1/a.fasta", ">a\nGT\n"), ("ncbi_dataset/data/GCF_2.1/p.faa", "x"), ("ncbi_dataset/data/GCF_3.1/z.fna", ">z\n")):
+            z.writestr(name, body)
+    assert {(r.accession, r.fasta) for r in delimited.genome_archives(spark, str(tmp_path / "g.zip")).collect()} == {("GCA_1.1", ">a\nGT\n"), ("GCF_3.1", ">z\n")}
+    (tmp_path / "l1.txt").write_text("a\nb\n")
+    good, bad = delimited.mapped_files(spark, str(tmp_path), lambda df: df.filter("value = 'a'"), "*.txt")
+    assert {k: v.count() for k, v in good.items()} == {"l1.txt": 1} and bad == []
+    fails = lambda df: (_ for _ in ()).throw(ValueError("no"))
+    assert delimited.mapped_files(spark, str(tmp_path), fails, "*.txt")[1][0][1] == "no"
+    with pytest.raises(ValueError):
+        delimited.mapped_files(spark, str(tmp_path), fails, "*.txt", strict=True)
+
+
+def test_ingest_adds_new_genomes(spark, tmp_path):
+    rows = spark.createDataFrame([("s1", "g1", 0.5), ("s2", "g2", 0.6)], "sample string, genome string, v double")
+    out = str(tmp_path / "long")
+    assert sinks.ingest(rows.filter("genome = 'g1'"), out) == []
+    assert sinks.ingest(rows.withColumn("v", F.lit(0.9)), out) == ["g1"]
+    assert {(r.genome, r.v) for r in spark.read.parquet(out).collect()} == {("g1", 0.5), ("g2", 0.9)}
+
+
+def test_reports(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x"), ("b", None)], "accession string, note string")
+    p = lambda n: str(tmp_path / n)
+    text = lambda n: [r.value for r in spark.read.text(p(n)).collect()]
+    sinks.lines(df, "accession", p("l"))
+    sinks.lines(df, "accession", p("t"), "note")
+    assert text("l") == ["a", "b"] and text("t") == ["a\tx", "b"]
+    sinks.column_report(df, "note", p("c"))
+    assert text("c") == ["Column: note", "Non-null: 1 of 2", "Distinct: 1", "x\t1"]
+    assert sinks.report(df, p("r")) and not sinks.report(df.limit(0), p("none")) and delimited.csv(spark, p("r")).count() == 2
+    with pytest.raises(ValueError):
+        sinks.exported(df, p("e"), "excel")
+    sinks.exported(df, p("e"), "csv")
+    sinks.replaced_cache(df, p("o"), p("k"))
+    assert delimited.csv(spark, p("k")).count() == 2
+    sinks.progress(spark.createDataFrame([(1, 2)], "done int, failed int"), df, p("p"))
+    assert json.loads(text("p")[0]) == {"done": 1, "failed": 2, "failed_accessions": ["a", "b"]}
+    inv = spark.createDataFrame([("reads", 1, 2)], "kind string, present int, missing int")
+    sinks.inventory_report(inv, p("i"), "text")
+    assert text("i") == ["kind\tpresent\tmissing", "reads\t1\t2"]
+    long = spark.createDataFrame([("s", "g", 0.5, "F"), ("s", "h", 0.7, "F")], "sample string, genome string, v double, family string")
+    assert sinks.taxonomy_query(long, p("q"), "family") and delimited.csv(spark, p("q"), "\t").first().F == "0.7"
+    assert not sinks.taxonomy_query(long.limit(0), p("q0"))
+
+
+def test_workflows(spark, folder, tmp_path):
+    p = lambda n: str(tmp_path / n)
+    workflows.parse_containment(spark, str(folder), p("wide"), p("summary"))
+    assert len(workflows.ingest_containment(spark, str(folder), p("long"))) == 1 and spark.read.parquet(p("long")).count() == 3
+    (tmp_path / "SRR9_metadata.xml").write_text(XML)
+    assert workflows.parse_metadata(spark, p("SRR9_metadata.xml"), p("meta")).count() == 1
+    workflows.check_attributes(spark, p("meta"), p("attrs"))
+    assert "host\t1" in [r.value for r in spark.read.text(p("attrs")).collect()]
+    assert workflows.dataset_info(spark, p("SRR9_metadata.xml"), p("info")) and len(delimited.csv(spark, p("info")).columns) == 17
+    (tmp_path / "runs.tsv").write_text("Run_ID\thost\tplace\tday\nSRR1\tcow\tUSA: x\t2020\nSRR2\tcow\t\t\n")
+    workflows.single_sample(spark, p("wide"), p("runs.tsv"), "g1", "host", 0.1, 5, p("single"))
+    assert delimited.csv(spark, p("single"), "\t").first().n == "2"
+    workflows.summarize_column(spark, p("runs.tsv"), "host", p("column"))
+    (tmp_path / "tax.tsv").write_text("genome_id\tfamily\tgenus\tspecies\ng1\tF1\tG1\tS1\ng2\tF1\tG2\tS2\n")
+    assert workflows.find_by_taxonomy(spark, p("wide"), p("tax.tsv"), p("found"), genus="g2") and delimited.csv(spark, p("found"), "\t").count() == 2
+    assert workflows.find_by_taxonomy(spark, p("wide"), p("tax.tsv"), p("foundw"), summary=True, family="F1") and delimited.csv(spark, p("foundw"), "\t").first().F1 == "0.95"
+    assert workflows.explore(spark, p("wide"), p("tax.tsv"), p("runs.tsv"), p("ex"), "place", "day").count() == 3
+    (tmp_path / "reads").mkdir()
+    (tmp_path / "reads" / "SRR1_1.fastq").write_text("@a\nACGTACGT\n+\nIIIIIIII\n" * 3)
+    (tmp_path / "want.txt").write_text("SRR1\nSRR7\nSRR7\n# no\n")
+    inv = workflows.status(spark, p("want.txt"), {"reads": (p("reads"), "*.fastq")}, p("status"))
+    assert [(r.kind, r.present, r.missing) for r in inv.collect()] == [("reads", 1, 1)]
+    todo = workflows.plan_downloads(spark, p("want.txt"), [], spark.createDataFrame([("SRR1",)], "accession string"), p("todo"))
+    assert [r.accession for r in todo.collect()] == ["SRR7"]
+    assert workflows.read_statistics(spark, p("reads"), ["SRR1"], p("stats")) and delimited.csv(spark, p("stats")).first().total_reads == "3"
+    profiles = workflows.quality_profiles(spark, p("reads"), ["SRR1"], p("qc"))
+    (tmp_path / "groups.json").write_text(json.dumps({"T": ["SRR1"], "C": ["SRR2"]}))
+    assert workflows.compare_datasets(spark, profiles, p("groups.json"), p("cmp"))["frame"].count() == 1
+    (tmp_path / "ab.csv").write_text("s,f1,f2\na,1,2\nb,3,4\nc,5,1\nd,2,2\n")
+    (tmp_path / "m.tsv").write_text("id\tgrp\na\tX\nb\tX\nc\tY\nd\tY\n")
+    workflows.diversity_analysis(spark, p("ab.csv"), p("div"), "bray_curtis", p("m.tsv"), "grp", 19)
+    assert delimited.csv(spark, p("div/beta_diversity_bray_curtis.csv")).count() == 16 and spark.read.text(p("div/permanova_results.txt")).count() == 2
+    (tmp_path / "names.txt").write_text("f1\nf2\n")
+    ref = spark.createDataFrame([("f1", 1, "species", "phylum:P;family:F")], "name string, tax_id int, rank string, lineage string")
+    v = workflows.validate_taxonomy(spark, p("names.txt"), ref, p("valid"), p("cache"))
+    assert {r.name: r.confidence for r in v.collect()} == {"f1": "high", "f2": "low"} and delimited.csv(spark, p("cache")).count() == 2
+    again = workflows.validate_taxonomy(spark, p("names.txt"), ref.limit(0), p("valid2"), p("cache"))
+    assert {r.name: r.confidence for r in again.collect()} == {"f1": "high", "f2": "low"}
+    workflows.summarize_taxonomy(spark, p("ab.csv"), p("valid"), p("levels"), ("phylum", "family"))
+    assert {r.taxon for r in delimited.csv(spark, p("levels/taxonomy_summary_family.csv")).collect()} == {"F", "Unclassified_family"}
+    (tmp_path / "gen").mkdir()
+    for n in ("GCA_1.1.fna", "GCA_1.1.faa", "GCA_2.1.fna"):
+        (tmp_path / "gen" / n).write_text(">x\n")
+    workflows.genome_manifest(spark, p("gen"), p("man"))
+    assert [(r.name, r.protein_filename is None) for r in delimited.csv(spark, p("man")).collect()] == [("GCA_1.1", False), ("GCA_2.1", True)]
 
 
 XML = """<SET><EXPERIMENT_PACKAGE><EXPERIMENT accession="SRX1"><TITLE>t</TITLE><PLATFORM><ILLUMINA><INSTRUMENT_MODEL>HiSeq</INSTRUMENT_MODEL></ILLUMINA></PLATFORM>
@@ -93,7 +215,11 @@ def test_xml(spark, tmp_path):
     (tmp_path / "SRR9_metadata.xml").write_text(XML)
     docs = xml.documents(spark, str(tmp_path / "SRR9_metadata.xml"))
     r = xml.sample_metadata(docs).first()
-    assert (r.run, r.sample_id, r.sample_scientific_name, r.study_id, r.attributes) == ("SRR9", "SRS1", "E. coli", None, {"host": "cow"})
+    assert (r.run, r.Sample_Scientific_Name, r.Project_ID, r.Experiment_Title, r.attributes) == ("SRR9", "E. coli", None, "t", {"host": "cow"})
+    assert len(xml.SAMPLE_FIELDS) == 28
+    run = "<S><RUN><IDENTIFIERS><PRIMARY_ID>SRR9</PRIMARY_ID></IDENTIFIERS><Total_spots>5</Total_spots><SRAFiles><SRAFile url='u1'/>%s</SRAFiles></RUN></S>"
+    urls = spark.createDataFrame([("a_metadata.xml", run % "<SRAFile url='u2'/>"), ("b_metadata.xml", run % "")], "file string, xml string")
+    assert {(x.run, x.Run_ID, x.Run_Total_Spots, x.SRA_Normalized_URL) for x in xml.sample_metadata(urls).collect()} == {("a", "SRR9", "5", "u2"), ("b", "SRR9", "5", None)}
     assert [x.name for x in xml.attribute_names(docs).collect()] == ["host"]
     assert xml.widened(xml.sample_metadata(docs), ["host"]).first().host == "cow"
     p = xml.packages(docs).first()
