@@ -161,7 +161,7 @@ def test_outliers_and_tests(spark):
     assert (r.test, r.statistic) == ("t-test", pytest.approx(-math.sqrt(2.4))) and r.p_value == pytest.approx(0.196266, abs=1e-5)
     three = two.unionByName(spark.createDataFrame([("c", 9.0), ("c", 11.0)], "g string, x double"))
     r = statistics.group_tests(three, "g", ["x"]).first()
-    assert r.test == "ANOVA" and r.statistic == pytest.approx(15.6, abs=0.2) and r.significant
+    assert r.test == "ANOVA" and r.statistic == pytest.approx(16.5625) and r.significant
     assert statistics.group_tests(two.filter("g = 'a'"), "g", ["x"]).count() == 0
     c = {(x.a, x.b): x.r for x in statistics.correlation(two.withColumn("y", F.col("x") * 2), ["x", "y"], "kendall").collect()}
     assert c["x", "y"] == pytest.approx(1.0)
