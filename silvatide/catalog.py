@@ -704,11 +704,11 @@ def download_order(spark, d):
 @register(
     "download_times",
     """SELECT o_orderkey, round(o_totalprice / 1000.0::DOUBLE * 1024 * 8 / (100 * 4 * 0.8::DOUBLE) / 3600, 9) AS hours,
-round(o_totalprice / (8.0::DOUBLE * CASE WHEN k > 1 THEN k * (1 - 0.1::DOUBLE * (k - 1)) ELSE 1.0::DOUBLE END), 6) AS minutes FROM (SELECT *, least(o_custkey % 7, 4) AS k FROM orders)""",
+round(o_totalprice / (8.0::DOUBLE * CASE WHEN k > 1 THEN k * (1 - 0.1::DOUBLE * (k - 1)) ELSE 1.0::DOUBLE END), 9) AS minutes FROM (SELECT *, least(o_custkey % 7, 4) AS k FROM orders)""",
 )
 def download_times(spark, d):
     minutes = clean.planned_transfer_minutes(F.col("o_totalprice"), F.col("o_custkey") % 7)
-    return t(spark, d, "orders").select("o_orderkey", r(clean.transfer_hours(F.col("o_totalprice") / 1000.0)).alias("hours"), r(minutes, 6).alias("minutes"))
+    return t(spark, d, "orders").select("o_orderkey", r(clean.transfer_hours(F.col("o_totalprice") / 1000.0)).alias("hours"), r(minutes).alias("minutes"))
 
 
 @register("download_preview", "SELECT o_orderpriority AS technology, count(*) AS n, round(sum(o_totalprice) / 1024.0::DOUBLE, 4) AS gb FROM orders GROUP BY ALL")
