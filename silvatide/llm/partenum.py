@@ -273,7 +273,7 @@ def _open(share: Fraction) -> F.Column:
 
 
 #: Pairs made at once, and rows gathered before they are made.
-PAIRS_AT_ONCE, ROWS_AT_ONCE = 1 << 21, 1 << 16
+PAIRS_AT_ONCE, ROWS_AT_ONCE = 1 << 18, 1 << 16
 #: Tasks that the signatures of one least set are dealt to.
 SPREAD = 16
 
