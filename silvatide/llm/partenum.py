@@ -80,6 +80,7 @@ def _tail(mean: float, top: int) -> float:
     return max(0.0, 1.0 - total)
 
 
+@lru_cache(maxsize=4096)
 def choose_scheme(k: int, typical: float, content: float) -> Scheme:
     """For sets that differ in at most k shingles. Of `outer` partitions at most k // (d + 1) hold more than d differences, so
     1 + spare hold at most d each: linked sets agree there on at least inner - d parts, so on a whole subset of that size.
@@ -93,19 +94,25 @@ def choose_scheme(k: int, typical: float, content: float) -> Scheme:
             size, ways = inner - d, math.comb(inner, d)
             for spare in range(k // (d + 1) // 3 + 2):
                 outer = k // (d + 1) + 1 + spare
+                if best is not None and not best[0][0] and outer * ways * 1.02**-3 > best[0][1]:
+                    break  # more partitions only cost more
                 mean = typical * size / (outer * inner)
+                found = False
                 for least in (1, 2, 3):
                     thin = outer * min(1.0, ways * (1.0 - _tail(mean, least - 1)))
-                    again = _tail(thin, spare)
+                    again = _tail(thin, spare) if thin <= spare + 1 else 1.0  # the median is near the mean
                     # A larger least content is taken where it costs next to nothing.
                     if again > (0.5 if least == 1 else 0.02):
                         break
                     count = outer * ways * (1.0 + again)
                     if count > max(32.0, MOST * typical):
                         continue
+                    found = True
                     rank = (mean < content, count * 1.02 ** -least if mean >= content else -mean, count)
                     if best is None or rank < best[0]:
                         best = (rank, Scheme(outer, inner, size, least, spare))
+                if found and mean < content:
+                    break  # and stand for less
     return best[1] if best else Scheme(k // 2 + 1, 3, 2, 1, 0)
 
 
