@@ -209,7 +209,9 @@ def correlation_kendall(spark, d):
 @register("pca")  # signs and ties of components are free: the share of variance is checked in the tests
 def pca(spark, d):
     wide = containment.wide(cells(spark, d), ("Brand#1", "Brand#2", "Brand#3")).select("sample", "`Brand#1`", "`Brand#2`", "`Brand#3`").toDF("sample", "x", "y", "z")
-    return diversity.pca(wide, ["x", "y", "z"], 2)
+    out = diversity.pca(wide, ["x", "y", "z"], 2)
+    part = lambda c, k: F.get(c, F.lit(k))
+    return out.select("sample", *[r(part("components", k)).alias(f"pc{k + 1}") for k in (0, 1)], *[r(part("explained", k)).alias(f"share{k + 1}") for k in (0, 1)])
 
 
 @register("permanova_variables")  # shuffled labels: held against brute force in the tests

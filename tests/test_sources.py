@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from silvatide.operators import containment
-from silvatide.plans import workflows
+from silvatide.plans import commands, workflows
 from silvatide.plans.registry import Registry, discover
 from silvatide.sources import delimited, fastq, sinks, xml
 from silvatide.streaming import incremental
@@ -158,6 +158,22 @@ def test_reports(spark, tmp_path):
     assert not sinks.taxonomy_query(long.limit(0), p("q0"))
 
 
+def test_commands(spark, folder, tmp_path, capsys):
+    p = lambda n: str(tmp_path / n)
+    assert commands.main(["parse_containment", str(folder), p("wide"), p("summary"), "--step", "0.5"], spark) == 0
+    assert "bad.csv" in capsys.readouterr().out and delimited.csv(spark, p("summary"), "\t").count() == 3
+    (tmp_path / "tax.tsv").write_text("genome_id\tfamily\ng1\tF1\n")
+    assert commands.main(["find_by_taxonomy", p("wide"), p("tax.tsv"), p("found"), "--family", "f1", "--min_containment", "0.93"], spark) == 0
+    assert delimited.csv(spark, p("found"), "\t").count() == 1
+    assert commands.main(["find_by_taxonomy", p("wide"), p("tax.tsv"), p("none"), "--family", "F2"], spark) == 1  # nothing found, nothing written
+    (tmp_path / "want.txt").write_text("g1\nzz\n")
+    assert commands.main(["status", p("want.txt"), f"csv={folder}/*.csv", p("status"), "--kind", "text"], spark) == 0
+    assert [r.value for r in spark.read.text(p("status")).collect()] == ["kind\tpresent\tmissing", "csv\t1\t1"]
+    with pytest.raises(SystemExit):
+        commands.main(["no_such_command"], spark)
+    assert set(commands.COMMANDS) <= set(dir(workflows)) and len(commands.COMMANDS) == 20
+
+
 def test_workflows(spark, folder, tmp_path):
     p = lambda n: str(tmp_path / n)
     workflows.parse_containment(spark, str(folder), p("wide"), p("summary"))
