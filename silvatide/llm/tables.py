@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -9,6 +10,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,10 +102,24 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(to)
 
 
+def _give_back() -> None:
+    """Return what a task has freed to the system: its process goes on to serve other tasks beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not this C library
+        pass
+
+
 def arrow_map(df: DataFrame, f: Callable, schema: str) -> DataFrame:
     """mapInArrow with this package at hand on every worker."""
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from f(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
 
 
 def filtered(docs: DataFrame, op: Callable[[DataFrame, tuple[str, ...]], DataFrame], condition: Column) -> DataFrame:
