@@ -33,14 +33,20 @@ def shared_dir(spark: SparkSession) -> str:
     return d.rstrip("/")
 
 
-#: Folders that written() made in this process.
+#: Paths that place() gave in this process.
 _made: list[str] = []
 
 
-def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write df as Parquet under the shared folder and read it back: this cuts the lineage and survives lost executors."""
+def place(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, which swept() deletes."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     _made.append(path)
+    return path
+
+
+def written(spark: SparkSession, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """Write df as Parquet under the shared folder and read it back: this cuts the lineage and survives lost executors."""
+    path = place(spark, name)
     with _shuffles_freed(spark):
         df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ import pytest
 import corpus_pipeline
 from silvatide.llm.queries import ORACLES, QUERIES
 
-TABLES = ("documents", "embeddings", "pages", "benchmark", "labels")
+TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 COLUMNS = {
     "op2_html_extraction": {"page_id", "url", "text", "n_chars"},
     "op5_jaccard_join": {"doc_id", "n_shingles", "component_id"},
