@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, decontaminate, html_extract, license_scan, merkle, mixing, partenum, suffix_dedup, token_output, toxicity, url_filter
+from . import bitsliced, collocation, decontaminate, html_extract, license_scan, merkle, mixing, partenum, suffix_dedup, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_output": token_output.op8_token_output,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op12_collocations": collocation.op12_collocations,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 ORACLES = {
@@ -24,5 +25,6 @@ ORACLES = {
     "op4_url_filter": url_filter.ORACLE_SQL,
     "op7_exact_topk": bitsliced.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op12_collocations": collocation.ORACLE_SQL,
     "op13_merkle_manifest": merkle.ORACLE_SQL,
 }
