@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitsliced, collocation, decontaminate, html_extract, license_scan, merkle, mixing, partenum, suffix_dedup, token_output, toxicity, url_filter
+from . import bitsliced, chat_format, collocation, decontaminate, html_extract, license_scan, merkle, mixing, partenum, suffix_dedup, token_output, toxicity, url_filter
 
 QUERIES = {
     "op1_license_scan": license_scan.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_output": token_output.op8_token_output,
     "op9_mixing": mixing.op9_mixing,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_chat_formatting": chat_format.op11_chat_formatting,
     "op12_collocations": collocation.op12_collocations,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
