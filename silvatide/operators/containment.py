@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import with_places
+from .pairs import presence_pairs
+
 
 def build(rows: DataFrame, sample: str = "sample", genome: str = "genome", value: str = "v") -> DataFrame:
     """The canonical long table: the maximum of each cell."""
@@ -113,25 +117,28 @@ def cooccurrence(long: DataFrame, threshold: float = 0.5, min_samples: int = 5)
 
 
 def presence_distance(long: DataFrame, threshold: float = 0.1, method: str = "jaccard", samples: DataFrame | None = None) -> DataFrame:
-    """a < b and their distance by presence. Pairs without a common genome are at 1, as are two empty samples."""
-    if method not in ("jaccard", "dice", "cosine"):
+    """a < b and their distance by presence. Pairs without a common genome are at 1, as are two empty samples. Tiles of packed bitmaps: see pairs."""
+    if method not in _FROM_COUNTS:
         raise ValueError(f"unknown method {method}")
-    ids = (long.select("sample").distinct() if samples is None else samples).select("sample")
-    p = presence(long, threshold).join(ids, "sample", "left_semi")
-    size = ids.join(p.groupBy("sample").agg(F.count("*").alias("n")), "sample", "left").select("sample", F.coalesce("n", F.lit(0)).alias("n"))
-    common = p.toDF("a", "genome").join(p.toDF("b", "genome"), "genome").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("i"))
-    pairs = size.toDF("a", "na").join(size.toDF("b", "nb"), F.col("a") < F.col("b"))  # the result has a row for every pair
-    pairs = pairs.join(common, ["a", "b"], "left").withColumn("i", F.coalesce("i", F.lit(0)))
-    return pairs.select("a", "b", _from_counts(method).alias("distance"))
+    ids = (long if samples is None else samples).select("sample").distinct()
+    p = presence(long, threshold).join(ids, "sample", "left_semi").select("sample", F.col("genome").alias("feature")).distinct()
+    return presence_pairs(ids, p, _FROM_COUNTS[method])
+
+
+def _jaccard(i: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    union = na + nb - i
+    return np.where(union == 0, 1.0, 1.0 - i / np.maximum(union, 1))
+
+
+def _dice(i: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    return np.where(na + nb == 0, 1.0, 1.0 - 2.0 * i / np.maximum(na + nb, 1))
+
+
+def _cosine(i: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+    return np.where((na == 0) | (nb == 0), 1.0, 1.0 - i / np.sqrt(np.maximum(na.astype(float) * nb, 1.0)))
 
 
-def _from_counts(method: str) -> Column:
-    i, na, nb = F.col("i"), F.col("na"), F.col("nb")
-    if method == "jaccard":
-        return F.when(na + nb - i == 0, 1.0).otherwise(1.0 - i / (na + nb - i))
-    if method == "dice":
-        return F.when(na + nb == 0, 1.0).otherwise(1.0 - 2.0 * i / (na + nb))
-    return F.when((na == 0) | (nb == 0), 1.0).otherwise(1.0 - i / F.sqrt(na.cast("double") * nb))
+_FROM_COUNTS = {"jaccard": _jaccard, "dice": _dice, "cosine": _cosine}
 
 
 def mirrored(pairs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -163,9 +170,6 @@ def heatmap_cells(long: DataFrame, threshold: float | None = None) -> DataFrame:
 
 
 def rank_plot(maxima: DataFrame, value: str = "max_containment") -> DataFrame:
-    """Rank 1.. by falling value. Positions come from ranges of the value, counted first, so that no one task ranks every row."""
-    ranged = maxima.select("sample", value).withColumn("bin", F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(value))) * 1000).cast("int"))
-    sizes = ranged.groupBy("bin").agg(F.count("*").alias("n"))
-    ahead = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("bin", "ahead")
-    inside = F.row_number().over(Window.partitionBy("bin").orderBy(F.desc(value), "sample"))
-    return ranged.withColumn("inside", inside).join(F.broadcast(ahead), "bin").select("sample", value, (F.col("ahead") + F.col("inside")).alias("rank"))
+    """Rank 1.. by falling value, ties by sample. Places come from ranges of (value, sample), so that samples of one value are split as well."""
+    falling = [F.col(value).isNull(), -F.col(value), F.col("sample")]
+    return with_places(maxima.select("sample", value), falling, "rank").withColumn("rank", F.col("rank") + 1)

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pairs import Rows, least, value_pairs
+from .permutations import permanova_p
+
 EPSILON = 1e-12
 ALPHA = ("shannon", "simpson", "chao1", "observed_species", "pielou")
 
@@ -46,33 +50,45 @@ def alpha(abundance: DataFrame, samples: DataFrame, n_features: int, metrics: Se
     return s.select("sample", *[made[m].alias(m) for m in metrics if m in made])
 
 
+def _ratio(x: np.ndarray, y: np.ndarray, where_none: float) -> np.ndarray:
+    return np.where(y > 0, 1.0 - x / np.where(y > 0, y, 1.0), where_none)
+
+
+def _bray_curtis(x: Rows, y: Rows, over: Callable) -> np.ndarray:
+    return _ratio(2.0 * over(least), x.total(x.v)[:, None] + y.total(y.v)[None, :], 0.0)
+
+
+def _jaccard(x: Rows, y: Rows, over: Callable) -> np.ndarray:
+    both = over(lambda p, q: (p > 0).astype(float) @ (q > 0).astype(float).T)
+    return _ratio(both, x.total(x.v > 0)[:, None] + y.total(y.v > 0)[None, :] - both, 0.0)
+
+
+def _euclidean(x: Rows, y: Rows, over: Callable) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, x.total(x.v * x.v)[:, None] + y.total(y.v * y.v)[None, :] - 2.0 * over(lambda p, q: p @ q.T)))
+
+
+def _manhattan(x: Rows, y: Rows, over: Callable) -> np.ndarray:
+    saved = over(lambda p, q: np.stack([((r != 0) & (q != 0)) * (np.abs(r) + np.abs(q) - np.abs(r - q)) for r in p]).sum(2))
+    return x.total(np.abs(x.v))[:, None] + y.total(np.abs(y.v))[None, :] - saved
+
+
+def _cosine(x: Rows, y: Rows, over: Callable) -> np.ndarray:
+    return _ratio(over(lambda p, q: p @ q.T), np.sqrt(x.total(x.v * x.v))[:, None] * np.sqrt(y.total(y.v * y.v))[None, :], 1.0)
+
+
+METRICS = {"bray_curtis": _bray_curtis, "jaccard": _jaccard, "euclidean": _euclidean, "manhattan": _manhattan, "cosine": _cosine}
+
+
 def beta(abundance: DataFrame, samples: DataFrame, metric: str = "bray_curtis") -> DataFrame:
-    """a < b and their distance for every pair of samples.
+    """a < b and their distance for every pair of samples, by tiles of blocks of samples: see pairs.
 
-    Sparse: products and minima come from an equi-join on the feature; norms and totals belong to the samples. Bray-Curtis
-    takes non-negative abundances.
+    Sums over the features that both samples have; norms and totals belong to the samples. Bray-Curtis takes non-negative abundances.
     """
-    x = abundance.select("sample", "feature", F.col("a").cast("double").alias("v")).filter("v <> 0")
-    per = x.groupBy("sample").agg(F.sum("v").alias("s"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count_if(F.col("v") > 0).alias("n"), F.sum(F.abs("v")).alias("m"))
-    per = samples.select("sample").join(per, "sample", "left").na.fill(0)
-    l, r = x.toDF("a", "feature", "va"), x.toDF("b", "feature", "vb")
-    va, vb = F.col("va"), F.col("vb")
-    shared = l.join(r, "feature").filter("a < b").groupBy("a", "b").agg(
-        F.sum(F.least(va, vb)).alias("least"), F.sum(va * vb).alias("dot"), F.count_if((va > 0) & (vb > 0)).alias("i"), F.sum(F.abs(va) + F.abs(vb) - F.abs(va - vb)).alias("saved")
-    )
-    side = lambda k: per.select(F.col("sample").alias(k), *[F.col(c).alias(f"{k}_{c}") for c in ("s", "q", "n", "m")])
-    pairs = side("a").join(side("b"), F.col("a") < F.col("b")).join(shared, ["a", "b"], "left").na.fill(0, ["least", "dot", "i", "saved"])
-    c = F.col
-    made: dict[str, Column] = {
-        "bray_curtis": F.when(c("a_s") + c("b_s") > 0, 1 - 2 * c("least") / F.nullif(c("a_s") + c("b_s"), F.lit(0))).otherwise(0.0),
-        "jaccard": F.when(c("a_n") + c("b_n") - c("i") > 0, 1 - c("i") / F.nullif(c("a_n") + c("b_n") - c("i"), F.lit(0))).otherwise(0.0),
-        "euclidean": F.sqrt(F.greatest(F.lit(0.0), c("a_q") + c("b_q") - 2 * c("dot"))),
-        "manhattan": c("a_m") + c("b_m") - c("saved"),
-        "cosine": F.when((c("a_q") == 0) | (c("b_q") == 0), 1.0).otherwise(1 - c("dot") / F.nullif(F.sqrt(c("a_q")) * F.sqrt(c("b_q")), F.lit(0))),
-    }
-    if metric not in made:
+    if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
-    return pairs.select("a", "b", made[metric].alias("distance"))
+    ids = samples.select("sample").distinct()
+    x = abundance.select("sample", "feature", F.col("a").cast("double").alias("v")).groupBy("sample", "feature").agg(F.sum("v").alias("v"))
+    return value_pairs(ids, x.filter("v <> 0").join(ids, "sample", "left_semi"), METRICS[metric])
 
 
 def _with_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -110,83 +126,6 @@ def permanova_f(pairs: DataFrame, groups: DataFrame, textbook: bool = False) ->
     return one.select("total", "within", between.alias("between"), f.alias("f_statistic"), "n", "g")
 
 
-def permanova_p(pairs: DataFrame, groups: DataFrame, permutations: int = 999, seed: int = 0, max_samples: int = 2000) -> DataFrame:
-    """f_statistic, p_value, permutations: the share of label shuffles with an F no smaller; NaN without permutations.
-
-    Up to `max_samples` samples a task permutes the square matrix, which is collected once; beyond that the labels are
-    shuffled as a table and every permutation's sums of squares are summed over the pairs.
-    """
-    g = groups.toDF("sample", "group")
-    if g.limit(max_samples + 1).count() > max_samples:
-        return _permanova_p_large(pairs, g, permutations, seed)
-    return _permanova_p_small(pairs, g, permutations, seed)
-
-
-def _permanova_p_large(pairs: DataFrame, g: DataFrame, permutations: int, seed: int) -> DataFrame:
-    """Labels in each permutation: the i-th sample by hash gets the i-th label of a fixed list."""
-    places = Window.orderBy("group", "sample")
-    fixed = g.select("group", F.row_number().over(places).alias("place"))  # a row a sample
-    drawn = g.select("sample", F.explode(F.sequence(F.lit(1), F.lit(permutations)) if permutations else F.array().cast("array<int>")).alias("turn"))
-    order = Window.partitionBy("turn").orderBy(F.xxhash64(F.lit(seed), "turn", "sample"), "sample")
-    labels = drawn.withColumn("place", F.row_number().over(order)).join(fixed, "place").select("sample", "turn", "group")
-    sizes = g.groupBy("group").agg(F.count("*").alias("ng"))
-    dims = sizes.agg(F.sum("ng").alias("n"), F.count("*").alias("g"))
-    d2 = F.col("distance") * F.col("distance")
-    ss = lambda u, n: u / n - 2 * u / (n * (n - 1))
-    total = pairs.agg(F.sum(d2).alias("ut")).crossJoin(dims)  # rows of one
-    inside = pairs.join(labels.toDF("a", "turn", "ga"), "a").join(labels.toDF("b", "turn", "gb"), ["b", "turn"]).filter("ga = gb")
-    u = inside.groupBy("turn", F.col("ga").alias("group")).agg(F.sum(d2).alias("u"))
-    within = u.join(sizes.filter("ng > 1"), "group").groupBy("turn").agg(F.sum(ss(F.col("u"), F.col("ng"))).alias("within"))
-    total = total.select(ss(F.col("ut"), F.col("n")).alias("total"), "n", "g")
-    f = F.when((F.col("within") > 0) & (F.col("n") > F.col("g")) & (F.col("g") > 1), ((F.col("total") - F.col("within")) / F.nullif(F.col("g") - 1, F.lit(0))) / F.nullif(F.col("within") / F.nullif(F.col("n") - F.col("g"), F.lit(0)), F.lit(0.0))).otherwise(0.0)
-    shuffled = within.crossJoin(F.broadcast(total)).select(f.alias("f"))
-    seen = permanova_f(pairs, g).select("f_statistic")
-    # Permutations without any pair inside a group have an F of 0, as the observed one may have.
-    both = shuffled.agg(F.collect_list("f").alias("fs")).crossJoin(seen)  # one number a permutation
-    none = F.lit(permutations) - F.size("fs")
-    hits = F.size(F.filter("fs", lambda x: x >= F.col("f_statistic"))) + F.when(F.col("f_statistic") <= 0, none).otherwise(0)
-    p = F.when(F.lit(permutations) > 0, hits / F.lit(float(max(permutations, 1)))).otherwise(float("nan"))
-    return both.select("f_statistic", p.alias("p_value"), F.lit(permutations).alias("permutations"))
-
-
-def _permanova_p_small(pairs: DataFrame, g: DataFrame, permutations: int, seed: int) -> DataFrame:
-    import numpy as np
-
-    spark = pairs.sparkSession
-    labels = sorted(tuple(r) for r in g.collect())
-    at = {s: k for k, (s, _) in enumerate(labels)}
-    n = len(labels)
-    d2 = np.zeros((n, n))
-    for a, b, d in pairs.select("a", "b", "distance").toLocalIterator():
-        if a in at and b in at:
-            d2[at[a], at[b]] = d2[at[b], at[a]] = d * d
-    codes = np.unique([x for _, x in labels], return_inverse=True)[1]
-    k = int(codes.max()) + 1 if n else 0
-    held = spark.sparkContext.broadcast((d2, codes, k))
-
-    def f_of(d2, codes, k):
-        import numpy as np
-
-        n = len(codes)
-        part = lambda m, size: m.sum() / 2 / size - m.sum() / (size * (size - 1))
-        total = part(d2, n) if n > 1 else 0.0
-        within = sum(part(d2[np.ix_(i, i)], len(i)) for g in range(k) if len(i := np.flatnonzero(codes == g)) > 1)
-        return 0.0 if n <= k or within <= 0 or k < 2 else ((total - within) / (k - 1)) / (within / (n - k))
-
-    def shuffled(batches):
-        import numpy as np
-        import pandas as pd
-
-        d2, codes, k = held.value
-        for b in batches:
-            yield pd.DataFrame({"f": [f_of(d2, np.random.default_rng([seed, i]).permutation(codes), k) for i in b["id"]]})
-
-    f = float(f_of(d2, codes, k))
-    drawn = spark.range(permutations).mapInPandas(shuffled, "f double")
-    p = drawn.agg(F.avg((F.col("f") >= f).cast("double")).alias("p"))
-    return p.select(F.lit(f).alias("f_statistic"), F.coalesce("p", F.lit(float("nan"))).alias("p_value"), F.lit(permutations).alias("permutations"))
-
-
 def aligned(samples: DataFrame, metadata: DataFrame, key: str = "sample") -> DataFrame:
     """The samples with their metadata; a sample without any is an error."""
     lost = [r[0] for r in samples.select(key).join(metadata.select(key), key, "left_anti").orderBy(key).limit(6).collect()]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.special import f_tail, fisher_exact, hypergeometric_tail
+from ..scratch import written
+from .ordering import with_least_following, with_places
 
 
 def fold(observed: Column, expected: Column) -> Column:
@@ -25,12 +27,14 @@ def enrichment(observed: DataFrame, expected: DataFrame, min_count: int = 5, key
 
 
 def benjamini_hochberg(df: DataFrame, p: str = "p_value", key: str = "key") -> DataFrame:
-    """Adds adjusted_p_value: the least p * n / rank at or above each rank, at most 1. One row is one test, so a single window holds them."""
-    n = F.count("*").over(Window.partitionBy())
-    rank = F.row_number().over(Window.orderBy(p, key))
-    d = df.withColumn("_adj", F.col(p) * n / rank).withColumn("_rank", rank)
-    low = F.min("_adj").over(Window.orderBy(F.desc("_rank")).rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("adjusted_p_value", F.least(F.lit(1.0), low)).drop("_adj", "_rank")
+    """Adds adjusted_p_value: the least p * n / rank at or above each rank, at most 1; ranks by p, then key. The tests are written once, since their
+    places take several passes; a row a range of p is all that one task sees."""
+    d = written(df, "tests")
+    n = d.agg(F.count("*").alias("_tests"))
+    d = with_places(d, [F.col(p), F.col(key)], "_place", keep_range=True).crossJoin(F.broadcast(n))  # one row
+    d = d.withColumn("_adj", F.col(p) * F.col("_tests") / (F.col("_place") + 1))
+    d = with_least_following(d, "_adj", "_place", "_low")
+    return d.withColumn("adjusted_p_value", F.least(F.lit(1.0), "_low")).drop("_adj", "_place", "_tests", "_low")
 
 
 def hypergeometric(df: DataFrame, k: str, draws: str, successes: str, population: str) -> DataFrame:
