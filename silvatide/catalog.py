@@ -175,7 +175,7 @@ SELECT a, b, round({expr}, 9) AS distance FROM k"""
 def _distance(method: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         samples = t(spark, d, "customer").select(F.col("c_custkey").alias("sample"))
-        return containment.presence_distance(cells(spark, d), 0.9, method, samples).select("a", "b", r("distance").alias("distance"))
+        return containment.presence_distance(cells(spark, d), 0.9, method, samples, 9)
 
     return query
 

@@ -116,13 +116,15 @@ def cooccurrence(long: DataFrame, threshold: float = 0.5, min_samples: int = 5)
     return grid.join(both, ["genome_a", "genome_b"], "left").select("genome_a", "genome_b", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
-def presence_distance(long: DataFrame, threshold: float = 0.1, method: str = "jaccard", samples: DataFrame | None = None) -> DataFrame:
-    """a < b and their distance by presence. Pairs without a common genome are at 1, as are two empty samples. Tiles of packed bitmaps: see pairs."""
+def presence_distance(long: DataFrame, threshold: float = 0.1, method: str = "jaccard", samples: DataFrame | None = None, digits: int | None = None) -> DataFrame:
+    """a < b and their distance by presence, rounded to `digits`, if given. Pairs without a common genome are at 1, as are two empty samples. Tiles of
+    packed bitmaps: see pairs."""
     if method not in _FROM_COUNTS:
         raise ValueError(f"unknown method {method}")
-    ids = (long if samples is None else samples).select("sample").distinct()
-    p = presence(long, threshold).join(ids, "sample", "left_semi").select("sample", F.col("genome").alias("feature")).distinct()
-    return presence_pairs(ids, p, _FROM_COUNTS[method])
+    ids = long if samples is None else samples
+    p = presence(long, threshold).withColumnRenamed("genome", "feature")
+    exact = _FROM_COUNTS[method]
+    return presence_pairs(ids, p, exact if digits is None else lambda i, na, nb: np.round(exact(i, na, nb), digits))
 
 
 def _jaccard(i: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:

@@ -86,9 +86,8 @@ def beta(abundance: DataFrame, samples: DataFrame, metric: str = "bray_curtis")
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric}")
-    ids = samples.select("sample").distinct()
     x = abundance.select("sample", "feature", F.col("a").cast("double").alias("v")).groupBy("sample", "feature").agg(F.sum("v").alias("v"))
-    return value_pairs(ids, x.filter("v <> 0").join(ids, "sample", "left_semi"), METRICS[metric])
+    return value_pairs(samples, x.filter("v <> 0"), METRICS[metric])
 
 
 def _with_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
