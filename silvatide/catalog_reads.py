@@ -206,6 +206,21 @@ def correlation_kendall(spark, d):
     return statistics.correlation(n, ["n_regionkey", "size"], "kendall").filter("a <> b").select(r("r", 7).alias("r"))
 
 
+@register(
+    "correlation_kendall_lines",
+    """WITH c AS (SELECT l_quantity AS x, l_extendedprice AS y, count(*) AS w FROM lineitem WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL GROUP BY ALL),
+k AS (SELECT DISTINCT x FROM c), m AS (SELECT k.x AS x, y, coalesce(sum(w) FILTER (c.x < k.x), 0)::HUGEINT AS low, coalesce(sum(w) FILTER (c.x = k.x), 0)::HUGEINT AS own FROM k CROSS JOIN c GROUP BY k.x, y),
+s AS (SELECT sum(own * (2 * coalesce(b, 0) + low - t)) AS s FROM (SELECT own, low, sum(low) OVER (PARTITION BY x ORDER BY y ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b, sum(low) OVER (PARTITION BY x) AS t FROM m)),
+n AS (SELECT sum(w)::DOUBLE * (sum(w)::DOUBLE - 1) / 2 AS n0 FROM c),
+tx AS (SELECT sum(w * (w - 1) / 2.0::DOUBLE) AS t FROM (SELECT sum(w)::DOUBLE AS w FROM c GROUP BY x)), ty AS (SELECT sum(w * (w - 1) / 2.0::DOUBLE) AS t FROM (SELECT sum(w)::DOUBLE AS w FROM c GROUP BY y))
+SELECT round(s::DOUBLE / (sqrt(n0 - tx.t) * sqrt(n0 - ty.t)), 9) AS r FROM s, n, tx, ty""",
+)
+def correlation_kendall_lines(spark, d):
+    """Quantity (50 values) against price (nearly all different) of all lineitems."""
+    l = t(spark, d, "lineitem").select("l_quantity", "l_extendedprice")
+    return statistics.correlation(l, ["l_quantity", "l_extendedprice"], "kendall").filter("a <> b").select(r("r", 9).alias("r"))
+
+
 @register("pca")  # signs and ties of components are free: the share of variance is checked in the tests
 def pca(spark, d):
     wide = containment.wide(cells(spark, d), ("Brand#1", "Brand#2", "Brand#3")).select("sample", "`Brand#1`", "`Brand#2`", "`Brand#3`").toDF("sample", "x", "y", "z")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.special import f_tail, fisher_exact, hypergeometric_tail
 from ..scratch import written
+from .inversions import kendall
 from .ordering import with_least_following, with_places
 
 
@@ -134,22 +135,6 @@ def ranked(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df
 
 
-def kendall(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Tau-b, from counts of distinct value pairs compared with each other: for small tables."""
-    out = None
-    for i, a in enumerate(columns):
-        for b in columns[i:]:
-            g = df.select(F.col(a).alias("x"), F.col(b).alias("y")).groupBy("x", "y").agg(F.count("*").alias("n"))
-            p = g.toDF("x1", "y1", "n1").join(g.toDF("x2", "y2", "n2"), F.col("x1") < F.col("x2"), "inner")
-            s = p.agg(F.sum(F.signum((F.col("y2") - F.col("y1")).cast("double")) * F.col("n1") * F.col("n2")).alias("s"))
-            tie = lambda c: g.groupBy(c).agg(F.sum("n").alias("n")).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2.0).alias("t" + c))
-            t = g.agg(F.sum("n").alias("n")).crossJoin(tie("x")).crossJoin(tie("y")).crossJoin(s)
-            n0 = F.col("n") * (F.col("n") - 1) / 2.0
-            r = t.select(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.coalesce("s", F.lit(0.0)) / F.nullif(F.sqrt((n0 - F.col("tx")) * (n0 - F.col("ty"))), F.lit(0.0))).alias("r"))
-            out = r if out is None else out.unionByName(r)
-    return out
-
-
 # The texts of comparative recommendations.
 DIFFERENT = ("Significant differences detected in: ", "Consider including group as covariate in downstream analysis")
 OUTLYING = ("Outlier datasets detected: ", "Review outlier datasets for quality issues")
