@@ -9,8 +9,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import written
 from .pairs import Rows, least, value_pairs
 from .permutations import permanova_p
+from .quantiles import joined, quantiles
 
 EPSILON = 1e-12
 ALPHA = ("shannon", "simpson", "chao1", "observed_species", "pielou")
@@ -96,8 +98,9 @@ def _with_groups(pairs: DataFrame, groups: DataFrame) -> DataFrame:
 
 def dispersion(pairs: DataFrame, groups: DataFrame) -> DataFrame:
     """group, mean, median and population deviation of the distances inside it; groups of one have none."""
-    inside = _with_groups(pairs, groups).filter("ga = gb")
-    return inside.groupBy(F.col("ga").alias("group")).agg(F.avg("distance").alias("mean"), F.median("distance").alias("median"), F.stddev_pop("distance").alias("std"))
+    inside = written(_with_groups(pairs, groups).filter("ga = gb").select(F.col("ga").alias("group"), "distance"), "inside")
+    sums = inside.groupBy("group").agg(F.avg("distance").alias("mean"), F.stddev_pop("distance").alias("std"))
+    return joined(sums, quantiles(inside, ["group"], "distance", [0.5]), ["group"]).select("group", "mean", F.get("q", F.lit(0)).alias("median"), "std")
 
 
 def permanova_f(pairs: DataFrame, groups: DataFrame, textbook: bool = False) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.special import f_tail, fisher_exact, hypergeometric_tail
 from ..scratch import written
 from .inversions import kendall
 from .ordering import with_least_following, with_places
+from .quantiles import joined, quantiles
 
 
 def fold(observed: Column, expected: Column) -> Column:
@@ -48,19 +49,24 @@ def hypergeometric(df: DataFrame, k: str, draws: str, successes: str, population
     )
 
 
+def _long(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    return df.unpivot([key], list(columns), "metric", "x").filter("x IS NOT NULL")
+
+
 def group_statistics(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
-    """group, metric and its n, mean, std (sample), median, min, max."""
-    long = df.unpivot([group], list(columns), "metric", "x").filter("x IS NOT NULL")
-    return long.groupBy(F.col(group).alias("group"), "metric").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.median("x").alias("median"), F.min("x").alias("min"), F.max("x").alias("max")
-    )
+    """group, metric and its n, mean, std (sample), median, min, max. Medians are exact, by refined histograms."""
+    long = _long(df, group, columns).withColumnRenamed(group, "group")
+    sums = long.groupBy("group", "metric").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    q = quantiles(long, ["group", "metric"], "x", [0.5])
+    return joined(sums, q, ["group", "metric"]).select("group", "metric", "n", "mean", "std", F.get("q", F.lit(0)).alias("median"), "min", "max")
 
 
 def describe(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
-    long = df.unpivot([group], list(columns), "metric", "x").filter("x IS NOT NULL")
-    q = F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = long.groupBy(F.col(group).alias("group"), "metric").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), q.alias("q"), F.max("x").alias("max"))
-    return out.select("group", "metric", "n", "mean", "std", "min", F.get("q", F.lit(0)).alias("q25"), F.get("q", F.lit(1)).alias("q50"), F.get("q", F.lit(2)).alias("q75"), "max")
+    """group, metric and its n, mean, std (sample), min, quartiles, max. Quartiles are exact, by refined histograms."""
+    long = _long(df, group, columns).withColumnRenamed(group, "group")
+    sums = long.groupBy("group", "metric").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    out = joined(sums, quantiles(long, ["group", "metric"], "x", [0.25, 0.5, 0.75]), ["group", "metric"])
+    return out.select("group", "metric", "n", "mean", "std", "min", *[F.get("q", F.lit(k)).alias(a) for k, a in enumerate(("q25", "q50", "q75"))], "max")
 
 
 #: Below this variance of all values together there is nothing to test.
@@ -94,8 +100,9 @@ def group_tests(df: DataFrame, group: str, columns: Sequence[str], alpha: float
 
 def iqr_outliers(df: DataFrame, key: str, columns: Sequence[str], least_rows: int = 4) -> DataFrame:
     """key, metric, x of values outside the fences, over all rows together. The quartiles are one row a metric."""
-    long = df.unpivot([key], list(columns), "metric", "x").filter("x IS NOT NULL")
-    q = long.groupBy("metric").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.count("*").alias("n")).filter(F.col("n") >= least_rows)
+    long = _long(df, key, columns)
+    counts = long.groupBy("metric").agg(F.count("*").alias("n")).filter(F.col("n") >= least_rows)
+    q = quantiles(long, ["metric"], "x", [0.25, 0.75]).join(counts, "metric")
     iqr = F.get("q", F.lit(1)) - F.get("q", F.lit(0))
     fences = q.select("metric", (F.get("q", F.lit(0)) - 1.5 * iqr).alias("low"), (F.get("q", F.lit(1)) + 1.5 * iqr).alias("high"))
     return long.join(F.broadcast(fences), "metric").filter("x < low OR x > high").select(key, "metric", "x")
