@@ -98,6 +98,53 @@ def test_fastq(spark, tmp_path):
     assert [p.rpartition("/")[2] for p in delimited.fastq_files(spark, str(tmp_path), "SRR8")] == ["SRR8_1.fastq"]
 
 
+@pytest.mark.parametrize("size", [40, 97, 1000])
+def test_fastq_records_across_splits(spark, tmp_path, size):
+    """Splits of a few lines, lines longer than a split, blank lines at the end, names with blanks and signs, a compressed file beside them."""
+    want = {}
+    for name, n in (("SRR1_1.fastq", 37), ("SRR2 x+y.fastq", 5), ("SRR3.fastq", 1)):
+        reads = [("ACGT" * (1 + i * 7 % 40), "@+" * (2 + i * 14 % 80)) for i in range(n)]
+        (tmp_path / name).write_text("".join(f"@r{i}\n{s}\n+\n{q}\n" for i, (s, q) in enumerate(reads)) + ("\n" * 3 if n == 5 else ""))
+        want |= {(name, i): r for i, r in enumerate(reads)}
+    with gzip.open(tmp_path / "SRR4.fastq.gz", "wt") as f:
+        f.write("@a\nAC\n+\nII\n")
+    want["SRR4.fastq.gz", 0] = ("AC", "II")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        reads = fastq.read(spark, [str(tmp_path)])
+        got = [((r.file, r.read_no), (r.seq, r.qual)) for r in reads.collect()]
+        assert len(got) == len(want) and dict(got) == want
+        first = [((r.file, r.read_no), (r.seq, r.qual)) for r in fastq.read(spark, [str(tmp_path)], 4).collect()]
+        assert len(first) == 4 + 4 + 1 + 1 and all(want[k] == v and k[1] < 4 for k, v in first)
+        (tmp_path / "SRR5.fastq").write_text("@a\nAC\n+\nII\n@b\nACGT\n+\n")
+        for limit in (0, 2):
+            with pytest.raises(Exception, match="broken record 1 in SRR5.fastq"):
+                fastq.read(spark, [str(tmp_path / "SRR5.fastq")], limit).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_fastq_moves_edges_alone_and_head_stops(spark, tmp_path):
+    (tmp_path / "SRR1.fastq").write_text("".join(f"@r{i}\nACGT\n+\nIIII\n" for i in range(60000)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "200000")
+    try:
+        plan = fastq.read(spark, [str(tmp_path)])._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("MapInArrow")]
+        assert "Exchange" not in above.replace("BroadcastExchange", "")  # of whole records
+        head = fastq.read(spark, [str(tmp_path)], 500)
+        assert head.count() == 500
+        text = spark.read.text(str(tmp_path)).coalesce(1).limit(2000)
+        assert text.collect()
+        leaves = text._jdf.queryExecution().executedPlan().collectLeaves()
+        assert leaves.apply(0).metrics().apply("numOutputRows").value() < 20000  # of 240,000 lines
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_fastq_in_splits(spark, tmp_path):
     """A plain file that is read in several splits keeps its records."""
     (tmp_path / "SRR1.fastq").write_text("".join(f"@r{i}\nA{i}\n+\n@{i}\n" for i in range(3000)))
