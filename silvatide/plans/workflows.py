@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean
 from ..operators import containment, diversity, metadata, planning, readqc, statistics, taxonomy
+from ..scratch import written
 from ..sources import delimited, fastq, sinks, xml
 
 
@@ -53,9 +54,9 @@ def ingest_containment(spark: SparkSession, folder: str, target: str) -> list[tu
 
 def parse_metadata(spark: SparkSession, files: str, output: str) -> DataFrame:
     """Metadata documents to one table, a column for each attribute."""
-    docs = xml.documents(spark, files).filter(xml.well_formed(F.col("xml"), "EXPERIMENT_PACKAGE_SET") | F.col("xml").contains("EXPERIMENT"))
-    names = [r.name for r in xml.attribute_names(docs).collect()]  # the columns of the result
-    out = xml.widened(xml.sample_metadata(docs), names)
+    samples = written(xml.sample_documents(xml.documents(spark, files)), "documents")  # parsed once
+    names = [r.name for r in xml.tag_names(samples).collect()]  # the columns of the result
+    out = xml.widened(samples.drop("tags"), names)
     sinks.delimited(out, output, single=True)
     return out
 

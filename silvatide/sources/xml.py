@@ -1,10 +1,20 @@
-"""Sample and run metadata from XML, by XPath expressions in the engine."""
+"""Sample and run metadata from XML: a document is parsed once, and all its fields and attributes are taken from that.
+
+A document that is not well-formed has no rows; nothing outside a document is ever resolved.
+"""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import arrow_map
+
 # Fields of the experiment packages and where they stand.
 PACKAGE_FIELDS = {
     "accession": "EXPERIMENT/@accession",
@@ -65,25 +75,85 @@ def well_formed(xml: Column, root: str) -> Column:
     return F.coalesce(xml.contains(f"</{root}>"), F.lit(False))
 
 
-def attributes(xml: Column) -> Column:
-    """Map of every sample attribute's tag to its value; the last of repeated tags counts."""
-    node = "//SAMPLE_ATTRIBUTES/SAMPLE_ATTRIBUTE"
-    tags = F.xpath(xml, F.lit(f"{node}[VALUE]/TAG/text()"))
-    values = F.xpath(xml, F.lit(f"{node}[TAG]/VALUE/text()"))
-    pairs = F.arrays_zip(tags.alias("k"), values.alias("v"))
-    later = lambda p, i: F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"])
-    return F.map_from_entries(F.filter(F.filter(pairs, lambda p, i: ~later(p, i)), lambda p: p["k"].isNotNull()))
+_ATTRIBUTE = re.compile(r"(.*)/@(\w+)")
+_NTH = re.compile(r"\((.*)\)\[(\d+)\](.*)")
+_WHOLE = re.compile(r"[+-]?[0-9]{1,18}")
+
+
+def _found(top: ElementTree.Element, path: str) -> str | None:
+    """The trimmed text of the first element or attribute at a path below `top`; None for a missing or empty one."""
+    nth = _NTH.fullmatch(path)
+    if nth:
+        nodes = top.findall(_below(nth[1]))
+        at = int(nth[2]) - 1
+        text = nodes[at].get(nth[3].removeprefix("/@")) if at < len(nodes) else None
+    elif (m := _ATTRIBUTE.fullmatch(path)) is not None:
+        text = next((n.get(m[2]) for n in top.iterfind(_below(m[1])) if n.get(m[2]) is not None), None)
+    else:
+        node = top.find(_below(path))
+        text = None if node is None else "".join(node.itertext())
+    return (text or "").strip(" ") or None
+
+
+def _below(path: str) -> str:
+    return f".{path}" if path.startswith("//") else path
+
+
+def _parsed(docs: DataFrame, rows: Callable[[str | None, ElementTree.Element], Iterator[tuple]], fields: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """The rows that rows(file, element over the root) gives of each well-formed document of docs (file, xml)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for file, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                try:
+                    top = ElementTree.Element("documents")
+                    top.append(ElementTree.fromstring((text or "").removeprefix("\ufeff")))
+                except ElementTree.ParseError:
+                    continue
+                out.extend(rows(file, top))
+            columns = list(zip(*out, strict=True)) or [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, _, kind) in zip(columns, fields, strict=True)], names=[n for n, _, _ in fields])
+
+    file = F.col("file") if "file" in docs.columns else F.lit(None).cast("string").alias("file")
+    return arrow_map(docs.select(file, "xml"), run, ", ".join(f"`{n}` {sql}" for n, sql, _ in fields))
+
+
+_TEXT = ("string", pa.string())
+
+
+def sample_documents(docs: DataFrame) -> DataFrame:
+    """run (from the file name), the 28 fixed fields (the first that fits; null where missing), attributes (a map of tag to value; of repeated
+    tags the last counts) and tags (all that occur): a row for each well-formed document of docs (file, xml)."""
+
+    def rows(file: str | None, top: ElementTree.Element) -> Iterator[tuple]:
+        run = re.match(r"(.*?)_metadata\.xml", file or "")
+        held: dict[str, str | None] = {}
+        nodes = top.findall(".//SAMPLE_ATTRIBUTES/SAMPLE_ATTRIBUTE")
+        for node in nodes:
+            tag = node.findtext("TAG")
+            if tag and node.find("VALUE") is not None:
+                held.pop(tag, None)
+                held[tag] = node.findtext("VALUE")
+        tags = sorted({t for n in nodes for x in n.findall("TAG") if (t := x.text)})
+        yield ((run[1] if run else None) or None, *[_found(top, path) for path in SAMPLE_FIELDS.values()], list(held.items()), tags)
+
+    fields = [(n, *_TEXT) for n in ("run", *SAMPLE_FIELDS)]
+    return _parsed(docs, rows, [*fields, ("attributes", "map<string,string>", pa.map_(pa.string(), pa.string())), ("tags", "array<string>", pa.list_(pa.string()))])
 
 
 def sample_metadata(docs: DataFrame) -> DataFrame:
-    """run (from the file name), the 28 fixed fields (the first that fits; null where missing) and attributes. A document that is cut off has no row."""
-    run = F.regexp_extract("file", r"^(.*?)_metadata\.xml", 1)
-    return docs.select(F.nullif(run, F.lit("")).alias("run"), *[field(F.col("xml"), p).alias(n) for n, p in SAMPLE_FIELDS.items()], attributes(F.col("xml")).alias("attributes"))
+    """run, the 28 fixed fields and attributes: see sample_documents."""
+    return sample_documents(docs).drop("tags")
 
 
 def attribute_names(docs: DataFrame) -> DataFrame:
     """Sorted distinct tags over all documents."""
-    return docs.select(F.explode(F.xpath("xml", F.lit("//SAMPLE_ATTRIBUTES/SAMPLE_ATTRIBUTE/TAG/text()"))).alias("name")).distinct().orderBy("name")
+    return tag_names(sample_documents(docs.select("xml")))
+
+
+def tag_names(samples: DataFrame) -> DataFrame:
+    return samples.select(F.explode("tags").alias("name")).distinct().orderBy("name")
 
 
 def widened(samples: DataFrame, names: list[str]) -> DataFrame:
@@ -93,15 +163,18 @@ def widened(samples: DataFrame, names: list[str]) -> DataFrame:
 
 def packages(docs: DataFrame) -> DataFrame:
     """One row for each experiment package: fields, platform, layout, sums over its runs, size in MB and mean read length (0 without spots)."""
-    body = F.regexp_extract_all("xml", F.lit(r"(?s)(<EXPERIMENT_PACKAGE>.*?</EXPERIMENT_PACKAGE>)"), 1)
-    p = docs.select(F.explode(body).alias("x"))
-    at = lambda path: F.concat(F.lit("/EXPERIMENT_PACKAGE/"), F.lit(path))
-    total = lambda a: F.aggregate(F.xpath("x", F.lit(f"/EXPERIMENT_PACKAGE/RUN_SET/RUN/@{a}")), F.lit(0).cast("long"), lambda s, v: s + F.coalesce(v.try_cast("long"), F.lit(0)))
-    out = p.select(
-        *[field(F.col("x"), f"/EXPERIMENT_PACKAGE/{path}", "").alias(n) for n, path in PACKAGE_FIELDS.items()],
-        F.regexp_extract("x", r"<PLATFORM>\s*<(\w+)", 1).alias("platform"),
-        F.when(F.col("x").contains("<PAIRED"), "PAIRED").otherwise("SINGLE").alias("layout"),
-        field(F.col("x"), "//EXTERNAL_ID[@namespace='BioSample']", "").alias("biosample"),
-        total("total_spots").alias("spots"), total("total_bases").alias("bases"), (total("size") / 1048576.0).alias("size_mb"),
-    )
+
+    def total(package: ElementTree.Element, name: str) -> int:
+        return sum(int(v) for r in package.iterfind("RUN_SET/RUN") if (v := (r.get(name) or "").strip()) and _WHOLE.fullmatch(v))
+
+    def rows(_: str | None, top: ElementTree.Element) -> Iterator[tuple]:
+        for p in top.iter("EXPERIMENT_PACKAGE"):
+            platform = next((n[0].tag for n in p.iter("PLATFORM") if len(n)), "")
+            layout = "SINGLE" if next(p.iter("PAIRED"), None) is None else "PAIRED"
+            biosample = _found(p, "//EXTERNAL_ID[@namespace='BioSample']") or ""
+            yield (*[_found(p, path) or "" for path in PACKAGE_FIELDS.values()], platform, layout, biosample, total(p, "total_spots"), total(p, "total_bases"), total(p, "size"))
+
+    fields = [(n, *_TEXT) for n in (*PACKAGE_FIELDS, "platform", "layout", "biosample")]
+    out = _parsed(docs, rows, fields + [(n, "bigint", pa.int64()) for n in ("spots", "bases", "size")])
+    out = out.withColumn("size_mb", F.col("size") / 1048576.0).drop("size")
     return out.withColumn("avg_length", F.when(F.col("spots") > 0, F.col("bases") / F.nullif("spots", F.lit(0))).otherwise(0.0))

@@ -289,6 +289,24 @@ def test_xml(spark, tmp_path):
     assert (p.accession, p.platform, p.instrument, p.layout, p.spots, p.bases, p.size_mb, p.avg_length) == ("SRX1", "ILLUMINA", "HiSeq", "PAIRED", 20, 1500, 2.0, 75.0)
 
 
+def test_xml_documents_that_are_not_well_formed_or_unusual(spark):
+    sample = "<S><SAMPLE><TITLE> %s </TITLE><SAMPLE_ATTRIBUTES>%s</SAMPLE_ATTRIBUTES></SAMPLE></S>"
+    pair = "<SAMPLE_ATTRIBUTE><TAG>%s</TAG><VALUE>%s</VALUE></SAMPLE_ATTRIBUTE>"
+    docs = [
+        ("a_metadata.xml", '<?xml version="1.0" encoding="UTF-8"?>\n' + sample % ("x &amp; <b>y</b>", pair % ("k", "1") + pair % ("", "2") + pair % ("k", "3") + "<SAMPLE_ATTRIBUTE><TAG>alone</TAG></SAMPLE_ATTRIBUTE>" + pair % ("e", ""))),
+        ("b_metadata.xml", "<S><SAMPLE>"), ("c_metadata.xml", ""), ("d_metadata.xml", None), ("other.xml", "\ufeff<S/>"),
+        ("e_metadata.xml", '<!DOCTYPE S [<!ENTITY f SYSTEM "file:///etc/hostname">]><S><SAMPLE><TITLE>&f;</TITLE></SAMPLE></S>'),
+    ]
+    df = spark.createDataFrame(docs, "file string, xml string")
+    got = {r.run: (r.Sample_Title, r.attributes) for r in xml.sample_metadata(df).collect()}
+    assert got == {"a": ("x & y", {"k": "3", "e": ""}), None: (None, {})}
+    assert [r.name for r in xml.attribute_names(df).collect()] == ["alone", "e", "k"]
+    assert xml.packages(df).count() == 0 and xml.sample_metadata(df.limit(0)).count() == 0
+    runs = "".join(f"<RUN total_spots='{s}' size='{s}'/>" for s in ("5", " 7 ", "1_0", "x", ""))
+    p = xml.packages(spark.createDataFrame([(f"<A><EXPERIMENT_PACKAGE><RUN_SET>{runs}</RUN_SET></EXPERIMENT_PACKAGE><EXPERIMENT_PACKAGE a='1'/></A>",)], "xml string")).orderBy("spots").collect()
+    assert [(r.spots, r.accession, r.layout, r.platform, r.avg_length) for r in p] == [(0, "", "SINGLE", "", 0.0), (12, "", "SINGLE", "", 0.0)]
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([("family", "A", 1), ("genus", "B", 2)], "level string, taxon string, n int")
     sinks.by_level(df, str(tmp_path / "levels"))
