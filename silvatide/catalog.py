@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import clean
-from .operators import containment, diversity, metadata, planning, readqc, statistics, taxonomy
+from .operators import bitmaps, containment, diversity, metadata, planning, readqc, statistics, taxonomy
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,7 +122,16 @@ def threshold_histogram(spark, d):
 
 @register("genome_to_samples", f"WITH {C} SELECT genome, count(DISTINCT sample) AS n, min(sample) AS first_sample FROM c WHERE v > 0 GROUP BY genome")
 def genome_to_samples(spark, d):
-    return containment.genome_to_samples(cells(spark, d)).select("genome", F.size("samples").cast("long").alias("n"), F.get("samples", F.lit(0)).alias("first_sample"))
+    lists, samples = containment.genome_to_samples(cells(spark, d))
+    per = lists.groupBy("genome").agg(F.sum("n").cast("long").alias("n"), F.min(F.col("block") * bitmaps.BLOCK + F.get("offsets", F.lit(0))).alias("place"))
+    return per.join(samples, "place").select("genome", "n", F.col("sample").alias("first_sample"))
+
+
+@register("posting_lists", f"WITH {C} SELECT genome, sample FROM c WHERE v > 0")
+def posting_lists(spark, d):
+    """All lists, written in blocks and read back."""
+    lists, samples = containment.genome_to_samples(cells(spark, d))
+    return bitmaps.listed(lists, samples)
 
 
 @register("sample_to_genomes", f"WITH {C} SELECT sample, string_agg(genome, ',' ORDER BY genome) AS genomes FROM c WHERE v > 0 GROUP BY sample")

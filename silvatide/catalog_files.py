@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import BRAND_NAMES, C, brand_taxa, cells, r, register, t
 from .operators import containment, metadata, readqc
+from .scratch import place
 from .sources import delimited, fastq, sinks, xml
+from .sources.snapshots import Snapshots, load_checkpoint, save_checkpoint
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the cluster names; only where it names none (tests), in a folder of this machine."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp()}"
-    return f"{top.rstrip('/')}/files-{name}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is there is deleted when the application ends."""
+    return place(spark, f"files-{name}")
 
 
 def _renamed(spark: SparkSession, source: str, target: str) -> str:
@@ -210,3 +208,21 @@ def read_layouts(spark, d):
     """The layout that file names tell: every return flag has a second mate."""
     f = t(spark, d, "lineitem").select(F.col("l_returnflag").alias("accession"), F.concat("l_returnflag", F.lit("_"), (1 + F.col("l_orderkey") % 2).cast("string"), F.lit(".fastq")).alias("file")).distinct()
     return readqc.layouts(f)
+
+
+@register("snapshot_merge", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 2 * c_acctbal ELSE c_acctbal END AS c_acctbal FROM customer")
+def snapshot_merge(spark, d):
+    """A cache that is merged into itself: a third of its rows are read from it, changed and put in place of themselves."""
+    cache = Snapshots(spark, folder(spark, "cache"))
+    cache.save(t(spark, d, "customer").select("c_custkey", "c_acctbal"))
+    cache.merge(cache.load().filter("c_custkey % 3 = 0").withColumn("c_acctbal", F.col("c_acctbal") * 2), ["c_custkey"])
+    return cache.load()
+
+
+@register("session_checkpoint", "SELECT CAST(o_orderkey AS VARCHAR) AS accession, CASE WHEN o_orderkey % 4 = 0 THEN 'done' ELSE o_orderstatus END AS status FROM orders")
+def session_checkpoint(spark, d):
+    """A session of downloads that is saved twice."""
+    top, o = folder(spark, "sessions"), t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("accession"), F.col("o_orderstatus").alias("status"), F.lit(None).cast("string").alias("detail"), "o_orderkey")
+    save_checkpoint(spark, top, "s", o)
+    save_checkpoint(spark, top, "s", o.filter("o_orderkey % 4 = 0").withColumn("status", F.lit("done")))
+    return load_checkpoint(spark, top, "s").select("accession", "status")

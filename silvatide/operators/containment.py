@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmaps import postings, sample_places
 from .ordering import with_places
 from .pairs import presence_pairs
 
@@ -64,8 +65,10 @@ def threshold_histogram(maxima: DataFrame, step: float, value: str = "max_contai
     return joined.groupBy("i", "threshold", "raw").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n")).drop("i").orderBy(F.desc("raw"))
 
 
-def genome_to_samples(long: DataFrame) -> DataFrame:
-    return long.filter("v > 0").groupBy("genome").agg(F.array_sort(F.collect_set("sample")).alias("samples"))
+def genome_to_samples(long: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The posting lists of the genomes (genome, block, n, offsets) and the samples that they number (sample, place): see bitmaps. listed() reads them back."""
+    samples = sample_places(long)
+    return postings(long, samples), samples
 
 
 def sample_to_genomes(long: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import gtdb_rank, lineage_map, validation_confidence
+from .bitmaps import rolled_up
 
 RANKS = ("phylum", "class", "order", "family", "genus", "species")
 
@@ -82,8 +83,7 @@ def top_taxa(rows: DataFrame, rank: str, limit: int) -> DataFrame:
 
 def hierarchy(rows: DataFrame) -> DataFrame:
     """Distinct samples and mean containment of each (family, genus, species) and of their parents."""
-    out = rows.rollup("family", "genus", "species").agg(F.count_distinct("sample").alias("samples"), F.avg("v").alias("mean_v"), F.grouping_id().alias("gid"))
-    return out.filter("gid < 7").select("family", "genus", "species", "samples", "mean_v")
+    return rolled_up(rows, ("family", "genus", "species"), "sample", "v").withColumnRenamed("mean", "mean_v")
 
 
 def validate(names: DataFrame, reference: DataFrame, cleaned: Column) -> DataFrame:
