@@ -196,6 +196,23 @@ def comparative_recommendations(spark, d):
     return out.select("ordinal", "text")
 
 
+@register(
+    "comparative_differences",
+    """WITH p AS (SELECT CAST(o_orderkey AS VARCHAR) AS key, o_totalprice AS price, o_totalprice > (SELECT avg(o_totalprice) FROM orders) AS dear FROM orders),
+q AS (SELECT quantile_cont(price, 0.25) AS a, quantile_cont(price, 0.75) AS b FROM p), o AS (SELECT key FROM p, q WHERE price < a - 1.5::DOUBLE * (b - a) OR price > b + 1.5::DOUBLE * (b - a)),
+f AS (SELECT array_to_string(list_slice(list(key ORDER BY key), 1, 5), ', ') || CASE WHEN count(*) > 5 THEN '...' ELSE '' END AS names, count(*) AS n FROM o),
+t AS (SELECT 'Significant differences detected in: price' AS text, 0 AS k UNION ALL SELECT 'Consider including group as covariate in downstream analysis', 1
+  UNION ALL SELECT 'Outlier datasets detected: ' || names, 2 FROM f WHERE n > 0 UNION ALL SELECT 'Review outlier datasets for quality issues', 3 FROM f WHERE n > 0)
+SELECT CAST(row_number() OVER (ORDER BY k) - 1 AS INT) AS ordinal, text FROM t""",
+)
+def comparative_differences(spark, d):
+    """Orders below and above the mean price: their prices differ, their numbers of letters do not; outliers are named."""
+    o = t(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("key"), F.col("o_totalprice").alias("price"), F.lit(3.0).alias("same"))
+    mean = o.agg(F.avg("price").alias("mean"))
+    g = o.crossJoin(F.broadcast(mean)).select("key", (F.col("price") > F.col("mean")).cast("string").alias("group"))  # one row
+    return statistics.compare_groups(o, g, ("price", "same"))["recommendations"].select("ordinal", "text")
+
+
 @register(
     "correlation_kendall",
     """WITH p AS (SELECT n_regionkey AS x, length(n_name) AS y FROM nation), s AS (SELECT sum(sign(a.x - b.x) * sign(a.y - b.y)) / 2 AS s FROM p a, p b), n AS (SELECT count(*) * (count(*) - 1) / 2.0::DOUBLE AS n0 FROM p),

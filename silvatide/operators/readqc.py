@@ -81,9 +81,10 @@ def over_represented(reads: DataFrame, key: str, seq: str) -> DataFrame:
     return out.select("key", "total", "distinct", (1 - F.col("distinct") / F.col("total")).alias("duplication_rate"), (F.col("most") / F.col("total")).alias("over_represented"))
 
 
-def profile(reads: DataFrame, key: str = "accession", seq: str = "seq", qual: str = "qual", read_no: str = "read_no", sample_reads: int = SAMPLE_READS) -> DataFrame:
+def profile(reads: DataFrame, key: str = "accession", seq: str = "seq", qual: str = "qual", read_no: str = "read_no", sample_reads: int = SAMPLE_READS, wanted: DataFrame | None = None) -> DataFrame:
     """The quality profile of a dataset's first `sample_reads` reads, as its definition says: lengths, GC, base quality, N content,
-    complexity and homopolymers of the first 1000, adapters, duplicates, grade, recommendations and anomalies."""
+    complexity and homopolymers of the first 1000, adapters, duplicates, grade, recommendations and anomalies. With `wanted` (key) a profile of
+    each of those: one without reads has zeros, no duplication rate, and the grade that follows from them."""
     r = reads.filter(F.col(read_no) < sample_reads)
     s, n = F.col(seq), F.length(seq)
     early = F.col(read_no) < COMPLEXITY_READS
@@ -96,6 +97,10 @@ def profile(reads: DataFrame, key: str = "accession", seq: str = "seq", qual: st
         F.avg(clean.has_adapter(s).cast("double")).alias("adapter"), F.sum(n).alias("bases"),
     )
     a = a.join(over_represented(r, key, seq).drop("total", "distinct"), "key").join(base_quality(r, key, qual).select("key", F.col("mean").alias("mean_quality"), F.col("median").alias("median_quality"), "q25", "q75"), "key", "left")
+    if wanted is not None:
+        a = wanted.select("key").distinct().join(a, "key", "left")
+        zero = {c: F.when(F.col("reads").isNull(), F.lit(0)).otherwise(F.col(c)).cast(k) for c, k in a.dtypes if c not in ("key", "reads", "duplication_rate") and k in ("int", "bigint", "double")}
+        a = a.withColumns(zero).withColumn("reads", F.coalesce("reads", F.lit(0)).cast("long"))
     grade = clean.quality_grade(F.col("mean_quality"), F.col("adapter"), F.col("complexity"))
     a = a.withColumn("grade", grade)
     flags = clean.anomaly_flags(F.col("complexity"), F.col("adapter"), F.col("gc"), F.col("n_content"), F.col("grade"))
@@ -136,10 +141,10 @@ def statistics_report(stats: DataFrame, files: DataFrame, key: str = "accession"
 
 
 def group_profiles(reads: DataFrame, groups: DataFrame, key: str = "accession", **options) -> DataFrame:
-    """The profile of every dataset of the groups (key, group), with its group; datasets without reads have no row."""
+    """The profile of every dataset of the groups (key, group), with its group; datasets without reads have a profile of zeros."""
     members = groups.select(F.col(key).alias("key"), "group")
     kept = reads.join(members.select(F.col("key").alias(key)).distinct(), key, "left_semi")
-    return profile(kept, key, **options).join(members, "key")
+    return profile(kept, key, wanted=members, **options).join(members, "key")
 
 
 def quality_summary(profiles: DataFrame) -> DataFrame:

@@ -53,19 +53,21 @@ def _long(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
     return df.unpivot([key], list(columns), "metric", "x").filter("x IS NOT NULL")
 
 
+def _sums(long: DataFrame) -> DataFrame:
+    return long.groupBy("group", "metric").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+
+
 def group_statistics(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """group, metric and its n, mean, std (sample), median, min, max. Medians are exact, by refined histograms."""
     long = _long(df, group, columns).withColumnRenamed(group, "group")
-    sums = long.groupBy("group", "metric").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
     q = quantiles(long, ["group", "metric"], "x", [0.5])
-    return joined(sums, q, ["group", "metric"]).select("group", "metric", "n", "mean", "std", F.get("q", F.lit(0)).alias("median"), "min", "max")
+    return joined(_sums(long), q, ["group", "metric"]).select("group", "metric", "n", "mean", "std", F.get("q", F.lit(0)).alias("median"), "min", "max")
 
 
 def describe(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
     """group, metric and its n, mean, std (sample), min, quartiles, max. Quartiles are exact, by refined histograms."""
     long = _long(df, group, columns).withColumnRenamed(group, "group")
-    sums = long.groupBy("group", "metric").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
-    out = joined(sums, quantiles(long, ["group", "metric"], "x", [0.25, 0.5, 0.75]), ["group", "metric"])
+    out = joined(_sums(long), quantiles(long, ["group", "metric"], "x", [0.25, 0.5, 0.75]), ["group", "metric"])
     return out.select("group", "metric", "n", "mean", "std", "min", *[F.get("q", F.lit(k)).alias(a) for k, a in enumerate(("q25", "q50", "q75"))], "max")
 
 
@@ -73,17 +75,18 @@ def describe(df: DataFrame, group: str, columns: Sequence[str]) -> DataFrame:
 LEAST_VARIANCE = 1e-10
 
 
-def group_tests(df: DataFrame, group: str, columns: Sequence[str], alpha: float = 0.05) -> DataFrame:
+def group_tests(df: DataFrame, group: str, columns: Sequence[str], alpha: float = 0.05, order: Sequence[str] | None = None) -> DataFrame:
     """metric, test, groups, statistic, df1, df2, p_value, significant, for metrics with values in two groups at least.
 
-    Two groups get the pooled t test (of the first by name against the second), more a one-way analysis of variance. Where
+    Two groups get the pooled t test (of the first in `order`, else by name, against the other), more a one-way analysis of variance. Where
     all values together hardly vary the test is skipped: a null statistic and a p of 1. Where groups are constant but
     different the statistic is infinite and p is 0. The deviations come from group sums, so one pass over the rows suffices.
     """
-    g = group_statistics(df, group, columns).withColumn("ss", F.coalesce(F.col("std") * F.col("std"), F.lit(0.0)) * (F.col("n") - 1))
+    g = _sums(_long(df, group, columns).withColumnRenamed(group, "group")).withColumn("ss", F.coalesce(F.col("std") * F.col("std"), F.lit(0.0)) * (F.col("n") - 1))
+    place = F.col("group") if order is None else F.struct(F.array_position(F.array(*[F.lit(o) for o in order]), F.col("group").cast("string")).alias("at"), "group")
     t = g.groupBy("metric").agg(
         F.count("*").alias("groups"), F.sum("n").alias("n"), F.sum("ss").alias("within"), F.sum(F.col("n") * F.col("mean")).alias("sx"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("sxx"),
-        (F.min_by("mean", "group") - F.max_by("mean", "group")).alias("gap"),
+        (F.min_by("mean", place) - F.max_by("mean", place)).alias("gap"),
     )
     t = t.filter("groups >= 2")
     between = F.greatest(F.lit(0.0), F.col("sxx") - F.col("sx") * F.col("sx") / F.col("n"))
@@ -165,14 +168,14 @@ def comparative_recommendations(tests: DataFrame, outliers: DataFrame, metrics:
     return one.select(F.posexplode(texts).alias("ordinal", "text"))
 
 
-def compare_groups(profiles: DataFrame, groups: DataFrame, metrics: Sequence[str], key: str = "key") -> dict[str, DataFrame]:
+def compare_groups(profiles: DataFrame, groups: DataFrame, metrics: Sequence[str], key: str = "key", order: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """The comparison of groups of datasets: frame (profiles with their group), statistics, tests, outliers, recommendations, summary and correlation.
 
-    groups: key, group. A dataset without a profile is left out, as is a profile without a group; without any the one
+    groups: key, group; `order` names the groups as they were given. A dataset without a profile is left out, as is a profile without a group; without any the one
     recommendation says that there is no data.
     """
     frame = profiles.select(key, *[F.col(m).cast("double").alias(m) for m in metrics]).join(groups.select(key, "group"), key)
-    tests, outliers = group_tests(frame, "group", metrics), iqr_outliers(frame, key, metrics)
+    tests, outliers = group_tests(frame, "group", metrics, order=order), iqr_outliers(frame, key, metrics)
     advice = comparative_recommendations(tests, outliers, metrics, key)
     empty = frame.agg(F.count("*").alias("rows"))
     advice = advice.crossJoin(empty).select("ordinal", F.when(F.col("rows") > 0, F.col("text")).otherwise("No data available for analysis").alias("text"))

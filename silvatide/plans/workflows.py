@@ -27,7 +27,7 @@ def parse_containment(spark: SparkSession, folder: str, output: str, summary: st
 def extract_metadata(spark: SparkSession, folder: str, output: str) -> DataFrame:
     """The metadata of all containment files, written as a table."""
     out = delimited.containment_metadata(spark, delimited.list_files(spark, folder, "*.csv"))
-    sinks.delimited(out, output, single=True)
+    sinks.delimited(out, output)
     return out
 
 
@@ -57,7 +57,7 @@ def parse_metadata(spark: SparkSession, files: str, output: str) -> DataFrame:
     samples = written(xml.sample_documents(xml.documents(spark, files)), "documents")  # parsed once
     names = [r.name for r in xml.tag_names(samples).collect()]  # the columns of the result
     out = xml.widened(samples.drop("tags"), names)
-    sinks.delimited(out, output, single=True)
+    sinks.delimited(out, output)
     return out
 
 
@@ -80,8 +80,17 @@ def summarize_column(spark: SparkSession, table: str, column: str, output: str)
 
 
 def status(spark: SparkSession, wanted: str, folders: dict[str, tuple[str, str]], output: str, kind: str = "json") -> DataFrame:
-    """What of the wanted accessions is there. folders: kind to (folder, pattern of its files, whose names begin with the accession)."""
-    found = [(k, re.split(r"[_.]", p.rpartition("/")[2])[0]) for k, (folder, pattern) in folders.items() for p in delimited.list_files(spark, folder, pattern)]
+    """What of the wanted accessions is there. folders: kind to (folder, pattern). Files belong to the accession that their names begin with, up to the
+    pattern's own ending or else the first `_` or `.`; a pattern with a slash (`*/*.fastq*`) looks into folders that are named by accession."""
+
+    def accession(path: str, pattern: str) -> str:
+        *_, above, name = path.split("/")
+        if "/" in pattern:
+            return above
+        ending = pattern.removeprefix("*")
+        return name.removesuffix(ending) if ending.startswith("_") and "*" not in ending else re.split(r"[_.]", name)[0]
+
+    found = sorted({(k, accession(p, pattern)) for k, (folder, pattern) in folders.items() for p in delimited.list_files(spark, folder, pattern)})
     items = spark.createDataFrame(found, "kind string, accession string")
     out = planning.inventory(items, delimited.lines(spark, wanted, comments=True).select(F.col("value").alias("accession")))
     sinks.inventory_report(out, output, kind)
@@ -127,8 +136,10 @@ def quality_profiles(spark: SparkSession, folder: str, accessions: Sequence[str]
 
 def compare_datasets(spark: SparkSession, profiles: DataFrame, groups_file: str, output: str, metrics: Sequence[str] = ("mean_length", "gc", "reads", "complexity")) -> dict[str, DataFrame]:
     """Groups of datasets (a JSON object of lists) compared by their profiles; each frame as JSON."""
-    groups = planning.groups_of(delimited.groups_json(spark, groups_file)).select(F.col("accession").alias("key"), "group")
-    out = statistics.compare_groups(profiles, groups, metrics)
+    given = delimited.groups_json(spark, groups_file)
+    groups = planning.groups_of(given).select(F.col("accession").alias("key"), "group")
+    order = [r.group for r in given.orderBy("ordinal").collect()]  # the names of one file's groups
+    out = statistics.compare_groups(profiles, groups, metrics, order=order or None)
     for name, df in out.items():
         sinks.json_lines(df, f"{output}/{name}")
     return out

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.clean import containment_value, number, valid_run
+from ..scratch import written
 
 REQUIRED = ("acc", "containment")
 # The metadata columns taken from containment files, and their names here.
@@ -215,11 +216,11 @@ def files_below(spark: SparkSession, directory: str, pattern: str) -> list[str]:
 
 
 def mapped_files(spark: SparkSession, directory: str, f: Callable[[DataFrame], DataFrame], pattern: str = "*.csv", strict: bool = False) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
-    """What `f` makes of the text lines of each file, by name, and (path, problem) of files where it fails; with `strict` the first failure is raised."""
+    """What `f` makes of the text lines of each file, by name, and (path, problem) of files where it fails, in its plan or in a row; with `strict` the first failure is raised."""
     good, bad = {}, []
     for path in list_files(spark, directory, pattern):
         try:
-            good[path.rpartition("/")[2]] = f(lines(spark, path))
+            good[path.rpartition("/")[2]] = written(f(lines(spark, path)), "mapped")  # rows are read here, so that their errors are met here
         except Exception as e:
             if strict:
                 raise

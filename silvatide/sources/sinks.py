@@ -63,10 +63,16 @@ def attribute_counts(counts: DataFrame, path: str) -> None:
     delimited(counts.orderBy(F.desc("n"), "name").select("name", "n"), path, header=False, single=True)
 
 
+# The lines of a column's report.
+COLUMN_LINES = ("Column: ", "Non-null values: %d/%d (%.1f%%)", "Unique values: ", "", "Value counts:")
+
+
 def column_report(df: DataFrame, column: str, path: str, limit: int | None = None) -> None:
-    """Three lines about a column, then its values and counts."""
+    """The lines about a column, then its values and counts, most frequent first."""
     s, values = metadata.column_summary(df, column), metadata.value_counts(df, column, limit)
-    head = s.select(F.explode(F.array(F.lit(f"Column: {column}"), F.concat(F.lit("Non-null: "), F.col("non_null").cast("string"), F.lit(" of "), F.col("total").cast("string")), F.concat(F.lit("Distinct: "), F.col("distinct").cast("string")))).alias("value"))
+    name, share, distinct, blank, counts = COLUMN_LINES
+    told = F.format_string(share, F.col("non_null"), F.col("total"), F.coalesce("percent", F.lit(0.0)).cast("double"))
+    head = s.select(F.explode(F.array(F.lit(name + column), told, F.concat(F.lit(distinct), F.col("distinct").cast("string")), F.lit(blank), F.lit(counts))).alias("value"))
     body = values.orderBy(F.desc("n"), "value").select(F.concat_ws("\t", "value", "n").alias("value"))
     head.coalesce(1).union(body.coalesce(1)).coalesce(1).write.mode("overwrite").text(path)
 

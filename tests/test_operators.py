@@ -154,6 +154,8 @@ def test_outliers_and_tests(spark):
     r = statistics.group_tests(two, "g", ["x"]).first()
     assert (r.test, r.statistic) == ("t-test", pytest.approx(-math.sqrt(2.4))) and r.p_value == pytest.approx(0.196266, abs=1e-5)
     three = two.unionByName(spark.createDataFrame([("c", 9.0), ("c", 11.0)], "g string, x double"))
+    turned = statistics.group_tests(two, "g", ["x"], order=["b", "a"]).first()
+    assert turned.statistic == -r.statistic and turned.p_value == r.p_value  # the groups as they were given
     r = statistics.group_tests(three, "g", ["x"]).first()
     assert r.test == "ANOVA" and r.statistic == pytest.approx(16.5625) and r.significant
     assert statistics.group_tests(two.filter("g = 'a'"), "g", ["x"]).count() == 0
@@ -221,7 +223,10 @@ def test_read_profiles(spark):
     assert report["S1"].explanation.startswith("Very low sequence complexity") and report["S2"].explanation == "Analysis failed: no reads" and report["S2"].severity == 0.1
     assert {(r.anomaly, r.key) for r in readqc.anomaly_types(readqc.profile(reads), failed).collect()} == {("low_complexity", "S1"), ("analysis_failed", "S2")}
     groups = spark.createDataFrame([("S1", "T"), ("S7", "T")], "accession string, group string")
-    assert [(r.key, r.group) for r in readqc.group_profiles(reads, groups).collect()] == [("S1", "T")]
+    both = {r.key: r for r in readqc.group_profiles(reads, groups).collect()}
+    none = both["S7"]  # a dataset without reads has a profile of zeros
+    assert both["S1"].reads == 10 and (none.group, none.reads, none.bases, none.mean_length, none.gc, none.complexity, none.adapter, none.duplication_rate, none.grade) == ("T", 0, 0, 0.0, 0.0, 0.0, 0.0, None, "poor")
+    assert none.recommendations == ["Apply quality trimming with Q20 threshold", "Check for PCR duplicates and low-complexity regions"] and none.anomalies == ["low_complexity", "unusual_gc", "poor_quality"]
     names = reads.select("accession", "file").distinct()
     row = readqc.statistics_report(readqc.read_statistics(reads), names).first()
     assert len(row) == 11 and (row.accession, row.num_files, row.layout, row.n50, row.avg_quality) == ("S1", 1, "SINGLE", 60, 40.0)

@@ -180,6 +180,24 @@ def test_ingest_adds_new_genomes(spark, tmp_path):
     assert {(r.genome, r.v) for r in spark.read.parquet(out).collect()} == {("g1", 0.5), ("g2", 0.9)}
 
 
+def test_files_that_fail_in_a_row(spark, tmp_path):
+    """What a row makes fail is met with the file, not later."""
+    (tmp_path / "a.txt").write_text("1\n2\n")
+    (tmp_path / "b.txt").write_text("1\nx\n")
+    good, bad = delimited.mapped_files(spark, str(tmp_path), lambda df: df.select(F.col("value").cast("int").alias("n")), "*.txt")
+    assert {k: sorted(r.n for r in v.collect()) for k, v in good.items()} == {"a.txt": [1, 2]} and [p.rpartition("/")[2] for p, _ in bad] == ["b.txt"]
+
+
+def test_status_by_folder_and_ending(spark, tmp_path):
+    for name in ("fastq/SRR1/r_1.fastq.gz", "fastq/SRR_2/r.fastq", "fastq/SRR3/notes.txt", "meta/SRR_2_metadata.xml", "meta/SRR3_metadata.xml"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / "want.txt").write_text("SRR1\nSRR_2\nSRR3\n")
+    folders = {"fastq": (str(tmp_path / "fastq"), "*/*.fastq*"), "metadata": (str(tmp_path / "meta"), "*_metadata.xml")}
+    got = {r.kind: (r.present, r.missing) for r in workflows.status(spark, str(tmp_path / "want.txt"), folders, str(tmp_path / "out")).collect()}
+    assert got == {"fastq": (2, 1), "metadata": (2, 1)}
+
+
 def test_reports(spark, tmp_path):
     df = spark.createDataFrame([("a", "x"), ("b", None)], "accession string, note string")
     p = lambda n: str(tmp_path / n)
@@ -188,7 +206,7 @@ def test_reports(spark, tmp_path):
     sinks.lines(df, "accession", p("t"), "note")
     assert text("l") == ["a", "b"] and text("t") == ["a\tx", "b"]
     sinks.column_report(df, "note", p("c"))
-    assert text("c") == ["Column: note", "Non-null: 1 of 2", "Distinct: 1", "x\t1"]
+    assert text("c") == ["Column: note", "Non-null values: 1/2 (50.0%)", "Unique values: 1", "", "Value counts:", "x\t1"]
     assert sinks.report(df, p("r")) and not sinks.report(df.limit(0), p("none")) and delimited.csv(spark, p("r")).count() == 2
     with pytest.raises(ValueError):
         sinks.exported(df, p("e"), "excel")
