@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .catalog import BRAND_NAMES, C, brand_taxa, cells, r, register, t
-from .operators import containment, metadata, readqc
+from .operators import containment, metadata, planning, readqc
 from .scratch import place
 from .sources import delimited, fastq, sinks, xml
 from .sources.snapshots import Snapshots, load_checkpoint, save_checkpoint
@@ -226,3 +226,78 @@ def session_checkpoint(spark, d):
     save_checkpoint(spark, top, "s", o)
     save_checkpoint(spark, top, "s", o.filter("o_orderkey % 4 = 0").withColumn("status", F.lit("done")))
     return load_checkpoint(spark, top, "s").select("accession", "status")
+
+
+def _text(df, column: str, path: str) -> str:
+    """A column as lines of text files; returns a pattern of the files."""
+    df.select(F.col(column).cast("string").alias("value")).write.text(path)
+    return f"{path}/*.txt"
+
+
+@register("scan_blacklist", "SELECT DISTINCT trim(value) AS value FROM (SELECT CAST(o_custkey AS VARCHAR) AS value FROM orders UNION ALL SELECT ' ' || o_orderpriority || ' ' FROM orders) WHERE trim(value) <> ''")
+def scan_blacklist(spark, d):
+    """Two files of names that repeat, with blanks round them and blank lines between, and one that is not there."""
+    o, top = t(spark, d, "orders"), folder(spark, "blacklist")
+    one = _text(o.select(F.col("o_custkey").cast("string").alias("p")).unionByName(o.select(F.lit("").alias("p"))), "p", f"{top}/one")
+    two = _text(o.select(F.concat(F.lit(" "), "o_orderpriority", F.lit(" ")).alias("p")), "p", f"{top}/two")
+    return delimited.blacklist(spark, [one, two, f"{top}/none.txt"])
+
+
+@register("scan_species_list", "SELECT p_name AS name FROM part")
+def scan_species_list(spark, d):
+    out = f"{folder(spark, 'species')}/list.csv"
+    sinks.delimited(t(spark, d, "part").select("p_partkey", "p_name"), out, ",")
+    return delimited.species_list(spark, out, "p_name")
+
+
+@register("scan_groups", "SELECT CAST(c_custkey AS VARCHAR) AS accession, min(c_mktsegment) AS \"group\" FROM customer GROUP BY c_custkey")
+def scan_groups(spark, d):
+    """An object of lists: the customers of each market segment; each once more in a last group, which does not count."""
+    c = t(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("a"), F.col("c_mktsegment").alias("g"))
+    every = c.unionByName(c.withColumn("g", F.lit("~all"))).groupBy("g").agg(F.array_sort(F.collect_list("a")).alias("members"))  # the lists of one file
+    one = every.agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("g", "members"))))).alias("value"))
+    groups = delimited.groups_json(spark, _text(one, "value", folder(spark, "groups")))
+    return planning.groups_of(groups.filter("members IS NOT NULL")).select("accession", "group")
+
+
+@register("written_accessions", "SELECT 'SRR' || o_orderkey AS accession, o_orderstatus AS label FROM orders")
+def written_accessions(spark, d):
+    """Accessions with what was found of them, two columns without a header."""
+    out = folder(spark, "accessions")
+    sinks.lines(t(spark, d, "orders").select(F.concat(F.lit("SRR"), F.col("o_orderkey").cast("string")).alias("accession"), "o_orderstatus"), "accession", out, "o_orderstatus")
+    return spark.read.schema("accession string, label string").option("sep", "\t").csv(out)
+
+
+@register(
+    "column_report",
+    """WITH v AS (SELECT o_orderpriority AS value, count(*) AS n FROM orders GROUP BY 1), s AS (SELECT count(o_orderpriority) AS k, count(*) AS n, count(DISTINCT o_orderpriority) AS u FROM orders),
+l AS (SELECT unnest(['Column: o_orderpriority', 'Non-null values: ' || k || '/' || n || printf(' (%.1f%%)', 100.0::DOUBLE * k / n), 'Unique values: ' || u, '', 'Value counts:']) AS value, unnest([1, 2, 3, 4, 5]) AS line FROM s)
+SELECT line, value FROM l UNION ALL SELECT 5 + row_number() OVER (ORDER BY n DESC, value), value || chr(9) || n FROM v""",
+)
+def column_report(spark, d):
+    out = folder(spark, "column")
+    sinks.column_report(t(spark, d, "orders").select("o_orderpriority"), "o_orderpriority", out)
+    lines = spark.read.text(out, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("line", "value"))
+    return lines.select((F.col("line") + 1).cast("long").alias("line"), "value")
+
+
+@register(
+    "session_progress",
+    "SELECT count(*) FILTER (o_orderstatus <> 'F') AS succeeded, count(*) FILTER (o_orderstatus = 'F') AS failed, count(DISTINCT o_custkey) FILTER (o_orderstatus = 'F') AS names, min(CAST(o_custkey AS VARCHAR)) FILTER (o_orderstatus = 'F') AS first_name FROM orders",
+)
+def session_progress(spark, d):
+    """Totals and failed names of a session, as one JSON object."""
+    o, out = t(spark, d, "orders"), folder(spark, "progress")
+    results = o.select((F.col("o_orderstatus") != "F").alias("success"), F.col("o_totalprice").cast("double").alias("size_mb"), F.lit(1.0).alias("seconds"))
+    sinks.progress(planning.session_summary(results), o.filter("o_orderstatus = 'F'").select(F.col("o_custkey").cast("string").alias("accession")), out)
+    back = delimited.json_object(spark, out)
+    return back.select("succeeded", "failed", F.size("failed_accessions").cast("long").alias("names"), F.get("failed_accessions", F.lit(0)).alias("first_name"))
+
+
+@register("taxonomy_query", f"WITH {C}, m AS (SELECT sample, genome AS taxon, max(v) AS v FROM c WHERE genome < 'Brand#3' GROUP BY ALL) SELECT CAST(sample AS VARCHAR) AS sample, taxon, v FROM m")
+def taxonomy_query(spark, d):
+    """The found cells as a table; nothing is written where nothing is found."""
+    found, out = cells(spark, d).filter("genome < 'Brand#3'"), folder(spark, "query")
+    if sinks.taxonomy_query(found.limit(0), out) or not sinks.taxonomy_query(found, out):
+        raise ValueError("an empty result was written, or none")
+    return delimited.csv(spark, out, "\t").select("sample", F.col("genome").alias("taxon"), F.col("v").cast("double").alias("v"))
