@@ -245,6 +245,7 @@ def _search(ids: np.ndarray, index: BitSliced, q_ids: np.ndarray, queries: np.nd
 
 
 def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of embeddings; what top_k says of nulls, numbers that are not finite, ties, repeated rows and empty tables holds."""
     return top_k(table(spark, sf_dir, "embeddings")).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -451,4 +451,5 @@ def keep_one(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5), id_c
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents; what near_duplicates says of nulls, empty, very long and repeated texts, ties and empty tables holds."""
     return near_duplicates(only(table(spark, sf_dir, "documents"), "doc_id", "text"), 4, Fraction(85, 100))

@@ -76,14 +76,19 @@ def delete(spark: SparkSession, *tables: DataFrame) -> None:
 
 @contextmanager
 def swept(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Delete what written() makes inside, but for the tables put into the list."""
+    """Delete what written() makes inside, but for the tables put into the list; all of it, if what runs inside fails."""
     before, kept = len(_made), []
-    yield kept
-    keep = {f.rpartition("/")[2] for df in kept for f in {x.rpartition("/")[0] for x in df.inputFiles()}}
-    for path in [p for p in _made[before:] if p.rpartition("/")[2] not in keep]:
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
-    _made[before:] = [p for p in _made[before:] if p.rpartition("/")[2] in keep]
+    try:
+        yield kept
+    except BaseException:
+        kept.clear()
+        raise
+    finally:
+        keep = {f.rpartition("/")[2] for df in kept for f in {x.rpartition("/")[0] for x in df.inputFiles()}}
+        for path in [p for p in _made[before:] if p.rpartition("/")[2] not in keep]:
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _made[before:] = [p for p in _made[before:] if p.rpartition("/")[2] in keep]
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:

@@ -370,4 +370,5 @@ def tokenizer_path() -> str:
 
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of documents; what write_tokens and read_documents say of nulls, empty and repeated rows and empty tables holds."""
     return read_documents(write_tokens(only(table(spark, sf_dir, "documents"), "doc_id", "text"), tokenizer_path()))

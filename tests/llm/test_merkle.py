@@ -115,3 +115,17 @@ def test_nothing_is_left(spark):
     merkle.manifest(merkle.document_leaves(spark.createDataFrame(CASES["odd ends"], SCHEMA))).count()
     left = [n for n in os.listdir(shared_dir(spark).removeprefix("file://")) if n.startswith(("leaves-", "level", "top", "ways", "entries-"))]
     assert not left
+
+
+def test_nothing_is_left_of_a_run_that_fails(spark):
+    import os
+
+    from silvatide.llm.tables import shared_dir, swept, written
+
+    there = lambda: {n for n in os.listdir(shared_dir(spark).removeprefix("file://"))}
+    written(spark, spark.range(1), "first")  # so that the folder is there
+    before = there()
+    with pytest.raises(RuntimeError), swept(spark) as kept:
+        kept.append(written(spark, spark.range(3), "part"))
+        raise RuntimeError
+    assert there() == before
