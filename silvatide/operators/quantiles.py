@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from ..scratch import written
 
 BUCKETS = 4096
-GATHERED = 1 << 16
+#: Values between two bounds that are sorted at once: two megabytes, of 128 groups a task at most (then Spark's aggregation sorts by group first).
+GATHERED = 1 << 18
 
 
 def joined(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
