@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .catalog import AB, BC, C, RUNS, TX, brand_taxa, cells, nations, purchases, r, register, runs, supplied, t
+from .catalog import AB, BC, BRAND_NAMES, C, RUNS, TX, brand_taxa, cells, nations, purchases, r, register, runs, supplied, t
 from .functions import clean
 from .operators import containment, diversity, metadata, planning, readqc, statistics, taxonomy
 
@@ -240,8 +240,10 @@ def correlation_kendall_lines(spark, d):
 
 @register("pca")  # signs and ties of components are free: the share of variance is checked in the tests
 def pca(spark, d):
-    wide = containment.wide(cells(spark, d), ("Brand#1", "Brand#2", "Brand#3")).select("sample", "`Brand#1`", "`Brand#2`", "`Brand#3`").toDF("sample", "x", "y", "z")
-    out = diversity.pca(wide, ["x", "y", "z"], 2)
+    """All genomes are columns."""
+    names = [f"g{k}" for k in range(len(BRAND_NAMES))]
+    wide = containment.wide(cells(spark, d), BRAND_NAMES).select("sample", *[F.col(f"`{g}`").alias(n) for g, n in zip(BRAND_NAMES, names, strict=True)])
+    out = diversity.pca(wide, names, 2)
     part = lambda c, k: F.get(c, F.lit(k))
     return out.select("sample", *[r(part("components", k)).alias(f"pc{k + 1}") for k in (0, 1)], *[r(part("explained", k)).alias(f"share{k + 1}") for k in (0, 1)])
 
@@ -383,8 +385,6 @@ def aligned_metadata(spark, d):
 # Taxonomy
 @register("annotate_grid", f"WITH {C}, {TX}, ids AS (SELECT DISTINCT sample FROM c) SELECT ids.sample, tx.genome, coalesce(c.v, 0) AS v, family, genus FROM ids CROSS JOIN tx LEFT JOIN c ON c.sample = ids.sample AND c.genome = tx.genome")
 def annotate_grid(spark, d):
-    from .catalog import BRAND_NAMES
-
     return taxonomy.annotate_grid(cells(spark, d), brand_taxa(spark, d), BRAND_NAMES).select("sample", "genome", "v", "family", "genus")
 
 

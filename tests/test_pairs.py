@@ -128,3 +128,17 @@ def test_permanova_p_edges(spark):
     none = permutations.permanova_p(d, one, 0).first()
     assert none.f_statistic == 0.0 and math.isnan(none.p_value)
     assert tuple(permutations.permanova_p(d.limit(0), one, 3).first()) == (0.0, 1.0, 3)
+
+
+def test_components_of_all_genomes(spark, sf):
+    """The first two components of the registered query against a decomposition of the whole matrix, up to their signs."""
+    from silvatide import catalog
+
+    wide = catalog.QUERIES["containment_wide"](spark, sf).toPandas().set_index("sample")
+    x = wide[catalog.BRAND_NAMES].to_numpy(float)
+    x = x - x.mean(0)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    got = catalog.QUERIES["pca"](spark, sf).toPandas().set_index("sample").loc[wide.index]
+    for k in (0, 1):
+        assert np.abs(np.abs(got[f"pc{k + 1}"].to_numpy()) - np.abs(u[:, k] * s[k])).max() < 1e-6
+        assert got[f"share{k + 1}"].iloc[0] == pytest.approx(s[k] ** 2 / (s**2).sum(), abs=1e-8)
