@@ -438,15 +438,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5
 
 
 def keep_one(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5), id_col: str = "doc_id") -> DataFrame:
-    """One document of each component, with all its columns: that of least id, and of rows that repeat an id the one of least
-    text (null first). Rows without an id stay, and so do null and empty texts, which link with nothing. An empty table
-    gives no rows."""
+    """One document of each component, with all its columns: that of least id, then of least text (null first). A document is
+    an id and a text: rows that repeat an id with other texts are judged one by one, rows that agree in both are one. Rows
+    without an id stay, and so do null and empty texts, which link with nothing. An empty table gives no rows."""
     own = {c: c if c in (id_col, "text") else f"_own{n}" for n, c in enumerate(docs.columns)}
     safe = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in own.items()])
     key = F.col(f"`{id_col}`")
-    found = near_duplicates(safe, k, share, id_col).filter("doc_id = component_id").select(F.col("doc_id").alias("_node")).distinct()
-    first = Window.partitionBy(key).orderBy("text", F.xxhash64(F.to_json(F.struct(*[f"`{x}`" for x in own.values()]))))
-    kept = safe.join(found, key.cast("long") == F.col("_node"), "left_semi").withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_place")
+    given, made = safe.filter(key.isNotNull()), []
+    if given.groupBy(key).count().filter("count > 1").isEmpty():
+        found = near_duplicates(given, k, share, id_col).filter("doc_id = component_id").select("doc_id")
+    else:  # an id does not tell documents apart: rows are numbered, and a component's least document is looked for
+        given = written(given.sparkSession, given.withColumn("_node", F.monotonically_increasing_id()), "numbered")
+        made = [given]
+        comp = near_duplicates(given.select("_node", "text"), k, share, "_node").filter("n_shingles > 0")
+        linked = given.select(key.cast("long").alias("_id"), "text", "_node").join(comp.select(F.col("doc_id").alias("_node"), F.col("component_id").alias("_comp")), "_node", "left")
+        order = F.struct("_id", F.col("text").isNotNull(), "text", "_node")
+        alone = F.col("_comp").isNull()  # without a shingle: one of each id and text
+        found = linked.groupBy("_comp", F.when(alone, F.col("_id")).alias("_k"), F.when(alone, F.col("text")).alias("_t")).agg(F.min(order)["_node"].alias("doc_id")).select("doc_id")
+    node = F.col("_node") if made else key.cast("long")
+    kept = given.join(found.select(F.col("doc_id").alias("_found")), node == F.col("_found"), "left_semi").drop("_node")
     return kept.unionByName(safe.filter(key.isNull())).select(*[F.col(f"`{x}`").alias(c) for c, x in own.items()])
 
 

@@ -323,7 +323,21 @@ def test_near_duplicates_edges(spark):
     got = partenum.near_duplicates(docs(spark, ["a b c d e f", "a b c d e f", None], [3, None, None]))
     assert rows(got, "doc_id", "component_id") == sorted([(3, 3), (None, None), (None, None)], key=repr)
     kept = partenum.keep_one(docs(spark, ["a b c d e f", "a b c d e f", "z", "z", "q"], [5, 4, None, 9, 9]))
-    assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 4, 9]
+    # The two texts of id 9 are documents of their own, which do not link.
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.text) for r in kept.collect()) == [(-1, "z"), (4, "a b c d e f"), (9, "q"), (9, "z")]
+
+
+def test_keep_one_takes_an_id_and_a_text_as_a_document(spark):
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    texts = [long, "b c d e f g", long, long, "", "", None, None, "b c d e f g", "x y z u v w"]
+    ids = [7, 7, 7, 3, 5, 5, 5, 5, 7, 3]
+    kept = partenum.keep_one(docs(spark, texts, ids)).collect()
+    # The long text stays with id 3; of id 7 the other text stays, once; of id 5 one row without words for each text; id 3 keeps both of its texts.
+    want = [(3, long), (3, "x y z u v w"), (5, None), (5, ""), (7, "b c d e f g")]
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(want, key=repr)
+    # A link by way of another text of the id no longer joins what does not link.
+    apart = partenum.keep_one(docs(spark, [long, "p q r s t u", "p q r s t u", "k l m n o p"], [1, 1, 2, 2])).collect()
+    assert sorted((r.doc_id, r.text) for r in apart) == sorted([(1, long), (1, "p q r s t u"), (2, "k l m n o p")])
 
 
 def test_linked_sets_share_a_signature():
