@@ -7,8 +7,8 @@ it wrote besides is deleted then.
 All stages take documents of the columns DOCUMENT_COLUMNS, whatever others there
 are. Null and empty texts pass the first three (they are not toxic, like no other
 and not contaminated) and are never taken by the mix, since they have no words.
-Rows that repeat an id are judged one by one by the first and third stage; of
-those the second keeps one. Ties go to the smaller id, then to the lesser text. A
+Rows that repeat an id with other texts are judged one by one by the first three
+stages; of rows that agree in id and text the second keeps one. Ties go to the smaller id, then to the lesser text. A
 null id, source or language is a value like others. Empty tables give no rows.
 """
 
