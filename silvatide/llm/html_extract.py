@@ -5,7 +5,9 @@ density of each block and of its neighbours, and what the markup around it says:
 whether it lies in a container that is never main text, in one whose class merely
 sounds like that, in a main container, in a paragraph, in a heading. A CART tree,
 grown here from a small labelled table, keeps or drops each block; where markup is
-doubtful or absent, words, links and neighbours decide.
+doubtful or absent, words, links and neighbours decide. What stands in a main
+container under no doubtful word stays, links and short lines too; outside of it
+nothing does.
 
 A page is read once from its start to its end, whatever it holds: tags that are
 never closed or cut off cost no more than others.
@@ -32,11 +34,17 @@ MAIN_TAGS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PARAGRAPHS = frozenset("p blockquote pre td th dd dt li figcaption caption".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Class words of what is no main text whatever it says.
+#: Class words of what is no main text, where a class says nothing else: `share`, `related-posts`, but not `share-price`.
 BOILER_WORDS = frozenset(
     "ad ads adv advert advertisement advertising adsense banner sponsor sponsored promo promoted promotion sidebar nav navbar navigation breadcrumb breadcrumbs footer masthead topbar "
     "cookie cookies consent gdpr popup modal overlay newsletter subscribe signup login related recommended share sharing comment comments commentlist reply replies respond disqus widget pagination pager".split()
 )
+#: Class words that say what an element is made of or where it stands, and not what it is about.
+FRAME_WORDS = frozenset(
+    "x box bar list container wrapper wrap inner outer block panel section area region zone row col column grid slot unit group item items link links button buttons icon icons tool tools form field title "
+    "head header heading body content text left right top bottom center primary secondary main site page post posts article articles entry story stories blog news js c is has the and of size small large "
+    "mobile desktop sticky fixed thread author meta count form user users social menu policy notice message widgets".split()
+)
 #: Class words that prose may have as well.
 DOUBTFUL_WORDS = frozenset("menu header notice alert subscription register form side social discussion copyright legal skip toolbar".split())
 ASIDE_WORDS = frozenset("ad advert advertisement comment comments promo related reply sponsored".split())  # on an article element itself
@@ -60,7 +68,8 @@ class Block:
     words: int
     link_density: float
     boiler: int  # inside a container of boilerplate
-    doubtful: int  # inside a container whose class sounds like it, or worded like a notice
+    doubtful: int  # inside a container whose class sounds like it
+    notice: int  # worded like a notice
     main: int  # inside a main container
     paragraph: int
     heading: int
@@ -84,13 +93,16 @@ def _hint(name: str, attrs: str, in_main: bool) -> str:
                 return "boiler"
             found = "main" if value in ("main", "article") else found
         elif key in ("class", "id") and name not in ("body", "html"):
-            parts = set(re.split(r"[^a-z0-9]+", value))
+            classes = [{w for w in re.split(r"[^a-z]+", c) if w} for c in value.split()]
+            parts = set().union(*classes)
             if name in MAIN_TAGS:
                 if parts & ASIDE_WORDS:
                     return "boiler"
-            elif parts & BOILER_WORDS:
-                return "doubtful" if name in PARAGRAPHS or name in HEADINGS else "boiler"
-            elif parts & DOUBTFUL_WORDS:
+            elif any(c & BOILER_WORDS and c <= BOILER_WORDS | FRAME_WORDS for c in classes):
+                if name not in PARAGRAPHS and name not in HEADINGS:
+                    return "boiler"
+                found = found or "doubtful"
+            elif parts & (BOILER_WORDS | DOUBTFUL_WORDS):
                 found = found or "doubtful"
             elif parts & MAIN_WORDS:
                 found = "main"
@@ -166,15 +178,14 @@ def blocks(page: str) -> list[Block]:
                 n = text.count(" ") + 1
                 in_link = len(entities.unescape("".join(linked)).split())
                 boiler = depth["boiler"] > 0 or depth["top"] > 0 and not depth["h"]
-                doubtful = depth["doubtful"] > 0 or NOTICE.match(text) is not None
-                out.append(Block(text, n, min(1.0, in_link / n), int(boiler), int(doubtful), int(depth["main"] > 0), int(depth["p"] > 0), int(depth["h"] > 0)))
+                notice = NOTICE.match(text) is not None
+                out.append(Block(text, n, min(1.0, in_link / n), int(boiler), int(depth["doubtful"] > 0), int(notice), int(depth["main"] > 0), int(depth["p"] > 0), int(depth["h"] > 0)))
             parts.clear()
             linked.clear()
 
     def text(raw: str) -> None:
         parts.append(raw)
-        if depth["a"]:
-            linked.append(raw)
+        linked.append(raw if depth["a"] else " ")  # words of two links are two words
 
     at, n = 0, len(page)
     while at < n:
@@ -241,60 +252,104 @@ def _implied_end(name: str, opened: _Open) -> None:
             opened.close(k)
 
 
-FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "boiler", "doubtful", "main", "paragraph", "heading", "page_main")
+FEATURES = ("words", "link_density", "prev_words", "prev_link_density", "next_words", "next_link_density", "boiler", "doubtful", "notice", "place", "paragraph", "heading")
 
-# Blocks of pages (news, blogs, documentation, shops, wikis) labelled by hand, in the order of FEATURES, and whether the block belongs to the main text.
+# Pages whose blocks are labelled by hand: whether a block belongs to the main text, and its markup; {n} stands for n words. The pages
+# are made after news, blogs, documentation, shops and wikis; the features of their blocks are computed as those of any page.
 LABELLED = (
-    # paragraphs, list items and headings of an article
-    ((80, 0.0, 6, 0.0, 45, 0.0, 0, 0, 1, 1, 0, 1), 1), ((45, 0.02, 80, 0.0, 30, 0.0, 0, 0, 1, 1, 0, 1), 1), ((1, 0.0, 45, 0.0, 2, 0.0, 0, 0, 1, 1, 0, 1), 1),
-    ((2, 0.0, 1, 0.0, 90, 0.1, 0, 0, 1, 0, 0, 1), 1), ((7, 0.0, 5, 1.0, 60, 0.0, 0, 0, 1, 0, 1, 1), 1), ((4, 0.0, 90, 0.0, 70, 0.0, 0, 0, 1, 0, 1, 1), 1),
-    ((12, 0.5, 40, 0.0, 33, 0.0, 0, 0, 1, 1, 0, 1), 1), ((3, 1.0, 40, 0.0, 33, 0.0, 0, 0, 1, 1, 0, 1), 1), ((25, 0.0, 0, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 1), 1),
-    ((150, 0.1, 4, 0.0, 3, 1.0, 0, 0, 1, 1, 0, 1), 1), ((9, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1, 1, 0, 1), 1), ((2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 1, 1, 0, 1), 1),
-    ((11, 0.0, 2, 0.0, 8, 0.0, 0, 0, 1, 1, 0, 1), 1), ((5, 0.0, 14, 0.0, 0, 0.0, 0, 0, 1, 1, 0, 1), 1), ((30, 0.9, 30, 0.9, 28, 1.0, 0, 0, 1, 1, 0, 1), 1),
-    ((4, 0.0, 20, 0.0, 0, 0.0, 0, 0, 1, 1, 0, 1), 1), ((3, 0.0, 30, 0.0, 0, 0.0, 0, 0, 1, 0, 0, 1), 1), ((4, 1.0, 25, 0.0, 0, 0.0, 0, 0, 1, 1, 0, 1), 1), ((2, 0.0, 15, 0.0, 0, 0.0, 0, 0, 1, 1, 0, 1), 1),
-    ((6, 0.6, 18, 0.0, 3, 1.0, 0, 0, 1, 1, 0, 1), 1), ((4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 1, 0, 0, 1), 1), ((1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 1, 1, 0, 1), 1), ((20, 0.8, 40, 0.0, 10, 0.9, 0, 0, 1, 1, 0, 1), 1),
-    ((3, 1.0, 40, 0.0, 60, 0.0, 0, 0, 1, 1, 0, 1), 1), ((12, 0.9, 5, 0.0, 80, 0.0, 0, 0, 1, 1, 0, 1), 1), ((2, 1.0, 8, 0.0, 45, 0.0, 0, 0, 1, 0, 0, 1), 1), ((7, 1.0, 0, 0.0, 120, 0.0, 0, 0, 1, 0, 0, 1), 1),
-    # prose of an article whose class or wording only sounds like boilerplate
-    ((60, 0.0, 80, 0.0, 50, 0.0, 0, 1, 1, 1, 0, 1), 1), ((24, 0.0, 30, 0.0, 40, 0.0, 0, 1, 1, 1, 0, 1), 1), ((35, 0.05, 40, 0.0, 9, 0.0, 0, 1, 1, 0, 0, 1), 1),
-    ((90, 0.0, 7, 0.0, 55, 0.0, 0, 1, 1, 0, 0, 1), 1), ((16, 0.0, 60, 0.0, 70, 0.0, 0, 1, 1, 1, 0, 1), 1), ((6, 0.0, 12, 0.0, 75, 0.0, 0, 1, 1, 0, 1, 1), 1),
-    ((15, 0.1, 22, 0.0, 31, 0.0, 0, 1, 1, 1, 0, 1), 1), ((8, 0.0, 45, 0.0, 52, 0.0, 0, 1, 1, 1, 0, 1), 1), ((3, 0.0, 38, 0.0, 47, 0.0, 0, 1, 1, 1, 0, 1), 1),
-    # the same words on what is none: share bars, menus and notices inside an article
-    ((2, 1.0, 60, 0.0, 2, 1.0, 0, 1, 1, 1, 0, 1), 0), ((1, 1.0, 2, 1.0, 1, 1.0, 0, 1, 1, 1, 0, 1), 0), ((6, 0.0, 40, 0.0, 0, 0.0, 0, 1, 1, 0, 0, 1), 0),
-    ((4, 0.0, 2, 1.0, 3, 1.0, 0, 1, 1, 0, 0, 1), 0), ((9, 0.7, 30, 0.0, 4, 1.0, 0, 1, 1, 0, 0, 1), 0), ((3, 0.0, 0, 0.0, 2, 1.0, 0, 1, 1, 0, 0, 1), 0),
-    ((14, 0.8, 50, 0.0, 33, 0.0, 0, 1, 1, 1, 0, 1), 0), ((5, 1.0, 61, 0.0, 44, 0.0, 0, 1, 1, 1, 0, 1), 0),
-    # boilerplate containers inside an article: adverts, share bars, comments, forms
-    ((8, 0.0, 60, 0.0, 70, 0.0, 1, 0, 1, 0, 0, 1), 0), ((2, 1.0, 60, 0.0, 2, 1.0, 1, 0, 1, 1, 0, 1), 0), ((35, 0.0, 50, 0.0, 28, 0.0, 1, 0, 1, 1, 0, 1), 0),
-    ((90, 0.0, 3, 0.0, 40, 0.0, 1, 1, 1, 1, 0, 1), 0), ((1, 0.0, 45, 0.0, 12, 0.0, 1, 0, 1, 0, 0, 1), 0), ((120, 0.02, 80, 0.0, 90, 0.0, 1, 0, 1, 1, 0, 1), 0),
-    # menus, headers, footers, sidebars, notices
-    ((1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 1, 0, 1), 0), ((1, 1.0, 1, 1.0, 1, 1.0, 1, 0, 0, 1, 0, 1), 0), ((9, 0.0, 1, 1.0, 7, 0.0, 1, 0, 0, 0, 0, 1), 0),
-    ((14, 0.0, 60, 0.0, 0, 0.0, 1, 1, 0, 0, 0, 1), 0), ((45, 0.0, 20, 0.0, 30, 0.0, 1, 0, 0, 1, 0, 1), 0), ((5, 0.0, 1, 1.0, 60, 0.0, 1, 0, 0, 0, 1, 1), 0),
-    ((70, 0.05, 6, 0.0, 50, 0.0, 1, 0, 0, 1, 0, 0), 0), ((3, 1.0, 2, 1.0, 4, 1.0, 1, 0, 0, 0, 0, 0), 0), ((20, 0.0, 25, 0.0, 22, 0.0, 1, 1, 0, 1, 0, 0), 0),
-    # outside the article of a page that has one
-    ((30, 0.0, 1, 1.0, 6, 0.0, 0, 0, 0, 1, 0, 1), 0), ((6, 0.0, 30, 0.0, 50, 0.0, 0, 0, 0, 0, 1, 1), 0), ((55, 0.0, 50, 0.0, 12, 0.0, 0, 0, 0, 1, 0, 1), 0),
-    ((2, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 1), 0), ((4, 1.0, 60, 0.0, 4, 1.0, 0, 0, 0, 1, 0, 1), 0), ((18, 0.3, 2, 1.0, 3, 1.0, 0, 1, 0, 0, 0, 1), 0),
-    # pages without containers: words and links of the block and its neighbours decide
-    ((60, 0.0, 5, 0.0, 45, 0.0, 0, 0, 0, 1, 0, 0), 1), ((25, 0.1, 60, 0.0, 40, 0.0, 0, 0, 0, 0, 0, 0), 1), ((18, 0.0, 30, 0.0, 22, 0.0, 0, 0, 0, 1, 0, 0), 1),
-    ((8, 0.0, 50, 0.0, 45, 0.0, 0, 0, 0, 1, 0, 0), 1), ((3, 0.0, 40, 0.0, 35, 0.0, 0, 0, 0, 0, 0, 0), 1), ((12, 0.1, 35, 0.1, 60, 0.0, 0, 0, 0, 1, 0, 0), 1),
-    ((40, 0.2, 1, 1.0, 50, 0.0, 0, 0, 0, 1, 0, 0), 1), ((90, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0, 0), 1), ((6, 0.0, 1, 1.0, 70, 0.0, 0, 0, 0, 0, 1, 0), 1),
-    ((5, 0.0, 60, 0.0, 55, 0.0, 0, 0, 0, 0, 1, 0), 1), ((30, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0), 1), ((5, 0.0, 0, 0.0, 80, 0.0, 0, 0, 0, 0, 1, 0), 1),
-    ((1, 0.0, 6, 0.0, 1, 0.0, 0, 0, 0, 1, 0, 0), 1), ((1, 0.0, 1, 0.0, 12, 0.0, 0, 0, 0, 1, 0, 0), 1), ((4, 0.0, 2, 0.0, 0, 0.0, 0, 0, 0, 1, 0, 0), 1),
-    ((14, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 1, 0, 0), 1), ((2, 0.0, 1, 1.0, 0, 0.0, 0, 0, 0, 1, 0, 0), 1), ((7, 0.3, 9, 0.0, 11, 0.0, 0, 0, 0, 1, 0, 0), 1),
-    ((50, 0.0, 8, 1.0, 9, 0.0, 0, 1, 0, 0, 0, 0), 1), ((45, 0.02, 0, 0.0, 30, 0.0, 0, 1, 0, 1, 0, 0), 1), ((26, 0.0, 33, 0.0, 0, 0.0, 0, 1, 0, 1, 0, 0), 1),
-    ((42, 0.0, 1, 1.0, 2, 0.0, 0, 0, 0, 1, 0, 0), 1), ((70, 0.03, 2, 1.0, 0, 0.0, 0, 0, 0, 1, 0, 0), 1), ((55, 0.0, 3, 1.0, 6, 0.0, 0, 0, 0, 0, 0, 0), 1),
-    ((1, 1.0, 1, 1.0, 40, 0.0, 0, 0, 0, 1, 0, 0), 0), ((2, 1.0, 3, 1.0, 65, 0.0, 0, 0, 0, 0, 0, 0), 0), ((3, 1.0, 45, 0.0, 2, 1.0, 0, 0, 0, 1, 0, 0), 0),
-    ((1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 1, 0, 0), 0), ((2, 1.0, 1, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0), 0), ((4, 0.9, 2, 1.0, 50, 0.0, 0, 0, 0, 1, 0, 0), 0),
-    ((15, 0.8, 40, 0.0, 10, 0.9, 0, 0, 0, 1, 0, 0), 0), ((25, 0.7, 3, 1.0, 20, 0.8, 0, 0, 0, 0, 0, 0), 0), ((50, 0.9, 4, 1.0, 3, 1.0, 0, 0, 0, 1, 0, 0), 0),
-    ((6, 0.0, 4, 1.0, 3, 1.0, 0, 0, 0, 0, 0, 0), 0), ((3, 0.0, 2, 0.8, 2, 1.0, 0, 0, 0, 0, 0, 0), 0), ((2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0), 0),
-    ((4, 0.0, 20, 0.0, 0, 0.0, 0, 0, 0, 1, 0, 0), 1), ((4, 0.0, 14, 0.0, 0, 0.0, 0, 0, 0, 0, 0, 0), 1), ((3, 0.0, 45, 0.0, 0, 0.0, 0, 0, 0, 1, 0, 0), 1), ((20, 0.0, 0, 0.0, 3, 0.0, 0, 0, 0, 0, 0, 0), 1),
-    ((9, 0.4, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0, 0), 0), ((5, 0.0, 30, 0.9, 2, 1.0, 0, 0, 0, 0, 0, 0), 0), ((10, 0.6, 60, 0.0, 40, 0.0, 0, 0, 0, 1, 0, 0), 0),
-    ((5, 0.0, 60, 0.0, 0, 0.0, 0, 1, 0, 0, 0, 0), 0), ((8, 0.0, 70, 0.0, 3, 1.0, 0, 1, 0, 1, 0, 0), 0), ((11, 0.2, 2, 1.0, 45, 0.0, 0, 1, 0, 0, 0, 0), 0), ((4, 0.0, 25, 0.0, 0, 0.0, 0, 1, 0, 1, 0, 0), 0),
+    (  # news: everything has its container
+        (0, "<header><a href=/>{1}</a></header>"), (0, "<nav><ul><li><a href=/a>{1}</a></li>"), (0, "<li><a href=/b>{1}</a></li>"), (0, "<li><a href=/c>{2}</a></li></ul></nav>"), (0, "<div class='ad'>{7}</div>"),
+        (1, "<article><h1>{9}</h1>"), (1, "<p>{60}</p>"), (1, "<p>{1}</p>"), (1, "<p>{34} <a href=x>{2}</a> {10}</p>"), (0, "<div class=ad>{12}</div>"), (1, "<h2>{4}</h2>"), (1, "<p>{8}</p>"), (1, "<p>{90}</p></article>"),
+        (0, "<section id=comments><h3>{2}</h3>"), (0, "<p>{70}</p>"), (0, "<p>{15}</p></section>"), (0, "<aside><a href=z>{6}</a></aside>"), (0, "<footer>{12}</footer>"),
+    ),
+    (  # news: link blocks and long teasers lie round the article, in no container that says so
+        (0, "<div>{55}</div>"), (0, "<div><a href=1>{3}</a></div>"), (0, "<div>{42}</div>"), (0, "<div><a href=2>{5}</a></div>"), (0, "<p>{30}</p>"), (1, "<article><p>{25}</p>"), (1, "<p>{70}</p>"), (1, "<p><a href=3>{6}</a></p>"),
+        (1, "<p>{64}</p>"), (1, "<p><a href=4>{2}</a></p></article>"), (0, "<p>{80}</p>"), (0, "<div><a href=5>{4}</a></div>"), (0, "<h3>{5}</h3>"), (0, "<p>{38} <a href=6>{2}</a></p>"), (0, "<div>{3}</div>"),
+    ),
+    (  # a column of links and figures inside an article
+        (1, "<main><h1>{6}</h1>"), (1, "<p><a href=1>{11}</a></p>"), (1, "<p><a href=2>{26}</a></p>"), (1, "<ul><li><a href=3>{2}</a></li>"), (1, "<li><a href=4>{1}</a></li>"), (1, "<li><a href=5>{3}</a> {9}</li></ul>"),
+        (1, "<div>{2}</div>"), (1, "<table><tr><td>{1}</td>"), (1, "<td><a href=6>{4}</a></td></tr></table>"), (1, "<div><a href=7>{5}</a></div>"), (1, "<p>{120}</p>"), (1, "<div><a href=8>{18}</a></div>"), (1, "<div>{5}</div>"),
+        (1, "<div><a href=9>{2}</a></div>"), (1, "<div>{6}</div>"), (1, "<div><a href=9>{3}</a></div>"), (1, "<h2>{3}</h2>"), (1, "<ul><li><a href=9>{4}</a></li></ul>"), (1, "<div>{4}</div>"), (1, "<div><a href=9>{7}</a></div></main>"), (0, "<p>{10}</p>"),
+    ),
+    (  # prose of an article under class words that only sound like boilerplate
+        (1, "<article><p class=legal>{3}</p>"), (1, "<p class=notice>{12}</p>"), (1, "<p>{50}</p>"), (1, "<p class=legal>{4}</p>"), (1, "<p>{7}</p>"), (1, "<div class=share-price>{5}</div>"), (1, "<div class='social history'><p>{60}</p>"),
+        (1, "<p>{6}</p></div>"), (1, "<section class=related-work><h2>{2}</h2>"), (1, "<p>{44} <a href=1>{3}</a></p>"), (1, "<p>{9}</p></section>"), (1, "<p class=comment>{33}</p>"), (1, "<p class=alert>{5}</p>"), (1, "<p>{65}</p></article>"),
+        (0, "<p class=legal>{11}</p>"), (0, "<p class=copyright>{50}</p>"),
+    ),
+    (  # prose straight in divisions of doubtful class
+        (1, "<article><div class='social history'>{35}</div>"), (1, "<div class=legal>{55}</div>"), (1, "<h2>{3}</h2>"), (1, "<div class=discussion>{90} <a href=1>{2}</a></div>"), (1, "<p>{4}</p>"), (1, "<div class='side effects'>{40}</div>"), (1, "<p>{66}</p>"), (1, "<div class=share-price>{5}</div>"), (1, "<p>{4}</p>"),
+        (1, "<p>{75}</p>"), (1, "<div class=ad-hoc>{9}</div>"), (1, "<p>{48}</p>"), (1, "<div class=legal>{3}</div>"), (1, "<p>{2}</p></article>"), (0, "<div class=legal>{40}</div>"),
+    ),
+    (  # share bars, menus and notices inside an article, under the same words
+        (1, "<article><h1>{7}</h1>"), (0, "<div class=social><a href=1>{1}</a></div>"), (0, "<div class=social><a href=2>{2}</a></div>"), (1, "<p>{45}</p>"), (0, "<ul class=toolbar><li><a href=3>{1}</a></li>"), (0, "<li><a href=4>{2}</a></li></ul>"),
+        (1, "<p>{52}</p>"), (0, "<p class=subscription>{2} <a href=5>{9}</a></p>"), (1, "<p>{40}</p>"), (0, "<p class=share><a href=6>{6}</a></p>"), (1, "<p>We use cookies {5}</p>"), (1, "<p>{30}</p>"), (0, "<div>Advertisement</div>"), (1, "<p>{11}</p>"),
+        (1, "<p>Advertisement {3}</p>"), (1, "<p>All rights reserved</p>"), (0, "<div>Copyright {6}</div>"), (0, "<div>We use cookies {9}</div>"), (1, "<p>© {4}</p>"), (0, "<div class=social><a href=7>{3}</a> {2}</div></article>"), (0, "<div class=legal>{6}</div>"),
+    ),
+    (  # paragraphs of an article worded like notices, and notices in divisions of it
+        (1, "<article><p>All rights reserved {1}</p>"), (1, "<p>{2}</p>"), (1, "<p>Copyright {8}</p>"), (0, "<div>We use cookies {4}</div>"), (1, "<p>{12}</p>"), (0, "<div>We use cookies {7}</div>"), (1, "<p>We use cookies {3}</p>"), (1, "<p>{9}</p>"),
+        (0, "<div>Advertisement {1}</div>"), (1, "<p>{25}</p>"), (0, "<div>© {5}</div>"), (1, "<p>All rights reserved</p>"), (1, "<p>{80}</p>"), (1, "<p>All rights reserved</p>"), (0, "<div>All rights reserved {2}</div>"), (1, "<p>Copyright {10}</p></article>"),
+    ),
+    ((1, "<article><p>{20}</p>"), (1, "<p>All rights reserved</p></article>"), (0, "<footer>© {4}</footer>")), ((0, "<nav><a href=1>{1}</a></nav>"), (1, "<article><p>All rights reserved</p></article>")),
+    ((1, "<article><p>{50}</p>"), (0, "<div>All rights reserved</div></article>"), (0, "<p>{6}</p>")), ((1, "<article><p>{15}</p>"), (0, "<div>This website uses cookies {4}</div>"), (1, "<p>{30}</p></article>")),
+    (  # an article that begins as notices do, and says much more
+        (1, "<article><p>Copyright {60}</p>"), (1, "<p>{8}</p>"), (1, "<p>Advertisement {45}</p>"), (1, "<p>We use cookies {38} <a href=1>{3}</a></p></article>"), (0, "<footer><p>Copyright {50}</p></footer>"), (0, "<p>All rights reserved</p>"),
+    ),
+    (  # a share bar, adverts, forms and reader comments in their containers inside an article
+        (1, "<article><p>{30}</p>"), (0, "<div class=share-buttons><a href=1>{1}</a></div>"), (0, "<aside>{35}</aside>"), (0, "<form>{6}</form>"), (1, "<p>{28}</p>"), (0, "<div class='related-posts'><p>{90}</p></div>"), (1, "<p>{3}</p>"),
+        (0, "<div class=share><a href=1>{1}</a></div>"), (0, "<nav><a href=1>{2}</a></nav>"), (0, "<div class=ad><a href=1>{14}</a></div>"), (0, "<div class=promo><p><a href=1>{30}</a> {5}</p></div>"), (0, "<aside><h3><a href=1>{6}</a></h3></aside>"),
+        (0, "<div class=comment-list><p>{120} <a href=2>{1}</a></p>"), (0, "<p>{4}</p></div></article>"), (0, "<div class=sidebar><p>{70}</p></div>"),
+    ),
+    (  # no container: a blog between two menus
+        (0, "<ul><li><a href=1>{1}</a></li>"), (0, "<li><a href=2>{2}</a></li></ul>"), (1, "<h1>{6}</h1>"), (1, "<p>{70}</p>"), (1, "<p>{8}</p>"), (1, "<p>{40} <a href=3>{3}</a></p>"), (1, "<h2>{3}</h2>"), (1, "<p>{22}</p>"), (1, "<p>{3}</p>"), (1, "<p>{55}</p>"),
+        (0, "<p><a href=4>{4}</a></p>"), (0, "<p><a href=5>{3}</a></p>"), (0, "<div>Copyright {3}</div>"),
+    ),
+    (  # no container, no paragraphs: text in divisions
+        (0, "<div><a href=1>{2}</a></div>"), (0, "<div><a href=2>{3}</a></div>"), (1, "<div>{90}</div>"), (1, "<div>{25} <a href=3>{2}</a></div>"), (1, "<div>{3}</div>"), (1, "<div>{40}</div>"), (0, "<div><a href=4>{15}</a> {3}</div>"),
+        (0, "<div><a href=5>{3}</a></div>"), (0, "<div>{4}</div>"), (0, "<div><a href=6>{1}</a></div>"), (0, "<div>{6}</div>"), (0, "<div><a href=7>{3}</a></div>"), (1, "<div>{60}</div>"), (0, "<div><a href=8>{2}</a></div>"),
+    ),
+    (  # no main container, but menus, adverts, comments and a footer in theirs
+        (0, "<nav><a href=1>{1}</a></nav>"), (0, "<div class=banner>{30}</div>"), (1, "<h1>{7}</h1>"), (1, "<p>{60}</p>"), (0, "<div class=ad>{12}</div>"), (1, "<p>{40}</p>"), (1, "<p>{5}</p>"), (0, "<aside><p>{70}</p></aside>"),
+        (0, "<div class=comments><p>{90}</p>"), (0, "<p>{3}</p></div>"), (0, "<form>{8}</form>"), (0, "<footer>{35}</footer>"),
+    ),
+    # no container: very short texts
+    ((1, "<p>{1}</p>"),), ((1, "<div>{20}</div>"),), ((1, "<div>{30}</div>"), (1, "<div>{4}</div>")), ((1, "<p>{3}</p>"), (1, "<p>{1}</p>"), (1, "<p>{1}</p>"), (1, "<p>{7}</p>")), ((1, "<h1>{5}</h1>"), (1, "<p>{4}</p>")),
+    ((1, "<div>{45}</div>"), (1, "<div>{6}</div>"), (1, "<div>{45}</div>")), ((1, "<p>{14}</p>"), (1, "<p>{9}</p>")), ((1, "<h2>{5}</h2>"), (1, "<p>{80}</p>")), ((1, "<div>{2}</div>"), (1, "<div>{12}</div>")),
+    (  # no container: links between paragraphs, and a link of many words
+        (1, "<p>{42}</p>"), (0, "<p><a href=1>{9}</a></p>"), (1, "<p>{42}</p>"), (0, "<p><a href=2>{50}</a> {5}</p>"), (0, "<p><a href=3>{3}</a></p>"), (0, "<div><a href=4>{20}</a> {4}</div>"), (0, "<div><a href=5>{16}</a> {6}</div>"), (0, "<div>{3} <a href=6>{6}</a></div>"),
+    ),
+    (  # no container: a few words among links
+        (0, "<p><a href=1>{1}</a></p>"), (0, "<div>{6}</div>"), (0, "<div><a href=2>{2}</a></div>"), (0, "<div>{3}</div>"), (0, "<p><a href=3>{3}</a></p>"), (0, "<div>{5} <a href=4>{4}</a></div>"), (0, "<p><a href=5>{1}</a></p>"), (0, "<p>{2}</p>"), (0, "<p><a href=6>{1}</a></p>"),
+        (0, "<div>{7}</div>"), (0, "<div><a href=7>{2}</a></div>"), (0, "<div>{5}</div>"), (0, "<div><a href=8>{4}</a></div>"), (0, "<div>{8}</div>"), (0, "<p><a href=9>{6}</a></p>"), (0, "<p>{4}</p>"), (0, "<p><a href=9>{2}</a></p>"), (0, "<p>{6}</p>"), (0, "<ul><li><a href=9>{2}</a></li></ul>"),
+    ),
+    ((0, "<div><a href=1>{2}</a></div>"), (0, "<div>{6}</div>"), (0, "<div><a href=2>{2}</a></div>")), ((0, "<p><a href=1>{1}</a></p>"), (0, "<p>{7}</p>"), (0, "<p><a href=2>{3}</a></p>")),
+    (  # no container: prose and its opposite under doubtful class words
+        (0, "<div class=menu><a href=1>{1}</a></div>"), (1, "<div class='social history'><p>{50}</p>"), (1, "<p>{26}</p>"), (1, "<p>{45} <a href=2>{1}</a></p></div>"), (0, "<div class=legal>{5}</div>"), (0, "<div class=copyright>{8}</div>"), (0, "<div class=social><a href=3>{2}</a> {9}</div>"),
+    ),
+    ((1, "<div class='social history'><p>{40}</p></div>"),), ((1, "<p>{60}</p>"), (0, "<div class=legal>{5}</div>")), ((1, "<p>{25}</p>"), (0, "<p>© {4}</p>")), ((1, "<p>{70}</p>"), (0, "<p>We use cookies {8}</p>"), (0, "<a href=1>{3}</a>")),
+    # no container: one long text between links
+    ((0, "<p><a href=1>{1}</a></p>"), (1, "<p>{42}</p>"), (0, "<p><a href=2>{2}</a></p>")), ((0, "<div><a href=1>{2}</a></div>"), (1, "<div>{70} <a href=2>{2}</a></div>")), ((0, "<p><a href=1>{3}</a></p>"), (1, "<p>{55}</p>"), (1, "<p>{6}</p>")),
 )
 
 
+def labelled() -> list[tuple[tuple[float, ...], int]]:
+    """The features and the label of each block of the labelled pages."""
+    out = []
+    for parts in LABELLED:
+        page = re.sub(r"\{(\d+)\}", lambda m: " ".join(["word"] * int(m[1])), "".join(markup for _, markup in parts))
+        out += zip(features(blocks(page)), [keep for keep, _ in parts], strict=True)
+    return out
+
+
+#: Features that are plain facts of the page, and no measures.
+FACTS = tuple(FEATURES.index(f) for f in ("boiler", "place", "doubtful", "notice"))
+
+
 class Tree:
-    """CART: axis-parallel splits of least Gini impurity, until leaves are pure or would hold less than `least` rows."""
+    """CART: axis-parallel splits of least Gini impurity, until leaves are pure or would hold less than `least` rows. Facts are split on
+    before measures as long as that lowers the impurity, so that few labels do not let a number of words overrule plain markup."""
 
-    def __init__(self, rows=LABELLED, least: int = 2):
+    def __init__(self, rows: list[tuple[tuple[float, ...], int]] | None = None, least: int = 2):
+        rows = labelled() if rows is None else rows
         self.root = self._grow([(list(map(float, x)), y) for x, y in rows], least)
 
     @staticmethod
@@ -306,8 +361,17 @@ class Tree:
         ys = [y for _, y in rows]
         if len(set(ys)) <= 1 or len(rows) < 2 * least:
             return int(2 * sum(ys) >= len(ys)) if ys else 0
+        order = range(len(rows[0][0]))
+        best = self._best(rows, [f for f in order if f in FACTS], least) or self._best(rows, order, least)
+        if best is None:
+            return int(2 * sum(ys) >= len(ys))
+        f, cut = best
+        return f, cut, self._grow([r for r in rows if r[0][f] <= cut], least), self._grow([r for r in rows if r[0][f] > cut], least)
+
+    def _best(self, rows, fs, least):
+        """The feature and the cut of least impurity among these features, or None if none lowers it."""
         best = None
-        for f in range(len(rows[0][0])):
+        for f in fs:
             values = sorted({x[f] for x, _ in rows})
             for a, b in zip(values, values[1:], strict=False):
                 cut = (a + b) / 2
@@ -316,10 +380,7 @@ class Tree:
                     cost = self._gini(left) + self._gini(right)
                     if best is None or cost < best[0] - 1e-12:
                         best = (cost, f, cut)
-        if best is None or best[0] >= self._gini(ys) - 1e-12:
-            return int(2 * sum(ys) >= len(ys))
-        _, f, cut = best
-        return f, cut, self._grow([r for r in rows if r[0][f] <= cut], least), self._grow([r for r in rows if r[0][f] > cut], least)
+        return best[1:] if best is not None and best[0] < self._gini([y for _, y in rows]) - 1e-12 else None
 
     def predict(self, x) -> int:
         node = self.root
@@ -330,11 +391,12 @@ class Tree:
 
 
 def features(bs: list[Block]) -> list[tuple[float, ...]]:
-    """A row of FEATURES for each block; the neighbours of the ends are empty blocks."""
+    """A row of FEATURES for each block; the neighbours of the ends are empty blocks. The place is 1 inside a main container, -1 outside
+    on a page that has one, 0 on a page without any."""
     page_main = int(any(b.main and not b.boiler for b in bs))
     ends = [(0, 0.0)]
     sizes = [*ends, *((b.words, b.link_density) for b in bs), *ends]
-    return [(b.words, b.link_density, *sizes[k], *sizes[k + 2], b.boiler, b.doubtful, b.main, b.paragraph, b.heading, page_main) for k, b in enumerate(bs)]
+    return [(b.words, b.link_density, *sizes[k], *sizes[k + 2], b.boiler, b.doubtful, b.notice, 1 if b.main else -page_main, b.paragraph, b.heading) for k, b in enumerate(bs)]
 
 
 def main_text(page: str | None, tree: Tree) -> str:

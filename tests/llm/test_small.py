@@ -1,6 +1,7 @@
 """Each operator on small tables: nulls, empty and long texts, ties, repeated rows, empty tables and clashing extra columns, against brute force."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -194,6 +195,117 @@ def test_neighbours_and_links_decide():
     assert "linked" not in around(LONG, "<a href=x>linked words that go on for a while</a>", LONG)
 
 
+NEWS = " ".join(f"word{k}" for k in range(60))
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        # A paragraph that is one link, after a long paragraph of the article.
+        (f"<article><p>{NEWS}</p><p><a href=x>The full report is here</a></p></article>", f"{NEWS}\nThe full report is here"),
+        (f"<article><p>{NEWS}</p><ul><li><a href=x>One</a></li><li><a href=y>Two of them</a></li></ul><p>End.</p></article>", f"{NEWS}\nOne\nTwo of them\nEnd."),
+        # A doubtful class on short prose, before a short paragraph.
+        ("<article><p class='legal'>So it was.</p><p>And so it stayed.</p></article>", "So it was.\nAnd so it stayed."),
+        # Class words that say something else than the boilerplate word in them.
+        (f"<article><p>{NEWS}</p><div class='share-price'>It rose to nine today</div><p>So they say.</p></article>", f"{NEWS}\nIt rose to nine today\nSo they say."),
+        (f"<article><section class='related-work'><h2>Related work</h2><p>{NEWS}</p><p>Few did.</p></section></article>", f"Related work\n{NEWS}\nFew did."),
+        # The same words and no others: dropped, prose or not.
+        (f"<article><p>One.</p><div class='share-buttons'><p>{NEWS}</p></div><section class='related-posts'><p>{NEWS}</p></section><div class='comment-list'><p>{NEWS}</p></div><p>Two.</p></article>", "One.\nTwo."),
+        # Long text before links outside the article.
+        (f"<div>{NEWS}</div><div><a href=x>a</a> <a href=y>b</a></div><article><p>One.</p></article><p>{NEWS}</p><ul><li><a href=x>c</a></li></ul>", "One."),
+        # Worded like a notice: dropped if short and in no paragraph of the article.
+        (f"<article><p>One.</p><div>We use cookies to serve you.</div><p>All rights reserved.</p><p>Copyright law says: {NEWS}</p></article>", f"One.\nAll rights reserved.\nCopyright law says: {NEWS}"),
+    ],
+)
+def test_the_article_is_kept_whole_and_nothing_else(page, text):
+    assert html_extract.main_text(page, html_extract.Tree()) == text
+
+
+def test_markup_decides_where_it_is_plain():
+    """Whatever words and links a block and its neighbours hold: containers of boilerplate go, a main container keeps what no class or wording makes doubtful, outside of it nothing is kept."""
+    tree = html_extract.Tree()
+    for around in itertools.product([1, 3, 8, 40, 200], [0, 0.3, 0.6, 1], [0, 2, 40], [0, 1], [0, 2, 40], [0, 1], [0, 1], [0, 1]):
+        of = lambda boiler, doubtful, notice, place, a=around: tree.predict((*a[:6], boiler, doubtful, notice, place, *a[6:]))
+        assert of(0, 0, 0, 1) and not of(1, 0, 0, 1) and not of(1, 0, 0, 0)
+        assert not any(of(0, d, n, -1) for d in (0, 1) for n in (0, 1))
+        if around[1] == 0 and around[6]:  # paragraphs of the article without a link, whatever their class or wording
+            assert of(0, 1, 0, 1) and of(0, 0, 1, 1)
+
+
+def test_labels_are_learned():
+    rows = html_extract.labelled()
+    tree = html_extract.Tree(rows)
+    assert len(rows) > 180 and sum(tree.predict(x) != y for x, y in rows) <= 0.03 * len(rows)
+    assert all(len(x) == len(html_extract.FEATURES) for x, _ in rows)
+
+
+def _plain_extract(page):
+    """An independent reading of well-formed pages by another parser: text of the article's block elements, without what is no main text by its tag or whole class."""
+    from html.parser import HTMLParser
+
+    class P(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.out, self.now = [], [], ""
+
+        def flush(self):
+            if self.now.strip():
+                self.out.append(" ".join(self.now.split()))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("a", "b", "em"):
+                self.flush()
+            self.stack.append((tag, dict(attrs).get("class")))
+
+        def handle_endtag(self, tag):
+            if tag not in ("a", "b", "em"):
+                self.flush()
+            self.stack.pop()
+
+        def handle_data(self, data):
+            inside = [t for t, _ in self.stack]
+            gone = any(t in ("nav", "aside", "form", "footer", "script", "style") or c in ("ad", "share-buttons", "comments", "newsletter") for t, c in self.stack)
+            if ("article" in inside or "main" in inside) and not gone:
+                self.now += data
+
+    p = P()
+    p.feed(page)
+    p.flush()
+    return "\n".join(p.out)
+
+
+def test_pages_of_other_markup_against_another_parser():
+    rng = np.random.default_rng(5)
+    prose = lambda: " ".join(f"w{rng.integers(99)}" for _ in range(int(rng.choice([1, 3, 9, 30, 80]))))
+    link = lambda: f"<a href='/{rng.integers(99)}'>{prose()}</a>"
+    inline = lambda: str(rng.choice([prose(), f"{prose()} {link()} {prose()}", link(), f"<b>{prose()}</b> &amp; {prose()}", f"<em>{link()}</em>"]))
+
+    def inner(depth=0):
+        kind = rng.integers(9 if depth < 3 else 5)
+        if kind < 3:
+            return f"<p>{inline()}</p>"
+        if kind == 3:
+            return f"<h2>{inline()}</h2>"
+        if kind == 4:
+            return "<ul>" + "".join(f"<li>{inline()}</li>" for _ in range(3)) + "</ul>"
+        within = "".join(inner(depth + 1) for _ in range(3))
+        if kind == 5:
+            return f"<section class='chapter'>{within}</section>"
+        if kind == 6:
+            return f"<table><tbody><tr><td>{inline()}</td><td>{inline()}</td></tr></tbody></table>"
+        if kind == 7:
+            return f"<div class='{rng.choice(['ad', 'share-buttons', 'comments', 'newsletter'])}'>{within}</div>"
+        return f"<blockquote>{within}</blockquote>" if depth else f"<aside>{within}</aside>"
+
+    tree = html_extract.Tree()
+    for k in range(150):
+        top = ("article", "main")[k % 2]
+        outside = "".join(f"<div class='teaser'>{inline()}</div>" for _ in range(3))
+        page = f"<html><body><nav>{link()}{link()}</nav>{outside}<{top}>{''.join(inner() for _ in range(8))}</{top}>{outside}<footer>{prose()}</footer></body></html>"
+        assert html_extract.main_text(page, tree) == _plain_extract(page), page
+
+
 def test_extract_table(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>", "clash"), (1, "u", None, "x"), (None, None, "<article>" + "<p>w</p>" * 3000 + "</article>", "")], "page_id long, url string, html string, text string")
     got = rows(html_extract.extract_text(df), "page_id", "url", "n_chars")
