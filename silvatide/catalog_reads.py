@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .catalog import AB, BC, BRAND_NAMES, C, RUNS, TX, brand_taxa, cells, nations, purchases, r, register, runs, supplied, t
 from .functions import clean
-from .operators import containment, diversity, metadata, planning, readqc, statistics, taxonomy
+from .operators import containment, diversity, metadata, planning, readqc, statistics, taxonomy, ward
 
 
 # Reads: parts by brand. A part's name is its sequence, and its quality line too.
@@ -248,6 +248,23 @@ def pca(spark, d):
     return out.select("sample", *[r(part("components", k)).alias(f"pc{k + 1}") for k in (0, 1)], *[r(part("explained", k)).alias(f"share{k + 1}") for k in (0, 1)])
 
 
+def heatmap_table(spark, d):
+    names = [f"g{k}" for k in range(len(BRAND_NAMES))]
+    return containment.wide(cells(spark, d), BRAND_NAMES).select("sample", *[F.col(f"`{g}`").alias(n) for g, n in zip(BRAND_NAMES, names, strict=True)]), names
+
+
+@register("heatmap_rows")  # a clustering: held against merging the nearest two again and again in the tests
+def heatmap_rows(spark, d):
+    """The order of all samples in a clustered heatmap of containments."""
+    return ward.row_order(*heatmap_table(spark, d))
+
+
+@register("heatmap_columns")  # as heatmap_rows
+def heatmap_columns(spark, d):
+    """The order of all genomes in a clustered heatmap of containments."""
+    return ward.column_order(*heatmap_table(spark, d)).select(F.element_at(F.array(*map(F.lit, BRAND_NAMES)), F.col("id").cast("int") + 1).alias("genome"), "place")
+
+
 @register("permanova_variables")  # shuffled labels: held against brute force in the tests
 def permanova_variables(spark, d):
     samples, groups = nations(spark, d)

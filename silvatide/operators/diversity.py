@@ -169,51 +169,3 @@ def pca(wide: DataFrame, columns: Sequence[str], k: int = 3, key: str = "sample"
     model = PCA(k=min(k, len(columns)), inputCol="_x", outputCol="_pc").fit(v)
     share = [float(x) for x in model.explainedVariance]
     return model.transform(v).select(key, vector_to_array("_pc").alias("components"), F.array(*[F.lit(x) for x in share]).alias("explained"))
-
-
-def cluster_order(rows: Sequence[Sequence[float]]) -> list[int]:
-    """Leaf order of Ward's clustering of a small, collected matrix (nearest clusters by growth of squared error, smaller index first).
-
-    Clusters are followed to their nearest neighbour until two are each other's; merging those is what taking the least
-    growth of all would come to. The merges are put in order of growth afterwards.
-    """
-    import numpy as np
-
-    x = np.asarray(rows, float)
-    n = len(x)
-    if not n:
-        return []
-    centre, weight, live = x.copy(), np.ones(n), np.ones(n, bool)
-    leaves = {k: [k] for k in range(n)}
-    chain: list[int] = []
-    merges: list[tuple[float, int, int]] = []
-    for _ in range(n - 1):
-        if not chain:
-            chain = [int(np.flatnonzero(live)[0])]
-        while True:
-            a = chain[-1]
-            cost = weight[a] * weight / (weight[a] + weight) * ((centre - centre[a]) ** 2).sum(1)
-            cost[~live] = np.inf
-            cost[a] = np.inf
-            b = int(cost.argmin())
-            if len(chain) > 1 and cost[chain[-2]] <= cost[b]:
-                b = chain[-2]
-                break
-            chain.append(b)
-        chain = chain[:-2]
-        lo, hi = min(a, b), max(a, b)
-        merges.append((float(cost[b]), lo, hi))
-        centre[lo] = (centre[lo] * weight[lo] + centre[hi] * weight[hi]) / (weight[lo] + weight[hi])
-        weight[lo] += weight[hi]
-        live[hi] = False
-    for _, lo, hi in sorted(merges, key=lambda m: m[0]):
-        lo, hi = (next(k for k, v in leaves.items() if i in v) for i in (lo, hi))
-        leaves[min(lo, hi)] = leaves[min(lo, hi)] + leaves.pop(max(lo, hi))
-    return next(iter(leaves.values()))
-
-
-def heatmap_order(rows: Sequence[Sequence[float]], clustered: bool = True) -> tuple[list[int], list[int]]:
-    """Leaf orders of the rows and of the columns of a small, collected matrix; as they stand if not clustered."""
-    if not clustered:
-        return list(range(len(rows))), list(range(len(rows[0]) if rows else 0))
-    return cluster_order(rows), cluster_order(list(zip(*rows, strict=True)))

@@ -120,10 +120,6 @@ def test_small_matrices(spark):
     wide = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(ROWS)], "sample int, a double, b double, c double, d double")
     out = diversity.pca(wide, ["a", "b", "c", "d"], 2).first()
     assert len(out.components) == 2 and 0 < sum(out.explained) <= 1 + 1e-9
-    assert sorted(diversity.cluster_order(ROWS)) == [0, 1, 2, 3, 4]
-    assert diversity.cluster_order([[0.0], [10.0], [0.1], [10.1], [50.0]]) == [0, 2, 1, 3, 4] and diversity.cluster_order([]) == []
-    rows, columns = diversity.heatmap_order([[0.0, 9.0, 0.1], [5.0, 1.0, 5.1], [0.1, 9.1, 0.0]])
-    assert rows == [0, 2, 1] and columns == [0, 2, 1] and diversity.heatmap_order([[1.0, 2.0]], False) == ([0], [0, 1])
     assert diversity.permanova_variables("a + b c") == ["a", "b", "c"]
 
 
