@@ -509,6 +509,47 @@ def test_near_copies_in_large_groups(spark, monkeypatch):
     assert got == sorted(brute_components(texts, 4, Fraction(85, 100)), key=repr)
 
 
+def test_copies_that_do_not_link_make_few_pairs(spark, monkeypatch):
+    """A family of copies of one text, most of them changed too much to link: its pairs do not grow with the square of its size."""
+    monkeypatch.setattr(partenum, "LARGE", 3)
+    made, was = [], partenum.arrow_map
+
+    def counted(df, f, schema):
+        out = was(df, f, schema)
+        if "least" in df.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(partenum, "arrow_map", counted)
+    rng = random.Random(29)
+    base = [f"b{i}" for i in range(900)]
+    texts = [" ".join(base)]
+    for n in range(60):
+        w = list(base)
+        for _ in range(5 if n % 10 == 0 else 24):
+            w.insert(rng.randrange(len(w)), f"new{rng.random()}")
+        texts.append(" ".join(w))
+    share = Fraction(4, 5)
+    sets = [set(zip(*(words(t, r"\S+")[i:] for i in range(5)), strict=False)) for t in texts]
+    component = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+            component = [min(component[a], component[b]) if c in (component[a], component[b]) else c for c in component]
+    got = rows(partenum.near_duplicates(docs(spark, texts), 5, share), "doc_id", "n_shingles", "component_id")
+    assert got == sorted(((i, len(s), c) for i, (s, c) in enumerate(zip(sets, component, strict=True))), key=repr)
+    assert len(set(component)) > 30 and len(made) > 1 and sum(made[1:]) < len(texts)  # of the sets signed again
+
+
+def test_texts_of_ids(spark):
+    """The bitmap of hashed ids loses none, negative ids and repeated rows included."""
+    ids = [*range(-50, 50), 7, 1 << 40, -(1 << 62)]
+    texts = docs(spark, [f"t{n}" for n in range(len(ids))], ids).select("doc_id", "text")
+    wanted = spark.createDataFrame([(i,) for i in (-50, -1, 0, 7, 49, 1 << 40, -(1 << 62), 99)], "doc_id long")
+    got = partenum._of(texts, wanted)
+    assert rows(got, "doc_id", "text") == sorted(((i, f"t{n}") for n, i in enumerate(ids) if i in (-50, -1, 0, 7, 49, 1 << 40, -(1 << 62))), key=repr)
+    assert partenum._of(texts, wanted.filter("false")).count() == 0
+
+
 def test_keep_one_keeps_clashing_columns(spark):
     df = spark.sql("SELECT 1L AS doc_id, 'a b c d e f' AS text, 1 AS _row, map('x', 1) AS n_shingles, 2 AS component_id UNION ALL SELECT 0L, 'A b c d e f', 2, map('y', 2), 3")
     kept = partenum.keep_one(df).collect()
