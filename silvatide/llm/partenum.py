@@ -13,9 +13,7 @@ star, not all pairs). Signatures that after joining these links still hold sets
 of different components have their pairs across components compared, each once
 for all signatures with the same least set. If a signature is shared by so many
 sets that this would be too much, its sets are signed again by a scheme whose
-signatures stand for more shingles, and so hold fewer sets that do not link; of
-sets signed again the shingles that no other of them holds are counted, which no
-link can use: a set with too many of them is left out of a signature's pairs.
+signatures stand for more shingles, and so hold fewer sets that do not link.
 Every comparison that exact bounds (size, a parity sketch, counts in parts of the
 domain) do not rule out is made on the whole texts.
 """
@@ -290,41 +288,35 @@ SPREAD = 16
 def _pairs(rows: DataFrame, share: Fraction) -> DataFrame:
     """Pairs a < b of a signature's sets that lie in different components and that the bounds leave open.
 
-    rows: least, sig, doc, comp, the bounds of doc, and of its shingles how many other sets hold too (an upper bound). Signatures
-    of the same least set meet in SPREAD tasks, so that a pair that many of them hold is made a few times only.
+    rows: least, sig, doc, comp and the bounds of doc. Signatures of the same least set meet in SPREAD tasks, and a set's pairs
+    are made for all of its signatures there at once, so that a pair that many of them hold is given once a task.
     """
     p, q = share.numerator, share.denominator
 
-    def lengths(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        first = np.flatnonzero(new)
-        return first, np.diff(np.append(first, len(new)))
+    def stops(new: np.ndarray) -> np.ndarray:
+        """For each row the end of its run."""
+        edge = np.append(np.flatnonzero(new), len(new))
+        return np.repeat(edge[1:], np.diff(edge))
 
     def make(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        cols = [t.column(c).to_numpy() for c in ("least", "sig", "doc", "comp", "shared", *_BOUNDS)]
-        least, sig, _, _, shared, n, *_ = cols
+        least, sig, doc, comp, n, *sketch = (t.column(c).to_numpy() for c in ("least", "sig", "doc", "comp", *_BOUNDS))
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (least[1:] != least[:-1])
-        first, size = lengths(new)
-        # Sets that share too little to link with the smallest set of their signature, or with the smallest that may link at all.
-        small = np.maximum(np.repeat(np.minimum.reduceat(n, first), size), -(-p * n // q))
-        live = (p + q) * shared >= p * (n + small)
-        least, sig, doc, comp, shared, n, *sketch = (c[live] for c in cols)
-        if not len(sig):
-            return
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (least[1:] != least[:-1])
-        stop = np.repeat(*(lambda f, m: (f + m, m))(*lengths(new)))
+        stop = stops(new)
         new[1:] |= comp[1:] != comp[:-1]
-        past = np.repeat(*(lambda f, m: (f + m, m))(*lengths(new)))
-        more = stop - past  # sets of the same signature that follow, in other components
+        past = stops(new)  # where the sets of the same signature in other components begin that follow
+        order = np.argsort(doc, kind="stable")
+        more = (stop - past)[order]
         ends = np.cumsum(more)
+        edges = np.append(np.flatnonzero(np.diff(doc[order])) + 1, len(sig))  # ends of a set's rows
         at = 0
         while at < len(sig):
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
+            to = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS_AT_ONCE, "right"))
+            to = int(edges[max(np.searchsorted(edges, at, "right"), np.searchsorted(edges, to, "right") - 1)])
             m = more[at:to]
-            x = np.repeat(np.arange(at, to), m)
+            x = np.repeat(order[at:to], m)
             y = past[x] + np.arange(len(x)) - np.repeat(np.cumsum(m) - m, m)
-            keep = (q * np.minimum(n[x], n[y]) >= p * np.maximum(n[x], n[y])) & ((p + q) * np.minimum(shared[x], shared[y]) >= p * (n[x] + n[y]))
+            keep = q * np.minimum(n[x], n[y]) >= p * np.maximum(n[x], n[y])
             x, y = x[keep], y[keep]
             apart = sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in sketch) if len(x) else np.zeros(0, np.int64)
             keep = apart * (q + p) <= (n[x] + n[y]) * (q - p)
@@ -350,27 +342,10 @@ def _pairs(rows: DataFrame, share: Fraction) -> DataFrame:
         if size:
             yield from make(pa.Table.from_batches(held))
 
-    dealt = rows.select("least", "sig", "doc", "comp", "shared", *_BOUNDS).repartition("least", F.pmod("sig", F.lit(SPREAD))).sortWithinPartitions("least", "sig", "comp", "doc")
+    dealt = rows.select("least", "sig", "doc", "comp", *_BOUNDS).repartition("least", F.pmod("sig", F.lit(SPREAD))).sortWithinPartitions("least", "sig", "comp", "doc")
     return arrow_map(dealt, run, "a long, b long").distinct()
 
 
-def _alone(texts: DataFrame, k: int) -> DataFrame:
-    """doc_id, d0, alone: how many shingles of a text no other text here holds, where there are some. Sets that link share none of them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = column(b, "doc_id").to_numpy(zero_copy_only=False)
-            for doc, s in zip(ids.tolist(), sets_of(column(b, "text"), k), strict=True):
-                d0 = mix(s).sum(dtype=np.uint64, keepdims=True).view(np.int64)[0]
-                for at in range(0, len(s), 1 << 18):
-                    x = s[at : at + (1 << 18)].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), doc)), pa.array(np.full(len(x), d0))], names=["x", "doc_id", "d0"])
-
-    rows = arrow_map(texts, run, "x long, doc_id long, d0 long")
-    once = rows.groupBy("x").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"), F.min("d0").alias("d0")).filter("n = 1")
-    return once.groupBy("doc_id", "d0").agg(F.count("*").alias("alone"))
-
-
 #: Bits of the map of hashed ids for each id, and of the whole map at most.
 ID_BITS, MAP_BITS = 16, 1 << 28
 
@@ -470,14 +445,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5
         few = F.lit(True) if last else F.col("n") <= LARGE
         apart = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
         apart = written(spark, placed.join(apart, "sig", "left_semi"), "apart")
-        shared = F.col("n_shingles")
-        bounds = usable
-        if turn:
-            alone = written(spark, _alone(live, k), "alone")
-            made.append(alone)
-            bounds, shared = usable.join(alone, ["doc_id", "d0"], "left"), shared - F.coalesce("alone", F.lit(0))
-        bounds = bounds.select(F.col("doc_id").alias("doc"), shared.alias("shared"), *_BOUNDS).dropDuplicates(["doc", "shared", "n_shingles", "s0"])
-        found = _pairs(apart.filter(few).join(bounds, "doc"), share)
+        bounds = _side(usable, "a").withColumnRenamed("a", "doc")
+        found = _pairs(apart.filter(few).join(bounds, "doc").withColumnsRenamed({f"a_{c}": c for c in _BOUNDS}), share)
         pairs = written(spark, found, "pairs")
         more = _verified(pairs, live, k, share)
         links = links.unionByName(more)
