@@ -4,12 +4,13 @@ Rows are leaves; the leaves of a group (a language) ascend by id. While a level
 consecutive ones (a run; the last may be shorter, even a single node) become their hash. What remains is the group's
 subroot; the subroots, ordered by group, become the root in the same way.
 
-A run is a vertex. In an upward superstep each node sends its digest to its run, whose messages are combined before
-they are shuffled; a run that holds all the nodes it expects hashes them and its digest is a message of the next
-superstep. Downward, a run that knows the way above it tells each of its nodes the runs on the way to the root. Leaves
-live with their run, so the ways go to one vertex for every FANOUT leaves and not to each. What a superstep leaves is
-written to the shared folder: a lost executor costs a retry of that step. The number of supersteps is the height of the
-trees, the logarithm of the number of rows. To the driver come only the counts of the sorted partitions.
+A vertex is a block: the runs of STEP levels over SPAN consecutive nodes. In an upward superstep each node sends its
+digest to its block, whose messages are combined before they are shuffled; a block that holds all the nodes it expects
+hashes them, run by run and level by level, and its digest is a message of the next superstep. Downward, a block that
+knows the way above it tells each of its nodes the runs on the way to the root. Leaves live with their block, so the
+ways go to one vertex for every SPAN leaves and not to each. What a superstep leaves is written to the shared folder: a
+lost executor costs a retry of that step. The number of supersteps is the height of the trees over STEP, so it grows
+with the logarithm of the number of rows. To the driver come only the counts of the sorted partitions.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from pyspark.sql import functions as F
 from .tables import only, place, ship, swept, table, written
 
 FANOUT = 8
+#: Levels that a superstep climbs, and the nodes that one vertex of it holds at most.
+STEP = 3
+SPAN = FANOUT**STEP
 #: Vertices of a partition in a superstep.
-PER_PARTITION = 25_000
+PER_PARTITION = 400
 #: The tree over the subroots; the trees of the groups are numbered from 0.
 TOP = -1
 
@@ -38,10 +42,10 @@ def hash_run(digests: list[bytes]) -> bytes:
 
 
 def _levels(n: int) -> int:
-    """Levels of runs over n nodes; a single node has one that passes it on."""
+    """Supersteps over n nodes; a single node has one that passes it on."""
     k = 1
-    while n > FANOUT:
-        n, k = -(-n // FANOUT), k + 1
+    while n > SPAN:
+        n, k = -(-n // SPAN), k + 1
     return k
 
 
@@ -92,7 +96,7 @@ def _numbered(sums: list[tuple]) -> tuple[list[tuple[int, int, int, int]], int,
 
 
 def _messages(at: list[tuple]):
-    """Leaves as messages to their runs: ((group, 1, run), [(leaves of the group, place in the run, digest, (id, changed digest))])."""
+    """Leaves as messages to their blocks: ((group, 1, block), [(leaves of the group, place in the block, digest, (id, changed digest))])."""
 
     def run(part: int, rows: Iterator) -> Iterator[tuple]:
         number, before, all_first, all_last = at[part]
@@ -105,7 +109,7 @@ def _messages(at: list[tuple]):
         def send(rows: list[tuple], n: int, g: int, start: int) -> Iterator[tuple]:
             for k, (doc_id, leaf, changed) in enumerate(rows):
                 i = start + k
-                yield (g, 1, i // FANOUT), [(n, i % FANOUT, leaf, (doc_id, changed))]
+                yield (g, 1, i // SPAN), [(n, i % SPAN, leaf, (doc_id, changed))]
 
         g, first_group = number, True
         for group, doc_id, leaf, changed in rows:
@@ -121,50 +125,70 @@ def _messages(at: list[tuple]):
 
 
 def _combined(messages: RDD, vertices: int) -> RDD:
-    """Messages met at their vertex, at most FANOUT at each; combined before the shuffle."""
+    """Messages met at their vertex, at most SPAN at each; combined before the shuffle."""
     parts = max(1, -(-vertices // PER_PARTITION))
-    return messages.reduceByKey(lambda a, b: a + b, parts)
+    return messages.reduceByKey(_joined, parts)
+
+
+def _joined(a: list, b: list) -> list:
+    a.extend(b)
+    return a
 
 
 def _closed(vertex: tuple) -> tuple:
-    """A vertex with the nodes of its level, its children in order, and its digest. All that it expects are there: a superstep ends when all messages are in."""
+    """A vertex with the number of nodes of its level, the nodes that it hashes level by level (its own first), its children in order, and its digest.
+    All that it expects are there: a superstep ends when all messages are in."""
     key, got = vertex
     got = sorted(got, key=lambda m: m[1])
     n = got[0][0]
-    if len(got) != min(FANOUT, n - key[2] * FANOUT):
-        raise RuntimeError(f"run {key} has {len(got)} nodes")
-    digests = [m[2] for m in got]
-    return key, n, digests, [m[3] for m in got], digests[0] if n == 1 else hash_run(digests)
+    if len(got) != min(SPAN, n - key[2] * SPAN):
+        raise RuntimeError(f"block {key} has {len(got)} nodes")
+    inner, left = [[m[2] for m in got]], n  # left: nodes of the whole level
+    for _ in range(STEP):
+        if left > 1:
+            nodes, left = inner[-1], -(-left // FANOUT)
+            inner.append([hash_run(nodes[k : k + FANOUT]) for k in range(0, len(nodes), FANOUT)])
+    (digest,) = inner.pop() if len(inner) > 1 else inner[0]
+    return key, n, inner, [m[3] for m in got], digest
+
+
+def _steps(vertex: tuple, k: int, above: list) -> list:
+    """The way from child k of a vertex: its place in its run and the run, level by level, then the way above the vertex."""
+    _, n, inner, _, _ = vertex
+    own = []
+    for nodes in inner if n > 1 else []:
+        first = k // FANOUT * FANOUT
+        own.append((k - first, nodes[first : first + FANOUT]))
+        k //= FANOUT
+    return [*own, *above]
 
 
 def _up(vertex: tuple) -> Iterator[tuple]:
     """What a closed vertex forwards to the next level of its tree; a tree's last vertex forwards nothing."""
     (tree, level, i), n, _, _, digest = vertex
-    above = -(-n // FANOUT)
+    above = -(-n // SPAN)
     if above > 1:
-        yield (tree, level + 1, i // FANOUT), [(above, i % FANOUT, digest, (tree, level, i))]
+        yield (tree, level + 1, i // SPAN), [(above, i % SPAN, digest, (tree, level, i))]
 
 
 def _down(vertex: tuple, way: tuple) -> Iterator[tuple]:
     """What a vertex of the inside of a tree tells its children: their run and place, then its own way."""
-    key, n, digests, below, digest = vertex
     subroot, root, above = way
-    for k, child in enumerate(below):
-        own = above if n == 1 else [(k, digests), *above]
-        yield child, (subroot, root, own)
+    for k, child in enumerate(vertex[3]):
+        yield child, (subroot, root, _steps(vertex, k, above))
 
 
 def _proved(vertex: tuple, way: tuple) -> Iterator[tuple]:
     """The rows of the leaves of a vertex: proof, and the root that each leaf folds to."""
-    _, n, digests, below, _ = vertex
+    leaves = vertex[2][0]
     subroot, root, above = way
-    for k, (doc_id, changed) in enumerate(below):
-        steps = above if n == 1 else [(k, digests), *above]
+    for k, (doc_id, changed) in enumerate(vertex[3]):
+        steps = _steps(vertex, k, above)
         proof = hashlib.sha256("".join(d.hex() for at, run in steps for j, d in enumerate(run) if j != at).encode()).hexdigest()
-        folded = digests[k] if changed is None else changed
+        folded = leaves[k] if changed is None else changed
         for at, run in steps:
             folded = hash_run([*run[:at], folded, *run[at + 1 :]])
-        yield doc_id, digests[k].hex(), subroot.hex(), root.hex(), proof, folded.hex(), folded == root
+        yield doc_id, leaves[k].hex(), subroot.hex(), root.hex(), proof, folded.hex(), folded == root
 
 
 def _saved(spark: SparkSession, rdd: RDD, name: str) -> RDD:
@@ -194,16 +218,16 @@ def manifest(leaves: DataFrame) -> DataFrame:
             return out
         # Upward through the trees of the groups, all at once.
         heights, levels = _levels(most), {}
-        messages, vertices = ordered.mapPartitionsWithIndex(_messages(at)), rows // FANOUT + groups
+        messages, vertices = ordered.mapPartitionsWithIndex(_messages(at)), rows // SPAN + groups
         for level in range(1, heights + 1):
             levels[level] = _saved(spark, _combined(messages, vertices).map(_closed), f"level{level}")
-            messages, vertices = levels[level].flatMap(_up), vertices // FANOUT + groups
+            messages, vertices = levels[level].flatMap(_up), vertices // SPAN + groups
         # Trees that are done forward their subroots to the top tree.
-        ends = [v.filter(lambda v: v[1] <= FANOUT).map(lambda v: ((TOP, 1, v[0][0] // FANOUT), [(groups, v[0][0] % FANOUT, v[4], v[0])])) for v in levels.values()]
-        tops, messages, vertices = {}, spark.sparkContext.union(ends), groups // FANOUT + 1
+        ends = [v.filter(lambda v: v[1] <= SPAN).map(lambda v: ((TOP, 1, v[0][0] // SPAN), [(groups, v[0][0] % SPAN, v[4], v[0])])) for v in levels.values()]
+        tops, messages, vertices = {}, spark.sparkContext.union(ends), groups // SPAN + 1
         for level in range(1, _levels(groups) + 1):
             tops[level] = _saved(spark, _combined(messages, vertices).map(_closed), f"top{level}")
-            messages, vertices = tops[level].flatMap(_up), vertices // FANOUT + 1
+            messages, vertices = tops[level].flatMap(_up), vertices // SPAN + 1
         # Downward: the root first, which has no way above it.
         last = max(tops)
         told = tops[last].flatMap(lambda v: _down(v, (None, v[4], [])))
@@ -215,7 +239,7 @@ def manifest(leaves: DataFrame) -> DataFrame:
         for level in range(heights, 0, -1):
             to = entries.filter(lambda m, level=level: m[0][1] == level)
             told = to if told is None else told.union(to)
-            parts = max(1, min(-(-(rows // FANOUT**level + groups) // PER_PARTITION), 1 << 20))
+            parts = max(1, min(-(-(rows // SPAN**level + groups) // PER_PARTITION), 1 << 20))
             met = levels[level].map(lambda v: (v[0], v)).join(told, parts).map(lambda x: (x[1][0], _entered(*x[1])))
             if level > 1:
                 told = _saved(spark, met.flatMap(lambda x: _down(*x)), f"ways{level}")

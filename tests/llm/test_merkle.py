@@ -129,3 +129,12 @@ def test_nothing_is_left_of_a_run_that_fails(spark):
         kept.append(written(spark, spark.range(3), "part"))
         raise RuntimeError
     assert there() == before
+
+
+def test_supersteps_climb_several_levels(spark, monkeypatch):
+    """A tree of five levels takes two supersteps up, not one a level; the blocks at its end are odd."""
+    saved, was = [], merkle._saved
+    monkeypatch.setattr(merkle, "_saved", lambda spark, rdd, name: saved.append(name) or was(spark, rdd, name))
+    rows = [(3 * i, f"Text {i}", "en", "s", i) for i in range(8**3 * 9 + 1)]
+    assert said(spark.createDataFrame(rows, SCHEMA)) == brute(rows)
+    assert sorted(n for n in saved if n.startswith("level")) == ["level1", "level2"]
