@@ -78,8 +78,8 @@ class BitVector:
 
     def directory(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Counts before superblocks, and sampled positions of zeros and of ones, as 32-bit integers."""
-        bits = self.bits()
-        return self.before[:-1][::SUPER].astype("<u4"), np.flatnonzero(~bits)[::SAMPLE].astype("<u4"), np.flatnonzero(bits)[::SAMPLE].astype("<u4")
+        samples = (self.select(np.arange(0, most, SAMPLE), one).astype("<u4") for most, one in ((self.n - self.ones, False), (self.ones, True)))
+        return self.before[:-1][::SUPER].astype("<u4"), *samples
 
 
 class WaveletMatrix:
@@ -98,7 +98,8 @@ class WaveletMatrix:
         for level in range(depth - 1, -1, -1):
             bit = ((v >> v.dtype.type(level)) & v.dtype.type(1)).view(np.uint8 if v.itemsize == 1 else v.dtype).astype(bool)
             planes.append(BitVector.of(bit))
-            v = np.concatenate([v[~bit], v[bit]])
+            if level:
+                v = np.concatenate([v[~bit], v[bit]])
         return WaveletMatrix(planes, len(values))
 
     def access(self, i: np.ndarray) -> np.ndarray:

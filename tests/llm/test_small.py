@@ -79,6 +79,15 @@ def test_wavelet_matrix_round_trip():
         assert (b.rank(np.full(500, x), at) == a.rank(np.full(500, x), at)).all() and (b.occurrences(x) == np.flatnonzero(v == x)).all()
 
 
+@pytest.mark.parametrize("n", [0, 1, 64, 4096, 30000])
+def test_directory_asks_for_samples_only(monkeypatch, n):
+    bits = np.random.default_rng(n).random(n) < 0.4
+    v = succinct.BitVector.of(bits)
+    monkeypatch.setattr(succinct.BitVector, "bits", None)  # the plane is not unpacked
+    _, zeros, ones = v.directory()
+    assert zeros.tolist() == np.flatnonzero(~bits)[:: succinct.SAMPLE].tolist() and ones.tolist() == np.flatnonzero(bits)[:: succinct.SAMPLE].tolist()
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(500 + k, 501 + k) for k in range(60)] + [(7, 7)]
