@@ -11,7 +11,8 @@ Copies (equal sets) are first reduced to the one of least id. Signatures of one
 set only are dropped. Each other one's sets are compared with its least set (a
 star, not all pairs). Signatures that after joining these links still hold sets
 of different components have their pairs across components compared, each once
-for all signatures with the same least set. If a signature is shared by so many
+for all signatures with the same least set; where many sets share that, longer
+sketches leave few of them open. If a signature is shared by so many
 sets that this would be too much, its sets are signed again by a scheme whose
 signatures stand for more shingles, and so hold fewer sets that do not link.
 Every comparison that exact bounds (size, a parity sketch, counts in parts of the
@@ -40,6 +41,8 @@ from .textops import NONSPACE, Words, chunks, column, mix, shingles, text_buffer
 _U = np.uint64
 BUCKETS = 1024
 SKETCH = 4  # 64-bit words of the parity sketch
+#: Bits of the long parity sketch at most; it has as many as the set has shingles, and less than twice as many.
+LONG_BITS = 1 << 15
 #: Shingles that a signature of a typical set stands for, round by round.
 CONTENT = (4.5, 9.0, 16.0)
 #: A shared signature of more sets than this, where its star does not join them all, is taken apart by the next round's signatures.
@@ -218,25 +221,49 @@ def linked(a: np.ndarray, b: np.ndarray, p: int, q: int) -> bool:
     return q * both >= p * (len(a) + len(b) - both)
 
 
+def _long_sketch(s: np.ndarray) -> bytes:
+    """A parity sketch that grows with the set. The halves of a longer one make a shorter one of the same set."""
+    bits = min(max(1 << (len(s) - 1).bit_length(), 64 * SKETCH), LONG_BITS) if len(s) else 64 * SKETCH
+    odd = np.bincount((s >> _U(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _apart(one: list[bytes], other: list[bytes]) -> np.ndarray:
+    """For each pair of long sketches a bound from below on the number of shingles in which the sets differ."""
+    out = np.zeros(len(one), np.int64)
+    size = np.array([(len(x), len(y)) for x, y in zip(one, other, strict=True)], np.int64).reshape(-1, 2)
+    for a, b in np.unique(size, axis=0).tolist():
+        at = np.flatnonzero((size[:, 0] == a) & (size[:, 1] == b))
+        for x in range(0, len(at), 4096):
+            part = at[x : x + 4096]
+            u, v = (np.frombuffer(b"".join([side[j] for j in part.tolist()]), np.uint64).reshape(len(part), -1) for side in (one, other))
+            while u.shape[1] != v.shape[1]:
+                u, v = (u, v) if u.shape[1] > v.shape[1] else (v, u)
+                u = u[:, : u.shape[1] // 2] ^ u[:, u.shape[1] // 2 :]
+            out[part] = np.bitwise_count(u ^ v).sum(1, dtype=np.int64)
+    return out
+
+
 def _profiles(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set, and its parity sketch."""
+    """doc_id, n_shingles, a 128-bit digest of the set, and its parity sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, sketch = [], [], []
+            n, digest, sketch, long = [], [], [], []
             for s in sets_of(column(b, "text"), k):
                 n.append(len(s))
                 digest.append((int(mix(s).sum(dtype=np.uint64)), int(mix(s ^ _U(0xC2B2AE3D27D4EB4F)).sum(dtype=np.uint64))))
                 odd = np.bincount((s >> _U(7)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
                 sketch.append(np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64))
+                long.append(_long_sketch(s))
             d = np.array(digest, np.uint64).reshape(-1, 2).view(np.int64)
             sk = np.array(sketch, np.int64).reshape(-1, SKETCH)
             yield pa.RecordBatch.from_arrays(
-                [column(b, "doc_id"), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), *(pa.array(sk[:, c]) for c in range(SKETCH))],
-                names=["doc_id", "n_shingles", "d0", "d1", *(f"s{c}" for c in range(SKETCH))],
+                [column(b, "doc_id"), pa.array(n, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1]), *(pa.array(sk[:, c]) for c in range(SKETCH)), pa.array(long, pa.binary())],
+                names=["doc_id", "n_shingles", "d0", "d1", *(f"s{c}" for c in range(SKETCH)), "sketch"],
             )
 
-    return arrow_map(docs, run, "doc_id long, n_shingles long, d0 long, d1 long, " + ", ".join(f"s{c} long" for c in range(SKETCH)))
+    return arrow_map(docs, run, "doc_id long, n_shingles long, d0 long, d1 long, " + ", ".join(f"s{c} long" for c in range(SKETCH)) + ", sketch binary")
 
 
 def _signature_rows(docs: DataFrame, k: int, share: Fraction, turn: int, slice_: int) -> DataFrame:
@@ -281,15 +308,18 @@ def _open(share: Fraction) -> F.Column:
 
 #: Pairs made at once, and rows gathered before they are made.
 PAIRS_AT_ONCE, ROWS_AT_ONCE = 1 << 18, 1 << 16
-#: Tasks that the signatures of one least set are dealt to.
-SPREAD = 16
+#: Tasks that the signatures of one least set are dealt to, at most, and rows that each of them is to have at least.
+SPREAD, DEAL_ROWS = 16, 1 << 14
+#: Where more sets than this have signatures of one least set, their pairs are held against the long sketches too: fewer have few pairs a set.
+MANY = 64
 
 
-def _pairs(rows: DataFrame, share: Fraction) -> DataFrame:
+def _pairs(rows: DataFrame, sketches: DataFrame, share: Fraction) -> DataFrame:
     """Pairs a < b of a signature's sets that lie in different components and that the bounds leave open.
 
-    rows: least, sig, doc, comp and the bounds of doc. Signatures of the same least set meet in SPREAD tasks, and a set's pairs
-    are made for all of its signatures there at once, so that a pair that many of them hold is given once a task.
+    rows: least, sig, doc, comp and the bounds of doc. sketches: doc, sketch. Signatures of the same least set meet in one task, in
+    up to SPREAD if they are many, and a set's pairs are made for all of its signatures there at once, so that a pair that many of
+    them hold is given once a task. A set's sketch goes once to each task that may ask for it, ahead of the signatures.
     """
     p, q = share.numerator, share.denominator
 
@@ -298,7 +328,7 @@ def _pairs(rows: DataFrame, share: Fraction) -> DataFrame:
         edge = np.append(np.flatnonzero(new), len(new))
         return np.repeat(edge[1:], np.diff(edge))
 
-    def make(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    def make(t: pa.Table, known: dict[int, bytes]) -> Iterator[pa.RecordBatch]:
         least, sig, doc, comp, n, *sketch = (t.column(c).to_numpy() for c in ("least", "sig", "doc", "comp", *_BOUNDS))
         new = np.ones(len(sig), bool)
         new[1:] = (sig[1:] != sig[:-1]) | (least[1:] != least[:-1])
@@ -320,30 +350,67 @@ def _pairs(rows: DataFrame, share: Fraction) -> DataFrame:
             x, y = x[keep], y[keep]
             apart = sum(np.bitwise_count(s[x] ^ s[y]).astype(np.int64) for s in sketch) if len(x) else np.zeros(0, np.int64)
             keep = apart * (q + p) <= (n[x] + n[y]) * (q - p)
-            a, b = doc[x[keep]], doc[y[keep]]
-            both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+            x, y = x[keep], y[keep]
+            a, b = doc[x], doc[y]
+            both, first = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0, return_index=True) if len(a) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
+            held = [(known.get(a), known.get(b)) for a, b in both.tolist()] if known else []
+            asked = np.array([j for j, (u, v) in enumerate(held) if u is not None and v is not None], np.int64)
+            if len(asked):
+                apart = _apart([held[j][0] for j in asked.tolist()], [held[j][1] for j in asked.tolist()])
+                total = (n[x] + n[y])[first[asked]]
+                both = np.delete(both, asked[apart * (q + p) > total * (q - p)], axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(both[:, c])) for c in (0, 1)], names=["a", "b"])
             at = to
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
+        known: dict[int, bytes] = {}  # long sketches of the sets at hand
+        group: dict[int, bytes] = {}  # those of the last least set, which may go on
+        last = None
+
+        def learn(t: pa.Table) -> pa.Table:
+            """Keep the sketches of t and give its other rows."""
+            nonlocal last, group, known
+            known = dict(group)
+            is_sketch = t.column("sketch").is_valid()
+            for least, deal, doc, sketch in zip(*(t.filter(is_sketch).column(c).to_pylist() for c in ("least", "deal", "doc", "sketch")), strict=True):
+                if (least, deal) != last:
+                    last, group = (least, deal), {}
+                known[doc] = group[doc] = sketch
+            if (end := (t.column("least")[-1].as_py(), t.column("deal")[-1].as_py())) != last:
+                last, group = end, {}
+            return t.filter(t.column("sketch").is_null())
+
         for b in batches:
             held.append(b)
             size += b.num_rows
             if size >= ROWS_AT_ONCE:
                 t = pa.Table.from_batches(held)
                 # Up to where the last signature begins: it may go on.
-                sig = t.column("sig").to_numpy()
-                cut = np.flatnonzero(sig[1:] != sig[:-1])
+                sig, least = t.column("sig").to_numpy(), t.column("least").to_numpy()
+                cut = np.flatnonzero((sig[1:] != sig[:-1]) | (least[1:] != least[:-1]))
                 if len(cut):
-                    yield from make(t.slice(0, int(cut[-1]) + 1))
+                    yield from make(learn(t.slice(0, int(cut[-1]) + 1)), known)
                     rest = t.slice(int(cut[-1]) + 1)
                     held, size = rest.to_batches(), rest.num_rows
         if size:
-            yield from make(pa.Table.from_batches(held))
-
-    dealt = rows.select("least", "sig", "doc", "comp", *_BOUNDS).repartition("least", F.pmod("sig", F.lit(SPREAD))).sortWithinPartitions("least", "sig", "comp", "doc")
-    return arrow_map(dealt, run, "a long, b long").distinct()
+            yield from make(learn(pa.Table.from_batches(held)), known)
+
+    spark = rows.sparkSession
+    each = rows.groupBy("least", "doc").agg(F.count("*").alias("_n"))
+    large = each.groupBy("least").agg(F.count("*").alias("_docs"), F.sum("_n").alias("_rows")).filter((F.col("_docs") > MANY) | (F.col("_rows") > DEAL_ROWS))
+    large = written(spark, large, "large")
+    deals = F.least(F.lit(SPREAD).cast("long"), F.ceil(F.col("_rows") / DEAL_ROWS))
+    placed = rows.join(large, "least", "left").withColumn("deal", F.coalesce(F.pmod("sig", deals), F.lit(0).cast("long")))
+    placed = written(spark, placed.select("least", "deal", "sig", "doc", "comp", *_BOUNDS, (F.coalesce("_docs", F.lit(0)) > MANY).alias("_many")), "dealt")
+    asked = placed.filter("_many").select("least", "deal", "doc").distinct().join(sketches, "doc")
+    none = F.lit(0).cast("long")
+    asked = asked.select("least", "deal", none.alias("sig"), "doc", none.alias("comp"), *[none.alias(c) for c in _BOUNDS], "sketch")
+    both = placed.drop("_many").withColumn("sketch", F.lit(None).cast("binary")).unionByName(asked)
+    dealt = both.repartition("least", "deal").sortWithinPartitions("least", "deal", F.col("sketch").isNull(), "sig", "comp", "doc")
+    found = written(spark, arrow_map(dealt, run, "a long, b long").distinct(), "pairs")
+    delete(spark, large, placed)
+    return found
 
 
 #: Bits of the map of hashed ids for each id, and of the whole map at most.
@@ -446,8 +513,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: Fraction = Fraction(4, 5
         apart = placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("sig")
         apart = written(spark, placed.join(apart, "sig", "left_semi"), "apart")
         bounds = _side(usable, "a").withColumnRenamed("a", "doc")
-        found = _pairs(apart.filter(few).join(bounds, "doc").withColumnsRenamed({f"a_{c}": c for c in _BOUNDS}), share)
-        pairs = written(spark, found, "pairs")
+        # Where rows repeat an id, its sets have no sketch and stay open.
+        sketches = usable.groupBy(F.col("doc_id").alias("doc")).agg(F.count("*").alias("_n"), F.first("sketch").alias("sketch")).filter("_n = 1").select("doc", "sketch")
+        pairs = _pairs(apart.filter(few).join(bounds, "doc").withColumnsRenamed({f"a_{c}": c for c in _BOUNDS}), sketches, share)
         more = _verified(pairs, live, k, share)
         links = links.unionByName(more)
         before, olds = live, [comp]

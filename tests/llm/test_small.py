@@ -551,6 +551,43 @@ def test_pairs_are_made_once(spark, monkeypatch):
     assert len(set(component)) > 30 and made[-1][1] > 1000 and made[-1][0] < 2 * made[-1][1]
 
 
+def test_pairs_of_a_large_family_that_does_not_link(spark, monkeypatch):
+    """Pair rows do not grow with the square of a family that shares its signatures, and a pair that links is not lost with them."""
+    made, was = [], partenum.arrow_map
+
+    def counted(df, f, schema):
+        out = was(df, f, schema)
+        if "least" in df.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(partenum, "arrow_map", counted)
+    rng = random.Random(31)
+    base = [f"b{i}" for i in range(900)]
+
+    def changed(words, n):
+        w = list(words)
+        for _ in range(n):
+            w.insert(rng.randrange(len(w)), f"new{rng.random()}")
+        return w
+
+    family = [changed(base, 26) for _ in range(100)]
+    family += [changed(w, 3) for w in family[40:60]]
+    got = {r.doc_id: r.component_id for r in partenum.near_duplicates(docs(spark, [" ".join(w) for w in family])).collect()}
+    assert got == {n: n if n < 100 else n - 60 for n in range(120)}
+    assert made and sum(made) < 300
+
+
+def test_long_sketches_bound_differences():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in (1, 200, 256, 257, 511, 900, 3000, 40000)]
+    sets += [np.sort(np.concatenate([s[: -(len(s) // 9) or None], np.unique(rng.integers(0, 1 << 63, len(s) // 5 + 1).astype(np.uint64))])) for s in sets]
+    pairs = list(itertools.product(sets, sets))
+    apart = partenum._apart([partenum._long_sketch(a) for a, _ in pairs], [partenum._long_sketch(b) for _, b in pairs])
+    true = np.array([len(np.setxor1d(a, b)) for a, b in pairs])
+    assert (apart <= true).all() and (apart[true > 0] > 0).all() and (apart[true == 0] == 0).all()
+
+
 def test_texts_of_ids(spark):
     """The bitmap of hashed ids loses none, negative ids and repeated rows included."""
     ids = [*range(-50, 50), 7, 1 << 40, -(1 << 62)]
