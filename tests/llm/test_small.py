@@ -785,6 +785,21 @@ def test_tokens_against_the_library(spark):
 
 
 # 9
+def test_new_words_go_to_the_model_alone():
+    """No text of certain split passes the library's splitter, and all bytes and kinds of white space are spelled as it does."""
+    from silvatide.llm import token_output
+
+    enc = token_output.Encoder(token_output.tokenizer_path())
+    rng = random.Random(3)
+    letters = [chr(c) for c in (*range(1, 128), *range(0xA1, 0x180), 0x3B1, 0x4E2D, 0x2028, 0x1D400) if enc.classes[c] != token_output.UNSURE]
+    texts = ["", "it's  a\n\n test 123 --", *letters, *("".join(rng.choice(letters) for _ in range(60)) for _ in range(300))]
+    texts += [" ".join(w) for w in zip(texts[3:40], texts[60:97], strict=True)]
+    want = [enc.tok.encode(t, add_special_tokens=False).ids for t in texts]
+    enc.tok = None
+    ids, n = enc.encode(texts)
+    assert ids.tolist() == list(itertools.chain(*want)) and n.tolist() == [len(w) for w in want]
+
+
 def test_mixing(spark):
     sources = ["a"] * 40 + ["b"] * 10 + [None] * 30 + ["é"] * 5
     texts = [" ".join(["w"] * (k % 7 + 1)) for k in range(85)]
