@@ -10,7 +10,7 @@ same induction over its substrings; where their names repeat, the sequence of
 names is a smaller suffix sorting problem of the same kind: it is induced again,
 unless it can be sorted in the memory given.
 
-Text, types, ranks, names and the result are arrays in memory (74 bytes a
+Text, types, ranks, names and the result are arrays in memory (55 bytes a
 symbol), so what is sorted at once must fit; only queues spill. Common prefixes are
 not carried through the queues: neighbours are compared in the text afterwards.
 """
@@ -85,14 +85,10 @@ class Queues:
 
 def larger_type(t: np.ndarray) -> np.ndarray:
     """Whether each suffix is smaller than its successor; the last symbol is the unique least one."""
-    n = len(t)
-    up = np.zeros(n, bool)
+    up = np.zeros(len(t), bool)
     differs = np.flatnonzero(t[1:] != t[:-1])
     if len(differs):
-        nxt = np.searchsorted(differs, np.arange(n))
-        ok = nxt < len(differs)
-        d = differs[np.minimum(nxt, len(differs) - 1)]
-        up = ok & (t[np.minimum(d, n - 2)] < t[np.minimum(d + 1, n - 1)])
+        up[: differs[-1] + 1] = np.repeat(t[differs] < t[differs + 1], np.diff(differs, prepend=-1))
     up[-1] = True
     return up
 
@@ -102,13 +98,18 @@ def induce(t: np.ndarray, up: np.ndarray, sample: np.ndarray, limit: int = MEMOR
     low, seeds, lows = Queues(limit), Queues(limit), Queues(limit)
     seeds.push_all(t[sample], sample)
     alphabet = np.unique(t).tolist()
+    # The symbol before each position if its suffix is of the smaller, or of the larger type; else -1.
+    before = np.concatenate([[-1], t[:-1]]).astype(np.int16 if t.dtype == np.uint8 else np.int64)
+    before_low, before_high = before.copy(), before
+    before_low[1:][up[:-1]] = -1
+    before_high[1:][~up[:-1]] = -1
     for c in alphabet:
         block = low.pop(c)
         while len(block):
             lows.push(c, block)
-            p = block[block > 0] - 1
-            p = p[~up[p]]
-            s = t[p]
+            s = before_low[block]
+            own = s >= 0
+            p, s = block[own] - 1, s[own]
             same = s == c
             low.push_all(s[~same], p[~same])
             block = p[same]
@@ -122,9 +123,9 @@ def induce(t: np.ndarray, up: np.ndarray, sample: np.ndarray, limit: int = MEMOR
             block = np.array([len(t) - 1])  # the last symbol is a suffix of larger type that nothing induces
         while len(block):
             made.append(block)
-            p = block[block > 0] - 1
-            p = p[up[p]]
-            s = t[p]
+            s = before_high[block]
+            own = s >= 0
+            p, s = block[own] - 1, s[own]
             same = s == c
             high.push_all(s[~same], p[~same])
             block = p[same]
@@ -134,9 +135,9 @@ def induce(t: np.ndarray, up: np.ndarray, sample: np.ndarray, limit: int = MEMOR
         if len(lower):
             out.append(lower)
         back = lower[::-1]
-        p = back[back > 0] - 1
-        p = p[up[p]]
-        high.push_all(t[p], p)
+        s = before_high[back]
+        own = s >= 0
+        high.push_all(s[own], back[own] - 1)
     return np.concatenate(out[::-1])
 
 
@@ -157,13 +158,14 @@ def sort_suffixes(t: np.ndarray, limit: int = MEMORY) -> np.ndarray:
     end = np.append(starts[1:], n - 1)
     where = np.full(n, -1, np.int64)
     where[starts] = np.arange(len(starts))
-    digest = _digests(t, starts, end + 1)[where[order]]
-    size = (end - starts)[where[order]]
+    place = where[order]
+    digest = _digests(t, starts, end + 1)[place]
+    size = (end - starts)[place]
     fresh = np.concatenate([[True], (digest[1:] != digest[:-1]) | (size[1:] != size[:-1])])
     names = np.cumsum(fresh) - 1
     if names[-1] + 1 < len(starts):
         reduced = np.empty(len(starts), np.int64)
-        reduced[where[order]] = names
+        reduced[place] = names
         # The base case is what can be sorted in the memory given.
         order = starts[suffix_array(reduced) if BASE * reduced.nbytes <= limit else sort_suffixes(reduced, limit)]
     return induce(t, up, order, limit)
@@ -174,7 +176,8 @@ def _digests(t: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
     up, down = powers(len(t))
     s = np.zeros(len(t) + 1, np.uint64)
-    np.cumsum(mix(t.astype(np.uint64) + np.uint64(1)) * up[: len(t)], out=s[1:])
+    code = mix(np.arange(1, 257, dtype=np.uint64))[t] if t.dtype == np.uint8 else mix(t.astype(np.uint64) + np.uint64(1))
+    np.cumsum(code * up[: len(t)], out=s[1:])
     return (s[end] - s[start]) * down[start]
 
 
@@ -184,16 +187,11 @@ def common_prefix_reaches(t: np.ndarray, sa: np.ndarray, length: int) -> np.ndar
     out = np.zeros(len(sa), bool)
     a, b = sa[1:], sa[:-1]
     live = np.flatnonzero(np.maximum(a, b) + length <= n)
-    words = np.lib.stride_tricks.sliding_window_view(t, 8) if n >= 8 else None
-    k = 0
-    while k < length and len(live):
-        x, y = a[live] + k, b[live] + k
-        if length - k >= 8 and words is not None and t.dtype == np.uint8:
-            same = np.ascontiguousarray(words[x]).view(np.uint64).ravel() == np.ascontiguousarray(words[y]).view(np.uint64).ravel()
-            k += 8
-        else:
-            same = t[x] == t[y]
-            k += 1
-        live = live[same]
+    step, blocks = 1, t
+    if length >= 8 and n >= 8 and t.dtype == np.uint8:
+        step, blocks = 8, np.ndarray(n - 7, np.uint64, np.ascontiguousarray(t), strides=(1,)).copy()
+    for k in range(0, length, step):
+        k = min(k, length - step)
+        live = live[blocks[a[live] + k] == blocks[b[live] + k]]
     out[live + 1] = True
     return out

@@ -179,13 +179,19 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
     n = len(seq)
     if n == 0:
         return np.zeros(0, np.int64)
-    sa = np.argsort(seq, kind="stable")
-    key = seq[sa]
+    # As many symbols as fit a word are compared at once; 0 stands after the end.
+    bits = (int(seq.max()) + 1).bit_length()
+    key, h = seq.astype(np.int64) + 1, 1
+    while 2 * h * bits < 64 and h < n:
+        key <<= h * bits
+        key[:-h] |= key[h:] >> h * bits
+        h *= 2
+    sa = np.argsort(key)
+    key = key[sa]
     new = np.concatenate([[True], key[1:] != key[:-1]])
     group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
     rank[sa] = group
-    h = 1
     while True:
         # Positions of sa in a group of more than one.
         alone = new & np.concatenate([new[1:], [True]])
@@ -194,10 +200,11 @@ def suffix_array(seq: np.ndarray) -> np.ndarray:
             return sa
         at = sa[open_]
         nxt = np.where(at + h < n, rank[np.minimum(at + h, n - 1)] + 1, 0)
-        order = np.lexsort((nxt, group[open_]))
+        pair = group[open_] * (n + 1) + nxt
+        order = np.argsort(pair)
         sa[open_] = at[order]
-        g, x = group[open_], nxt[order]
-        fresh = np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])])
+        pair = pair[order]
+        fresh = np.concatenate([[True], pair[1:] != pair[:-1]])
         new[open_] = fresh
         group = np.maximum.accumulate(np.where(new, np.arange(n), 0))
         rank[sa[open_]] = group[open_]

@@ -45,8 +45,8 @@ REACH = LENGTH - GRAM  # bytes of a passage on either side of its anchor
 LEFT, RIGHT = REACH // 2, REACH - REACH // 2 + 1
 #: The anchors are made and matched in so many slices, one after another.
 SLICES = 2
-#: Bytes in which the least grams are looked for at once.
-SEGMENT = 1 << 21
+#: Bytes in which the least grams are looked for at once: few, so that their arrays stay in the cache.
+SEGMENT = 1 << 16
 SHARD_BYTES = 2 << 20
 #: Passages of an anchor that are sorted together; an anchor with more is split by the bytes next to it.
 HOT_PASSAGES = 1 << 12
@@ -58,7 +58,15 @@ class Sums:
     def __init__(self, data: np.ndarray):
         up, self.down = powers(len(data))
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=self.sums[1:])
+        code = _BYTE_CODE.take(data)
+        code *= up[: len(data)]
+        np.cumsum(code, out=self.sums[1:])
+
+    def all(self, begin: int, end: int, size: int) -> np.ndarray:
+        """Hashes of the ranges of `size` bytes that start from begin to before end."""
+        h = self.sums[begin + size : end + size] - self.sums[begin:end]
+        h *= self.down[begin:end]
+        return mix(h)
 
     def hash(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return mix((self.sums[end] - self.sums[start]) * self.down[start])
@@ -70,19 +78,23 @@ def anchors(data: np.ndarray, off: np.ndarray, sums: Sums, length: int = LENGTH,
     w = length - gram + 1
     mark = np.zeros(n, bool)
     low = (_U(1) << _U(22)) - _U(1)  # a place in a segment; the rest of the hash decides, at any length of text
+    none = ~_U(0)  # no place: they stay below `low`
     edges = off[(off > 0) & (off < n)]
     for begin in range(0, n - length + 1, SEGMENT):
-        at = np.arange(begin, min(begin + SEGMENT + w - 1, n - gram + 1))
-        least = (sums.hash(at, at + gram) & ~low) | (at - begin).astype(np.uint64)
+        end = min(begin + SEGMENT + w - 1, n - gram + 1)
+        least = sums.all(begin, end, gram)
+        least &= ~low
+        least |= np.arange(end - begin, dtype=np.uint64)
         span = 1
         while span * 2 <= w:
             least = np.minimum(least[:-span], least[span:])
             span *= 2
         least = np.minimum(least[: len(least) - (w - span)], least[w - span :])  # least[i]: over the grams of the string at begin + i
-        inside = np.ones(len(least), bool)
-        for o in edges[(edges > begin) & (edges < begin + len(least) + length)].tolist():  # strings that would cross into the next row
-            inside[max(0, o - length + 1 - begin) : max(0, o - begin)] = False
-        mark[begin + (least[inside] & low).astype(np.int64)] = True
+        first, last = np.searchsorted(edges, [begin + 1, begin + len(least) + length])
+        for o in edges[first:last].tolist():  # strings that would cross into the next row
+            least[max(0, o - length + 1 - begin) : max(0, o - begin)] = none
+        found = least[np.concatenate([[True], least[1:] != least[:-1]])]
+        mark[begin + (found[found != none] & low).astype(np.int64)] = True
     pos = np.flatnonzero(mark)
     return pos, sums.hash(pos, pos + gram)
 
@@ -254,26 +266,30 @@ def _sources(passages: DataFrame) -> DataFrame:
         # Passages with a separator (1) after each and the least symbol (0) last; bytes of UTF-8 are moved up by 2.
         start = off[:-1] + np.arange(len(size))
         seq = np.ones(len(data) + len(size) + 1, np.uint8)
-        owner = np.repeat(np.arange(len(size)), size)
-        seq[np.arange(len(data)) + owner] = data + 2
+        seq[np.arange(len(data)) + np.repeat(np.arange(len(size)), size)] = data + 2
         seq[-1] = 0
+        # Only suffixes that are the start of a whole string of LENGTH bytes inside their passage matter; what stands between two that agree is one too.
+        owner = np.append(np.repeat(np.arange(len(size)), size + 1), 0)
+        whole = np.arange(len(seq)) + LENGTH <= (start + size)[owner]
+        whole[-1] = False
         sa = sort_suffixes(seq)
-        # Suffixes that are the start of a whole string of LENGTH bytes inside their passage.
-        own = np.searchsorted(start, sa, "right") - 1
-        inside = np.maximum(own, 0)
-        whole = (own >= 0) & (sa + LENGTH <= start[inside] + size[inside])
-        same = common_prefix_reaches(seq, sa, LENGTH) & whole
-        sa, own, same = sa[whole], own[whole], same[whole]
+        sa = sa[whole[sa]]
         if not len(sa):
             return
-        group = np.cumsum(~same) - 1
-        source = np.minimum.reduceat(lo[own], np.flatnonzero(~same))[group]
+        same = common_prefix_reaches(seq, sa, LENGTH)
+        own = owner[sa]
+        first = np.flatnonzero(~same)
+        source = np.repeat(np.minimum.reduceat(lo[own], first), np.diff(first, append=len(sa)))
         useful = source < hi[own]
-        sa, own, source = sa[useful], own[useful], source[useful]
-        if not len(sa):
+        if not useful.any():
             return
-        order = np.argsort(sa, kind="stable")
-        own, source, rel = own[order], source[order], sa[order] - start[own[order]] - left[own[order]]
+        at = np.zeros(len(seq), bool)
+        at[sa[useful]] = True
+        of = np.empty(len(seq), np.int64)
+        of[sa] = source
+        sa = np.flatnonzero(at)
+        own, source = owner[sa], of[sa]
+        rel = sa - start[own] - left[own]
         cut = np.concatenate([[True], (own[1:] != own[:-1]) | (source[1:] != source[:-1]) | (rel[1:] != rel[:-1] + 1)])
         first = np.flatnonzero(cut)
         last = np.append(first[1:], len(own)) - 1

@@ -42,11 +42,12 @@ NONSPACE[0] = 255
 
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit values."""
-    h = h ^ (h >> _U(30))
-    h = h * _U(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> _U(27))
-    h = h * _U(0x94D049BB133111EB)
-    return h ^ (h >> _U(31))
+    h = h ^ (h >> _U(30))  # a copy; the rest is done in place
+    h *= _U(0xBF58476D1CE4E5B9)
+    h ^= h >> _U(27)
+    h *= _U(0x94D049BB133111EB)
+    h ^= h >> _U(31)
+    return h
 
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:

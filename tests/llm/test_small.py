@@ -707,6 +707,59 @@ def test_induction_goes_on_where_names_are_many(monkeypatch):
     assert (induced.sort_suffixes(t, 1 << 16) == want).all()
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_sources_compare_whole_strings_alone(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    pool = [bytes(rng.integers(97, 99, 80).astype(np.uint8)) for _ in range(4)]
+    rows_ = []
+    for _ in range(90):
+        a, b, k = pool[rng.integers(4)], pool[rng.integers(4)], int(rng.integers(0, 81))
+        raw = (a[:k] + b[k:])[int(rng.integers(0, 31)) : 80 - int(rng.integers(0, 31))]
+        lo = int(rng.integers(0, 40))
+        rows_.append((int(rng.integers(0, 5)), len(rows_), lo, lo + int(rng.integers(0, 9)), raw, int(rng.integers(0, 31))))
+    rows_.sort()
+    t = pa.table(dict(zip(["h", "passage", "lo", "hi", "bytes", "left"], map(list, zip(*rows_, strict=True)), strict=True)))
+    held, compared, reaches = [], [], suffix_dedup.common_prefix_reaches
+    monkeypatch.setattr(suffix_dedup, "arrow_map", lambda df, run, schema: held.append(run))
+    monkeypatch.setattr(suffix_dedup, "common_prefix_reaches", lambda seq, sa, n: compared.append(len(sa)) or reaches(seq, sa, n))
+    suffix_dedup._sources(None)
+    got = {}
+    for b in held[0](iter(t.to_batches())):
+        for r in b.to_pylist():
+            for x in range(r["begin"], r["end"] - 49):
+                assert got.setdefault((r["passage"], x), r["source"]) == r["source"]
+    least = {}
+    for _, _, lo, _, raw, _ in rows_:
+        for x in range(len(raw) - 49):
+            least[raw[x : x + 50]] = min(lo, least.get(raw[x : x + 50], lo))
+    want = {(p, x - left): least[raw[x : x + 50]] for _, p, _, hi, raw, left in rows_ for x in range(len(raw) - 49) if least[raw[x : x + 50]] < hi}
+    assert got == want
+    assert sum(compared) == sum(max(0, len(raw) - 49) for _, _, _, _, raw, _ in rows_), "suffixes that start no whole string were compared"
+
+
+def test_suffix_sorting_packs_symbols(monkeypatch):
+    t = np.random.default_rng(3).integers(0, 5, 20000)
+    t[7000:7064] = t[:64]
+    sorts, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, *a, **b: sorts.append(len(x)) or argsort(x, *a, **b))
+    monkeypatch.setattr(np, "lexsort", lambda keys: pytest.fail("pairs of ranks are one key"))
+    sa = succinct.suffix_array(t)
+    assert [t[i : i + 99].tolist() for i in sa] == sorted(t[i : i + 99].tolist() for i in range(len(t)))
+    assert len(sorts) <= 4 and sum(sorts[1:]) < 2000  # sixteen symbols of three bits are compared at once, so few tie
+
+
+def test_anchors_do_not_depend_on_segments(monkeypatch):
+    rng = np.random.default_rng(4)
+    data, off = rng.integers(97, 99, 3000).astype(np.uint8), np.unique(np.concatenate([[0, 3000, 64, 65, 128], rng.integers(0, 3000, 25)]))
+    sums = suffix_dedup.Sums(data)
+    key = sums.hash(np.arange(2981), np.arange(2981) + 20) >> np.uint64(22)
+    want = {min(range(i, i + 31), key=lambda p: (key[p], p)) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True) for i in range(a, b - 49)}
+    for size in (1, 31, 64, 1 << 16):
+        monkeypatch.setattr(suffix_dedup, "SEGMENT", size)
+        pos, h = suffix_dedup.anchors(data, off, sums)
+        assert pos.tolist() == sorted(want) and (h == sums.hash(pos, pos + 20)).all()
+
+
 def test_suffix_dedup_edges(spark):
     assert suffix_dedup.dedup(docs(spark, [])).count() == 0
     t = "the quick brown fox jumps over the lazy dog and then some more words follow"
