@@ -1,14 +1,15 @@
 """Phrase collocations: how much oftener words stand together than their parts let expect.
 
 1. Texts are cut into pieces and words and written as shards: at most SHARD_BYTES of one language (a longer piece stands
-   alone), in which each word has a space on both sides and pieces lie between line feeds.
+   alone), as the shard's different words and, word after word, their numbers, with a 0 between pieces.
 2. A sketch of one row and 2**CELL_BITS cells counts all phrases of one to three words, a cell being a hash of language and
    phrase. It is too wide for one machine and most of it is empty, so it is kept as sorted cells: each shard sends
    those that it has, ranges of cells are summed, and a cell's sum is an upper bound for each of its phrases. Each shard gets
    back those of its cells that reach the least count. Sums are kept up to the least count only: more is not asked.
-3. The phrases of those cells, told apart by their bytes, are a shard's candidates. They are compiled with the delimiters
-   around them into an Aho-Corasick automaton that scans the shard once and counts all matches, overlapping ones too.
-   Counts are summed over the shards; what stays under the least count goes.
+3. The phrases of those cells, told apart by their words, are a shard's candidates. They are compiled into an Aho-Corasick
+   automaton that scans the shard once and counts all matches, overlapping ones too. For it a word is spelled in a few
+   letters, the fewer the more often it stands there, the first of which delimits words and tells the length: no match
+   begins or ends inside a word. Counts are summed over the shards; what stays under the least count goes.
 4. Joins by phrase bring the counts of the parts; scores are exact (decimals of 38 digits).
 
 A group is a shard or a range of cells, both of bounded size; a phrase that every text holds is one row a shard.
@@ -16,8 +17,9 @@ A group is a shard or a range of cells, both of bounded size; a phrase that ever
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice, product
 from operator import itemgetter
 
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .tables import arrow_map, only, ship, swept, table, written
-from .textops import Words, column, hash_spans, mix, same_spans
+from .textops import column, hash_words, mix
 
 _U = np.uint64
 SHARD_BYTES = 4 << 20
@@ -35,6 +37,11 @@ OPEN_BYTES = 16 << 20
 CELL_BITS = 40
 #: Cells of a range that are summed together, about.
 RANGE_CELLS = 1 << 20
+#: Bytes of a word's number in a shard, and bits of a cell that among() looks at first.
+NUMBER_BYTES = 4
+MARK_BITS = 22
+#: Letters of each place of a word's spelling.
+LETTERS = 64
 LONGEST = 3
 LEAST = 10
 SHARE = (50, 100)
@@ -44,10 +51,6 @@ NO_LANG = "und"
 # What cuts pieces; A-Z are lower-cased.
 BREAKS = b".,;:!?\x0a\x0b\x0c\x0d"
 _FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ" + BREAKS, b"abcdefghijklmnopqrstuvwxyz" + b"\n" * len(BREAKS))
-#: Bytes of words in a shard; a NUL byte counts as byte 255, which UTF-8 never holds.
-_IN_WORD = np.arange(256, dtype=np.uint8)
-_IN_WORD[[10, 32]] = 0
-_IN_WORD[0] = 255
 
 
 def normalised(text: bytes) -> tuple[list[bytes], int]:
@@ -61,16 +64,42 @@ def normalised(text: bytes) -> tuple[list[bytes], int]:
     return pieces, n
 
 
+def numbered(body: bytes) -> tuple[list[bytes], np.ndarray]:
+    """The different words of a body (single spaces between all words, line feeds as words between pieces) and the number of each
+    of its words in turn; number 0 is the line feed."""
+    number: defaultdict[bytes, int] = defaultdict()
+    number.default_factory = number.__len__
+    words = body.split(b" ")
+    number[b"\n"]
+    row = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+    return list(number), row
+
+
+def planes(values: np.ndarray, width: int) -> bytes:
+    """Values of `width` bytes, byte plane by byte plane, so that what compresses the shuffle finds the planes of zeros."""
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def from_planes(raw: bytes, width: int) -> np.ndarray:
+    by = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    out = np.zeros((by.shape[1], 8), np.uint8)
+    out[:, :width] = by.T
+    return out.view("<u8").ravel()
+
+
 def write_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """shard, lang, words, body of the texts of docs (lang, text)."""
+    """shard, lang, words, vocab, body of the texts of docs (lang, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}  # pieces, their bytes, words
 
         def closed(lang: str) -> pa.RecordBatch:
             pieces, _, words = held.pop(lang)
-            body = b"\n " + b" \n ".join(pieces) + b" \n"
-            return pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([words], pa.int64()), pa.array([body], pa.binary())], names=["lang", "words", "body"])
+            vocab, row = numbered(b" \n ".join(pieces))
+            return pa.RecordBatch.from_arrays(
+                [pa.array([lang], pa.string()), pa.array([words], pa.int64()), pa.array([b" ".join(vocab)], pa.binary()), pa.array([planes(row, NUMBER_BYTES)], pa.binary())],
+                names=["lang", "words", "vocab", "body"],
+            )
 
         for b in batches:
             for lang, text in zip(column(b, "lang").to_pylist(), column(b, "text"), strict=True):
@@ -92,57 +121,96 @@ def write_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         for lang in [k for k, x in held.items() if x[1]]:
             yield closed(lang)
 
-    made = arrow_map(only(docs, "lang", "text"), run, "lang string, words bigint, body binary")
-    return written(docs.sparkSession, made.select(F.monotonically_increasing_id().alias("shard"), "lang", "words", "body"), "shards")
+    made = arrow_map(only(docs, "lang", "text"), run, "lang string, words bigint, vocab binary, body binary")
+    return written(docs.sparkSession, made.select(F.monotonically_increasing_id().alias("shard"), "lang", "words", "vocab", "body"), "shards")
 
 
 class Grams:
-    """The phrases of one to LONGEST words of a shard: 64-bit hashes, cells, and the byte span of each, without the spaces at its ends."""
+    """The phrases of one to LONGEST words of a shard: 64-bit hashes, cells, and the place of the first word of each."""
 
     def __init__(self, lang: str, body: bytes):
-        data = np.frombuffer(body, np.uint8)
-        edges = np.concatenate([[0], np.flatnonzero(data == 10), [len(data)]])
-        words = Words(data, edges, _IN_WORD)
-        row, own = words.row_of(), words.hashes()
-        seed = hash_spans(np.frombuffer(lang.encode(), np.uint8), np.array([0]), np.array([len(lang.encode())]))[0]
+        self._found(lang, *numbered(body))
+
+    @classmethod
+    def read(cls, lang: str, vocab: bytes, body: bytes) -> Grams:
+        """Of a row of write_shards."""
+        made = cls.__new__(cls)
+        made._found(lang, vocab.split(b" "), from_planes(body, NUMBER_BYTES).astype(np.int64))
+        return made
+
+    def _found(self, lang: str, vocab: list[bytes], row: np.ndarray) -> None:
+        self.vocab, self.row = vocab, row
+        own, word = hash_words(vocab), row > 0
         # A hash of k words extends that of k - 1; phrases stay inside their piece.
-        h, out = mix(own ^ seed), []
+        h, own, here, out = mix(own ^ hash_words([lang.encode()])[0])[row], own[row], word, []
         for k in range(1, LONGEST + 1):
             if k > 1:
                 h = mix(h[:-1] * _U(0xD6E8FEB86659FD93) + own[k - 1 :]) if len(h) > 1 else h[:0]
-            at = np.flatnonzero(row[: len(h)] == row[k - 1 :]) if len(h) else np.zeros(0, np.int64)
-            out.append((h[at], words.start[at], words.end[at + k - 1]))
-        self.data = data
-        self.hash, self.start, self.end = (np.concatenate(x) for x in zip(*out, strict=True))
+                here = here[: len(h)] & word[k - 1 :]
+            at = np.flatnonzero(here)
+            out.append((h[at], at))
+        self.hash, self.place = (np.concatenate(x) for x in zip(*out, strict=True))
+        self.ends = np.cumsum([len(x) for x, _ in out])
         self.cell = self.hash >> _U(64 - CELL_BITS)
 
+    def among(self, cells: np.ndarray) -> list[np.ndarray]:
+        """For each length, the numbers of the words of the different phrases whose cell is among these (sorted) cells: a row for each
+        word of the phrases, a column for each phrase."""
+        if not len(cells):
+            return [np.zeros((k, 0), np.int64) for k in range(1, LONGEST + 1)]
+        # Most phrases outside fail at the last bits of their cell; the rest are looked up once for each different phrase.
+        last, mark = _U((1 << MARK_BITS) - 1), np.zeros(1 << MARK_BITS, bool)
+        mark[cells & last] = True
+        near, out = np.flatnonzero(mark[self.cell & last]), []
+        for k, end in enumerate(self.ends.tolist(), 1):
+            own = near[(near < end) & (near >= (self.ends[k - 2] if k > 1 else 0))]
+            at = self.place[own]
+            key, size = self.row[at], len(self.vocab)
+            for j in range(1, k):
+                if size * len(self.vocab) >= 1 << 63:
+                    key = np.unique(key, return_inverse=True)[1]
+                    size = len(key)
+                key = key * len(self.vocab) + self.row[at + j]
+                size *= len(self.vocab)
+            first = np.unique(key, return_index=True)[1]
+            cell = self.cell[own[first]]
+            at = at[first[cells[np.minimum(np.searchsorted(cells, cell), len(cells) - 1)] == cell]]
+            out.append(np.stack([self.row[at + j] for j in range(k)]))
+        return out
+
+    def spelled(self, phrases: np.ndarray, words: list) -> Iterator[tuple]:
+        """The words of each phrase (numbers as among() gives them), taken from a list of one for each number."""
+        return zip(*[map(words.__getitem__, x) for x in phrases.tolist()], strict=True)
+
     def candidates(self, cells: np.ndarray) -> list[bytes]:
-        """The different phrases whose cell is among these (sorted) cells. Phrases of one hash are told apart by their bytes."""
-        if not len(cells) or not len(self.cell):
-            return []
-        near = np.minimum(np.searchsorted(cells, self.cell), len(cells) - 1)
-        at = np.flatnonzero(cells[near] == self.cell)
-        out: set[bytes] = set()
-        while len(at):
-            _, first, back = np.unique(self.hash[at], return_index=True, return_inverse=True)
-            lead = at[first]
-            out.update(self.data[s:e].tobytes() for s, e in zip(self.start[lead].tolist(), self.end[lead].tolist(), strict=True))
-            lead = lead[back]
-            at = at[~same_spans(self.data, self.start[at], self.end[at], self.data, self.start[lead], self.end[lead])]
-        return sorted(out)
+        """The different phrases whose cell is among these (sorted) cells, in order."""
+        return sorted(b" ".join(p) for phrases in self.among(cells) for p in self.spelled(phrases, self.vocab))
+
+    def letters(self, numbers: np.ndarray) -> list[str]:
+        """A spelling for each number of a word: one of its own for these (different) numbers, the shortest for what stands in the shard
+        most often; "\\0", which is in no spelling, for all others and between pieces."""
+        often = np.bincount(self.row, minlength=len(self.vocab))[numbers]
+        out = ["\0"] * len(self.vocab)
+        for x, letters in zip(numbers[np.argsort(-often, kind="stable")].tolist(), spellings(len(numbers)), strict=True):
+            out[x] = letters
+        return out
+
+
+def spellings(n: int) -> list[str]:
+    """n different strings, short ones first. The first letter tells the length and is no later letter of any: in a chain of them
+    each is found only where it was put."""
+    later = [chr(1 + x) for x in range(LETTERS)]
+    chains = (product([chr(1 + LETTERS * size + x) for x in range(LETTERS)], *[later] * (size - 1)) for size in count(1))
+    return list(map("".join, islice(chain.from_iterable(chains), n)))
 
 
 def packed(cells: np.ndarray) -> bytes:
-    """Sorted cells as differences, byte plane by byte plane, so that what compresses the shuffle finds the planes of zeros."""
-    gaps = np.diff(cells, prepend=_U(0)).astype("<u8")
-    return gaps.view(np.uint8).reshape(-1, 8)[:, : CELL_BITS // 8].T.tobytes()
+    """Sorted cells as planes of their differences."""
+    return planes(np.diff(cells, prepend=_U(0)), CELL_BITS // 8)
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(CELL_BITS // 8, -1)
-    gaps = np.zeros((planes.shape[1], 8), np.uint8)
-    gaps[:, : CELL_BITS // 8] = planes.T
-    return np.cumsum(gaps.view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(from_planes(raw, CELL_BITS // 8), dtype=np.uint64)
 
 
 def sketched(shards: DataFrame, ranges: int, least: int) -> DataFrame:
@@ -150,8 +218,8 @@ def sketched(shards: DataFrame, ranges: int, least: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for shard, lang, body in zip(b.column("shard").to_pylist(), b.column("lang").to_pylist(), b.column("body"), strict=True):
-                cells, n = np.unique(Grams(lang, body.as_py()).cell, return_counts=True)
+            for shard, lang, vocab, body in zip(b.column("shard").to_pylist(), b.column("lang").to_pylist(), b.column("vocab"), b.column("body"), strict=True):
+                cells, n = np.unique(Grams.read(lang, vocab.as_py(), body.as_py()).cell, return_counts=True)
                 n = np.minimum(n, least)
                 where = (cells * _U(ranges)) >> _U(CELL_BITS)
                 cut = np.flatnonzero(np.diff(where, prepend=where[:1] + _U(1))) if len(where) else np.zeros(0, np.int64)
@@ -166,7 +234,7 @@ def sketched(shards: DataFrame, ranges: int, least: int) -> DataFrame:
                     names=["range", "shard", "cells", "counts"],
                 )
 
-    return arrow_map(shards.select("shard", "lang", "body"), run, "range bigint, shard bigint, cells binary, counts binary")
+    return arrow_map(shards.select("shard", "lang", "vocab", "body"), run, "range bigint, shard bigint, cells binary, counts binary")
 
 
 def frequent_cells(sketch: DataFrame, least: int) -> DataFrame:
@@ -197,20 +265,22 @@ def counted(shards: DataFrame, frequent: DataFrame) -> DataFrame:
 
         lang, phrases, n = "", [], []
         if len(left) and len(right):
-            lang, body = left.column("lang")[0].as_py(), left.column("body")[0].as_py()
+            lang = left.column("lang")[0].as_py()
             cells = np.sort(np.concatenate([unpacked(x.as_py()) for x in right.column("cells").combine_chunks()]))
-            phrases = Grams(lang, body).candidates(cells)
+            grams = Grams.read(lang, left.column("vocab")[0].as_py(), left.column("body")[0].as_py())
+            found = grams.among(cells)
+            phrases = [b" ".join(p) for x in found for p in grams.spelled(x, grams.vocab)]
         if phrases:
-            # One character a byte; the delimiters guard both ends, so that no phrase is found inside a longer word or across pieces.
+            letters = grams.letters(np.unique(np.concatenate([x.ravel() for x in found])))
             machine = ahocorasick.Automaton()
-            for k, p in enumerate(phrases):
-                machine.add_word(f" {p.decode('latin-1')} ", k)
+            for k, p in enumerate(p for x in found for p in grams.spelled(x, letters)):
+                machine.add_word("".join(p), k)
             machine.make_automaton()
-            found = Counter(map(itemgetter(1), machine.iter(body.decode("latin-1"))))
-            n = [found[k] for k in range(len(phrases))]
+            matches = machine.iter("".join(map(letters.__getitem__, grams.row.tolist())))
+            n = np.bincount(np.fromiter(map(itemgetter(1), matches), np.int64), minlength=len(phrases))
         return pa.table({"lang": pa.array([lang] * len(phrases), pa.string()), "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "n": pa.array(n, pa.int64())})
 
-    return shards.select("shard", "lang", "body").groupBy("shard").cogroup(frequent.groupBy("shard")).applyInArrow(run, "lang string, phrase string, n bigint")
+    return shards.select("shard", "lang", "vocab", "body").groupBy("shard").cogroup(frequent.groupBy("shard")).applyInArrow(run, "lang string, phrase string, n bigint")
 
 
 def phrase_counts(shards: DataFrame, least: int = LEAST) -> DataFrame:

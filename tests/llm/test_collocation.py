@@ -89,6 +89,41 @@ def test_cells_that_collide(spark, monkeypatch):
     assert g.candidates(np.array([0], np.uint64)) == [b"a", b"a b", b"b", b"b c", b"c"]
 
 
+def test_many_words():
+    """Numbers of three words that pass 64 bits together are made dense on the way."""
+    g = Grams("en", b"\n a b c \n b c \n a b c \n")
+    cells, before = np.unique(g.cell), g.candidates(np.unique(g.cell))
+    assert before == [b"a", b"a b", b"a b c", b"b", b"b c", b"c"]
+    g.vocab += [b"d"] * (3 << 20)
+    assert g.candidates(cells) == before
+
+
+def test_spellings(monkeypatch):
+    """In any chain of spellings, each of them and each two in a row are found at their own places alone."""
+    monkeypatch.setattr(collocation, "LETTERS", 2)
+    words = collocation.spellings(30)
+    assert len(set(words)) == 30 and [len(w) for w in words[:6]] == [1, 1, 2, 2, 2, 2] and "\0" not in "".join(words)
+    r = random.Random(5)
+    row = [r.randrange(30) for _ in range(3000)]
+    text = "".join(words[x] for x in row)
+    for k in (1, 2):
+        put = Counter(tuple(row[i : i + k]) for i in range(len(row) - k + 1))
+        for p, n in put.items():
+            assert sum(1 for _ in re.finditer(f"(?={re.escape(''.join(words[x] for x in p))})", text)) == n
+
+
+def test_letters():
+    """What stands in a shard most often gets the shortest spelling; the scanned text is shorter than the words."""
+    text = "\n " + " \n ".join(" ".join(f"word{min(i % 7, i % 200)}" for i in range(600)) for _ in range(3)) + " \n"
+    g = Grams("en", text.encode())
+    used = np.unique(np.concatenate([x.ravel() for x in g.among(np.unique(g.cell))]))
+    letters = g.letters(used)
+    often = np.bincount(g.row)
+    assert letters[0] == "\0" and len(set(letters)) == len(letters) == len(used) + 1
+    assert [often[g.vocab.index(w)] for w in sorted(g.vocab[1:], key=lambda w: letters[g.vocab.index(w)])] == sorted(often[1:], reverse=True)
+    assert sum(len(letters[x]) for x in g.row.tolist()) < len(text) / 4
+
+
 def test_packed():
     cells = np.array([0, 1, 255, 256, 1 << 30, (1 << 40) - 1], np.uint64)
     assert (unpacked(packed(cells)) == cells).all() and len(packed(cells)) == 30 and not len(unpacked(b""))
