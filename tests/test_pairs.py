@@ -68,6 +68,29 @@ def test_distances_need_no_join_of_samples(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+@pytest.mark.parametrize("method", ["cosine"])
+def test_tiles_are_not_broadcast(spark, sf, method):
+    """The planner takes one side of the tiles for no larger than the blocks; at 60 times sf0.1 it holds them 900 times."""
+    from silvatide import catalog
+
+    plan = catalog.QUERIES[f"distance_{method}"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
+def test_grown_blocks(spark, monkeypatch):
+    """Blocks double while they stay small and enough tiles are left; the pairs are the same."""
+    assert pairs._grown(900_000, 25, 1024, 1024) == 16384 and pairs._grown(15_000, 25, 1024, 1024) == 1024
+    assert pairs._grown(900_000, 8000, 1024, 1024) == 1024 and pairs._grown(900_000, 2000, 1024, 1024) == 2048
+    monkeypatch.setattr(pairs, "BLOCK", 2)
+    monkeypatch.setattr(pairs, "LEAST_TILES", 6)
+    rows = [(k, f"g{j}", 0.5) for k in range(60) for j in range(9) if (k * 7 + j * j) % 5 < 2]
+    long = spark.createDataFrame(rows, "sample int, genome string, v double")
+    ids = spark.range(64).select(F.col("id").cast("int").alias("sample"))
+    grown = containment.presence_distance(long, 0.1, "cosine", ids).collect()
+    monkeypatch.setattr(pairs, "MOST_BLOCK", 2)
+    assert len(grown) == 64 * 63 // 2 and sorted(grown) == sorted(containment.presence_distance(long, 0.1, "cosine", ids).collect())
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000, 4097])
 def test_permutations_are_permutations(n):
     turns = np.repeat(np.arange(5), n)
