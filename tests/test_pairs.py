@@ -68,7 +68,7 @@ def test_distances_need_no_join_of_samples(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
-@pytest.mark.parametrize("method", ["cosine", "dice"])
+@pytest.mark.parametrize("method", ["cosine", "dice", "jaccard"])
 def test_tiles_are_not_broadcast(spark, sf, method):
     """The planner takes one side of the tiles for no larger than the blocks; at 60 times sf0.1 it holds them 900 times."""
     from silvatide import catalog
